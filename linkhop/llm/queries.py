@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from linkhop.llm.bpe import bpe_digests
+from linkhop.llm import mixing
+from linkhop.llm.fingerprints import fingerprint_report
+from linkhop.llm.mixing import mix_table
 from linkhop.llm.pii import pii_report
+from linkhop.llm.sharding import shard_report
 from linkhop.llm.token_counts import token_counts
 
 
@@ -24,15 +28,30 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
+    "op6_sharding": op6_sharding,
     "op7_pii": op7_pii,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_mixing": op10_mixing,
 }
 
 #: Queries that SQL can't express, or not at full size, have none; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_mixing": mixing.ORACLE}
