@@ -8,18 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from linkhop.llm.bpe import bpe_digests
-from linkhop.llm import mixing
+from linkhop.llm import mixing, topk
 from linkhop.llm.fingerprints import fingerprint_report
 from linkhop.llm.mixing import mix_table
 from linkhop.llm.pii import pii_report
+from linkhop.llm.quality import quality_scores
 from linkhop.llm.sharding import shard_report
 from linkhop.llm.token_counts import token_counts
+from linkhop.llm.topk import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,6 +43,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
@@ -45,13 +56,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
     "op6_sharding": op6_sharding,
     "op7_pii": op7_pii,
+    "op8_quality": op8_quality,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
 }
 
 #: Queries that SQL can't express, or not at full size, have none; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op10_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op10_mixing": mixing.ORACLE}
