@@ -14,6 +14,7 @@ from linkhop.llm.mixing import mix_table
 from linkhop.llm.pii import pii_report
 from linkhop.llm.quality import quality_scores
 from linkhop.llm.sharding import shard_report
+from linkhop.llm.suffix_dedup import repeats_report
 from linkhop.llm.token_counts import token_counts
 from linkhop.llm.topk import top_k
 
@@ -35,6 +36,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
