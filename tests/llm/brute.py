@@ -20,3 +20,43 @@ def repeats(texts: list[str | None], length: int) -> list[tuple[int, int, int, s
         kept = bytes(b for b, g in zip(d, gone, strict=True) if not g)
         out.append((len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def words(text: str | None) -> list[str]:
+    import re
+
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def shingles(text: str | None, size: int = 5) -> set[tuple]:
+    w = words(text)
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def ngram_components(rows: list[tuple], percent: int = 75) -> dict:
+    """doc_id to (n_shingles, component_id), for distinct ids, by comparing texts that share a shingle."""
+    from collections import defaultdict
+
+    sets = {i: shingles(t) for i, t in rows}
+    at = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            at[x].append(i)
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    shared = Counter()
+    for ids in at.values():
+        for j, a in enumerate(ids):
+            for b in ids[:j]:
+                shared[a, b] += 1
+    for (a, b), n in shared.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    return {i: (len(s), find(i)) for i, s in sets.items()}
