@@ -321,16 +321,8 @@ def _labelled(live: DataFrame, label: DataFrame) -> DataFrame:
     return own.withColumn("component", F.coalesce("component", "c"))
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, class_id, copies.
-
-    component_id is the smallest doc_id that links reach from the row, itself included; a
-    row with the same shingle set as another links with it.  A null text, an empty one and
-    one without words have no shingles and link with nothing.  Null ids take part, but no
-    component is named after one unless it has no other.  class_id names the shingle set
-    and copies counts its rows (both null without shingles).  Further columns are left out;
-    an empty table gives an empty result.
-    """
+def joined_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, k1, k2 (its key), n, component_id, class_id, copies, component (null without shingles)."""
     spark = prepare(docs.sparkSession)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = documents(docs, id_col, text_col).toDF("doc_id", "text")
@@ -357,7 +349,41 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = classes.join(sized(joined.withColumnRenamed("node", "s1"), n_joined, MOST_BROADCAST), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
     own = written(own.select("s1", "s2", "copies", "first", "component"), "own")
     names = own.groupBy("component").agg(F.min("first").alias("component_id"))
-    table = written(own.join(sized(names, n_classes, MOST_BROADCAST), "component").select("s1", "s2", "copies", "component_id"), "named")
+    table = written(own.join(sized(names, n_classes, MOST_BROADCAST), "component").select("s1", "s2", "copies", "component_id", "component"), "named")
     out = rows.join(sized(table, n_classes, MOST_BROADCAST), ["s1", "s2"], "left")
     some = F.col("n") > 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("s1")).alias("class_id"), F.when(some, F.col("copies")).alias("copies"))
+    id_of = F.when(some, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "k1", "k2", "n", id_of.alias("component_id"), F.when(some, F.col("s1")).alias("class_id"), F.when(some, F.col("copies")).alias("copies"), F.when(some, F.col("component")).alias("component"))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, class_id, copies.
+
+    component_id is the smallest doc_id that links reach from the row, itself included; a
+    row with the same shingle set as another links with it.  A null text, an empty one and
+    one without words have no shingles and link with nothing.  Null ids take part, but no
+    component is named after one unless it has no other.  class_id names the shingle set
+    and copies counts its rows (both null without shingles).  Further columns are left out;
+    an empty table gives an empty result.
+    """
+    return joined_rows(docs, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "copies")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs less all but one of each component, with the columns of docs.
+
+    The row with the smallest id stays (null ids last); rows without shingles all stay.
+    Texts are only shuffled where the keys of the rows that go are too many to broadcast.
+    """
+    rows = written(joined_rows(docs, id_col, text_col).select("doc_id", "k1", "k2", "component"), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2")
+    best = rows.where("component is not null").groupBy("component").agg(F.min(place).alias("b")).select("b.k1", "b.k2", F.lit(True).alias("stays"))
+    keys = rows.where("component is not null").groupBy("k1", "k2").agg(F.count("*").alias("times"))
+    going = written(keys.join(best, ["k1", "k2"], "left").where("stays is null or times > 1").select("k1", "k2", F.col("stays").isNotNull().alias("once")), "going")
+    n = going.count()
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(F.lit(1), docs[id_col], docs[text_col]).alias("k1"), F.xxhash64(F.lit(2), docs[text_col], docs[id_col]).alias("k2"))
+    marked = keyed.join(sized(going, n, MOST_BROADCAST), ["k1", "k2"], "left")
+    single = marked.where("once is null").select("row.*")
+    # of rows that are equal in id and text, one
+    repeated = marked.where("once").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")
+    return single.unionByName(repeated)

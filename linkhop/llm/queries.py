@@ -11,6 +11,7 @@ from linkhop.llm.bpe import bpe_digests
 from linkhop.llm import mixing, topk
 from linkhop.llm.fingerprints import fingerprint_report
 from linkhop.llm.mixing import mix_table
+from linkhop.llm.ngram_join import ngram_components
 from linkhop.llm.pii import pii_report
 from linkhop.llm.quality import quality_scores
 from linkhop.llm.sharding import shard_report
@@ -28,6 +29,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -62,6 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_ngram_join": op2_ngram_join,
     "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
