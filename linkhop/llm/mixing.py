@@ -48,8 +48,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
         F.sum("source_size").over(every).alias("total"),
     )
     level = (F.col("total") - F.col("cap_before")) / F.col("weight_left")
-    # the first source whose own cap is above the level sets it
-    run = run.withColumn("level", F.min(F.when(level <= F.col("ratio"), level)).over(every))
+    # the first source whose own cap isn't below its level sets it; from there on levels fall
+    run = run.withColumn("level", F.max(F.when(level <= F.col("ratio"), level)).over(every))
     return run.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
@@ -150,7 +150,7 @@ c AS (SELECT *, sum(cap) OVER o - cap AS cap_before, sum(weight) OVER () - sum(w
              sum(source_size) OVER () AS total
       FROM r WINDOW o AS (ORDER BY ratio, source ASC NULLS LAST ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT *, (total - cap_before)::DOUBLE / weight_left::DOUBLE AS level FROM c),
-t AS (SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT min(level) FROM l WHERE level <= ratio)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT max(level) FROM l WHERE level <= ratio)) AS target FROM l),
 g AS (SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
 k AS (SELECT g.source, g.h, words, sum(words) OVER (PARTITION BY g.source ORDER BY g.h ROWS UNBOUNDED PRECEDING) AS cum FROM g),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t),
