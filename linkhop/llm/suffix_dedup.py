@@ -32,7 +32,7 @@ from linkhop.llm.deep_shallow import shared_stretches
 LENGTH, K, GROUP = 400, 64, 128
 #: Windows that are looked at together; a longer text is cut, its passages at the cuts too.
 SEGMENT = 1_000_000
-#: Rows and spans of a table that is broadcast.
+#: Keys of hot anchor strings, and rows of their halves, that are broadcast.
 MOST_BROADCAST = 400_000
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -217,19 +217,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group: int
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = written(docs.mapInArrow(_passages(length, k), PASSAGES), "passages")
     strings = written(every.groupBy("kh").agg(F.count("*").alias("rows"), (F.min("c1") != F.max("c1")).alias("several")).where("rows > 1").select("kh", "several"), "anchors")
-    few = sized(strings, strings.count(), MOST_BROADCAST)
-    met = written(every.join(few, "kh"), "met")
+    met = written(every.join(strings, "kh"), "met")
     classes = written(
         met.groupBy("kh", "c1", "c2", "several").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start", "n", "anchor")).alias("r")).select("kh", "c1", "c2", "several", "copies", "r.*"), "classes"
     )
     # 1. whole classes
     twice = classes.where("copies > 1").select("c1", "c2")
-    whole = met.join(sized(twice, twice.count(), MOST_BROADCAST), ["c1", "c2"])
+    whole = met.join(twice, ["c1", "c2"])
     found = [whole.select("k1", "k2", F.col("start").alias("from"), (F.col("start") + F.col("n") + length - 1).alias("to"))]
     # 2. one passage of each class whose anchor string has several
     item = F.struct("start", "n", "anchor", "kh", "copies")
     wanted = written(classes.where("several").groupBy("k1", "k2").agg(F.collect_list(item).alias("wanted")), "wanted")
-    readable = docs.join(sized(wanted, wanted.count(), MOST_BROADCAST // 8), ["k1", "k2"])
+    readable = docs.join(wanted, ["k1", "k2"])
     items = written(readable.mapInArrow(_read(length), ITEM), "items")
     width = 1 << (length - k).bit_length()
     while True:
@@ -291,18 +290,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     repeated row is a second copy, so both lose what they share.  Null ids are ids like
     others.  Further columns are left out; an empty table gives an empty result.
 
-    Only hashes of passages are shuffled for the whole table, about one for every 170
-    bytes.  Texts are not, unless the texts with repeats are too many to broadcast their
-    spans.  Copies are counted, not paired.
+    Hashes of passages, about one for every 170 bytes, are grouped; texts are shuffled
+    twice by key, to read passages and to cut.  Copies are counted, not paired.
     """
     prepare(docs.sparkSession)
     kept = documents(docs, id_col, text_col).toDF("doc_id", "text")
     keyed = kept.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k1"), F.xxhash64(F.lit(2), "text", "doc_id").alias("k2"))
     spans = repeated_spans(keyed.select("k1", "k2", "text"), length)
     by_text = written(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "spans")
-    size = by_text.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).head()[0]
     schema = T.StructType([keyed.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    joined = keyed.join(sized(by_text, size, MOST_BROADCAST), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    joined = keyed.join(by_text, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(schema), schema)
 
 
