@@ -1,10 +1,391 @@
-"""The queries of the link operators over the driver's tables, with their SQL."""
+"""The queries of the link operators over the driver's tables, with their SQL.
+
+pages gives URLs and, by arithmetic on page_id, a web of redirects; events is a request
+log; order keys are spread over the IPv4 space.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from linkhop.functions import policy, urls
+from linkhop.operators import cache, chains, cookies, hops, network, reports
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Q = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Q] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Q], Q]:
+    def add(f: Q) -> Q:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- URLs ---------------------------------------------------------------------------------
+
+_NAMES = ", ".join(f"'{n}'" for n in urls.TRACKING_NAMES)
+_FUNCTIONAL = ", ".join(f"'{n}'" for n in urls.FUNCTIONAL_NAMES)
+_PARAMS = f"""
+u AS (SELECT page_id, url, CASE WHEN contains(split_part(url, '#', 1), '?') THEN substr(split_part(url, '#', 1), strpos(url, '?') + 1) ELSE '' END AS q FROM pages),
+p AS (SELECT page_id, url, unnest(string_split(q, '&')) AS piece, generate_subscripts(string_split(q, '&'), 1) AS pos FROM u),
+k AS (SELECT page_id, url, pos, piece, url_decode(replace(split_part(piece, '=', 1), '+', ' ')) AS name,
+             CASE WHEN contains(piece, '=') THEN url_decode(replace(substr(piece, strpos(piece, '=') + 1), '+', ' ')) ELSE '' END AS value
+      FROM p WHERE piece <> ''),
+t AS (SELECT *, CASE WHEN lower(name) LIKE 'utm\\_%' ESCAPE '\\' OR lower(name) IN ({_NAMES}) THEN 'tracking'
+                     WHEN lower(name) IN ({_FUNCTIONAL}) THEN 'functional' ELSE 'unknown' END AS kind FROM k)"""
+
+
+@query("query_params", f"WITH {_PARAMS} SELECT page_id, (pos - 1)::INTEGER AS pos, name, value, kind FROM (SELECT page_id, name, value, kind, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS pos FROM t)")
+def query_params(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", F.posexplode(urls.query_params(F.col("url"))).alias("pos", "p"))
+    return rows.select("page_id", "pos", "p.name", "p.value", "p.kind")
+
+
+@query(
+    "clean_url",
+    f"""WITH {_PARAMS},
+    g AS (SELECT page_id, string_agg(piece, '&' ORDER BY pos) FILTER (kind <> 'tracking') AS kept, count(*) FILTER (kind = 'tracking') AS n_tracking,
+                 string_agg(name, ',' ORDER BY pos) FILTER (kind = 'tracking') AS names FROM t GROUP BY page_id)
+    SELECT u.page_id, CASE WHEN coalesce(n_tracking, 0) = 0 THEN url
+      ELSE split_part(split_part(url, '#', 1), '?', 1) || CASE WHEN kept IS NULL THEN '' ELSE '?' || kept END
+           || CASE WHEN contains(url, '#') THEN substr(url, strpos(url, '#')) ELSE '' END END AS clean_url,
+      coalesce(n_tracking, 0)::INTEGER AS n_tracking, coalesce(names, '') AS names FROM u LEFT JOIN g USING (page_id)""",
+)
+def clean_url(spark, sf):
+    names = urls.tracking_names(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", urls.clean_url(F.col("url")).alias("clean_url"), F.size(names).alias("n_tracking"), F.array_join(names, ",").alias("names"))
+
+
+@query("param_kinds", f"WITH {_PARAMS} SELECT kind, lower(name) AS name, count(*) AS n FROM t GROUP BY ALL")
+def param_kinds(spark, sf):
+    """The dictionary as a table: a broadcast join of parameter names with a few dozen fixed rows."""
+    fixed = [(n, "tracking") for n in urls.TRACKING_NAMES] + [(n, "functional") for n in urls.FUNCTIONAL_NAMES]
+    names = F.broadcast(spark.createDataFrame(fixed, "name string, known string"))
+    p = table(spark, sf, "pages").select(F.explode(urls.query_params(F.col("url"))).alias("p")).select(F.lower("p.name").alias("name"))
+    kind = F.when(F.col("name").startswith("utm_"), "tracking").otherwise(F.coalesce("known", F.lit("unknown")))
+    return p.join(names, "name", "left").groupBy(kind.alias("kind"), "name").agg(F.count("*").alias("n"))
+
+
+@query("kept_params", f"WITH {_PARAMS} SELECT page_id, pos::BIGINT AS pos, piece FROM t WHERE kind <> 'tracking'")
+def kept_params(spark, sf):
+    """All parameters less the tracking ones, as rows."""
+    pieces = F.filter(F.split(urls.query(F.col("url")), "&"), lambda p: p != "")
+    rows = table(spark, sf, "pages").select("page_id", F.posexplode(pieces).alias("i", "piece")).select("page_id", (F.col("i") + 1).cast("long").alias("pos"), "piece")
+    out = rows.where(urls.param_kind(urls.percent_decoded(F.substring_index("piece", "=", 1))) == "tracking")
+    return rows.join(out.select("page_id", "pos"), ["page_id", "pos"], "left_anti")
+
+
+@query("url_dedup", "SELECT DISTINCT split_part(url, '#', 1) AS request_key FROM pages")
+def url_dedup(spark, sf):
+    return chains.url_dedup(table(spark, sf, "pages"), "url")
+
+
+@query(
+    "url_view",
+    r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS hostname, regexp_extract(url, '^([a-z]+):', 1) AS protocol,
+    CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#:]*:([0-9]+)', 1) <> '' THEN regexp_extract(url, '^[a-z]+://[^/?#:]*:([0-9]+)', 1)::INTEGER
+         WHEN url LIKE 'https:%' THEN 443 ELSE 80 END AS port, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+    CASE WHEN contains(split_part(url, '#', 1), '?') THEN substr(split_part(url, '#', 1), strpos(url, '?') + 1) ELSE '' END AS query,
+    CASE WHEN contains(url, '#') THEN substr(url, strpos(url, '#')) ELSE '' END AS fragment, regexp_extract(url, '^https?://[^/?#]+') AS origin,
+    regexp_matches(url, '^https?:') AS is_http FROM pages""",
+)
+def url_view(spark, sf):
+    u = F.col("url")
+    v = hops.url_view(u, u, F.array(u))
+    return table(spark, sf, "pages").select("page_id", v["final_host"].alias("hostname"), v["protocol"].alias("protocol"), v["port"].alias("port"), v["path"].alias("path"), v["query"].alias("query"), v["fragment"].alias("fragment"), urls.origin(u).alias("origin"), urls.is_http_url(u).alias("is_http"))
+
+
+@query(
+    "redact_input",
+    r"""WITH i AS (SELECT page_id, chr(9) || ' ' || CASE WHEN page_id % 3 = 0 THEN replace(url, '://', '://user:p/w@') WHEN page_id % 3 = 1 THEN 'a@' || url ELSE url END || chr(10) || ' ' AS raw FROM pages)
+    SELECT page_id, trim(regexp_replace(raw, '[\t\n\r]', '', 'g')) AS cleaned,
+    regexp_replace(trim(regexp_replace(raw, '[\t\n\r]', '', 'g')), '^([a-zA-Z][a-zA-Z0-9+.-]*:)?([/\\]*)(?s:.*)@', '\1\2') AS shown FROM i""",
+)
+def redact_input(spark, sf):
+    raw = F.concat(F.lit("\t "), F.when(F.col("page_id") % 3 == 0, F.replace("url", F.lit("://"), F.lit("://user:p/w@"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("a@"), "url")).otherwise(F.col("url")), F.lit("\n "))
+    return table(spark, sf, "pages").select("page_id", urls.clean_input(raw).alias("cleaned"), urls.redact(raw).alias("shown"))
+
+
+# --- policy -------------------------------------------------------------------------------
+
+_NUMBER = "(o_orderkey * 2654435761 % 4294967296)"
+_IP = f"concat_ws('.', {_NUMBER} // 16777216, {_NUMBER} // 65536 % 256, {_NUMBER} // 256 % 256, {_NUMBER} % 256)"
+_VALUES = ", ".join(f"('{b}', {lo}, {hi})" for b, lo, hi in ((b, *policy.ipv4_bounds(b)) for b in policy.PRIVATE_IPV4))
+
+
+def order_ips(spark, sf):
+    n = F.pmod(F.col("o_orderkey") * F.lit(2654435761), F.lit(4294967296))
+    part = lambda by: F.pmod(F.floor(n / by), F.lit(256)).cast("string")
+    return table(spark, sf, "orders").select("o_orderkey", F.concat_ws(".", part(16777216), part(65536), part(256), part(1)).alias("ip"))
+
+
+@query("public_ipv4", f"WITH r(cidr, lo, hi) AS (VALUES {_VALUES}) SELECT o_orderkey, {_IP} AS ip, {_NUMBER} AS number, NOT EXISTS (SELECT 1 FROM r WHERE {_NUMBER} BETWEEN lo AND hi) AS is_public FROM orders")
+def public_ipv4(spark, sf):
+    return order_ips(spark, sf).select("o_orderkey", "ip", policy.ipv4_to_long(F.col("ip")).alias("number"), policy.is_public_ipv4(F.col("ip")).alias("is_public"))
+
+
+@query("range_join", f"WITH r(cidr, lo, hi) AS (VALUES {_VALUES}) SELECT o_orderkey, {_IP} AS ip, cidr FROM orders JOIN r ON {_NUMBER} BETWEEN lo AND hi")
+def range_join(spark, sf):
+    return network.range_of(order_ips(spark, sf), policy.ranges_ipv4(spark)).where("cidr is not null")
+
+
+@query("outside_ranges", f"WITH r(cidr, lo, hi) AS (VALUES {_VALUES}) SELECT o_orderkey // 1000 AS part, count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM r WHERE {_NUMBER} BETWEEN lo AND hi) GROUP BY 1")
+def outside_ranges(spark, sf):
+    kept = network.in_ranges(order_ips(spark, sf), policy.ranges_ipv4(spark), how="left_anti")
+    return kept.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("bad_port", f"SELECT o_orderkey, o_orderkey % 11000 AS port, CASE WHEN o_orderkey % 11000 IN ({', '.join(map(str, policy.BAD_PORTS))}) THEN 'Port ' || (o_orderkey % 11000) || ' is not allowed' END AS error FROM orders")
+def bad_port(spark, sf):
+    port = F.col("o_orderkey") % 11000
+    return table(spark, sf, "orders").select("o_orderkey", port.alias("port"), policy.bad_port_error(port).alias("error"))
+
+
+_HOSTS = "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Host' || c_custkey || '.LOCAL..' WHEN 1 THEN 'intranet' WHEN 2 THEN 'a.home.arpa' WHEN 3 THEN 'h' || c_custkey || '.example' WHEN 4 THEN 'mylan.example' ELSE 'corp.' END AS host FROM customer"
+
+
+def customer_hosts(spark, sf):
+    k = F.col("c_custkey")
+    host = F.when(k % 6 == 0, F.concat(F.lit("Host"), k, F.lit(".LOCAL.."))).when(k % 6 == 1, "intranet").when(k % 6 == 2, "a.home.arpa").when(k % 6 == 3, F.concat(F.lit("h"), k, F.lit(".example"))).when(k % 6 == 4, "mylan.example").otherwise("corp.")
+    return table(spark, sf, "customer").select("c_custkey", host.alias("host"))
+
+
+_SUFFIXES = "|".join(s.replace(".", r"\.") for s in policy.INTERNAL_SUFFIXES)
+
+
+@query("internal_host", f"SELECT c_custkey, host, NOT contains(rtrim(host, '.'), '.') OR regexp_matches(lower(rtrim(host, '.')), '(^|\\.)({_SUFFIXES})$') AS internal FROM ({_HOSTS})")
+def internal_host(spark, sf):
+    return customer_hosts(spark, sf).select("c_custkey", "host", policy.internal_host(F.col("host")).alias("internal"))
+
+
+@query(
+    "check_dns",
+    f"""WITH r(cidr, lo, hi) AS (VALUES {_VALUES}), o AS (SELECT o_custkey % 97 AS h, {_NUMBER} AS n FROM orders),
+    d AS (SELECT h, count(*) AS k, bool_or(EXISTS (SELECT 1 FROM r WHERE n BETWEEN lo AND hi)) AS private FROM o WHERE h % 5 <> 0 GROUP BY h),
+    x AS (SELECT DISTINCT CASE WHEN o_custkey % 97 = 7 THEN 'box.local' ELSE 'h' || (o_custkey % 97) || '.example' END AS host, o_custkey % 97 AS h FROM orders)
+    SELECT host, CASE WHEN host = 'box.local' THEN 'BLOCKED' WHEN k IS NULL THEN 'ERROR' WHEN private THEN 'BLOCKED' END AS status,
+    CASE WHEN host = 'box.local' THEN host || ' is a local or internal host name' WHEN k IS NULL THEN 'Request failed (ENOTFOUND)' WHEN private THEN host || ' resolves to a private or reserved address' END AS error
+    FROM x LEFT JOIN d USING (h)""",
+)
+def check_dns(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 97).alias("h"))
+    host = F.when(F.col("h") == 7, "box.local").otherwise(F.concat(F.lit("h"), "h", F.lit(".example")))
+    dns = order_ips(spark, sf).join(orders, "o_orderkey").where("h % 5 <> 0").groupBy(host.alias("host")).agg(F.collect_set("ip").alias("addresses"))
+    return network.check_dns(orders.select(host.alias("host")), dns)
+
+
+# --- chains -------------------------------------------------------------------------------
+
+_WEB = """
+e AS (SELECT page_id, 'http://p.example/' || page_id AS request_key,
+             CASE WHEN page_id % 10 = 0 THEN 200 WHEN page_id % 10 = 9 THEN 404 ELSE 302 END AS code,
+             CASE WHEN page_id % 50 = 7 THEN page_id + 1 WHEN page_id % 50 = 8 THEN page_id - 1 ELSE page_id // 2 END AS to_id FROM pages),
+r AS (SELECT page_id AS link_id, 'http://p.example/' || page_id AS href, ['http://p.example/' || page_id] AS chain, NULL::VARCHAR AS method, NULL::INTEGER AS http_status, NULL::VARCHAR AS status, NULL::VARCHAR AS error FROM pages
+      UNION ALL
+      SELECT link_id, CASE WHEN f THEN next ELSE href END, CASE WHEN f THEN list_append(chain, next) ELSE chain END, CASE WHEN f THEN 'http' ELSE method END,
+             CASE WHEN lo OR ov THEN http_status ELSE code END,
+             CASE WHEN lo THEN 'REDIRECT_LOOP' WHEN ov THEN 'UNRESOLVED' WHEN code IS NULL THEN 'ERROR' WHEN code = 200 THEN 'RESOLVED' WHEN code = 404 THEN 'UNRESOLVED' END,
+             CASE WHEN lo THEN NULL WHEN ov THEN 'More than 20 redirects' WHEN code IS NULL THEN 'Request failed (NOT_CAPTURED)' WHEN code = 404 THEN 'The server answered with HTTP 404' END
+      FROM (SELECT r.*, code, 'http://p.example/' || to_id AS next, len(list_filter_dup(chain, href)) > 1 AS lo, len(chain) - 1 > 20 AS ov,
+                   NOT (len(list_filter_dup(chain, href)) > 1) AND NOT (len(chain) - 1 > 20) AND coalesce(code = 302, false) AS f
+            FROM r LEFT JOIN e ON e.request_key = r.href WHERE status IS NULL))""".replace("list_filter_dup(chain, href)", "[x for x in chain if x = href]")
+_RESULTS = f"WITH RECURSIVE {_WEB} SELECT link_id, CASE WHEN status = 'RESOLVED' THEN href END AS final_url, status, method, (len(chain) - 1)::INTEGER AS redirect_count, chain, http_status, error FROM r WHERE status IS NOT NULL"
+
+
+def web(spark, sf):
+    """A captured answer for every page: 404, 200, or a redirect to the page with half its number; some pairs loop."""
+    i = F.col("page_id")
+    to = F.when(i % 50 == 7, i + 1).when(i % 50 == 8, i - 1).otherwise(F.floor(i / 2))
+    code = F.when(i % 10 == 0, 200).when(i % 10 == 9, 404).otherwise(302)
+    at = lambda x: F.concat(F.lit("http://p.example/"), x.cast("string"))
+    none = F.lit(None).cast("string")
+    return table(spark, sf, "pages").select(
+        "page_id", at(i).alias("request_url"), code.alias("status_code"), F.when(code == 302, F.array(at(to))).alias("location"),
+        none.alias("cf_mitigated"), none.alias("error_code"), none.alias("error_message"), F.lit(None).cast("timestamp_ntz").alias("fetched_at"),
+    )
+
+
+def results(spark, sf):
+    answers = web(spark, sf)
+    return chains.resolve_chains(answers.select(F.col("page_id").alias("link_id"), F.col("request_url").alias("href")), hops.edges_of(answers))
+
+
+@query("resolve_chains", _RESULTS)
+def resolve_chains(spark, sf):
+    return results(spark, sf)
+
+
+@query("resolve_limit", "SELECT page_id AS link_id, 'UNRESOLVED' AS status, 21 AS redirect_count, 'More than 20 redirects' AS error FROM pages WHERE page_id >= 21 UNION ALL SELECT page_id, 'ERROR', (page_id + 1)::INTEGER, 'Request failed (NOT_CAPTURED)' FROM pages WHERE page_id < 20 UNION ALL SELECT page_id, 'UNRESOLVED', 21, 'More than 20 redirects' FROM pages WHERE page_id = 20")
+def resolve_limit(spark, sf):
+    """Each page leads to the one before it, so most chains pass the limit and keep two URLs more than it allows redirects."""
+    i = F.col("page_id")
+    at = lambda x: F.concat(F.lit("http://p.example/"), x.cast("string"))
+    none = F.lit(None).cast("string")
+    edges = table(spark, sf, "pages").select(at(i).alias("request_key"), F.lit("follow").alias("kind"), at(i - 1).alias("target"), F.lit("http").alias("method"), none.alias("status"), none.alias("error"), F.lit(302).alias("http_status"))
+    links = table(spark, sf, "pages").select(i.alias("link_id"), at(i).alias("href"))
+    return chains.resolve_chains(links, edges).select("link_id", "status", "redirect_count", "error")
+
+
+@query("outcome_counts", f"SELECT status || CASE WHEN method IS NULL THEN '' ELSE ' (' || method || ')' END || CASE WHEN status = 'RESOLVED' OR error IS NULL THEN '' ELSE ': ' || error END AS outcome, count(*) AS n FROM ({_RESULTS}) GROUP BY 1")
+def outcome_counts(spark, sf):
+    return reports.outcome_counts(results(spark, sf))
+
+
+@query("first_loop_hop", f"WITH s AS (SELECT link_id, unnest(chain) AS url, generate_subscripts(chain, 1) - 1 AS hop FROM ({_RESULTS})), n AS (SELECT *, row_number() OVER (PARTITION BY link_id, url ORDER BY hop) AS k FROM s) SELECT link_id, min(hop)::INTEGER AS loop_hop FROM n WHERE k = 2 GROUP BY link_id")
+def first_loop_hop(spark, sf):
+    return chains.first_loop_hop(chains.steps_of(results(spark, sf)))
+
+
+@query("build_chains", f"SELECT link_id, chain, redirect_count FROM ({_RESULTS})")
+def build_chains(spark, sf):
+    """Chains put together again from shuffled steps."""
+    return chains.build_chains(chains.steps_of(results(spark, sf)).repartition("hop"))
+
+
+@query("frontier", "SELECT DISTINCT 'http://p.example/' || (page_id + 100) AS request_key FROM pages WHERE page_id + 100 NOT IN (SELECT page_id FROM pages)")
+def frontier(spark, sf):
+    answers = web(spark, sf)
+    active = answers.select(F.concat(F.lit("http://p.example/"), (F.col("page_id") + 100).cast("string"), F.lit("#top")).alias("href"))
+    return chains.frontier(active, answers)
+
+
+@query("known", "SELECT DISTINCT 'http://p.example/' || (page_id + 100) AS request_key FROM pages WHERE page_id + 100 IN (SELECT page_id FROM pages)")
+def known(spark, sf):
+    answers = web(spark, sf)
+    return chains.known(answers.select(F.concat(F.lit("http://p.example/"), (F.col("page_id") + 100).cast("string")).alias("href")), answers)
+
+
+_STEP_METHOD = "CASE event_id % 7 WHEN 0 THEN 'javascript' WHEN 1 THEN 'browser' WHEN 2 THEN NULL WHEN 3 THEN 'html' ELSE 'http' END"
+
+
+@query("heaviest_method", f"WITH m AS (SELECT user_id AS link_id, {_STEP_METHOD} AS method, event_id % 11 = 0 AS c FROM events) SELECT link_id, arg_max(method, list_position(['http', 'html', 'meta-refresh', 'javascript', 'browser', 'adapter'], method)) AS method, bool_or(c) AS credentials_removed FROM m GROUP BY link_id")
+def heaviest_method(spark, sf):
+    i = F.col("event_id")
+    steps = table(spark, sf, "events").select(F.col("user_id").alias("link_id"), F.when(i % 7 == 0, "javascript").when(i % 7 == 1, "browser").when(i % 7 == 2, F.lit(None)).when(i % 7 == 3, "html").otherwise("http").alias("method"), (i % 11 == 0).alias("credentials_removed"))
+    return chains.heaviest_method(steps).join(chains.credentials_any(steps), "link_id")
+
+
+@query("revisit_loops", "WITH c AS (SELECT user_id AS link_id, event_id % 4 AS u, count(*) AS n FROM events GROUP BY ALL) SELECT link_id, max(n) >= 3 AS is_loop FROM c GROUP BY link_id")
+def revisit_loops(spark, sf):
+    return chains.revisit_loops(table(spark, sf, "events").select(F.col("user_id").alias("link_id"), F.concat(F.lit("http://a.example/"), F.col("event_id") % 4, F.lit("#"), "event_id").alias("url")))
+
+
+@query("expected_summary", f"WITH x AS (SELECT *, CASE link_id % 4 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'http://p.example/0' WHEN 2 THEN 'REDIRECT_LOOP' END AS expected FROM ({_RESULTS})) SELECT count(*) AS links, count(expected) AS expectations, count(*) FILTER (expected IS NOT NULL AND NOT CASE WHEN expected LIKE 'http:%' THEN coalesce(expected = final_url, false) ELSE expected = status END) AS not_as_expected FROM x")
+def expected_summary(spark, sf):
+    r = results(spark, sf)
+    i = F.col("link_id")
+    links = r.select("link_id", F.when(i % 4 == 0, "RESOLVED").when(i % 4 == 1, "http://p.example/0").when(i % 4 == 2, "REDIRECT_LOOP").alias("expected"))
+    return reports.expected_summary(reports.match_expected(r, links))
+
+
+@query("steps_log", f"""WITH x AS ({_RESULTS}), l AS (
+    SELECT link_id, generate_subscripts(chain, 1) - 1 AS seq, unnest(chain) AS message FROM x)
+    SELECT link_id, seq::INTEGER AS seq, CASE WHEN seq = 0 THEN 'URL' ELSE 'REDIRECT' END AS tag, message FROM l
+    UNION ALL SELECT link_id, len(chain)::INTEGER, 'FINAL', CASE WHEN status = 'RESOLVED' THEN 'RESOLVED: ' || final_url WHEN error IS NULL THEN status ELSE status || ': ' || error END FROM x""")
+def steps_log(spark, sf):
+    return reports.steps_log(results(spark, sf))
+
+
+@query("compare_runs", f"WITH x AS ({_RESULTS}), o AS (SELECT link_id, status || CASE WHEN method IS NULL THEN '' ELSE ' (' || method || ')' END || CASE WHEN status = 'RESOLVED' OR error IS NULL THEN '' ELSE ': ' || error END AS a, CASE WHEN status = 'UNRESOLVED' THEN 'RESOLVED' || CASE WHEN method IS NULL THEN '' ELSE ' (' || method || ')' END END AS b FROM x) SELECT link_id, a AS without_browser, coalesce(b, a) AS with_browser, b IS NOT NULL AS changed FROM o")
+def compare_runs(spark, sf):
+    r = results(spark, sf)
+    return reports.compare_runs(r, r.withColumn("status", F.when(F.col("status") == "UNRESOLVED", "RESOLVED").otherwise(F.col("status"))))
+
+
+@query("next_step", """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'stop' WHEN code = 302 AND page_id % 3 <> 0 THEN 'follow' WHEN code <> 200 THEN 'stop' WHEN page_id % 5 = 0 THEN 'follow' WHEN page_id % 11 = 0 THEN 'stop' ELSE 'arrived' END AS kind,
+    CASE WHEN page_id % 7 = 0 THEN 'Human verification required' WHEN code = 302 AND page_id % 3 <> 0 THEN NULL WHEN code <> 200 THEN 'The server answered with HTTP ' || code || CASE WHEN code = 302 THEN ' without a redirect to follow' ELSE '' END
+         WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 11 = 0 THEN 'JavaScript destination could not be determined' END AS error,
+    page_id % 7 <> 0 AND code = 200 AND page_id % 5 <> 0 AND page_id % 11 = 0 AS render
+    FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 302 WHEN 2 THEN 404 ELSE 200 END AS code FROM pages)""")
+def next_step(spark, sf):
+    i = F.col("page_id")
+    code = F.when(i % 4 == 1, 302).when(i % 4 == 2, 404).otherwise(200)
+    finding = F.struct(F.when(i % 5 == 0, "redirect").when(i % 11 == 0, "unknown-script").otherwise("none").alias("kind"), F.lit("http://t.example/").alias("url"), F.lit("html").alias("method"), F.lit(False).alias("scripts_may_leave"))
+    location = F.when((code == 302) & (i % 3 != 0), "http://l.example/")
+    s = hops.next_step(code, i % 7 == 0, location, F.lit(None).cast("string"), finding, F.lit(None).cast("string"))
+    return table(spark, sf, "pages").select("page_id", s.alias("s")).select("page_id", "s.kind", "s.error", hops.needs_rendering(F.col("s")).alias("render"))
+
+
+@query("apply_adapters", r"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'other' END AS adapter_name, CASE WHEN page_id % 2 = 0 THEN NULL ELSE 'http://t.example/' END AS target FROM pages")
+def apply_adapters(spark, sf):
+    at = F.concat(F.lit("http://a.example/"), F.when(F.col("page_id") % 2 == 0, "even/").otherwise("odd/"), F.col("page_id").cast("string"))
+    rules = spark.createDataFrame([(1, "even", "a.example", "/even", None), (2, "other", "a.example", "/", "http://t.example/"), (3, "late", "a.example", "/odd", "http://u.example/")], "rule_order int, name string, host string, path_prefix string, target string")
+    return hops.apply_adapters(table(spark, sf, "pages").select("page_id", at.alias("url")), rules)
+
+
+# --- cookies ------------------------------------------------------------------------------
+
+_COOKIES = "SELECT user_id AS link_id, event_id AS seq, 'n' || (event_id % 5) AS name, repeat('v', (event_id * 7 % 3000)::INTEGER) AS value, event_id % 9 = 0 AS expired FROM events"
+
+
+def event_cookies(spark, sf):
+    i = F.col("event_id")
+    line = F.concat(F.lit(" n"), (i % 5).cast("string"), F.lit(" = "), F.repeat(F.lit("v"), (i * 7 % 3000).cast("int")), F.when(i % 9 == 0, "; Max-Age=0").otherwise("; Path=/; Max-Age=60"))
+    parsed = table(spark, sf, "events").select(F.col("user_id").alias("link_id"), F.lit("http://a.example").alias("origin"), i.alias("seq"), cookies.parse_set_cookie(line).alias("c"))
+    return parsed.select("link_id", "origin", "seq", "c.name", "c.value", cookies.cookie_expired(F.col("c.attributes"), F.current_timestamp()).alias("expired"))
+
+
+@query("cookie_latest", f"WITH c AS ({_COOKIES}), r AS (SELECT *, row_number() OVER (PARTITION BY link_id, name ORDER BY seq DESC) AS k FROM c) SELECT link_id, name, seq, length(value) AS n FROM r WHERE k = 1 AND NOT expired")
+def cookie_latest(spark, sf):
+    return cookies.cookie_latest(event_cookies(spark, sf)).select("link_id", "name", "seq", F.length("value").cast("long").alias("n"))
+
+
+@query("cookie_cap", f"WITH c AS ({_COOKIES}), r AS (SELECT *, row_number() OVER (PARTITION BY link_id, name ORDER BY seq DESC) AS k FROM c), l AS (SELECT *, sum(length(name) + length(value) + 3) OVER (PARTITION BY link_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS t FROM r WHERE k = 1 AND NOT expired) SELECT link_id, name, seq FROM l WHERE t <= 8192")
+def cookie_cap(spark, sf):
+    return cookies.cookie_cap(cookies.cookie_latest(event_cookies(spark, sf))).select("link_id", "name", "seq")
+
+
+@query("cookie_headers", f"WITH c AS ({_COOKIES}), r AS (SELECT *, row_number() OVER (PARTITION BY link_id, name ORDER BY seq DESC) AS k FROM c) SELECT link_id, md5(string_agg(name || '=' || value, '; ' ORDER BY seq)) AS cookie FROM r WHERE k = 1 AND NOT expired GROUP BY link_id")
+def cookie_headers(spark, sf):
+    return cookies.cookie_headers(cookies.cookie_latest(event_cookies(spark, sf))).select("link_id", F.md5("cookie").alias("cookie"))
+
+
+# --- cache and request log ----------------------------------------------------------------
+
+_LOG = "SELECT event_id AS request_id, 'http://a.example/' || (event_id % 37) AS url, ts FROM events WHERE event_id % 3 <> 0"
+_STORED = "SELECT 'http://a.example/' || (event_id % 37) AS url, ts AS stored_at FROM events WHERE event_id % 3 = 0"
+
+
+def request_log(spark, sf):
+    e = table(spark, sf, "events")
+    url = F.concat(F.lit("http://a.example/"), (F.col("event_id") % 37).cast("string"))
+    return e.where("event_id % 3 <> 0").select(F.col("event_id").alias("request_id"), url.alias("url"), "ts"), e.where("event_id % 3 = 0").select(url.alias("url"), F.col("ts").alias("stored_at"))
+
+
+@query("asof_cache", f"WITH q AS ({_LOG}), c AS ({_STORED}), j AS (SELECT q.*, c.stored_at FROM q ASOF LEFT JOIN c ON q.url = c.url AND q.ts >= c.stored_at) SELECT request_id, url, ts, CASE WHEN stored_at + INTERVAL 1 DAY > ts THEN stored_at END AS stored_at, coalesce(stored_at + INTERVAL 1 DAY > ts, false) AS hit FROM j")
+def asof_cache(spark, sf):
+    return cache.asof_cache(*request_log(spark, sf), ttl="1 day")
+
+
+@query("cache_evict", f"SELECT url, stored_at FROM ({_STORED}) ORDER BY stored_at DESC, url LIMIT 100")
+def cache_evict(spark, sf):
+    return cache.cache_evict(request_log(spark, sf)[1], 100)
+
+
+_RUNS = "SELECT user_id AS client, ts, ts + to_seconds(floor(value * 60)::BIGINT) AS end_ts FROM events"
+
+
+def event_runs(spark, sf):
+    end = F.col("ts") + F.make_dt_interval(secs=F.floor(F.col("value") * 60).cast("decimal(18,6)"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("client"), "ts", end.alias("end_ts"))
+
+
+@query("concurrency", f"WITH r AS ({_RUNS}), x AS (SELECT client, ts AS a, 1 AS d FROM r UNION ALL SELECT client, end_ts, -1 FROM r), s AS (SELECT client, sum(d) OVER (PARTITION BY client ORDER BY a, d ROWS UNBOUNDED PRECEDING) AS n FROM x) SELECT client, max(n)::BIGINT AS most FROM s GROUP BY client")
+def concurrency(spark, sf):
+    return cache.concurrency(event_runs(spark, sf))
+
+
+@query("concurrency_overall", f"WITH r AS ({_RUNS}), x AS (SELECT ts AS a, 1 AS d FROM r UNION ALL SELECT end_ts, -1 FROM r), g AS (SELECT a, sum(d) AS d FROM x GROUP BY a), s AS (SELECT a, sum(d) OVER (ORDER BY a) AS n FROM g) SELECT date_trunc('day', a)::TIMESTAMP AS bucket, max(n)::BIGINT AS most FROM s GROUP BY 1")
+def concurrency_overall(spark, sf):
+    return cache.concurrency_overall(event_runs(spark, sf))
