@@ -389,3 +389,119 @@ def concurrency(spark, sf):
 @query("concurrency_overall", f"WITH r AS ({_RUNS}), x AS (SELECT ts AS a, 1 AS d FROM r UNION ALL SELECT end_ts, -1 FROM r), g AS (SELECT a, sum(d) AS d FROM x GROUP BY a), s AS (SELECT a, sum(d) OVER (ORDER BY a) AS n FROM g) SELECT date_trunc('day', a)::TIMESTAMP AS bucket, max(n)::BIGINT AS most FROM s GROUP BY 1")
 def concurrency_overall(spark, sf):
     return cache.concurrency_overall(event_runs(spark, sf))
+
+
+# --- pages --------------------------------------------------------------------------------
+
+_KIND = "CASE WHEN page_id % 6 = 0 THEN 'redirect' WHEN page_id % 6 = 1 THEN 'human-check' WHEN page_id % 6 IN (2, 3) THEN 'redirect' WHEN page_id % 6 = 4 THEN 'unknown-script' ELSE 'none' END"
+
+
+@query("page_findings", f"""SELECT page_id, {_KIND} AS kind,
+    CASE page_id % 6 WHEN 0 THEN 'http://t.example/' || page_id WHEN 2 THEN 'http://f.example/' WHEN 3 THEN 'http://s.example/' || page_id END AS url,
+    CASE page_id % 6 WHEN 0 THEN 'meta-refresh' WHEN 2 THEN 'html' WHEN 3 THEN 'javascript' END AS method FROM pages""")
+def page_findings(spark, sf):
+    """Every page's own HTML behind one of six snippets that say where it leads."""
+    from linkhop.operators.pages import page_findings as find
+
+    i = F.col("page_id")
+    n = i.cast("string")
+    snippet = (
+        F.when(i % 6 == 0, F.concat(F.lit("<meta http-equiv=refresh content=\"5; url='http://t.example/"), n, F.lit("'\">")))
+        .when(i % 6 == 1, F.lit("<div class='x g-recaptcha'></div>")).when(i % 6 == 2, F.lit("<frameset><frame src=http://f.example></frameset>"))
+        .when(i % 6 == 3, F.concat(F.lit("<script>/* go */ window.location.replace('http://s.example/"), n, F.lit("');</script>")))
+        .when(i % 6 == 4, F.lit("<script>location='http://a.example/'; if (x) { location = y }</script>")).otherwise(F.lit("<meta http-equiv=refresh content='600; url=/'>"))
+    )
+    pages = table(spark, sf, "pages").select("page_id", F.concat(F.lit("http://p.example/"), n).alias("url"), F.concat(snippet, F.coalesce("html", F.lit(""))).alias("html"))
+    return find(pages).select("page_id", "kind", "url", "method")
+
+
+@query("single_target", "WITH s AS (SELECT user_id AS page_id, CASE WHEN event_id % 13 = 0 THEN 'unknown' WHEN event_id % 3 = 0 THEN 'target' ELSE 'maybe' END AS kind, 'http://t.example/' || (event_id % 2) AS url FROM events WHERE event_id % 5 = 0), g AS (SELECT page_id, count(DISTINCT url) FILTER (kind = 'target') AS n, bool_or(kind = 'unknown') AS u, min(url) FILTER (kind = 'target') AS url FROM s GROUP BY page_id) SELECT page_id, CASE WHEN n = 1 AND NOT u THEN 'redirect' WHEN n > 0 OR u THEN 'unknown' ELSE 'maybe' END AS kind, CASE WHEN n = 1 AND NOT u THEN url END AS url FROM g")
+def single_target(spark, sf):
+    from linkhop.operators.pages import single_target as one
+
+    i = F.col("event_id")
+    rows = table(spark, sf, "events").where(i % 5 == 0).select(F.col("user_id").alias("page_id"), F.when(i % 13 == 0, "unknown").when(i % 3 == 0, "target").otherwise("maybe").alias("kind"), F.concat(F.lit("http://t.example/"), (i % 2).cast("string")).alias("url"))
+    return one(rows)
+
+
+@query("parse_urls")
+def parse_urls(spark, sf):
+    """Every page URL as input, in six spellings; parsed once for each distinct text."""
+    from linkhop.functions.whatwg import parse_input_url
+
+    i = F.col("page_id")
+    raw = F.when(i % 6 == 0, F.upper("url")).when(i % 6 == 1, F.replace("url", F.lit("https://"), F.lit("//"))).when(i % 6 == 2, F.replace("url", F.lit("://"), F.lit("://u:p@"))).when(i % 6 == 3, F.concat(F.lit(" \t"), "url", F.lit("/../x y"))).when(i % 6 == 4, F.concat(F.lit("ftp:"), "url")).otherwise(F.col("url"))
+    rows = table(spark, sf, "pages").select("page_id", raw.alias("raw_url"))
+    parsed = rows.select("raw_url").distinct().withColumn("p", parse_input_url(F.col("raw_url")))
+    return rows.join(parsed, "raw_url").select("page_id", "raw_url", "p.*")
+
+
+@query("resolve_locations")
+def resolve_locations(spark, sf):
+    from linkhop.functions.whatwg import resolve_location
+
+    i = F.col("page_id")
+    location = F.when(i % 4 == 0, "../up?x=1").when(i % 4 == 1, "//other.example/a b").when(i % 4 == 2, "mailto:a@b.example").otherwise("?only=query#own")
+    return table(spark, sf, "pages").select("page_id", resolve_location(location, F.col("url")).alias("p")).select("page_id", "p.*")
+
+
+# --- streams ------------------------------------------------------------------------------
+
+_EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def event_stream(spark, sf):
+    return spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def settle(df, *columns):
+    """Times as the log has them, without a zone."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("rate_limit", "SELECT user_id % 5 AS client, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS requests, greatest(count(*) - 2, 0) AS refused FROM events GROUP BY ALL")
+def rate_limit(spark, sf):
+    from linkhop.streaming import requests as r
+
+    s = event_stream(spark, sf).select((F.col("user_id") % 5).alias("client"), "ts")
+    return settle(r.run_available(r.rate_limit(s, 2, "1 hour"), "complete"), "start")
+
+
+@query("settled_pages", """WITH g AS (SELECT user_id AS visit_id, ts, event_id, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(n) OVER (PARTITION BY visit_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT visit_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS events FROM s GROUP BY visit_id, k""")
+def settled_pages(spark, sf):
+    from linkhop.streaming import requests as r
+
+    s = event_stream(spark, sf).select(F.col("user_id").alias("visit_id"), "ts", F.concat(F.lit("http://a.example/"), "event_id").alias("url"))
+    return settle(r.run_available(r.settled_pages(s, "12 hours"), "complete"), "start", "end").drop("url")
+
+
+@query("deadline_join", "WITH l AS (SELECT event_id AS link_id, user_id, ts FROM events WHERE event_type = 'signup'), a AS (SELECT user_id, ts AS a_ts FROM events WHERE event_type = 'purchase') SELECT link_id, l.user_id, count(a_ts) AS answers, CASE WHEN count(a_ts) = 0 THEN 'TIMEOUT' END AS status FROM l LEFT JOIN a ON l.user_id = a.user_id AND a_ts >= ts AND a_ts <= ts + INTERVAL 2 DAY GROUP BY ALL")
+def deadline_join(spark, sf):
+    from linkhop.streaming import requests as r
+
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    links = e.where("event_type = 'signup'").select(F.col("user_id").alias("link_id"), F.col("event_id").alias("request_id"), "ts")
+    answers = e.where("event_type = 'purchase'").select(F.col("user_id").alias("a_link_id"), F.col("ts").alias("a_ts"))
+    joined = r.deadline_join(links, answers, "2 days")
+    g = joined.groupBy(F.col("request_id").alias("l"), F.col("link_id").alias("user_id")).agg(F.count("a_ts").alias("answers"))
+    return g.select(F.col("l").alias("link_id"), "user_id", "answers", F.when(F.col("answers") == 0, "TIMEOUT").alias("status"))
+
+
+@query("dedup_requests", "SELECT DISTINCT user_id AS link_id, 'http://a.example/' || (event_id % 7) AS request_key FROM events")
+def dedup_requests(spark, sf):
+    from linkhop.streaming import requests as r
+
+    s = event_stream(spark, sf).select(F.col("user_id").alias("link_id"), F.concat(F.lit("http://a.example/"), (F.col("event_id") % 7).cast("string"), F.lit("#f")).alias("url"), "ts")
+    return r.run_available(r.dedup_requests(s, "100 days")).select("link_id", "request_key")
+
+
+@query("cache_stream")
+def cache_stream(spark, sf):
+    """Requests of every URL marked hit or miss by keyed state; what may be stored is decided a row."""
+    from linkhop.streaming import requests as r
+
+    i = F.col("event_id")
+    s = event_stream(spark, sf).select(F.concat(F.lit("http://a.example/"), (i % 37).cast("string")).alias("url"), i.alias("request_id"), "ts", F.when(i % 5 == 0, "UNRESOLVED").otherwise("RESOLVED").alias("status"), (i % 7 == 0).alias("credentials_removed"), F.lit("{}").alias("result"))
+    return settle(r.run_available(r.cache_stream(s)), "ts")

@@ -7,6 +7,7 @@ pattern and not scanned.
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -28,11 +29,13 @@ MAX_SCRIPT, MAX_SCRIPTS = 65536, 262144
 _VOID = {"area", "base", "br", "col", "embed", "frame", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _WS = r"\t\n\f\r "
 
-_REF = T.ArrayType(T.StructType([T.StructField("ref", T.StringType()), T.StructField("base", T.StringType()), T.StructField("noscript", T.BooleanType())]))
+_REFRESHES = T.ArrayType(T.StructType([T.StructField("delay", T.DoubleType()), T.StructField("url", T.StringType()), T.StructField("href", T.StringType()), T.StructField("noscript", T.BooleanType())]))
+_LINKS = T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType()))]))
+_HREFS = T.ArrayType(T.StringType())
 SCAN = T.StructType([
-    T.StructField("refreshes", _REF), T.StructField("human", T.BooleanType()), T.StructField("password", T.BooleanType()),
-    T.StructField("frameset", T.BooleanType()), T.StructField("frames", _REF), T.StructField("links", _REF),
-    T.StructField("text", T.StringType()), T.StructField("scripts", T.ArrayType(T.StringType())), T.StructField("base", T.StringType()),
+    T.StructField("refreshes", _REFRESHES), T.StructField("human", T.BooleanType()), T.StructField("password", T.BooleanType()),
+    T.StructField("frameset", T.BooleanType()), T.StructField("frames", _HREFS), T.StructField("links", _LINKS),
+    T.StructField("text", T.StringType()), T.StructField("jumps", _HREFS), T.StructField("loose", T.IntegerType()), T.StructField("mentions", T.IntegerType()),
 ])
 NAMED = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("href", T.StringType()), T.StructField("written", T.StringType())]))
 
@@ -111,6 +114,36 @@ class _Scan(HTMLParser):
             self.text.append(data)
 
 
+def refresh_parts(content: str) -> tuple[float, str | None] | None:
+    """What parse_refresh() gives, for one value."""
+    m = re.match(_REFRESH, content)
+    if not m or not (m[1] or m[2].startswith(".")):
+        return None
+    rest = m[3] or ""
+    body = re.sub(rf"(?i)\A(?:url[{_WS}]*=[{_WS}]*)", "", rest)
+    if body == rest and rest[:1] in ("u", "U"):
+        return float(m[1] or 0), rest
+    if body[:1] in ('"', "'"):
+        body = body[1:].split(body[0])[0]
+    return float(m[1] or 0), body if rest else None
+
+
+def sinks_of(scripts: list[str]) -> tuple[list[str], int]:
+    """What script_sinks() gives for the scripts of one page, within the budget."""
+    targets, mentions, held = [], 0, 0
+    for s in scripts:
+        if len(s) > MAX_SCRIPT or held + len(s) > MAX_SCRIPTS:
+            continue
+        held += len(s)
+        mentions += len(re.findall(_MENTION, s))
+        top = re.sub(_COMMENT, " ", s)
+        for _ in range(DEPTHS):
+            top = re.sub(r"\{[^{}]*\}", ";", top)
+        if not re.search(r"[{}]", top):
+            targets += [(m[1] or m[2] or m[3])[1:-1].replace("\\/", "/") for m in re.finditer(_SINK, top)]
+    return targets, mentions
+
+
 def scan(html: str | None, page: str, links: bool) -> tuple:
     s = _Scan(page, links)
     try:
@@ -118,9 +151,19 @@ def scan(html: str | None, page: str, links: bool) -> tuple:
         s.close()
     except _Deep:
         pass
-    o = s.out
-    whole = lambda refs: [(r, s.base, False) for r in refs]
-    return o["refreshes"], o["human"], o["password"], o["frameset"], whole(o["frames"]), whole(o["links"]), "".join(s.text), o["scripts"], s.base
+    o, bases = s.out, {}
+
+    def href(ref: str | None, base: str) -> str | None:
+        if base not in bases:
+            bases[base] = parse(base)
+        url = None if ref is None else parse(ref, bases[base])
+        return None if url is None else url.href
+
+    refreshes = [(p[0], p[1], href(p[1], base), quiet) for content, base, quiet in o["refreshes"] if (p := refresh_parts(content)) is not None]
+    targets, mentions = sinks_of(o["scripts"])
+    jumps = [href(t, s.base) for t in targets]
+    linked = [(h, [k for k, _, _ in named_urls(h, decoded_params(h))]) for x in o["links"] if (h := href(x, s.base)) is not None]
+    return refreshes, o["human"], o["password"], o["frameset"], [href(x, s.base) for x in o["frames"]], linked, "".join(s.text), jumps, mentions - len(targets), mentions
 
 
 @F.pandas_udf(SCAN)
@@ -128,34 +171,12 @@ def scan_page(html: pd.Series, url: pd.Series, links: pd.Series) -> pd.DataFrame
     return pd.DataFrame([scan(h, u, bool(x)) for h, u, x in zip(html, url, links, strict=True)], columns=SCAN.names)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def resolved(refs: pd.Series) -> pd.Series:
-    """Absolute hrefs of an array of (ref, base); null where there is none."""
-
-    def one(rows) -> list:
-        bases: dict = {}
-        out = []
-        for r in rows if rows is not None else ():
-            base = bases.setdefault(r["base"], parse(r["base"] or ""))
-            url = None if r["ref"] is None else parse(r["ref"], base)
-            out.append(None if url is None else url.href)
-        return out
-
-    return refs.map(one)
-
-
 @F.pandas_udf(NAMED)
 def named(href: pd.Series) -> pd.Series:
     """External http(s) URLs that the query of each href names."""
     return href.map(lambda u: [] if u is None else named_urls(u, decoded_params(u)))
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def named_keys(hrefs: pd.Series) -> pd.Series:
-    """For an array of hrefs the keys that each names."""
-    return hrefs.map(lambda rows: [[] if u is None else [k for k, _, _ in named_urls(u, decoded_params(u))] for u in rows])
-
-
 _REFRESH = rf"(?s)^[{_WS}]*([0-9]*)([0-9.]*)(?:(?=[;,{_WS}])[{_WS}]*[;,]?[{_WS}]*(.*))?$"
 
 
@@ -192,6 +213,9 @@ def script_budget(scripts: Column) -> Column:
     return F.aggregate(scripts, empty, add, lambda s: s["kept"])
 
 
+#: Comments, and how deep braces are emptied.
+_COMMENT = r"(?s:/\*.*?\*/)|(?m:(?<![:\"'\\])//[^\n]*$)"
+DEPTHS = 6
 _MENTION = r"\blocation\b|\bnavigate\b|\bopen\s*\("
 _PLACE = r"(?:(?:window|self|top|parent|document|this)\s*\.\s*)*"
 _TEXT = r"(\"(?:[^\"\\\n]|\\/)*\"|'(?:[^'\\\n]|\\/)*')"
@@ -210,8 +234,8 @@ def script_sinks(scripts: Column) -> Column:
     """
 
     def top(s: Column) -> Column:
-        s = F.regexp_replace(s, r"(?s)/\*.*?\*/|(?m)(?<![:\"'\\])//[^\n]*$", " ")
-        for _ in range(6):
+        s = F.regexp_replace(s, _COMMENT, " ")
+        for _ in range(DEPTHS):
             s = F.regexp_replace(s, r"\{[^{}]*\}", ";")
         return F.when(s.rlike(r"[{}]"), F.lit("")).otherwise(s)
 
@@ -255,31 +279,23 @@ def page_findings(pages: DataFrame) -> DataFrame:
     settled = (F.size("named") == 0) & ~F.col("html").rlike(_OF_INTEREST)
     none = F.lit(None).cast("string")
     quiet = p.where(settled).select("page_id", F.lit("none").alias("kind"), none.alias("url"), none.alias("method"), F.lit(False).alias("scripts_may_leave"), F.lit(False).alias("script_unsettled"))
-    s = p.where(~settled).withColumn("s", scan_page("html", "page", F.size("named") > 0)).drop("html")
-    read = F.transform("s.refreshes", lambda r: F.struct(parse_refresh(r["ref"]).alias("r"), r["base"].alias("base"), r["noscript"].alias("noscript")))
-    read = F.filter(read, lambda r: r["r"].isNotNull())
-    s = s.withColumn("read", read).withColumn("sinks", script_sinks(script_budget(F.col("s.scripts"))))
-    refs = F.transform("read", lambda r: F.struct(r["r"]["url"].alias("ref"), r["base"].alias("base"), r["noscript"].alias("noscript")))
-    jump = F.transform("sinks.targets", lambda t: F.struct(t.alias("ref"), F.col("s.base").alias("base"), F.lit(False).alias("noscript")))
-    s = s.withColumns({"hrefs": resolved(refs), "frame_hrefs": resolved("s.frames"), "link_hrefs": resolved("s.links"), "jumps": resolved(jump)})
+    s = p.where(~settled).withColumn("s", scan_page("html", "page", F.size("named") > 0)).drop("html").select("page_id", "page", "error", "named", "s.*")
     # the first readable refresh decides; one in noscript only counts if it leaves the host
-    usable = F.filter(F.arrays_zip("read", "hrefs"), lambda z: (z["read"]["r"]["url"].isNull() | z["hrefs"].isNotNull()) & ~F.coalesce(z["read"]["noscript"] & (hostname(z["hrefs"]) == hostname(F.col("page"))), F.lit(False)))
+    usable = F.filter("refreshes", lambda r: (r["url"].isNull() | r["href"].isNotNull()) & ~F.coalesce(r["noscript"] & (hostname(r["href"]) == hostname(F.col("page"))), F.lit(False)))
     first = F.get(usable, F.lit(0))
-    refreshed = refresh_target(first["read"]["r"]["delay"], first["hrefs"], F.col("page"))
-    human = F.col("s.human") | (F.col("s.password") & return_to(F.col("page")))
-    frame = F.get("frame_hrefs", F.lit(0))
-    framed = F.when(F.col("s.frameset") & (F.size("frame_hrefs") == 1) & (without_fragment(frame) != without_fragment(F.col("page"))), frame)
+    refreshed = refresh_target(first["delay"], first["href"], F.col("page"))
+    human = F.col("human") | (F.col("password") & return_to(F.col("page")))
+    frame = F.get("frames", F.lit(0))
+    framed = F.when(F.col("frameset") & (F.size("frames") == 1) & (without_fragment(frame) != without_fragment(F.col("page"))), frame)
     keys = F.transform("named", lambda n: n["key"])
-    direct = F.filter("link_hrefs", lambda u: F.array_contains(keys, without_fragment(u)))
-    leaving = F.when(F.size(direct) > 0, F.element_at(F.filter("named", lambda n: n["key"] == without_fragment(F.get(direct, F.lit(0)))), -1)["href"])
-    elsewhere = F.when(F.size("named") > 0, F.filter("link_hrefs", lambda u: u.isNotNull() & (hostname(u) != hostname(F.col("page"))))).otherwise(F.array().cast("array<string>"))
-    s = s.withColumn("elsewhere", elsewhere).withColumn("their", named_keys("elsewhere"))
-    handed = F.get(F.filter(F.arrays_zip("elsewhere", "their"), lambda z: F.arrays_overlap(z["their"], keys)), F.lit(0))["elsewhere"]
+    direct = F.get(F.filter("links", lambda u: F.array_contains(keys, without_fragment(u["href"]))), F.lit(0))["href"]
+    leaving = F.when(direct.isNotNull(), F.element_at(F.filter("named", lambda n: n["key"] == without_fragment(direct)), -1)["href"])
+    handed = F.get(F.filter("links", lambda u: (hostname(u["href"]) != hostname(F.col("page"))) & F.arrays_overlap(u["keys"], keys)), F.lit(0))["href"]
     # a target that is the page itself is a reload
     sure = F.array_distinct(F.filter("jumps", lambda u: F.coalesce(is_http_url(u) & (without_fragment(u) != without_fragment(F.col("page"))), F.lit(False))))
-    loose = F.col("sinks.mentions") > F.size("sinks.targets")
-    shown = F.exists("named", lambda n: F.col("s.text").contains(n["written"]) | F.col("s.text").contains(n["href"]) | F.col("s.text").contains(F.regexp_replace(n["href"], "/$", "")))
-    maybe = (F.size(sure) == 0) & (F.col("sinks.mentions") > 0)
+    loose = F.col("loose") > 0
+    shown = F.exists("named", lambda n: F.col("text").contains(n["written"]) | F.col("text").contains(n["href"]) | F.col("text").contains(F.regexp_replace(n["href"], "/$", "")))
+    maybe = (F.size(sure) == 0) & (F.col("mentions") > 0)
 
     def found(kind: str, url: Column = none, method: str | None = None, leave: Column = F.lit(False)) -> Column:
         return F.struct(F.lit(kind).alias("kind"), url.alias("url"), F.lit(method).cast("string").alias("method"), leave.alias("scripts_may_leave"), leave.alias("script_unsettled"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkhop.functions.urls import without_fragment
 from linkhop.operators.chains import resolve_chains
@@ -22,13 +24,17 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
             found.clear()
         found.append(written(batch, "stream"))
 
-    import tempfile
-
     spark = stream.sparkSession
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="linkhop-")
-    import uuid
-
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{shared.rstrip('/')}/linkhop/offsets-{uuid.uuid4().hex}").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    # state with timeouts would ask for empty batches without end
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        offsets = f"{shared.rstrip('/')}/linkhop/offsets-{uuid.uuid4().hex}"
+        stream.writeStream.outputMode(mode).option("checkpointLocation", offsets).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     out = found[0] if found else spark.createDataFrame([], stream.schema)
     for more in found[1:]:
         out = out.unionByName(more)
@@ -67,33 +73,32 @@ def resolve_stream(spark: SparkSession, links: DataFrame, edges: DataFrame, sink
 
 
 CACHED = "url string, request_id long, ts timestamp, hit boolean"
+MAX_CACHED_BYTES = 16384
 
 
-class ResultCache(StatefulProcessor):
-    """One stored result a URL: only RESOLVED, without credentials, of at most MAX_BYTES of JSON, for TTL seconds."""
-
-    TTL, MAX_BYTES = 600, 16384
+def cache_stream(requests: DataFrame, ttl_seconds: int = 600) -> DataFrame:
+    """(url, request_id, ts, hit) of requests (url, request_id, ts, status, credentials_removed, result).
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored = handle.getValueState("stored", "at timestamp", self.TTL * 1000)
+    Keeps the time of one stored result a URL: only RESOLVED, without credentials, of at
+    most MAX_CACHED_BYTES of JSON; it counts for ttl_seconds, after which the state goes.
+    Requests of a URL are taken in order of time within a batch.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).sort_values(["ts", "request_id"])
-        at = self.stored.get()[0] if self.stored.exists() else None
-        out = []
+    def serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        every = pd.concat(list(batches)).sort_values(["ts", "request_id"])
+        hits = []
         for r in every.itertuples():
-            hit = at is not None and at + pd.Timedelta(seconds=self.TTL) > r.ts
-            out.append((key[0], r.request_id, r.ts, hit))
-            if not hit and r.status == "RESOLVED" and not r.credentials_removed and len((r.result or "").encode()) <= self.MAX_BYTES:
+            hit = at is not None and at + pd.Timedelta(seconds=ttl_seconds) > r.ts
+            hits.append(hit)
+            if not hit and r.status == "RESOLVED" and not r.credentials_removed and len((r.result or "").encode()) <= MAX_CACHED_BYTES:
                 at = r.ts
         if at is not None:
-            self.stored.update((at,))
-        yield pd.DataFrame(out, columns=["url", "request_id", "ts", "hit"])
-
-    def close(self) -> None:
-        pass
-
+            state.update((at.value // 1000,))
+            state.setTimeoutDuration(ttl_seconds * 1000)
+        yield pd.DataFrame({"url": key[0], "request_id": every["request_id"].to_numpy(), "ts": every["ts"].to_numpy(), "hit": hits})
 
-def cache_stream(requests: DataFrame) -> DataFrame:
-    """(url, request_id, ts, hit) of requests (url, request_id, ts, status, credentials_removed, result), with keyed state that expires."""
-    return requests.groupBy("url").transformWithStateInPandas(ResultCache(), CACHED, "Append", "ProcessingTime")
+    return requests.groupBy("url").applyInPandasWithState(serve, CACHED, "at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
