@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Characters that an origin's cookies may take, three more than name and value each.
 MAX_PER_ORIGIN = 8192
-#: Forms of a cookie date.
-DATE_FORMS = ["EEE, dd MMM yyyy HH:mm:ss 'GMT'", "EEE, dd-MMM-yyyy HH:mm:ss 'GMT'", "EEE, dd-MMM-yy HH:mm:ss 'GMT'"]
+#: Months of a cookie date, and its form.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+DATE = r"([0-9]{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -]([0-9]{2,4})\s+([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})"
 
 
 def parse_set_cookie(line: Column) -> Column:
@@ -29,7 +30,10 @@ def cookie_expired(attributes: Column, now: Column) -> Column:
     ages = F.filter(attributes, lambda a: (a["key"] == "max-age") & a["value"].rlike("^-?[0-9]+$"))
     dates = F.filter(attributes, lambda a: (a["key"] == "expires") & a["value"].rlike("[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"))
     last = F.element_at(dates, -1)["value"]
-    at = F.coalesce(*(F.try_to_timestamp(last, F.lit(f)) for f in DATE_FORMS))
+    part = lambda i: F.nullif(F.regexp_extract(last, DATE, i), F.lit("")).cast("int")
+    year = F.when(part(3) < 70, part(3) + 2000).when(part(3) < 100, part(3) + 1900).otherwise(part(3))
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(last, DATE, 2))).cast("int"), F.lit(0))
+    at = F.try_make_timestamp(year, month, part(1), part(4), part(5), part(6), F.lit("UTC"))
     old = F.when(F.size(dates) > 0, at <= now)
     return F.coalesce(F.when(F.size(ages) > 0, F.get(ages, F.lit(0))["value"].cast("decimal(38,0)") <= 0), F.when(F.size(ages) > 0, F.lit(False)), old, F.lit(False))
 
