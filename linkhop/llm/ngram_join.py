@@ -144,10 +144,11 @@ def counted(blocks: DataFrame) -> np.ndarray:
     return out
 
 
-#: A posting; level is the least l whose prefix holds it, l the one that its class has taken.
-POSTING = np.dtype([("token", "<u8"), ("c", "<i8"), ("n", "<i4"), ("level", "u1"), ("l", "u1")])
-DEALT = "part int, blob binary, token long, c long, n int, level int, l int"
-LIVE = "token long, c long, n int, level int, l int"
+#: A posting: the shingle's place in its class's order from 1, the l that the class has taken, and how common its prefix is.
+POSTING = np.dtype([("token", "<u8"), ("c", "<i8"), ("n", "<i4"), ("place", "<i4"), ("l", "u1"), ("common", "u1")])
+FIELDS = ["token", "c", "n", "place", "l", "common"]
+LIVE = "token long, c long, n int, place int, l int, common int"
+DEALT = f"part int, blob binary, {LIVE}"
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -156,7 +157,7 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
 
 
 def prefixes(shingles: np.ndarray, n: np.ndarray, counts: np.ndarray, usual: float) -> tuple[np.ndarray, ...]:
-    """Of sets one after another: (shingle, set, level, l, count) of the adaptive prefixes.
+    """Of sets one after another: (shingle, set, place, l, count, mean count of the prefix) of the adaptive prefixes.
 
     counts: how often each shingle was seen; usual: what the sketch shows for none.
     """
@@ -174,9 +175,10 @@ def prefixes(shingles: np.ndarray, n: np.ndarray, counts: np.ndarray, usual: flo
         total = np.where(k <= overlap, postings * (1 + VERIFY / k), np.inf)
         l[total < best] = k
         best = np.minimum(best, total)
-    level = np.maximum(1, place - base[owner])
     keep = place <= (base + l)[owner]
-    return shingles[keep], owner[keep], level[keep], l[owner][keep], counts[keep]
+    owner, counts = owner[keep], counts[keep]
+    common = np.bincount(owner, weights=counts, minlength=len(n)) / np.maximum(np.bincount(owner, minlength=len(n)), 1)
+    return shingles[keep], owner, place[keep], l[owner], counts, common[owner]
 
 
 def _postings(sketch, parts: int):
@@ -189,14 +191,15 @@ def _postings(sketch, parts: int):
             ids = batch.column("c").to_numpy()
             for a, _, shingles, n in _sets(batch):
                 counts = cells[shingles & np.uint64(CELLS - 1)].astype(np.int64)
-                token, owner, level, l, count = prefixes(shingles, n, counts, usual)
+                token, owner, place, l, count, common = prefixes(shingles, n, counts, usual)
                 rows = np.empty(len(token), POSTING)
-                rows["token"], rows["c"], rows["n"], rows["level"], rows["l"] = token, ids[a:][owner], n[owner], level, l
+                for name, column in zip(FIELDS, (token, ids[a:][owner], n[owner], place, l, common), strict=True):
+                    rows[name] = column
                 full = count >= FULL
                 hot, rows = rows[full], rows[~full]
                 if len(hot):
                     part = (hot["c"] % parts).astype(np.int32)
-                    yield _arrow(DEALT, part, pa.nulls(len(hot), pa.binary()), np.ascontiguousarray(hot["token"]).view(np.int64), np.ascontiguousarray(hot["c"]), np.ascontiguousarray(hot["n"]), hot["level"].astype(np.int32), hot["l"].astype(np.int32))
+                    yield _arrow(DEALT, part, pa.nulls(len(hot), pa.binary()), *_columns(hot))
                 part = (rows["token"] >> np.uint64(20)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
                 rows, part = rows[order], part[order]
@@ -205,7 +208,7 @@ def _postings(sketch, parts: int):
                 blobs = [rows[edges[i] : edges[i + 1]].tobytes() for i in some.tolist()]
                 m = len(some)
                 if m:
-                    yield _arrow(DEALT, some.astype(np.int32), pa.array(blobs, pa.binary()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())))
+                    yield _arrow(DEALT, some.astype(np.int32), pa.array(blobs, pa.binary()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), *[pa.int32()] * 4)))
 
     return post
 
@@ -218,7 +221,7 @@ def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         blobs += batch.column("blob").filter(packed).to_pylist()
         loose = batch.filter(pc.invert(packed))
         if loose.num_rows:
-            yield loose.select(["token", "c", "n", "level", "l"])
+            yield loose.select(FIELDS)
     rows = np.frombuffer(b"".join(blobs), POSTING)
     if not len(rows):
         return
@@ -226,8 +229,11 @@ def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     same = rows["token"][1:] == rows["token"][:-1]
     rows = rows[np.append(same, False) | np.append(False, same)]
     for i in range(0, len(rows), 100_000):
-        r = rows[i : i + 100_000]
-        yield _arrow(LIVE, np.ascontiguousarray(r["token"]).view(np.int64), np.ascontiguousarray(r["c"]), np.ascontiguousarray(r["n"]), r["level"].astype(np.int32), r["l"].astype(np.int32))
+        yield _arrow(LIVE, *_columns(rows[i : i + 100_000]))
+
+
+def _columns(rows: np.ndarray) -> list[np.ndarray]:
+    return [np.ascontiguousarray(rows["token"]).view(np.int64), np.ascontiguousarray(rows["c"]), *(rows[f].astype(np.int32) for f in FIELDS[2:])]
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,9 +284,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(together.mapInArrow(_verify, "a long, b long"), "verified")
 
 
-def _fits(n: str, m: str):
-    """Sizes that can link."""
-    return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
+def _meets(a: str = "", b: str = "2"):
+    """Whether two postings of one shingle, with columns ...a and ...b, count for their pair.
+
+    Sets of n and m shingles that link share o = ceil((n + m) * t / (1 + t)) or more, so at
+    least l of the first n - o + l and of the first m - o + l; l is the smaller of both.
+    """
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    o = F.floor(((n + m) * PERCENT + 99 + PERCENT) / (100 + PERCENT))
+    l = F.least(f"l{a}", f"l{b}")
+    return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & (F.col(f"place{a}") <= n - o + l) & (F.col(f"place{b}") <= m - o + l)
 
 
 def links(live: DataFrame, sets: DataFrame) -> DataFrame:
@@ -292,11 +305,14 @@ def links(live: DataFrame, sets: DataFrame) -> DataFrame:
         if found is not None:
             open_tokens = named.groupBy("token").agg(F.min("component").alias("m"), F.max("component").alias("x")).where("m <> x").select("token")
             named = named.join(open_tokens, "token")
-        hub = named.groupBy("token").agg(F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), F.col("c").alias("hub"), F.col("n").alias("m"), *([] if found is None else [F.col("component").alias("hc")]))).alias("r")).select("token", "r.*")
-        met = named.join(hub, "token").where((F.col("c") != F.col("hub")) & _fits("n", "m"))
+        # the first hub of a shingle is the class whose prefix is most common, as a text is that others were made from
+        rank = [F.col("common")] if found is None else []
+        carried = [F.col(x).alias(f"{x}2") for x in ("c", "n", "place", "l", *([] if found is None else ["component"]))]
+        hub = named.groupBy("token").agg(F.max(F.struct(*rank, F.xxhash64("c", F.lit(turn)).alias("h"), *carried)).alias("r")).select("token", "r.*")
+        met = named.join(hub, "token").where((F.col("c") != F.col("c2")) & _meets())
         if found is not None:
-            met = met.where("component <> hc")
-        best = met.groupBy("c", "hub").agg(F.count("*").alias("shared")).groupBy("c").agg(F.max(F.struct("shared", F.col("hub"))).alias("b"))
+            met = met.where("component <> component2")
+        best = met.groupBy("c", F.col("c2").alias("hub")).agg(F.count("*").alias("shared")).groupBy("c").agg(F.max(F.struct("shared", F.col("hub"))).alias("b"))
         pairs = written(best.select(F.col("b.hub").alias("a"), F.col("c").alias("b")), "hub-pairs")
         more = verified(pairs, sets)
         found = more if found is None else found.unionByName(more)
@@ -306,12 +322,9 @@ def links(live: DataFrame, sets: DataFrame) -> DataFrame:
     open_tokens = named.groupBy("token").agg(F.min("component").alias("m"), F.max("component").alias("x")).where("m <> x").select("token")
     main = named.join(open_tokens, "token").groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("b")).select("token", F.col("b.component").alias("main"))
     rows = written(named.join(main, "token"), "open")
-    few = rows.where("component <> main").select("token", *(F.col(x).alias(f"{x}2") for x in ("c", "n", "level", "l", "component")))
-    l = F.least("l", "l2")
-    pairs = rows.join(few, "token").where(
-        (F.col("component") != F.col("component2")) & ((F.col("component") == F.col("main")) | (F.col("c") < F.col("c2"))) & _fits("n", "n2") & (F.col("level") <= l) & (F.col("level2") <= l)
-    )
-    enough = pairs.groupBy("c", "c2").agg(F.count("*").alias("shared"), F.min(l).alias("l")).where("shared >= l")
+    few = rows.where("component <> main").select("token", *(F.col(x).alias(f"{x}2") for x in ("c", "n", "place", "l", "component")))
+    pairs = rows.join(few, "token").where((F.col("component") != F.col("component2")) & ((F.col("component") == F.col("main")) | (F.col("c") < F.col("c2"))) & _meets())
+    enough = pairs.groupBy("c", "c2").agg(F.count("*").alias("shared"), F.min(F.least("l", "l2")).alias("l")).where("shared >= l")
     last = verified(written(enough.select(F.col("c").alias("a"), F.col("c2").alias("b")), "last-pairs"), sets)
     return found.unionByName(last)
 
