@@ -23,8 +23,7 @@ from linkhop.llm.common import documents, mixed, prepare
 #: Hashes of a fingerprint, each of 32 bits.
 HASHES = 64
 _POINT = 1 << 21  # above all code points
-_MASK = (1 << 40) - 1
-_ODD = 0x9E3779B97F4A7C15
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 #: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next
 REPORT = [
@@ -35,23 +34,39 @@ REPORT = [
 
 
 def _parse(text: str, phrases: dict[int, int], node: int) -> int:
-    """Parses on from the phrase `node`; phrases maps phrase hash + code point to the longer phrase's hash."""
+    """Parses on from the phrase `node`; phrases maps a phrase and a code point to the longer phrase, numbered in steps of _POINT."""
     get = phrases.get
-    for c in memoryview(text.encode("utf-32-le")).cast("I"):
+    free = (len(phrases) + 1) * _POINT
+    for c in text.encode() if text.isascii() else memoryview(text.encode("utf-32-le")).cast("I"):
         key = node + c
-        longer = get(key)
-        if longer is None:
-            phrases[key] = ((key * _ODD >> 20) & _MASK) * _POINT
+        node = get(key)
+        if node is None:
+            phrases[key] = free
+            free += _POINT
             node = 0
-        else:
-            node = longer
     return node
 
 
 def _least(phrases: dict[int, int]) -> np.ndarray:
-    """The least hashes of a phrase set, ascending."""
-    hashes = np.unique((mixed(np.fromiter(phrases, np.int64, len(phrases)).view(np.uint64)) >> np.uint64(32)).astype(np.uint32))
-    return hashes[:HASHES]
+    """The least hashes of a phrase set, ascending.
+
+    The hash of a phrase is a polynomial of its code points: a value and a factor for what
+    stands before them; both are doubled along the phrases that each phrase was made from.
+    """
+    keys = np.fromiter(phrases, np.int64, len(phrases))
+    before = np.append(0, keys >> 21)
+    with np.errstate(over="ignore"):
+        value = np.append(0, (keys & (_POINT - 1)) + 1).astype(np.uint64)
+        factor = np.full(len(before), _ODD)
+        factor[0] = 1
+        while before.any():
+            value = value + factor * value[before]
+            factor = factor * factor[before]
+            before = before[before]
+    hashes = (mixed(value[1:]) >> np.uint64(32)).astype(np.uint32)
+    if len(hashes) > 4 * HASHES:
+        hashes = np.partition(hashes, 3 * HASHES)[: 3 * HASHES]
+    return np.unique(hashes)[:HASHES]
 
 
 def signature(text: str) -> np.ndarray:
