@@ -60,3 +60,56 @@ def ngram_components(rows: list[tuple], percent: int = 75) -> dict:
             a, b = sorted((find(a), find(b)))
             up[b] = a
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def top_k(vectors: list[tuple], queries: list[tuple], k: int) -> set[tuple]:
+    import math
+
+    def quantised(v):
+        if v is None or any(x is None or not math.isfinite(x) for x in v):
+            return None
+        return [math.floor(256 * x) for x in v]
+
+    known = [(i, q) for i, v in vectors if i is not None and (q := quantised(v)) is not None]
+    out = set()
+    for i, v in queries:
+        q = quantised(v)
+        if i is None or q is None:
+            continue
+        scores = sorted((-sum(a * b for a, b in zip(q, w)), j) for j, w in known if j != i)[:k]
+        out |= {(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)}
+    return out
+
+
+def water_levels(sizes: list[int], most: int = 3) -> list[float]:
+    """Targets by sharing out again and again what is above the caps."""
+    weights = [1 + i % 3 for i in range(len(sizes))]
+    out, left, free = [0.0] * len(sizes), float(sum(sizes)), set(range(len(sizes)))
+    while free:
+        total = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / total > most * sizes[i]]
+        for i in over or free:
+            out[i] = float(most * sizes[i]) if over else left * weights[i] / total
+        if not over:
+            break
+        free -= set(over)
+        left = sum(sizes) - sum(out)
+    return out
+
+
+def pii_base(text: str | None) -> list[tuple[str, int, int]]:
+    import re
+
+    def luhn(d):
+        return sum(n if i % 2 == 0 else n * 2 - 9 * (n > 4) for i, n in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    ]
+    kinds = [k for k, *_ in rules]
+    found = [(k, m.start(), m.end()) for k, p, fine in rules for m in re.finditer(p, text or "") if fine(m[0])]
+    return sorted(found, key=lambda s: (s[1], kinds.index(s[0])))
