@@ -101,6 +101,7 @@ class Lists:
                 kth = np.partition(score, n - k, 1)[:, n - k] if n >= k else np.full(len(left), -np.inf)
                 i, j = np.nonzero((score >= np.maximum(kth, floor[left])[:, None]) & ~own[left])
                 found.append((left[i], j, score[i, j]))
+                left = left[:0]
         i, j, s = (np.concatenate(c) for c in zip(*found, strict=True))
         return i, self.ids[j], s
 
