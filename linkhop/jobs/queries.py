@@ -451,7 +451,7 @@ _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, val
 
 
 def event_stream(spark, sf):
-    return spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(_EVENTS).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def settle(df, *columns):
@@ -505,3 +505,31 @@ def cache_stream(spark, sf):
     i = F.col("event_id")
     s = event_stream(spark, sf).select(F.concat(F.lit("http://a.example/"), (i % 37).cast("string")).alias("url"), i.alias("request_id"), "ts", F.when(i % 5 == 0, "UNRESOLVED").otherwise("RESOLVED").alias("status"), (i % 7 == 0).alias("credentials_removed"), F.lit("{}").alias("result"))
     return settle(r.run_available(r.cache_stream(s)), "ts")
+
+
+@query("resolve_stream", _RESULTS)
+def resolve_stream(spark, sf):
+    """Pages as a stream of links, resolved batch by batch against the captured answers."""
+    from linkhop.sources.tables import written
+    from linkhop.streaming import requests as r
+
+    found = []
+    pages = table(spark, sf, "pages")
+    links = spark.readStream.schema(pages.schema).parquet(f"{sf}/pages.parque[t]")
+    links = links.select(F.col("page_id").alias("link_id"), F.concat(F.lit("http://p.example/"), F.col("page_id").cast("string")).alias("href"))
+    edges = written(hops.edges_of(web(spark, sf)), "edges")
+    r.resolve_stream(links, edges, lambda results, _: found.append(written(results, "resolved"))).trigger(availableNow=True).option("checkpointLocation", r.offsets(spark)).start().awaitTermination()
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query("query_params_rows", f"WITH {_PARAMS} SELECT kind, name, count(*) AS n FROM t GROUP BY ALL")
+def query_params_rows(spark, sf):
+    """The table function on every page URL."""
+    from linkhop.functions.params import register
+
+    register(spark)
+    table(spark, sf, "pages").select("url").createOrReplaceTempView("linkhop_urls")
+    return spark.sql("SELECT kind, name, count(*) AS n FROM linkhop_urls, LATERAL query_params(url) GROUP BY kind, name")

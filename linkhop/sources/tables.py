@@ -69,7 +69,7 @@ def decode_body(body, content_type, content_encoding, location):
     start = F.substring(body, 1, MAX_HTML_BYTES)
     charset = F.lower(F.regexp_extract(F.coalesce(content_type, F.lit("")), "(?i)charset=[\"']?([^\"';\\s]+)", 1))
     text = (
-        F.when(charset.isin("iso-8859-1", "latin1", "windows-1252", "us-ascii", "ascii"), F.decode(start, "windows-1252"))
+        F.when(charset.isin("iso-8859-1", "latin1", "windows-1252", "us-ascii", "ascii"), F.decode(start, "ISO-8859-1"))
         .when(charset.isin("utf-16", "utf-16le"), F.decode(start, "UTF-16LE"))
         .when(charset == "utf-16be", F.decode(start, "UTF-16BE"))
         .otherwise(F.make_valid_utf8(start.cast("string")))
@@ -78,9 +78,10 @@ def decode_body(body, content_type, content_encoding, location):
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """The result table by status; nulls are kept and keys stay in order, also as JSON."""
+    """The result table by status; nulls are kept and keys stay in the order of RESULT, also as JSON."""
     if fmt == "json":
-        df.select(result_json(F.struct(*(F.col(c.split()[0]) for c in RESULT.replace("struct<credentials_removed:boolean>", "s").split(", ") if c.split()[0] in df.columns))).alias("value")).write.text(path)
+        names = [f.split()[0] for f in RESULT.split(", ")]
+        df.select(result_json(F.struct(*(n for n in names if n in df.columns))).alias("value")).write.text(path)
     else:
         df.write.partitionBy("status").parquet(path)
 

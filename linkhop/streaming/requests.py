@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkhop.functions.urls import without_fragment
@@ -15,6 +16,12 @@ from linkhop.operators.chains import resolve_chains
 from linkhop.sources.tables import written
 
 
+def offsets(spark: SparkSession) -> str:
+    """A new folder for a stream's offsets, in the shared folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="linkhop-")
+    return f"{shared.rstrip('/')}/linkhop/offsets-{uuid.uuid4().hex}"
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is now, to a table in the shared folder, and reads it."""
     found: list[DataFrame] = []
@@ -25,14 +32,12 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
         found.append(written(batch, "stream"))
 
     spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="linkhop-")
     # state with timeouts would ask for empty batches without end
     key = "spark.sql.streaming.noDataMicroBatches.enabled"
     before = spark.conf.get(key)
     spark.conf.set(key, "false")
     try:
-        offsets = f"{shared.rstrip('/')}/linkhop/offsets-{uuid.uuid4().hex}"
-        stream.writeStream.outputMode(mode).option("checkpointLocation", offsets).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+        stream.writeStream.outputMode(mode).option("checkpointLocation", offsets(spark)).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     finally:
         spark.conf.set(key, before)
     out = found[0] if found else spark.createDataFrame([], stream.schema)
@@ -67,7 +72,7 @@ def dedup_requests(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["link_id", "request_key"]) if requests.isStreaming else keyed.dropDuplicates(["link_id", "request_key"])
 
 
-def resolve_stream(spark: SparkSession, links: DataFrame, edges: DataFrame, sink) -> DataFrame:
+def resolve_stream(links: DataFrame, edges: DataFrame, sink) -> DataStreamWriter:
     """A stream of links (link_id, href), resolved batch by batch against captured edges; sink(results, batch_id) takes them."""
     return links.writeStream.foreachBatch(lambda batch, i: sink(resolve_chains(batch, edges), i))
 
