@@ -34,7 +34,7 @@ CELLS, BLOCK = 1 << 24, 1 << 16
 FULL = 255
 #: The longest l, and the cost of verifying a candidate in postings.
 MOST_L, VERIFY = 4, 20
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 #: Candidates that meet one set in a task.
 CHUNK = 64
 MOST_BROADCAST = 400_000
