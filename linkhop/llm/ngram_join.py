@@ -169,9 +169,11 @@ def prefixes(shingles: np.ndarray, n: np.ndarray, counts: np.ndarray, usual: flo
     base = n - overlap
     cost = np.append(0.0, np.cumsum(np.maximum(counts - usual, 0.1)))
     begin = np.cumsum(n) - n
+    # what a set of the same size asks for, as most candidates are near it in size
+    alike = n - -(-2 * n * PERCENT // (100 + PERCENT))
     best, l = np.full(len(n), np.inf), np.ones(len(n), np.int64)
     for k in range(1, MOST_L + 1):
-        postings = cost[begin + np.minimum(base + k, n)] - cost[begin]
+        postings = cost[begin + np.minimum(alike + k, n)] - cost[begin]
         total = np.where(k <= overlap, postings * (1 + VERIFY / k), np.inf)
         l[total < best] = k
         best = np.minimum(best, total)
