@@ -69,12 +69,19 @@ def ranges_ipv4(spark: SparkSession, blocks: list[str] | None = None) -> DataFra
     return spark.createDataFrame([(b, *ipv4_bounds(b)) for b in blocks or PRIVATE_IPV4], "cidr string, lo long, hi long")
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_public_ipv4(ip: Column, blocks: list[str] | None = None) -> Column:
-    n = ipv4_to_long(ip)
-    private = F.lit(False)
-    for b in blocks or PRIVATE_IPV4:
-        private = private | n.between(*ipv4_bounds(b))
-    return F.coalesce(~private, F.lit(False))
+    def outside(n: Column) -> Column:
+        private = F.lit(False)
+        for b in blocks or PRIVATE_IPV4:
+            private = private | n.between(*ipv4_bounds(b))
+        return ~private
+
+    return F.coalesce(_bound(ipv4_to_long(ip), outside), F.lit(False))
 
 
 @F.pandas_udf(T.StringType())
@@ -96,6 +103,7 @@ def _hex_bounds(cidr: str) -> tuple[str, str]:
 
 
 def is_public_ipv6_hex(digits: Column) -> Column:
+    """Of the 32 hex digits of an address; they belong in a column of their own, as a helper makes them."""
     inside = digits.between(*_hex_bounds(GLOBAL_IPV6))
     for block in SPECIAL_IPV6:
         inside = inside & ~digits.between(*_hex_bounds(block))
