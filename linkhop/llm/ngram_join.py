@@ -9,7 +9,11 @@ the postings under its prefix, and the candidates that share l of them.
 Candidates are found in two ways.  First each class is held against the best of its
 postings' hubs, so that a group of near copies becomes a component without being
 paired.  Then every pair of classes in different components that shares enough of both
-prefixes is verified, which makes the result whole.
+prefixes is verified, which makes the components whole.
+
+All links then lie inside components.  A component of two classes has one; the classes of
+a larger one are dealt into tiles, and each pair of tiles is one group of a task, which
+counts what all of its sets share at once.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from linkhop.llm.common import documents, groups_of, mixed, prepare, sized, written
+from linkhop.llm.common import documents, groups_of, mixed, prepare, ragged, sized, written
 from linkhop.llm.components import components
 
 #: Words of a shingle, and the threshold in hundredths.
@@ -38,6 +42,10 @@ HUB_ROUNDS = 1
 #: Candidates that meet one set in a task.
 CHUNK = 64
 MOST_BROADCAST = 400_000
+#: Classes and shingles of a tile, about.
+TILE, TILE_SHINGLES = 512, 500_000
+#: Pairs of set members counted at once, and columns of a block of a matrix product.
+PAIRS, COLUMNS = 500_000, 1024
 
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -49,7 +57,7 @@ _tables: list[np.ndarray] = []
 
 def _powers(n: int) -> list[np.ndarray]:
     if not _tables or len(_tables[0]) < n:
-        n = max(n, 4_000_000)
+        n = max(n, 2_100_000)
         for base in (_BASE, _INVERSE):
             out = np.full(n, base, np.uint64)
             out[0] = 1
@@ -298,8 +306,8 @@ def _meets(a: str = "", b: str = "2"):
     return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & (F.col(f"place{a}") <= n - o + l) & (F.col(f"place{b}") <= m - o + l)
 
 
-def links(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of classes; their components are those of all links."""
+def spanning_links(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of classes, not all of them; their components are those of all links."""
     found: DataFrame | None = None
     label = live.select("c").distinct().withColumn("component", F.col("c"))
     for turn in range(HUB_ROUNDS):
@@ -336,8 +344,107 @@ def _labelled(live: DataFrame, label: DataFrame) -> DataFrame:
     return own.withColumn("component", F.coalesce("component", "c"))
 
 
-def joined_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, k1, k2 (its key), n, component_id, class_id, copies, component (null without shingles)."""
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of a shares with each of b."""
+    na, nb = len(a), len(b)
+    rows, columns = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    kinds, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    at_a, at_b = at[: len(rows)], at[len(rows) :]
+    df_a, df_b = np.bincount(at_a, minlength=len(kinds)), np.bincount(at_b, minlength=len(kinds))
+    # members of few sets are paired one by one, those of many are columns of matrices
+    met = df_a * df_b
+    many = 100 * met > na * nb
+    out = np.zeros(na * nb, np.int64)
+    order = np.argsort(at_b, kind="stable")
+    begin = np.cumsum(df_b) - df_b
+    few = np.flatnonzero(~many[at_a] & (met[at_a] > 0))
+    ends = np.cumsum(df_b[at_a[few]])
+    first = 0
+    while first < len(few):
+        end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, side="right")))
+        part = few[first:end]
+        lens = df_b[at_a[part]]
+        out += np.bincount(np.repeat(rows[part], lens) * nb + columns[ragged(order, begin[at_a[part]], lens)], minlength=na * nb)
+        first = end
+    out = out.reshape(na, nb)
+    place = np.cumsum(many) - 1
+    of_a, of_b = np.flatnonzero(many[at_a]), np.flatnonzero(many[at_b])
+    of_a, of_b = of_a[np.argsort(at_a[of_a], kind="stable")], of_b[np.argsort(at_b[of_b], kind="stable")]
+    col_a, col_b = place[at_a[of_a]], place[at_b[of_b]]
+    for c in range(0, int(many.sum()), COLUMNS):
+        sides = []
+        for n, owner, of, col in ((na, rows, of_a, col_a), (nb, columns, of_b, col_b)):
+            some = slice(*np.searchsorted(col, (c, c + COLUMNS)))
+            side = np.zeros((n, min(COLUMNS, int(many.sum()) - c)), np.float32)
+            side[owner[of[some]], col[some] - c] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _links_of(one: list[tuple], two: list[tuple], same: bool, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows (c, copies, set) of two tiles, or of one and itself: links (a, b), or (c, links) with copies."""
+    if not one or not (two or same):
+        return
+    (ca, wa, a), (cb, wb, b) = ((np.array([r[0] for r in x]), np.array([r[1] for r in x]), [r[2] for r in x]) for x in (one, one if same else two))
+    shared = overlaps(a, b)
+    both = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])
+    link = 100 * shared >= PERCENT * (both - shared)
+    if same:
+        np.fill_diagonal(link, False)
+    if pairs:
+        i, j = np.nonzero(np.triu(link) if same else link)
+        for k in range(0, len(i), 100_000):
+            x, y = ca[i[k : k + 100_000]], cb[j[k : k + 100_000]]
+            yield _arrow("a, b", np.minimum(x, y), np.maximum(x, y))
+        return
+    yield _arrow("c, links", ca, link @ wb)
+    if not same:
+        yield _arrow("c, links", cb, wa @ link)
+
+
+def _tile_links(pairs: bool):
+    """Rows (component, t, u, second, c, copies, set), those of a pair of tiles together, to what _links_of gives."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = (None, 0, 0), ([], [])
+        for batch in batches:
+            for r in batch.to_pylist():
+                new = (r["component"], r["t"], r["u"])
+                if new != key:
+                    yield from _links_of(*sides, key[1] == key[2], pairs)
+                    key, sides = new, ([], [])
+                sides[r["second"]].append((r["c"], r["copies"], np.frombuffer(r["set"], np.uint64)))
+        yield from _links_of(*sides, key[1] == key[2], pairs)
+
+    return read
+
+
+def tiled(own: DataFrame, sizes: DataFrame, sets: DataFrame, n: int, pairs: bool) -> DataFrame:
+    """All links (a, b) inside components of three classes or more, or per class c the rows it links with.
+
+    A component of k classes has k / TILE tiles, so its sets are dealt out so many times.
+    """
+    spark = own.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tiles = F.greatest(F.ceil(F.col("k") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+    members = own.join(sized(sizes.where("k > 2"), n, MOST_BROADCAST), "component").select("component", F.col("s1").alias("c"), "copies", tiles.alias("tiles"))
+    members = written(members, "members").withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = met.select("component", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), (F.col("tile") > F.col("other")).cast("int").alias("second"), "c", "copies")
+    dealt = sets.join(sized(met, n, MOST_BROADCAST), "c").select("component", "t", "u", "second", "c", "copies", "set")
+    together = dealt.repartition(parts, "component", "t", "u").sortWithinPartitions("component", "t", "u")
+    return written(together.mapInArrow(_tile_links(pairs), "a long, b long" if pairs else "c long, links long"), "tiled")
+
+
+def _sizes(own: DataFrame) -> DataFrame:
+    """(component, k, shingles, rows, a, b) of components of two classes or more; a and b are the least and greatest."""
+    grouped = own.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.sum("copies").alias("rows"), F.min("s1").alias("a"), F.max("s1").alias("b"))
+    return written(grouped.where("k > 1"), "sizes")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Rows (doc_id, k1, k2, n, s1, s2), classes (s1, s2, copies, first, n, component), sets of classes that may link, number of classes."""
     spark = prepare(docs.sparkSession)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = documents(docs, id_col, text_col).toDF("doc_id", "text")
@@ -347,7 +454,7 @@ def joined_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = measured.where("block is null").select("doc_id", "k1", "k2", "n", "s1", "s2")
     sketch = spark.sparkContext.broadcast(counted(measured.where("block is not null").select("block", "cells")).tobytes())
     shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    classes = written(rows.where("n > 0").groupBy("s1", "s2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min(F.struct("k1", "k2")).alias("r")), "classes")
+    classes = written(rows.where("n > 0").groupBy("s1", "s2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("r")), "classes")
     # postings of one text a class: all texts but the other copies
     c = F.col("s1")
     chosen = classes.select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), c.alias("c"))
@@ -359,29 +466,56 @@ def joined_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     few = sized(wanted, wanted.count(), MOST_BROADCAST)
     reread = chosen.join(few, "c")
     sets = written(keyed.select("k1", "k2", "text").join(sized(reread, n_classes, MOST_BROADCAST), ["k1", "k2"]).select("c", "text").mapInArrow(_set_rows, "c long, set binary"), "sets")
-    joined = written(components(links(live, sets)), "components")
+    joined = written(components(spanning_links(live, sets)), "components")
     n_joined = joined.count()
     own = classes.join(sized(joined.withColumnRenamed("node", "s1"), n_joined, MOST_BROADCAST), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
-    own = written(own.select("s1", "s2", "copies", "first", "component"), "own")
+    return rows, written(own.select("s1", "s2", "copies", "first", "n", "component"), "own"), sets, n_classes
+
+
+def joined_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, k1, k2 (its key), n, component_id, class_id, copies, component (null without shingles), n_links (null unless links)."""
+    rows, own, sets, n_classes = _classes(docs, id_col, text_col)
     names = own.groupBy("component").agg(F.min("first").alias("component_id"))
-    table = written(own.join(sized(names, n_classes, MOST_BROADCAST), "component").select("s1", "s2", "copies", "component_id", "component"), "named")
+    table = own.join(sized(names, n_classes, MOST_BROADCAST), "component")
+    if links:
+        sizes = _sizes(own)
+        n = sizes.count()
+        more = tiled(own, sizes, sets, n_classes, False).groupBy("c").agg(F.sum("links").alias("links"))
+        table = table.join(sized(sizes.select("component", "k", "rows"), n, MOST_BROADCAST), "component", "left").join(sized(more.withColumnRenamed("c", "s1"), n_classes, MOST_BROADCAST), "s1", "left")
+        others = F.when(F.col("k") == 2, F.col("rows") - F.col("copies")).otherwise(F.coalesce("links", F.lit(0)))
+        table = table.withColumn("n_links", F.col("copies") - 1 + others)
+    else:
+        table = table.withColumn("n_links", F.lit(None).cast("long"))
+    table = written(table.select("s1", "s2", "copies", "component_id", "component", "n_links"), "named")
     out = rows.join(sized(table, n_classes, MOST_BROADCAST), ["s1", "s2"], "left")
     some = F.col("n") > 0
     id_of = F.when(some, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "k1", "k2", "n", id_of.alias("component_id"), F.when(some, F.col("s1")).alias("class_id"), F.when(some, F.col("copies")).alias("copies"), F.when(some, F.col("component")).alias("component"))
+    return out.select("doc_id", "k1", "k2", "n", id_of.alias("component_id"), F.when(some, F.col("s1")).alias("class_id"), F.when(some, F.col("copies")).alias("copies"), F.when(some, F.col("component")).alias("component"), F.when(some, F.col("n_links")).otherwise(F.lit(0) if links else F.lit(None)).cast("long").alias("n_links"))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, class_id, copies.
+    """One row per row of docs: doc_id, n_shingles, component_id, class_id, copies, n_links.
 
     component_id is the smallest doc_id that links reach from the row, itself included; a
     row with the same shingle set as another links with it.  A null text, an empty one and
     one without words have no shingles and link with nothing.  Null ids take part, but no
     component is named after one unless it has no other.  class_id names the shingle set
-    and copies counts its rows (both null without shingles).  Further columns are left out;
+    and copies counts its rows (both null without shingles).  n_links counts the other rows
+    that the row links with, those of its own class included.  Further columns are left out;
     an empty table gives an empty result.
     """
-    return joined_rows(docs, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "copies")
+    return joined_rows(docs, id_col, text_col, True).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "copies", "n_links")
+
+
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All links (class_id, class_id2) between different shingle sets, each once with the smaller id first.
+
+    ngram_components tells which rows are of a class; all of them link with each other and
+    with all rows of a class that theirs links with.
+    """
+    _, own, sets, n_classes = _classes(docs, id_col, text_col)
+    sizes = _sizes(own)
+    return sizes.where("k = 2").select("a", "b").unionByName(tiled(own, sizes, sets, n_classes, True)).toDF("class_id", "class_id2")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

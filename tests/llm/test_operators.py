@@ -115,6 +115,31 @@ def test_ngram_join(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got.values()})
 
 
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_ngram_links(spark, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    texts = [None, "", "a b", "A b", "a b"]
+    for size in (30, 60, 200, 7, 25):
+        base = [rng.choice(words) for _ in range(size)]
+        for _ in range(rng.randint(2, 14)):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts += [" ".join(w)] * rng.choice([1, 1, 3])
+    rng.shuffle(texts)
+    sets = [brute.shingles(t) for t in texts]
+    linked = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a and 100 * len(a & b) >= 75 * len(a | b)}
+    rows = {r.doc_id: r for r in ngram_join.ngram_components(table(spark, texts)).collect()}
+    assert {i: r.n_links for i, r in rows.items()} == {i: sum(x == i for x, _ in linked) for i in range(len(texts))}
+    got = [tuple(r) for r in ngram_join.ngram_links(table(spark, texts)).collect()]
+    classes = {tuple(sorted((rows[i].class_id, rows[j].class_id))) for i, j in linked if sets[i] != sets[j]}
+    assert sorted(got) == sorted(classes)
+    # links inside a component beyond those that span it
+    assert len(classes) > len({r.class_id for r in rows.values()} - {None}) - len({r.component_id for r in rows.values() if r.class_id})
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(501, 560)]
