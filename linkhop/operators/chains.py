@@ -51,7 +51,7 @@ def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_
                 "link_id", F.when(follow, target).otherwise(F.col("href")).alias("href"),
                 F.when(follow, F.concat("chain", F.array(target))).otherwise(F.col("chain")).alias("chain"),
                 F.concat("seen", F.array(key)).alias("seen"),
-                F.when(follow, heavier(F.col("method"), F.col("edge_method"))).otherwise(F.col("method")).alias("method"),
+                F.when(F.col("stopped").isNull() & (F.col("kind") == "follow"), heavier(F.col("method"), F.col("edge_method"))).otherwise(F.col("method")).alias("method"),
                 F.coalesce(F.when(F.col("stopped").isNull(), F.col("edge_http")), "http_status").alias("http_status"),
                 F.when(~follow, status).alias("status"), F.when(~follow, error).alias("error"),
             ),

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from linkhop.functions.policy import bad_port, bad_port_error
 from linkhop.functions.urls import host, hostname, is_http_url, path, port, query, fragment, scheme, without_fragment
+from linkhop.functions.whatwg import resolve_location
+from linkhop.operators.network import check_dns
+from linkhop.operators.pages import parse_refresh, refresh_target
 
 #: Statuses whose Location is followed.
 REDIRECT_STATUSES = [301, 302, 303, 307, 308]
@@ -115,20 +119,56 @@ def apply_adapters(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def edges_of(responses: DataFrame, finding: Column | None = None, adapter: Column | None = None) -> DataFrame:
-    """(request_key, kind, target, method, status, error, http_status, try_browser) of captured answers, one row a key (the latest)."""
+    """(request_key, kind, target, method, status, error, http_status, try_browser) of captured answers, one row a key (the latest).
+
+    Targets are resolved against the URL that sent them; one that can't be followed is null
+    and has its status and error.  The Refresh header is read where responses have it.
+    """
+    no = F.lit(None).cast("string")
+    header = parse_refresh(F.get("refresh", F.lit(0))) if "refresh" in responses.columns else F.lit(None).cast("struct<delay:double,url:string>")
+    told = responses.withColumn("_refresh", header)
+    # a reload has no URL; it resolves to the page itself, so that it isn't followed
+    if "refresh" in responses.columns:
+        told = told.withColumn("_href", resolve_location(F.coalesce("_refresh.url", F.lit("")), F.col("request_url"), False)["href"])
+        refresh = refresh_target(F.col("_refresh.delay"), F.col("_href"), F.col("request_url"))
+    else:
+        refresh = no
     hop = hop_kind(F.col("status_code"), F.col("location"))
-    failed = hop_error(F.col("error_code"), F.col("error_message"), F.lit(None).cast("string"))
+    failed = hop_error(F.col("error_code"), F.col("error_message"), no)
     none = F.lit(None).cast("struct<kind:string,url:string,method:string,scripts_may_leave:boolean>")
-    step = next_step(F.col("status_code"), challenge(F.col("cf_mitigated")), hop["location"], F.lit(None).cast("string"), none if finding is None else finding, F.lit(None).cast("string") if adapter is None else adapter)
+    step = next_step(F.col("status_code"), challenge(F.col("cf_mitigated")), hop["location"], refresh, none if finding is None else finding, no if adapter is None else adapter)
     key = without_fragment(F.col("request_url"))
     bad = F.coalesce(failed["status"], F.when(hop["error"].isNotNull(), "ERROR"))
-    rows = responses.select(
+    rows = told.select(
         key.alias("request_key"), step.alias("s"), bad.alias("bad"), F.coalesce(failed["error"], hop["error"]).alias("why"),
         F.when(F.col("error_code").isNull() & hop["error"].isNull(), F.col("status_code")).alias("http_status"), "fetched_at",
     )
     latest = rows.groupBy("request_key").agg(F.max_by(F.struct("s", "bad", "why", "http_status"), F.coalesce("fetched_at", F.lit("1970-01-01").cast("timestamp_ntz"))).alias("r"))
     s = F.col("r.s")
+    latest = latest.withColumn("next", resolve_location(s["target"], F.col("request_key"), False))
+    follows = F.col("r.bad").isNull() & (s["kind"] == "follow")
     return latest.select(
-        "request_key", F.when(F.col("r.bad").isNotNull(), "failed").otherwise(s["kind"]).alias("kind"), s["target"].alias("target"), s["method"].alias("method"),
-        F.coalesce("r.bad", s["status"]).alias("status"), F.coalesce("r.why", s["error"]).alias("error"), F.col("r.http_status").alias("http_status"), s["try_browser"].alias("try_browser"),
+        "request_key", F.when(F.col("r.bad").isNotNull(), "failed").otherwise(s["kind"]).alias("kind"), F.when(follows, F.col("next.href")).alias("target"), s["method"].alias("method"),
+        F.coalesce("r.bad", F.when(follows, F.col("next.status")), s["status"]).alias("status"), F.coalesce("r.why", F.when(follows, F.col("next.error")), s["error"]).alias("error"),
+        F.col("r.http_status").alias("http_status"), s["try_browser"].alias("try_browser"),
     )
+
+
+def checked_edges(edges: DataFrame, dns: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """edges, with a failed one for each URL that must not or can't be requested, captured or not.
+
+    Judged are the keys of edges, their targets and the hrefs of links: ports that browsers
+    refuse and what check_dns() says of their hosts.
+    """
+    keys = edges.select("request_key").unionByName(edges.select(without_fragment(F.col("target")).alias("request_key")))
+    if links is not None:
+        keys = keys.unionByName(links.select(without_fragment(F.col("href")).alias("request_key")))
+    keys = keys.where("request_key is not null").distinct().select("request_key", hostname(F.col("request_key")).alias("host"), port(F.col("request_key")).alias("port"))
+    # check_dns gives one row a host
+    verdicts = check_dns(keys, dns).toDF("v_host", "v_status", "v_error")
+    judged = keys.join(verdicts, F.col("host") == F.col("v_host"), "left")
+    status = F.when(bad_port(F.col("port")), "BLOCKED").otherwise(F.col("v_status"))
+    refused = judged.select("request_key", status.alias("status"), F.coalesce(bad_port_error(F.col("port")), "v_error").alias("error")).where("status is not null")
+    no = F.lit(None)
+    rows = refused.select("request_key", F.lit("failed").alias("kind"), no.cast("string").alias("target"), no.cast("string").alias("method"), "status", "error", no.cast("int").alias("http_status"), F.lit(False).alias("try_browser"))
+    return edges.join(refused.select("request_key"), "request_key", "left_anti").unionByName(rows.select(*edges.columns))

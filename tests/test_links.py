@@ -127,6 +127,26 @@ def test_hops(spark):
     assert got == [("BLOCKED", "no"), ("TIMEOUT", "Request timed out"), ("TIMEOUT", "DNS lookup timed out"), ("ERROR", "Request failed (ECONN)"), (None, None)]
 
 
+def test_edges_of_raw_answers(spark):
+    answers = [
+        ("http://a.test/x", 302, ["/next"], None), ("http://a.test/next", 200, None, ["0;url=?q=1"]), ("http://a.test/next?q=1", 302, ["//b.test/y#z"], None), ("http://b.test/y", 200, None, ["5"]),
+        ("http://a.test/mail", 301, ["mailto:x@y"], None), ("http://a.test/in", 302, ["http://127.0.0.1/"], None), ("http://127.0.0.1/", 200, None, None),
+        ("http://a.test/port", 302, ["http://b.test:25/"], None), ("http://a.test/gone", 302, ["http://none.test/"], None), ("http://a.test/slow", 200, None, ["0;url=/slow"]),
+    ]
+    df = spark.createDataFrame([(u, c, l, r, None, None, None, None) for u, c, l, r in answers], "request_url string, status_code int, location array<string>, refresh array<string>, cf_mitigated string, error_code string, error_message string, fetched_at timestamp_ntz")
+    links = spark.createDataFrame([(i, f"http://a.test/{p}") for i, p in enumerate(["x", "mail", "in", "port", "gone", "slow"])], "link_id long, href string")
+    dns = spark.createDataFrame([("a.test", ["8.8.8.8"]), ("b.test", ["8.8.4.4"])], "host string, addresses array<string>")
+    got = {r.link_id: (r.status, r.final_url, r.redirect_count, r.error, r.method) for r in resolve_chains(links, hops.checked_edges(hops.edges_of(df), dns, links)).collect()}
+    assert got == {
+        0: ("RESOLVED", "http://b.test/y#z", 3, None, "meta-refresh"),
+        1: ("BLOCKED", None, 0, 'Redirect to a "mailto:" URL was not followed (only http and https)', "http"),
+        2: ("BLOCKED", None, 1, "127.0.0.1 is a private or reserved address", "http"),
+        3: ("BLOCKED", None, 1, "Port 25 is not allowed", "http"),
+        4: ("ERROR", None, 1, "Request failed (ENOTFOUND)", "http"),
+        5: ("RESOLVED", "http://a.test/slow", 0, None, None),
+    }
+
+
 def test_rendered(spark):
     steps = spark.createDataFrame([(1, "http://a.test/#x", ["http://a.test/"], "http", True), (2, "http://b.test/", ["http://b.test/"], None, False)], "link_id long, href string, chain array<string>, method string, try_browser boolean")
     visit = spark.createDataFrame([("http://a.test/", True, ["http://u:p@c.test/"], 200, False, None, "<p>", None, None)], "request_url string, ok boolean, chain array<string>, status_code int, challenge boolean, refresh string, html string, status string, error string")
