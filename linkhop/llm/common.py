@@ -8,19 +8,21 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows of one Arrow batch; texts may be long, so batches are kept short.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch; texts may be long, so batches are kept short.
+ARROW_ROWS, ARROW_BYTES = 1000, 4_000_000
 #: Characters that a task's numpy helpers take at once.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 #: A table of at most so many rows of fixed width is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Short Arrow batches, as texts may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        # a size may bear a unit, as in 64MB
+        if not 0 < (int(now) if (now := spark.conf.get(key)).lstrip("-").isdigit() else 1 << 62) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
@@ -62,9 +64,29 @@ def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def tidy(docs: DataFrame, *keys: str) -> DataFrame:
+    """docs with names that differ in more than case: the columns `keys` keep theirs, others that clash get _2, _3 and so on."""
+    names = docs.columns
+    at = {}
+    for key in keys:
+        fits = [i for i, c in enumerate(names) if c == key] or [i for i, c in enumerate(names) if c.lower() == key.lower()]
+        if fits:  # else the select that names the column says that it is missing
+            at[fits[0]] = names[fits[0]]
+    out, taken = [], {c.lower() for c in at.values()}
+    for i, c in enumerate(names):
+        n = 2
+        name = c
+        while i not in at and name.lower() in taken:
+            name, n = f"{c}_{n}", n + 1
+        taken.add(name.lower())
+        out.append(name)
+    return docs if out == names else docs.toDF(*out)
+
+
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns and no others, so that further columns can't clash."""
-    return docs.select(*(docs[c] for c in columns))
+    kept = tidy(docs, *columns)
+    return kept.select(*(kept[c] for c in columns))
 
 
 def groups_of(texts, most: int = BATCH_CHARS):
