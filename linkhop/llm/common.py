@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows and bytes of one Arrow batch; texts may be long, so batches are kept short.
@@ -14,6 +17,8 @@ ARROW_ROWS, ARROW_BYTES = 1000, 4_000_000
 BATCH_CHARS = 500_000
 #: A table of at most so many rows of fixed width is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
+#: A key with more than a HOT_KEYS-th of all rows is hot, so there are fewer than HOT_KEYS of them.
+HOT_KEYS = 50_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -64,6 +69,35 @@ def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], times: str, n: int) -> DataFrame:
+    """rows joined with keys, which holds each key once and in its column `times` how many rows bear it; n is the number of rows.
+
+    Hot keys, fewer than HOT_KEYS whatever the input, are broadcast, so their rows stay where
+    they are; of the others none has more than a HOT_KEYS-th of the rows, and they are shuffled.
+    """
+    hot = F.col(times) > n // HOT_KEYS
+    more = [c for c in keys.columns if c not in on]
+    held = F.broadcast(keys.where(hot).select(*on, F.struct(F.lit(True).alias("_hot"), *more).alias("_own")))
+    marked = rows.join(held, on, "left")
+    here = marked.where("_own is not null").select(*rows.columns, *(F.col(f"_own.{c}").alias(c) for c in more))
+    return here.unionByName(marked.where("_own is null").drop("_own").join(keys.where(~hot), on))
+
+
+def frugal(task: Callable) -> Callable:
+    """A task over Arrow batches that gives what its arrays held back to the machine, as Python workers outlive their tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def tidy(docs: DataFrame, *keys: str) -> DataFrame:
     """docs with names that differ in more than case: the columns `keys` keep theirs, others that clash get _2, _3 and so on."""
     names = docs.columns
