@@ -2,13 +2,16 @@
 
 A small network over text statistics is trained with the non-negative risk: trusted
 positives (label 1) weighted by the class prior, and unlabelled text, whose risk as
-negatives less the positives' share in it may not fall below zero.  The prior is the
-share of label 1 among the labelled training rows.  Only the training sample, of a
-bounded size, reaches the driver, and only as features.
+negatives less the positives' share in it may not fall below zero.  The prior is
+estimated from positives and unlabelled texts alone: where a first classifier scores
+highest, unlabelled text is all positive, so its share there, over that of the positives,
+is the prior.  Labels 0 are not read.  Only the training sample, of a bounded size,
+reaches the driver, and only as features.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,10 +19,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from linkhop.llm.common import prepare
+from linkhop.llm.common import documents, prepare, tidy
 
 #: The most positives, and the most unlabelled texts, that the classifier is fitted on.
 SAMPLE = 6000
+#: Bounds of the class prior: beyond them the risk says nothing of one of the classes.
+PRIORS = (0.02, 0.97)
+#: Shares of the positives over which the prior is estimated, and rounds of the first classifier.
+TAILS, FIRST_ROUNDS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), 200
 #: Byte classes: letters, digits and white space by kind, each other ASCII byte by itself.
 _CLASS = np.zeros(256, np.int64)
 _CLASS[ord("a") : ord("z") + 1] = 1
@@ -108,6 +115,27 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return Model(mean, scale, tuple(w), prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives in the unlabelled sample.
+
+    A classifier of positives against unlabelled texts is fitted on one half of both; on the
+    other half, the share of unlabelled texts over the share of positives above a score falls
+    to the prior where only positives score so high.  The least of these ratios, each raised
+    by its standard error, is the estimate.
+    """
+    p, q = positive[::2], positive[1::2] if len(positive) > 1 else positive
+    u, v = unlabelled[::2], unlabelled[1::2] if len(unlabelled) > 1 else unlabelled
+    first = fit(p, u, 0.5, rounds=FIRST_ROUNDS)
+    of_p, of_u = np.sort(first.score(q)), np.sort(first.score(v))
+    ratios = []
+    for tail in TAILS:
+        n = max(1, round(tail * len(of_p)))
+        above = len(of_u) - np.searchsorted(of_u, of_p[-n])
+        share, ratio = n / len(of_p), above / len(of_u) * len(of_p) / n
+        ratios.append(ratio + np.sqrt(ratio * (1 - min(1.0, ratio) * share) / (len(of_u) * share) + ratio * ratio * (1 - share) / n))
+    return float(np.clip(min(ratios), *PRIORS))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learnt from; a null id is not one of them."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -116,21 +144,23 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """A model from at most `sample` labelled positives and as many unlabelled texts, both chosen by a hash of the id.
 
-    Held-out rows, null ids and null labels are not learnt from; of an id with several
-    labels the least counts.  None if there is no positive.
+    Held-out rows, null ids and null labels are not learnt from; an id is positive if all its
+    labels are 1, and of its texts the least counts (nulls as empty), so reruns agree.  None
+    if there is no positive.
     """
+    labels, docs = documents(labels, "doc_id", "quality"), documents(docs, id_col, text_col).toDF("doc_id", "text")
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n, good = known.agg(F.count("*"), F.count_if(F.col("quality") == 1)).head()
     pick = lambda ids, seed: ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     positive = pick(known.where("quality = 1").select("doc_id"), 1).withColumn("trusted", F.lit(True))
-    every = docs.select(docs[id_col].alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    every = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     chosen = F.broadcast(positive.unionByName(pick(every, 2).withColumn("trusted", F.lit(False))))  # at most 2 * sample ids
-    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    rows = texts.join(chosen, "doc_id").select("trusted", features_column(F.col("text")).alias("x")).limit(4 * sample).collect()
+    one = docs.join(chosen, "doc_id").groupBy("trusted", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = one.select("trusted", "doc_id", features_column(F.col("text")).alias("x")).collect()  # at most 2 * sample rows of fixed width
+    rows.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
     x = {t: np.array([r["x"] for r in rows if r["trusted"] == t], np.float32) for t in (True, False)}
     if not len(x[True]) or not len(x[False]):
         return None
-    return fit(x[True], x[False], min(0.97, (good + 1) / (n + 1)))
+    return fit(x[True], x[False], estimated_prior(x[True], x[False]))
 
 
 def features_column(text: Column) -> Column:
@@ -159,17 +189,22 @@ def score_column(text: Column, model: Model | None) -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted (1 from the threshold on).
 
-    Only the text decides a score; a null text counts as empty.  Null and repeated ids are
-    kept, further columns left out; an empty table gives an empty result.  Scoring is one
-    narrow pass; the sample reaches the driver as features of fixed width.
+    Only the text decides a score, so equal texts score alike; a null text counts as empty; a
+    long one is read whole.  Null and repeated ids are kept, further columns left out, whatever
+    their names; an empty table gives an empty result.  Without a positive label all scores
+    are 0.5.  Scoring is one narrow pass; the sample reaches the driver as features of fixed width.
     """
     prepare(docs.sparkSession)
     model = train(docs, labels, sample, id_col, text_col)
-    kept = docs.select(docs[id_col].alias("doc_id"), score_column(docs[text_col], model).alias("score"))
+    kept = documents(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", score_column(F.col("text"), model).alias("score"))
     return kept.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores at least the threshold, as they are."""
+    """The rows of docs whose text scores at least the threshold, as they are; all of them where no positive label is there to learn from."""
     prepare(docs.sparkSession)
-    return docs.where(score_column(docs[text_col], train(docs, labels, sample, id_col, text_col)) >= threshold)
+    model = train(docs, labels, sample, id_col, text_col)
+    if model is None:
+        return docs
+    own = tidy(docs, text_col)
+    return own.where(score_column(own[text_col], model) >= threshold).toDF(*docs.columns)
