@@ -15,10 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from linkhop.llm.common import documents, mixed, prepare
+from linkhop.llm.common import documents, frugal, mixed, prepare, tidy
 
 #: Hashes of a fingerprint, each of 32 bits.
 HASHES = 64
@@ -126,33 +125,36 @@ def likeness_column(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """docs with each text's fingerprint as column out_col, which replaces one of that name."""
     prepare(docs.sparkSession)
+    docs = tidy(docs, text_col)
     return docs.withColumn(out_col, fingerprint_column(docs[text_col]))
 
 
-def _stretches(rows: DataFrame, parts: int) -> tuple[DataFrame, int]:
-    """rows (doc_id, tie, ...) with part, ascending with (doc_id nulls last, tie), and the number of parts.
+def _bounds(rows: DataFrame, parts: int) -> list[tuple]:
+    """The first (doc_id, tie) of each of at most `parts` stretches of rows in the order of (doc_id nulls last, tie), found by range partitioning of these two columns alone."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tie")).alias("f")
+    dealt = rows.select("doc_id", "tie").repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), "tie")
+    found = dealt.groupBy(F.spark_partition_id().alias("p")).agg(first).collect()  # one row a stretch
+    return sorted((r["f"]["null"], r["f"]["doc_id"] or 0, r["f"]["tie"]) for r in found)
 
-    Limits are quantiles of doc_id.  An id that several quantiles meet, and null ids, are
-    spread over parts of their own by tie.
-    """
-    n, nulls = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).head()
-    cuts = rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if n > nulls and parts > 1 else []
-    splits = sorted(set(cuts))
-    # part numbers: stretch i begins at base[i] and has width[i] parts
-    width = [1] + [max(1, cuts.count(s)) for s in splits] + [max(1, round(parts * nulls / max(n, 1)))]
-    base = np.cumsum(width) - width
-    if splits:
-        stretch = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="_at", outputCol="_stretch", handleInvalid="keep")
-        rows = stretch.transform(rows.withColumn("_at", F.col("doc_id").cast("double"))).drop("_at")
-    else:
-        rows = rows.withColumn("_stretch", F.lit(0.0))
-    i = F.when(F.col("doc_id").isNull(), F.lit(len(width) - 1)).otherwise(F.col("_stretch").cast("int")) + 1
-    of = lambda x: F.element_at(F.array(*(F.lit(int(v)) for v in x)), i)
-    # tie as a fraction of its range
-    share = F.shiftright("tie", 31).cast("double") / (1 << 32)
-    hot = of(width)
-    within = F.when(hot > 1, F.least(F.floor(share * hot).cast("int"), hot - 1)).otherwise(0)
-    return rows.withColumn("part", (of(base) + within).cast("int")).drop("_stretch"), int(sum(width))
+
+def _stretch(doc_id: Column, tie: Column, bounds: list[tuple]) -> Column:
+    """The number of the stretch that a row falls into, by binary search over the bounds."""
+    some = [b for b in bounds if not b[0]]
+    ids, ties = (np.array([b[i] for b in some], np.int64) for i in (1, 2))
+    null_ties = np.array([b[2] for b in bounds if b[0]], np.int64)
+
+    @F.pandas_udf(T.IntegerType())
+    def find(rows: pd.Series, tie: pd.Series, null: pd.Series) -> pd.Series:
+        x, t, none = rows.to_numpy(np.int64), tie.to_numpy(np.int64), null.to_numpy(bool)
+        out = np.searchsorted(ids, x, side="left")
+        end = np.searchsorted(ids, x, side="right")
+        for i in np.unique(out[(end > out) & ~none]).tolist():  # an id that bounds begin with
+            at = np.flatnonzero((out == i) & (end > i))
+            out[at] = i + np.searchsorted(ties[i : end[at[0]]], t[at], side="right")
+        out[none] = len(ids) + np.searchsorted(null_ties, t[none], side="right")
+        return pd.Series(np.maximum(out - 1, 0).astype(np.int32))
+
+    return find(F.coalesce(doc_id.cast("long"), F.lit(0)), tie, doc_id.isNull())
 
 
 def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,29 +165,29 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document; after the last comes the first, so a table's only row is next to itself.
 
-    A null text counts as empty; null ids come last; rows with one id follow each other by
-    a hash of the text.  Further columns are left out; an empty table gives an empty
-    result.  Texts are shuffled once, into stretches of ids; the first row of a stretch
-    is also sent to the stretch before, so no row waits for another task.
+    A null text counts as empty; null ids come last; rows with one id, or with null ids,
+    follow each other by a hash of the text, so a hot id is dealt out like others (rows equal
+    in id and text share a task, which holds one of them at a time).  Further columns are
+    left out; an empty table gives an empty result.  Ids are compared as longs.  Texts are
+    shuffled once, into stretches of ids; the first row of a stretch is also sent to the
+    stretch before, so no row waits for another task.
     """
     spark = prepare(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
-    rows, n = _stretches(rows, parts)
+    rows = documents(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tie", F.xxhash64("text"))
     kind = dict(rows.dtypes)["doc_id"]
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *REPORT])
-    # the first row of each stretch: one row a stretch
-    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col("tie"))
-    firsts = sorted((r["part"], r["f"]) for r in rows.groupBy("part").agg(F.min(order).alias("f")).collect())
-    if not firsts:
+    bounds = _bounds(rows, parts)
+    if not bounds:
         return spark.createDataFrame([], schema)
-    before = [(f["doc_id"], f["tie"], firsts[i - 1][0]) for i, (_, f) in enumerate(firsts)]
+    rows = rows.withColumn("part", _stretch(F.col("doc_id"), F.col("tie"), bounds))
+    before = [(None if null else doc_id, tie, (i or len(bounds)) - 1) for i, (null, doc_id, tie) in enumerate(bounds)]
     ahead = F.broadcast(spark.createDataFrame(before, f"a_id {kind}, a_tie long, a_part int"))  # one row a stretch
     tagged = rows.join(ahead, rows.doc_id.eqNullSafe(ahead.a_id) & (rows.tie == ahead.a_tie), "left")
     here = F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead"))
     there = F.struct(F.col("a_part").alias("part"), F.lit(True).alias("ahead"))
     sent = tagged.select("doc_id", "tie", "text", F.explode(F.when(F.col("a_part").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("to")).select("to.part", "to.ahead", "doc_id", "tie", "text")
-    dealt = sent.repartitionById(n, F.col("part")).sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_last(), "tie")
+    dealt = sent.repartitionById(len(bounds), F.col("part")).sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_last(), "tie")
 
     return dealt.mapInArrow(_reporter(schema), schema)
 
@@ -193,6 +195,7 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _reporter(schema: T.StructType):
     names = schema.names
 
+    @frugal
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list | None = None  # the row before, whose next row is the one at hand
         done: list[list] = []
