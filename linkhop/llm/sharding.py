@@ -13,12 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from linkhop.llm.common import ARROW_ROWS, new_path, prepare
+from linkhop.llm.common import ARROW_ROWS, documents, frugal, new_path, prepare, sized, tidy, written
 
-#: Bytes of text of a bucket, and the most buckets; beyond these many, buckets grow.
-BUCKET_BYTES, MOST_BUCKETS = 16_000_000, 200_000
+#: Bytes of text of a bucket, whatever the input.
+BUCKET_BYTES = 16_000_000
+#: Buckets whose counts are summed up in one task.
+BLOCK = 4096
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -26,32 +28,49 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([seed, bucket])).permutation(n)
 
 
+def offsets_of(counts: DataFrame) -> DataFrame:
+    """(bucket, offset): how many rows the buckets before each one of (bucket, n) hold, summed by block of buckets and then within each."""
+    blocks = counts.withColumn("block", F.floor(F.col("bucket") / BLOCK))
+    sums = blocks.groupBy("block").agg(F.sum("n").alias("m"))
+    sums = written(sums, "shard-blocks")  # one row for BLOCK buckets
+    before = sums.select("block", F.coalesce(F.sum("m").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return blocks.withColumn("within", within).join(sized(before, sums.count()), "block").select("bucket", (F.col("before") + F.col("within")).alias("offset"))
+
+
 def shard_rows(docs: DataFrame, path: str, shards: int = 24, seed: int = 7, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs in random order into `shards` Parquet folders under path and returns the table read back.
 
     Adds shard (int), slot (long, gapless from 0 in each shard) and bucket; columns of
-    docs with these names (in any case) are left out.  Nulls are rows like others; rows
-    equal in id and text are interchangeable.  A rerun gives the same order.  An empty
-    table gives an empty one.  Scattering is by id and text, so neither a hot id nor a
-    group of equal texts meets in one bucket.
+    docs with these names (in any case) are left out, and of names that differ in case only
+    the later ones get a number.  Nulls are rows like others; rows equal in id and text are
+    interchangeable and share a bucket.  A rerun gives the same order.  An empty table gives
+    an empty one.  Scattering is by id and text, so neither a hot id nor a group of equal
+    texts meets in one bucket.  A bucket holds about bucket_bytes of text at every size; a
+    table of many terabytes asks for larger ones where its executors have the memory.
     """
     spark = prepare(docs.sparkSession)
-    own = {"shard", "slot", "bucket", "_order"}
+    own = {"shard", "slot", "bucket", "_order", "_offset"}
+    docs = tidy(docs, id_col, text_col)
     rows = docs.select(*(docs[c] for c in docs.columns if c.lower() not in own))
     order = F.xxhash64(F.lit(seed), docs[id_col], docs[text_col])
     total = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + 8), F.lit(0))).head()[0]
-    buckets = min(MOST_BUCKETS, max(1, -(-total // bucket_bytes)))
-    # one row a bucket, at most MOST_BUCKETS
-    counts = dict(docs.select(order.alias("o")).groupBy(F.pmod(F.xxhash64("o"), F.lit(buckets)).cast("int").alias("b")).count().collect())
-    sizes = np.array([counts.get(b, 0) for b in range(buckets)], np.int64)
-    offsets, n = np.cumsum(sizes) - sizes, int(sizes.sum())
+    buckets = max(1, -(-total // bucket_bytes))
+    bucket = F.pmod(F.xxhash64("_order"), F.lit(buckets)).cast("int").alias("bucket")
+    counts = written(docs.select(order.alias("_order")).groupBy(bucket).agg(F.count("*").alias("n")), "shard-counts")
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     schema = T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
 
+    @frugal
     def write_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
+        # one row of each bucket says where it begins
+        heads = table["_offset"].to_pandas()
+        offsets = {int(b): int(at) for b, at in zip(table["bucket"].to_numpy(), heads, strict=True) if at == at}
+        table = table.filter(pa.array(heads.isna().to_numpy())).drop_columns(["_offset"])
         all_buckets = table["bucket"].to_numpy()
         for b in np.unique(all_buckets).tolist():  # one, as buckets are dealt by their number
             at = np.flatnonzero(all_buckets == b)
@@ -65,8 +84,9 @@ def shard_rows(docs: DataFrame, path: str, shards: int = 24, seed: int = 7, buck
                 part = part.append_column("slot", pa.array(position - first)).append_column("shard", pa.array(shard.astype(np.int32)))
                 yield from part.combine_chunks().to_batches()
 
-    bucket = F.pmod(F.xxhash64("_order"), F.lit(buckets)).cast("int")
-    dealt = rows.withColumn("_order", order).withColumn("bucket", bucket).repartitionById(buckets, F.col("bucket"))
+    heads = offsets_of(counts).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema), F.lit(None).cast("long").alias("_order"), "bucket", F.col("offset").cast("long").alias("_offset"))
+    scattered = rows.withColumn("_order", order).select("*", bucket, F.lit(None).cast("long").alias("_offset"))
+    dealt = scattered.unionByName(heads).repartitionById(buckets, F.col("bucket"))
     dealt.mapInArrow(write_order, schema).write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -77,7 +97,7 @@ def shard_report(docs: DataFrame, shards: int = 24, seed: int = 7, path: str | N
     size: UTF-8 bytes of the text (null: none) plus 8; text_crc32 of a null text is that
     of an empty one; the law is `rows`, so grown_shard is null.
     """
-    kept = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    kept = documents(docs, id_col, text_col).toDF("doc_id", "text")
     rows = shard_rows(kept, path or new_path(docs.sparkSession, "shards"), shards, seed)
     return rows.select(
         "doc_id",
