@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from linkhop.llm.common import documents, sized, written
+from linkhop.llm.common import documents, sized, tidy, written
 
 #: Fixed value: what counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -129,13 +129,17 @@ def mix_table(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, with the columns of docs."""
+    """The mix itself: the rows of docs, each as often as it is taken, with the columns of docs.
+
+    Rows without words are taken like others of their source; rows equal in id and text share their fate.
+    """
+    names, docs = docs.columns, tidy(docs, id_col, text_col, source_col)
     rows = written(_measured(docs, id_col, text_col, source_col).drop("doc_id"), "mix-rows")
     plan, n = mix_plan(rows, weights, most)
     p = sized(plan.select(F.col("source").alias("s"), "copies", "bound"), n)
     kept = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), row_hash(docs[id_col], docs[text_col]).alias("hash"))
     joined = kept.join(p, F.col("row")[source_col].eqNullSafe(p.s)).withColumn("times", _times(p).cast("int"))
-    return joined.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    return joined.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*").toDF(*names)
 
 
 ORACLE = r"""
