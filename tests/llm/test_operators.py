@@ -96,6 +96,34 @@ def test_top_k(spark):
     assert top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_top_k_stops_early(spark):
+    import numpy as np
+
+    from linkhop.llm.topk import entries_read
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 4000)] + rng.normal(scale=0.05, size=(4000, 16))).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 400 = 0")
+    read, entries = entries_read(df, asked, 5, partitions=1).agg(F.sum("read"), F.sum("entries")).head()
+    assert 0 < read < 0.8 * entries
+    q = np.floor(256 * x).astype(int)
+    for r in top_k(df, asked, 5, partitions=1).where("rank = 1").collect():
+        s = q @ q[r.query_id]
+        s[r.query_id] = s.min() - 1
+        assert (r.vec_id, r.score) == (int(s.argmax()), int(s.max()))
+
+
+def test_top_k_ties_and_large_components(spark):
+    rows = [(i, [1.0, 1.0]) for i in range(30)] + [(50, [3e7, 1.0]), (51, [2.0**51, 1.0]), (51, [2.0**51, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = [tuple(r) for r in top_k(df, df.where("vec_id in (7, 51)"), 5).where("query_id = 7").orderBy("rank").collect()]
+    assert [r[2] for r in got] == [51, 51, 50, 0, 1] and got[3][3] == 2 * 256 * 256 == got[4][3]
+    big = [tuple(r) for r in top_k(df, df.where("vec_id = 50"), 5).orderBy("rank").collect()]
+    assert big[0] == (50, 1, 51, (1 << 63) - 1) and big[2][2:] == (0, int(3e7) * 256 * 256 + 65536)
+
+
 def test_ngram_join(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(40)]
@@ -222,37 +250,79 @@ def test_mixing(spark):
     assert mixed.count() == sum(r.taken // r.size for r in rows if r.size)
 
 
-def test_fingerprints(spark, texts):
-    ids = [*range(len(texts) - 2), None, None]
+def lz_phrases(t):
+    out, i = set(), 0
+    for j in range(1, len(t) + 1):
+        if t[i:j] not in out:
+            out.add(t[i:j])
+            i = j
+    return out
+
+
+def bottom(t):
+    """The least 32-bit hashes of the phrases of t, one by one: a polynomial of the code points, mixed."""
+    import numpy as np
+
+    from linkhop.llm.common import mixed
+
+    out = set()
+    for p in lz_phrases(t):
+        h = 0
+        for c in p:
+            h = (ord(c) + 1 + 0x9E3779B97F4A7C15 * h) % (1 << 64)
+        out.add(int(mixed(np.array([h], np.uint64))[0]) >> 32)
+    return sorted(out)[:64]
+
+
+def likeness_of(a, b):
+    union = sorted(set(a) | set(b))[:64]
+    return sum(h in a and h in b for h in union) / len(union) if union else 1.0
+
+
+@pytest.mark.parametrize("kind", ["plain", "hot", "large"])
+def test_fingerprints(spark, texts, kind):
+    rng = random.Random(13)
+    if kind == "plain":
+        ids = [*range(len(texts) - 2), None, None]
+    elif kind == "hot":  # one id holds most of the rows, and has neighbours on both sides
+        texts = [*texts[:40], *(f"{i} {rng.random()}" for i in range(200))]
+        ids = [*range(20), *range(100, 120), *[50] * 200]
+    else:
+        texts = [f"{i} {rng.random()}" for i in range(300)]
+        ids = [(1 << 60) + i for i in range(300)]
     rows = fp.fingerprint_report(table(spark, texts, ids)).collect()
-    order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0))
-    own = {r.doc_id: r for r in rows if r.doc_id is not None}
-    for at, i in enumerate(order[:-3]):
-        t, n = texts[i] or "", texts[order[at + 1]] or ""
-        edited = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
-        r = own[ids[i]]
-        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (fp.to_text(fp.signature(t)), fp.to_text(fp.signature(edited)))
-        assert r.near_next == fp.likeness(fp.signature(t), fp.signature(n)) and r.near_edited == fp.likeness(fp.signature(t), fp.signature(edited))
-    assert len(rows) == len(texts)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((i is None, i or 0) for i in ids)
+    # rows of one id, or without, may come in any order: what follows an id is one of the next id's rows
+    groups = {}
+    for i, t in zip(ids, texts, strict=True):
+        groups.setdefault((i is None, i or 0), []).append(t or "")
+    order = sorted(groups)
+    got = {}
+    for r in rows:
+        got.setdefault((r.doc_id is None, r.doc_id or 0), []).append(r)
+    edit = lambda t, n: t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for at, key in enumerate(order):
+        own, after = groups[key], groups[order[(at + 1) % len(order)]]
+        known = {sha(edit(t, n)): (t, n) for t in own for n in [*own, *after]}
+        known |= {sha(edit(t, n)): (t, n) for t in own for n in after}
+        for r in got[key]:
+            t, n = known[r.edited_sha256]
+            assert r.n_chars == len(t)
+            if len(own) == 1 == len(after):
+                assert r.edited_sha256 == sha(edit(t, after[0]))
+                mine, edited, following = bottom(t), bottom(edit(t, n)), bottom(n)
+                assert r.fingerprint == "".join(f"{h:08x}" for h in mine) and r.edited_fingerprint == "".join(f"{h:08x}" for h in edited)
+                assert r.near_edited == likeness_of(mine, edited) and r.near_next == likeness_of(mine, following)
     assert fp.fingerprint_report(table(spark, ["one row"])).head().near_next == 1.0
 
 
 def test_fingerprints_estimate_phrase_likeness():
     rng = random.Random(6)
-
-    def phrases(t):
-        out, i = set(), 0
-        for j in range(1, len(t) + 1):
-            if t[i:j] not in out:
-                out.add(t[i:j])
-                i = j
-        return out
-
     base = "".join(rng.choices("abcdef ", k=3000))
     for cut in (3000, 2500, 1500):
         other = base[:cut] + "".join(rng.choices("uvwxyz ", k=3000 - cut))
-        a, b = phrases(base), phrases(other)
+        a, b = lz_phrases(base), lz_phrases(other)
         assert abs(fp.likeness(fp.signature(base), fp.signature(other)) - len(a & b) / len(a | b)) < 0.2
 
 
@@ -272,6 +342,62 @@ def test_quality(spark):
     assert spark.createDataFrame([(None,)], "d long").select(held_out(F.col("d")).alias("h")).head()["h"] is False
 
 
+def test_prior_from_positives_and_unlabelled():
+    import numpy as np
+
+    from linkhop.llm.quality import WIDTH, estimated_prior
+
+    rng = np.random.default_rng(3)
+    good = lambda n: rng.normal(1.0, 1.0, (n, WIDTH)).astype(np.float32)
+    bad = lambda n: rng.normal(0.0, 1.0, (n, WIDTH)).astype(np.float32)
+    for prior in (0.3, 0.6, 0.9):
+        n = int(2000 * prior)
+        assert abs(estimated_prior(good(2000), np.concatenate([good(n), bad(2000 - n)])[rng.permutation(2000)]) - prior) < 0.08
+
+
+def test_quality_without_positives(spark):
+    docs = table(spark, ["a b", None, ""])
+    labels = spark.createDataFrame([(1, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality_filter(docs, labels).count() == 3
+    assert {r.score for r in quality_scores(docs, labels).collect()} == {0.5}
+
+
+def test_context_decides_added_spans():
+    near = {k: pii.spans(t) for k, t in {
+        "birth": "born on 1987-03-02 in", "date": "built on 1987-03-02 in", "account": "account number 12345678", "number": "about 12345678 of", "secret": 'token = "' + "0f" * 20 + '"', "hash": "0f" * 20,
+        "iban": "iban DE89370400440532013000", "serial": "serial DE89370400440532013000", "version": "version 1.2.3.4", "server": "server 1.2.3.4",
+    }.items()}
+    assert [s[0] for s in near["birth"]] == ["birth"] and [s[0] for s in near["account"]] == ["account"] and [s[0] for s in near["secret"]] == ["secret"]
+    assert near["date"] == near["number"] == near["hash"] == near["serial"] == [] and [s[0] for s in near["iban"]] == ["iban"]
+    assert near["version"][0][3] == 0.3 and near["server"][0][3] == 0.95
+
+
+def test_names_that_differ_in_case_only(spark):
+    docs = spark.createDataFrame([(1, "a b c", 9, "x", "s", "t"), (2, "d e f", 8, "y", "s", "u")], "doc_id long, text string, Doc_ID int, Text string, source string, SOURCE string")
+    labels = spark.createDataFrame([(1, 1, 0, 5)], "doc_id long, quality int, toxic int, Quality int")
+    assert pii.pii_report(docs).count() == ngram_join.ngram_components(docs).count() == token_counts(docs, WORD).count() == bpe_digests(docs, BYTE).count() == 2
+    assert suffix_dedup.repeats_report(docs).count() == shard_report(docs).count() == mixing.mix_table(docs).count() == fp.fingerprint_report(docs).count() == quality_scores(docs, labels).count() == 2
+    for kept in (ngram_join.one_of_each(docs), mixing.mix(docs), pii.pii_masked(docs), quality_filter(docs, labels, threshold=0.0)):
+        assert kept.columns == docs.columns
+    assert pii.pii_masked(docs).collect()[0][3] in ("x", "y") and bpe_encode(docs, BYTE).count() == fp.fingerprints(docs).count() == 2
+
+
+def test_repeated_ids_and_rows(spark):
+    texts = ["same text here"] * 4 + ["other words a@b.cc", None, None, "x " * 30000]
+    ids = [1, 1, 1, 2, 2, None, None, 3]
+    docs = table(spark, texts, ids)
+    assert sorted(r.doc_id or 0 for r in token_counts(docs, WORD).collect()) == sorted(r.doc_id or 0 for r in bpe_digests(docs, BYTE).collect()) == sorted(i or 0 for i in ids)
+    assert sum(r.n_email for r in pii.pii_report(docs).collect()) == 1
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    first, again = ({(r.doc_id, r.score) for r in quality_scores(docs, labels).collect()} for _ in range(2))
+    assert first == again and len({s for i, s in first if i == 1}) == 1
+    rows = shard_report(docs).collect()
+    assert len(rows) == 8 and len({(r.shard, r.slot) for r in rows}) == 8
+    taken = mixing.mix_table(docs).collect()
+    assert len(taken) == 8 and all(r.taken <= 3 * r.size for r in taken)
+    assert {r.n_links for r in ngram_join.ngram_components(docs).collect() if r.doc_id == 1} == {3}
+
+
 def test_empty_tables(spark):
     none = table(spark, ["x"]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
