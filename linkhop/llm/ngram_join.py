@@ -1,8 +1,9 @@
 """Jaccard join of word n-grams with adaptive multi-match prefixes.
 
-Texts with one shingle set are one class, and only classes are joined.  Shingles are
-ordered by how often a counting sketch of all texts has seen them.  Two sets of Jaccard
-likeness t or more share at least l shingles of their l-prefixes, the first
+Texts with one shingle set are one class, and only classes are joined.  All shingles of
+all texts are counted, and the most common ones are known to every task by a table of a
+fixed size; the others count as equally rare.  Shingles are ordered by these counts.  Two
+sets of Jaccard likeness t or more share at least l shingles of their l-prefixes, the first
 n - ceil(t * n) + l shingles; a class takes the l that makes its estimated cost least:
 the postings under its prefix, and the candidates that share l of them.
 
@@ -18,27 +19,32 @@ counts what all of its sets share at once.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from linkhop.llm.common import documents, groups_of, mixed, prepare, ragged, sized, written
+from linkhop.llm.common import documents, frugal, groups_of, mixed, prepare, ragged, sized, tidy, with_keys, written
 from linkhop.llm.components import components
 
 #: Words of a shingle, and the threshold in hundredths.
 WORDS, PERCENT = 5, 75
-#: Cells of the counting sketch (of one byte each) and cells of a block.
-CELLS, BLOCK = 1 << 24, 1 << 16
-#: Counts are held up to this; postings of shingles that reach it are aggregated row by row.
+#: Cells of the table of common shingles (one byte each), and the most shingles that it is filled with.
+CELLS, COMMON = 1 << 24, 2_000_000
+#: A cell's byte is SCALE times the binary logarithm of its count and 1.
+SCALE = 7
+#: Shingles that a task sorts and counts at once.
+COUNTED = 2_000_000
+#: Postings of shingles that seem to be seen more often than this are aggregated row by row.
 FULL = 255
 #: The longest l, and the cost of verifying a candidate in postings.
 MOST_L, VERIFY = 4, 20
-HUB_ROUNDS = 1
+#: Pairs left for each posting up to which no further round of hubs is made, the share of pairs that a round may leave for
+#: another to follow, and the most rounds; hubs of a shingle from the second round on.
+PAIRS_LEFT, KEPT, HUB_ROUNDS, HUBS = 16, 0.9, 8, 8
 #: Candidates that meet one set in a task.
 CHUNK = 64
 MOST_BROADCAST = 400_000
@@ -48,22 +54,20 @@ TILE, TILE_SHINGLES = 512, 500_000
 PAIRS, COLUMNS = 500_000, 1024
 
 _BASE = np.uint64(0x2545F4914F6CDD1D)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_tables: list[np.ndarray] = []
+_powers = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if not _tables or len(_tables[0]) < n:
-        n = max(n, 2_100_000)
-        for base in (_BASE, _INVERSE):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            _tables.append(np.multiply.accumulate(out))
-        _tables[:] = _tables[-2:]
-    return _tables
+def powers(n: int) -> np.ndarray:
+    """At least n powers of the base; as many as the longest word met has bytes."""
+    global _powers
+    if len(_powers) < n:
+        out = np.full(max(n, 64), _BASE, np.uint64)
+        out[0] = 1
+        _powers = np.multiply.accumulate(out)
+    return _powers
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,10 +79,12 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(~space & np.append(True, space[:-1]))
     stop = np.flatnonzero(space & np.append(False, ~space[:-1]))
     text = np.searchsorted(begins, first, side="right") - 1
-    up, down = _powers(len(data))
+    size = stop - first
+    begin = np.cumsum(size) - size
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[: len(data)], dtype=np.uint64)])
-        word = mixed((sums[stop] - sums[first]) * up[first] + (stop - first).astype(np.uint64))
+        within = np.arange(int(size.sum())) - np.repeat(begin, size)
+        values = (data[~space].astype(np.uint64) + np.uint64(1)) * powers(int(size.max(initial=0)))[within]
+        word = mixed((np.add.reduceat(values, begin) if len(begin) else values) + size.astype(np.uint64))
         words = np.bincount(text, minlength=n_texts)
         ends = np.cumsum(words)
         # a shingle begins at a word with WORDS - 1 more after it, or at the first word of a shorter text
@@ -112,43 +118,95 @@ def _arrow(schema: str, *columns) -> pa.RecordBatch:
 MEASURED = "doc_id, k1 long, k2 long, n long, s1 long, s2 long, block int, cells binary"
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows to their set sizes and set hashes; at the end the task's sketch in blocks."""
-    sketch, kind = np.zeros(CELLS, np.uint16), None
-    for batch in batches:
-        kind = batch.schema.field("doc_id").type
-        k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-        for a, b, shingles, n in _sets(batch):
-            cells, counts = np.unique(shingles & np.uint64(CELLS - 1), return_counts=True)
-            sketch[cells] = np.minimum(sketch[cells] + counts, FULL)
-            ends = np.cumsum(n)
-            raw = shingles.tobytes()
-            digest = b"".join(xxhash.xxh3_128_digest(raw[8 * (e - m) : 8 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True))
-            s = np.frombuffer(digest, np.int64).reshape(-1, 2)
-            yield _arrow(MEASURED, batch.column("doc_id").slice(a, b - a), k1[a:b], k2[a:b], n, np.ascontiguousarray(s[:, 0]), np.ascontiguousarray(s[:, 1]), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()))
-    small = sketch.astype(np.uint8)
-    for i in range(CELLS // BLOCK):
-        part = small[i * BLOCK : (i + 1) * BLOCK]
-        if part.any():
-            yield _arrow(MEASURED, pa.nulls(1, kind), *(pa.nulls(1, pa.int64()) for _ in range(5)), pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)]))
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sketch blocks of one partition, added up by block."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            cells = np.frombuffer(zlib.decompress(row["cells"]), np.uint8)
-            sums[row["block"]] = np.minimum(sums.get(row["block"], np.zeros(BLOCK, np.uint16)) + cells, FULL)
-    for block, cells in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(cells.astype(np.uint8).tobytes(), 1)])], ["block", "cells"])
+def _counted_blocks(shingles: list[np.ndarray], ranges: int) -> Iterator[tuple[int, int, bytes]]:
+    """(range, number, values and counts) of the distinct shingles, values being 32 bits of a shingle, ascending."""
+    every = np.concatenate(shingles)
+    low, high = every & np.uint64(0xFFFFFFFF), every >> np.uint64(32)
+    keys, counts = np.unique((high % np.uint64(ranges)) << np.uint64(32) | low, return_counts=True)
+    edges = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32))
+    for r in np.flatnonzero(np.diff(edges)).tolist():
+        values = keys[edges[r] : edges[r + 1]] & np.uint64(0xFFFFFFFF)
+        # steps and counts byte by byte, as high bytes are mostly 0
+        both = np.concatenate([np.diff(values, prepend=np.uint64(0)), counts[edges[r] : edges[r + 1]].astype(np.uint64)]).astype("<u4")
+        yield r, len(values), pa.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _block_counts(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.cumsum(both[:n], dtype=np.uint64), both[n:].astype(np.int64)
+
+
+def _summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return values[first], np.add.reduceat(counts, first)
+
 
+def _measure(ranges: int):
+    """Rows to their set sizes and set hashes, and counts of shingles in blocks by range."""
 
-def counted(blocks: DataFrame) -> np.ndarray:
-    """The sketch of all tasks: CELLS bytes, whatever the input."""
+    @frugal
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        kind = pa.null()
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            for r, n, data in _counted_blocks(held, ranges):
+                yield _arrow(MEASURED, pa.nulls(1, kind), *(pa.nulls(1, pa.int64()) for _ in range(2)), pa.array([n]), *(pa.nulls(1, pa.int64()) for _ in range(2)), pa.array([r], pa.int32()), pa.array([data]))
+            held.clear()
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            for a, b, shingles, n in _sets(batch):
+                held.append(shingles)
+                ends = np.cumsum(n)
+                raw = shingles.tobytes()
+                digest = b"".join(xxhash.xxh3_128_digest(raw[8 * (e - m) : 8 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True))
+                s = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                yield _arrow(MEASURED, batch.column("doc_id").slice(a, b - a), k1[a:b], k2[a:b], n, np.ascontiguousarray(s[:, 0]), np.ascontiguousarray(s[:, 1]), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()))
+                if sum(map(len, held)) > COUNTED:
+                    yield from counts()
+        if held:
+            yield from counts()
+
+    return measure
+
+
+def _common(most: int):
+    """Blocks of counts, those of a range in one task, to the range's most common shingles: at most `most`, each seen twice or more."""
+
+    @frugal
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def add(r: int) -> None:
+            parts = ([sums[r]] if r in sums else []) + waiting.pop(r, [])
+            sums[r] = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+        for batch in batches:
+            for r, n, data in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist(), batch.column("cells"), strict=True):
+                waiting.setdefault(r, []).append(_block_counts(n, data.as_py()))
+                if sum(len(v) for v, _ in waiting[r]) > max(COUNTED, len(sums[r][0]) if r in sums else 0):
+                    add(r)
+        for r in [*waiting]:
+            add(r)
+        for values, counts in sums.values():
+            least = 2 if len(counts) <= most else max(2, int(np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]) + 1)
+            values, counts = values[counts >= least], counts[counts >= least]
+            logs = np.minimum(np.rint(SCALE * np.log2(counts + 1.0)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([(values & np.uint64(CELLS - 1)).astype("<u4").tobytes()]), pa.array([logs.tobytes()])], ["cells", "logs"])
+
+    return common
+
+
+def common_table(blocks: DataFrame, ranges: int) -> np.ndarray:
+    """CELLS bytes, whatever the input: 0, or the logarithm of the count of a common shingle that falls into the cell."""
     out = np.zeros(CELLS, np.uint8)
-    for row in blocks.repartition(16, "block").mapInArrow(_added, "block int, cells binary").collect():
-        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(row["cells"]), np.uint8)
+    for row in blocks.repartition(ranges, "block").mapInArrow(_common(COMMON // ranges), "cells binary, logs binary").collect():  # COMMON shingles at most
+        np.maximum.at(out, np.frombuffer(row["cells"], "<u4"), np.frombuffer(row["logs"], np.uint8))
     return out
 
 
@@ -164,10 +222,10 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
     return -(-n * PERCENT // 100)
 
 
-def prefixes(shingles: np.ndarray, n: np.ndarray, counts: np.ndarray, usual: float) -> tuple[np.ndarray, ...]:
+def prefixes(shingles: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of sets one after another: (shingle, set, place, l, count, mean count of the prefix) of the adaptive prefixes.
 
-    counts: how often each shingle was seen; usual: what the sketch shows for none.
+    counts: how often each shingle is seen, 0 for those that count as rare.
     """
     owner = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((shingles, counts, owner))
@@ -175,7 +233,7 @@ def prefixes(shingles: np.ndarray, n: np.ndarray, counts: np.ndarray, usual: flo
     place = np.arange(len(shingles)) - np.repeat(np.cumsum(n) - n, n) + 1
     overlap = least_overlap(n)
     base = n - overlap
-    cost = np.append(0.0, np.cumsum(np.maximum(counts - usual, 0.1)))
+    cost = np.append(0.0, np.cumsum(np.maximum(counts, 0.1)))
     begin = np.cumsum(n) - n
     # what a set of the same size asks for, as most candidates are near it in size
     alike = n - -(-2 * n * PERCENT // (100 + PERCENT))
@@ -194,18 +252,19 @@ def prefixes(shingles: np.ndarray, n: np.ndarray, counts: np.ndarray, usual: flo
 def _postings(sketch, parts: int):
     """Rows (c, text) to postings: packed by part, those of full shingles row by row."""
 
+    @frugal
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(sketch.value, np.uint8)
-        usual = float(np.median(cells))
+        seen = np.rint(2 ** (np.arange(256) / SCALE) - 1).astype(np.int64)
         for batch in batches:
             ids = batch.column("c").to_numpy()
             for a, _, shingles, n in _sets(batch):
-                counts = cells[shingles & np.uint64(CELLS - 1)].astype(np.int64)
-                token, owner, place, l, count, common = prefixes(shingles, n, counts, usual)
+                counts = seen[cells[shingles & np.uint64(CELLS - 1)]]
+                token, owner, place, l, count, common = prefixes(shingles, n, counts)
                 rows = np.empty(len(token), POSTING)
-                for name, column in zip(FIELDS, (token, ids[a:][owner], n[owner], place, l, common), strict=True):
+                for name, column in zip(FIELDS, (token, ids[a:][owner], n[owner], place, l, np.minimum(common, FULL)), strict=True):
                     rows[name] = column
-                full = count >= FULL
+                full = count > FULL
                 hot, rows = rows[full], rows[~full]
                 if len(hot):
                     part = (hot["c"] % parts).astype(np.int32)
@@ -223,6 +282,7 @@ def _postings(sketch, parts: int):
     return post
 
 
+@frugal
 def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The packed postings of a part whose shingle has another posting, and all of full shingles."""
     blobs = []
@@ -246,13 +306,24 @@ def _columns(rows: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray(rows["token"]).view(np.int64), np.ascontiguousarray(rows["c"]), *(rows[f].astype(np.int32) for f in FIELDS[2:])]
 
 
+#: A class's set, and for each of PARTS parts of the hash range whether it holds an odd number of its shingles.
+PARTS = 512
+PARITY = [f"p{i}" for i in range(PARTS // 64)]
+SETS = "c long, set binary, " + ", ".join(f"{p} long" for p in PARITY)
+
+
+@frugal
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         c = batch.column("c").to_numpy()
         for a, b, shingles, n in _sets(batch):
             raw, ends = shingles.tobytes(), np.cumsum(n)
             sets = [raw[8 * (e - m) : 8 * e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-            yield _arrow("c, set", c[a:b], pa.array(sets, pa.binary()))
+            owner = np.repeat(np.arange(b - a), n)
+            part = (shingles >> np.uint64(32)).astype(np.int64) % PARTS
+            odd = np.bincount(owner * PARTS + part, minlength=PARTS * (b - a)) & 1
+            parity = np.packbits(odd.astype(np.uint8).reshape(-1, PARTS), axis=1).view(np.int64)
+            yield _arrow(SETS, c[a:b], pa.array(sets, pa.binary()), *(np.ascontiguousarray(parity[:, i]) for i in range(len(PARITY))))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -264,6 +335,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (both - shared)
 
 
+@frugal
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, chunk, own, c, set) in this order, a's own set first, to links."""
     key, own = None, np.zeros(0, np.uint64)
@@ -306,39 +378,70 @@ def _meets(a: str = "", b: str = "2"):
     return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & (F.col(f"place{a}") <= n - o + l) & (F.col(f"place{b}") <= m - o + l)
 
 
+def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Postings of shingles that are in more than one component, with the component."""
+    named = written(_labelled(rows, label), "labelled")
+    several = named.groupBy("token").agg(F.min("component").alias("m"), F.max("component").alias("x")).where("m <> x").select("token")
+    return written(named.join(several, "token"), "open")
+
+
 def spanning_links(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of classes, not all of them; their components are those of all links."""
+    """Links (a, b) of classes, not all of them; their components are those of all links.
+
+    Each round of hubs names one class a shingle, and holds every class against the hub of
+    another component that it shares most with, so that stragglers join large components by
+    one verified pair.  Rounds end once few pairs are left or a round leaves most of them.
+    """
     found: DataFrame | None = None
-    label = live.select("c").distinct().withColumn("component", F.col("c"))
+    # in the first round each class is a component of its own
+    rows, before, more = live.withColumn("component", F.col("c")), 0.0, []
     for turn in range(HUB_ROUNDS):
-        named = live if found is None else _labelled(live, label)
-        if found is not None:
-            open_tokens = named.groupBy("token").agg(F.min("component").alias("m"), F.max("component").alias("x")).where("m <> x").select("token")
-            named = named.join(open_tokens, "token")
-        # the first hub of a shingle is the class whose prefix is most common, as a text is that others were made from
-        rank = [F.col("common")] if found is None else []
-        carried = [F.col(x).alias(f"{x}2") for x in ("c", "n", "place", "l", *([] if found is None else ["component"]))]
-        hub = named.groupBy("token").agg(F.max(F.struct(*rank, F.xxhash64("c", F.lit(turn)).alias("h"), *carried)).alias("r")).select("token", "r.*")
-        met = named.join(hub, "token").where((F.col("c") != F.col("c2")) & _meets())
-        if found is not None:
-            met = met.where("component <> component2")
-        best = met.groupBy("c", F.col("c2").alias("hub")).agg(F.count("*").alias("shared")).groupBy("c").agg(F.max(F.struct("shared", F.col("hub"))).alias("b"))
+        # hubs of a shingle are of its largest component; the first is the class whose prefix is most common, as a text is that others were made from
+        carried = [F.col(x).alias(f"{x}2") for x in ("c", "n", "place", "l", "component", *more)]
+        own = F.max(F.struct(F.lit(0) if turn else F.col("common"), F.xxhash64("c", F.lit(turn)), *carried)).alias("own")
+        dealt = rows.groupBy("token", "component", F.pmod(F.xxhash64("c", F.lit(-turn)), F.lit(HUBS if turn else 1)).alias("slot")).agg(F.count("*").alias("k"), own)
+        parts = dealt.groupBy("token", "component").agg(F.sum("k").alias("k"), F.collect_list("own").alias("owns"))
+        hub = parts.groupBy("token").agg(F.max(F.struct("k", "owns")).alias("r")).select("token", F.explode("r.owns").alias("own"))
+        hub = hub.select("token", *(f"own.{x}2" for x in ("c", "n", "place", "l", "component", *more)))
+        differ = _differ() if more else F.lit(0)
+        met = rows.join(hub, "token").where((F.col("component") != F.col("component2")) & _meets() & (_near() if more else F.lit(True)))
+        best = met.groupBy("c", F.col("c2").alias("hub")).agg(F.min(differ).alias("differ"), F.count("*").alias("shared")).groupBy("c").agg(F.max(F.struct(-F.col("differ"), "shared", F.col("hub"))).alias("b"))
         pairs = written(best.select(F.col("b.hub").alias("a"), F.col("c").alias("b")), "hub-pairs")
-        more = verified(pairs, sets)
-        found = more if found is None else found.unionByName(more)
-        label = components(found)
+        links = verified(pairs, sets)
+        found = links if found is None else found.unionByName(links)
+        # a shingle that is in one component stays so
+        rows = _open(rows.drop("component"), components(found))
+        if not more:
+            more = PARITY
+            rows = written(rows.join(sets.select("c", *PARITY), "c"), "open")
+        # pairs that the last join would meet: those of other components than a shingle's main one with all
+        counts = rows.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("all"), F.max("k").alias("main"))
+        left, n = counts.agg(F.coalesce(F.sum(F.col("all").cast("double") * (F.col("all") - F.col("main"))), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).head()
+        if turn and (left <= PAIRS_LEFT * n or left > KEPT * before):
+            break
+        before = left
     # all pairs of classes that are in different components by now
-    named = written(_labelled(live, label), "labelled")
-    open_tokens = named.groupBy("token").agg(F.min("component").alias("m"), F.max("component").alias("x")).where("m <> x").select("token")
-    main = named.join(open_tokens, "token").groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("b")).select("token", F.col("b.component").alias("main"))
-    rows = written(named.join(main, "token"), "open")
-    few = rows.where("component <> main").select("token", *(F.col(x).alias(f"{x}2") for x in ("c", "n", "place", "l", "component")))
-    pairs = rows.join(few, "token").where((F.col("component") != F.col("component2")) & ((F.col("component") == F.col("main")) | (F.col("c") < F.col("c2"))) & _meets())
+    main = rows.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("b")).select("token", F.col("b.component").alias("main"))
+    rows = written(rows.join(main, "token"), "open")
+    few = rows.where("component <> main").select("token", *(F.col(x).alias(f"{x}2") for x in ("c", "n", "place", "l", "component", *PARITY)))
+    pairs = rows.join(few, "token").where((F.col("component") != F.col("component2")) & ((F.col("component") == F.col("main")) | (F.col("c") < F.col("c2"))) & _meets() & _near())
     enough = pairs.groupBy("c", "c2").agg(F.count("*").alias("shared"), F.min(F.least("l", "l2")).alias("l")).where("shared >= l")
     last = verified(written(enough.select(F.col("c").alias("a"), F.col("c2").alias("b")), "last-pairs"), sets)
     return found.unionByName(last)
 
 
+def _differ(a: str = "", b: str = "2"):
+    """In how many parts of the hash range the parities of two sets, with columns ...a and ...b, differ: no more than they differ in members."""
+    return sum((F.bit_count(F.col(f"{p}{a}").bitwiseXOR(F.col(f"{p}{b}"))) for p in PARITY), F.lit(0))
+
+
+def _near(a: str = "", b: str = "2"):
+    """Whether the parities of two sets leave them a way to link."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    o = F.floor(((n + m) * PERCENT + 99 + PERCENT) / (100 + PERCENT))
+    return _differ(a, b) <= n + m - 2 * o
+
+
 def _labelled(live: DataFrame, label: DataFrame) -> DataFrame:
     own = live.join(sized(label.select(F.col("node").alias("c"), "component"), label.count(), MOST_BROADCAST), "c", "left")
     return own.withColumn("component", F.coalesce("component", "c"))
@@ -428,7 +531,7 @@ def tiled(own: DataFrame, sizes: DataFrame, sets: DataFrame, n: int, pairs: bool
     spark = own.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiles = F.greatest(F.ceil(F.col("k") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
-    members = own.join(sized(sizes.where("k > 2"), n, MOST_BROADCAST), "component").select("component", F.col("s1").alias("c"), "copies", tiles.alias("tiles"))
+    members = own.join(sized(sizes.where("k > 2"), n, MOST_BROADCAST), "component").select("component", "c", "copies", tiles.alias("tiles"))
     members = written(members, "members").withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
     met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.select("component", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), (F.col("tile") > F.col("other")).cast("int").alias("second"), "c", "copies")
@@ -439,25 +542,29 @@ def tiled(own: DataFrame, sizes: DataFrame, sets: DataFrame, n: int, pairs: bool
 
 def _sizes(own: DataFrame) -> DataFrame:
     """(component, k, shingles, rows, a, b) of components of two classes or more; a and b are the least and greatest."""
-    grouped = own.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.sum("copies").alias("rows"), F.min("s1").alias("a"), F.max("s1").alias("b"))
+    grouped = own.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.sum("copies").alias("rows"), F.min("c").alias("a"), F.max("c").alias("b"))
     return written(grouped.where("k > 1"), "sizes")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Rows (doc_id, k1, k2, n, s1, s2), classes (s1, s2, copies, first, n, component), sets of classes that may link, number of classes."""
+    """Rows (doc_id, k1, k2, n, s1, s2), classes (c, s1, s2, copies, first, n, component), sets of classes that may link, number of classes.
+
+    A class is known by the 128 bits (s1, s2) of its set, and by a number c of its own within a run.
+    """
     spark = prepare(docs.sparkSession)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = documents(docs, id_col, text_col).toDF("doc_id", "text")
     keyed = kept.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k1"), F.xxhash64(F.lit(2), "text", "doc_id").alias("k2"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    measured = written(keyed.mapInArrow(_measure, MEASURED.replace("doc_id", f"doc_id {kind}", 1)), "measured")
+    ranges = max(64, shuffles)
+    measured = written(keyed.mapInArrow(_measure(ranges), MEASURED.replace("doc_id", f"doc_id {kind}", 1)), "measured")
     rows = measured.where("block is null").select("doc_id", "k1", "k2", "n", "s1", "s2")
-    sketch = spark.sparkContext.broadcast(counted(measured.where("block is not null").select("block", "cells")).tobytes())
+    sketch = spark.sparkContext.broadcast(common_table(measured.where("block is not null").select("block", "n", "cells"), ranges).tobytes())
     shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    classes = written(rows.where("n > 0").groupBy("s1", "s2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("r")), "classes")
+    grouped = rows.where("n > 0").groupBy("s1", "s2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("r"))
+    classes = written(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")
     # postings of one text a class: all texts but the other copies
-    c = F.col("s1")
-    chosen = classes.select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), c.alias("c"))
+    chosen = classes.select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), "c")
     n_classes = classes.count()
     one = keyed.select("k1", "k2", "text").join(sized(chosen, n_classes, MOST_BROADCAST), ["k1", "k2"]).select("c", "text")
     parts = max(shuffles, 64, shingles // 5_000_000)
@@ -465,11 +572,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     wanted = written(live.select("c").distinct(), "wanted")
     few = sized(wanted, wanted.count(), MOST_BROADCAST)
     reread = chosen.join(few, "c")
-    sets = written(keyed.select("k1", "k2", "text").join(sized(reread, n_classes, MOST_BROADCAST), ["k1", "k2"]).select("c", "text").mapInArrow(_set_rows, "c long, set binary"), "sets")
+    sets = written(keyed.select("k1", "k2", "text").join(sized(reread, n_classes, MOST_BROADCAST), ["k1", "k2"]).select("c", "text").mapInArrow(_set_rows, SETS), "sets")
     joined = written(components(spanning_links(live, sets)), "components")
     n_joined = joined.count()
-    own = classes.join(sized(joined.withColumnRenamed("node", "s1"), n_joined, MOST_BROADCAST), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
-    return rows, written(own.select("s1", "s2", "copies", "first", "n", "component"), "own"), sets, n_classes
+    sketch.destroy()
+    own = classes.join(sized(joined.withColumnRenamed("node", "c"), n_joined, MOST_BROADCAST), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    return rows, written(own.select("c", "s1", "s2", "copies", "first", "n", "component"), "own"), sets, n_classes
+
+
+def _class_id() -> Column:
+    """The 128 bits of a shingle set in hex."""
+    return F.concat(*(F.lpad(F.hex(s), 16, "0") for s in ("s1", "s2")))
 
 
 def joined_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
@@ -481,16 +594,17 @@ def joined_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sizes = _sizes(own)
         n = sizes.count()
         more = tiled(own, sizes, sets, n_classes, False).groupBy("c").agg(F.sum("links").alias("links"))
-        table = table.join(sized(sizes.select("component", "k", "rows"), n, MOST_BROADCAST), "component", "left").join(sized(more.withColumnRenamed("c", "s1"), n_classes, MOST_BROADCAST), "s1", "left")
+        table = table.join(sized(sizes.select("component", "k", "rows"), n, MOST_BROADCAST), "component", "left").join(sized(more, n_classes, MOST_BROADCAST), "c", "left")
         others = F.when(F.col("k") == 2, F.col("rows") - F.col("copies")).otherwise(F.coalesce("links", F.lit(0)))
         table = table.withColumn("n_links", F.col("copies") - 1 + others)
     else:
         table = table.withColumn("n_links", F.lit(None).cast("long"))
     table = written(table.select("s1", "s2", "copies", "component_id", "component", "n_links"), "named")
-    out = rows.join(sized(table, n_classes, MOST_BROADCAST), ["s1", "s2"], "left")
-    some = F.col("n") > 0
-    id_of = F.when(some, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "k1", "k2", "n", id_of.alias("component_id"), F.when(some, F.col("s1")).alias("class_id"), F.when(some, F.col("copies")).alias("copies"), F.when(some, F.col("component")).alias("component"), F.when(some, F.col("n_links")).otherwise(F.lit(0) if links else F.lit(None)).cast("long").alias("n_links"))
+    out = with_keys(rows.where("n > 0"), table, ["s1", "s2"], "copies", rows.count())
+    none = lambda kind: F.lit(None).cast(kind)
+    some = out.select("doc_id", "k1", "k2", "n", "component_id", _class_id().alias("class_id"), "copies", "component", "n_links")
+    bare = rows.where("n = 0").select("doc_id", "k1", "k2", "n", F.col("doc_id").alias("component_id"), none("string").alias("class_id"), none("long").alias("copies"), none("long").alias("component"), F.lit(0 if links else None).cast("long").alias("n_links"))
+    return some.unionByName(bare)
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -515,7 +629,10 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     _, own, sets, n_classes = _classes(docs, id_col, text_col)
     sizes = _sizes(own)
-    return sizes.where("k = 2").select("a", "b").unionByName(tiled(own, sizes, sets, n_classes, True)).toDF("class_id", "class_id2")
+    links = sizes.where("k = 2").select("a", "b").unionByName(tiled(own, sizes, sets, n_classes, True))
+    names = own.select("c", _class_id().alias("class_id"))
+    first = links.join(sized(names.toDF("a", "class_id"), n_classes, MOST_BROADCAST), "a")
+    return first.join(sized(names.toDF("b", "class_id2"), n_classes, MOST_BROADCAST), "b").select(F.least("class_id", "class_id2").alias("class_id"), F.greatest("class_id", "class_id2").alias("class_id2"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -530,9 +647,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = rows.where("component is not null").groupBy("k1", "k2").agg(F.count("*").alias("times"))
     going = written(keys.join(best, ["k1", "k2"], "left").where("stays is null or times > 1").select("k1", "k2", F.col("stays").isNotNull().alias("once")), "going")
     n = going.count()
+    names, docs = docs.columns, tidy(docs, id_col, text_col)
     keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(F.lit(1), docs[id_col], docs[text_col]).alias("k1"), F.xxhash64(F.lit(2), docs[text_col], docs[id_col]).alias("k2"))
     marked = keyed.join(sized(going, n, MOST_BROADCAST), ["k1", "k2"], "left")
     single = marked.where("once is null").select("row.*")
     # of rows that are equal in id and text, one
     repeated = marked.where("once").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")
-    return single.unionByName(repeated)
+    return single.unionByName(repeated).toDF(*names)
