@@ -17,13 +17,13 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from linkhop.llm.common import documents, groups_of, prepare, ragged
+from linkhop.llm.common import documents, groups_of, prepare, ragged, tidy
 from linkhop.llm.token_counts import byte_letters
 
 #: Fixed value: the pattern that splits a text into pieces before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words and ids that the store of encoded words holds before it is started anew.
-MOST_WORDS, MOST_IDS = 400_000, 4_000_000
+MOST_WORDS, MOST_IDS = 150_000, 1_500_000
 NEVER = np.int64(1) << 40
 
 ENCODED = T.StructType([
@@ -177,12 +177,14 @@ def digest_column(text: Column, tokenizer: str) -> Column:
 def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the token ids of each text as column ids_col, which replaces one of that name."""
     prepare(docs.sparkSession)
+    docs = tidy(docs, text_col)
     return docs.withColumn(ids_col, encode_column(docs[text_col], tokenizer))
 
 
 def bpe_decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """rows with the text of each list of ids as column text_col, which replaces one of that name."""
     prepare(rows.sparkSession)
+    rows = tidy(rows, ids_col)
     return rows.withColumn(text_col, decode_column(rows[ids_col], tokenizer))
 
 
