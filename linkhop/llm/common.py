@@ -70,11 +70,14 @@ def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], times: str, n: int) -> DataFrame:
-    """rows joined with keys, which holds each key once and in its column `times` how many rows bear it; n is the number of rows.
+    """rows joined with keys, a written table which holds each key once and in its column `times` how many rows bear it; n is the number of rows.
 
-    Hot keys, fewer than HOT_KEYS whatever the input, are broadcast, so their rows stay where
-    they are; of the others none has more than a HOT_KEYS-th of the rows, and they are shuffled.
+    At most HOT_KEYS keys are broadcast.  Of more, the hot ones, fewer than HOT_KEYS whatever
+    the input, are broadcast, so their rows stay where they are; of the others none has more
+    than a HOT_KEYS-th of the rows, and they are shuffled.
     """
+    if keys.count() <= HOT_KEYS:
+        return rows.join(F.broadcast(keys), on)
     hot = F.col(times) > n // HOT_KEYS
     more = [c for c in keys.columns if c not in on]
     held = F.broadcast(keys.where(hot).select(*on, F.struct(F.lit(True).alias("_hot"), *more).alias("_own")))

@@ -25,15 +25,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from linkhop.llm.common import ARROW_ROWS, documents, mixed, prepare, sized, written
+from linkhop.llm.common import ARROW_ROWS, documents, frugal, mixed, prepare, with_keys, written
 from linkhop.llm.deep_shallow import shared_stretches
 
 #: Bytes of a repeat, of an anchor string, and classes of an anchor string that are sorted in one task.
 LENGTH, K, GROUP = 400, 64, 128
 #: Windows that are looked at together; a longer text is cut, its passages at the cuts too.
 SEGMENT = 1_000_000
-#: Keys of hot anchor strings, and rows of their halves, that are broadcast.
-MOST_BROADCAST = 400_000
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -95,6 +93,7 @@ PASSAGES = "k1 long, k2 long, start long, n int, anchor int, kh long, c1 long, c
 def _passages(length: int, k: int):
     """Rows (k1, k2, text) to their passages: first window, number of windows, the anchor's offset, hashes of anchor string and bytes."""
 
+    @frugal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
@@ -129,6 +128,7 @@ def _passages(length: int, k: int):
 def _read(length: int):
     """Rows (text, wanted) to the bytes of the wanted passages."""
 
+    @frugal
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.select(["k1", "k2", "text", "wanted"]).to_pylist():
@@ -148,6 +148,7 @@ SPAN = "k1 long, k2 long, from long, to long"
 def _sorted_groups(length: int):
     """Items that are grouped by key to the stretches that they share; only for items that occur once."""
 
+    @frugal
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
         for batch in batches:
@@ -216,14 +217,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group: int
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = written(docs.mapInArrow(_passages(length, k), PASSAGES), "passages")
-    strings = written(every.groupBy("kh").agg(F.count("*").alias("rows"), (F.min("c1") != F.max("c1")).alias("several")).where("rows > 1").select("kh", "several"), "anchors")
-    met = written(every.join(strings, "kh"), "met")
+    n = every.count()
+    strings = written(every.groupBy("kh").agg(F.count("*").alias("rows"), (F.min("c1") != F.max("c1")).alias("several")).where("rows > 1").select("kh", "rows", "several"), "anchors")
+    met = written(with_keys(every, strings, ["kh"], "rows", n).drop("rows"), "met")
     classes = written(
         met.groupBy("kh", "c1", "c2", "several").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start", "n", "anchor")).alias("r")).select("kh", "c1", "c2", "several", "copies", "r.*"), "classes"
     )
-    # 1. whole classes
-    twice = classes.where("copies > 1").select("c1", "c2")
-    whole = met.join(twice, ["c1", "c2"])
+    # 1. whole classes; equal bytes have one anchor string
+    whole = with_keys(met.drop("several"), classes.where("copies > 1").select("kh", "c1", "c2", "copies"), ["kh", "c1", "c2"], "copies", n)
     found = [whole.select("k1", "k2", F.col("start").alias("from"), (F.col("start") + F.col("n") + length - 1).alias("to"))]
     # 2. one passage of each class whose anchor string has several
     item = F.struct("start", "n", "anchor", "kh", "copies")
@@ -231,28 +232,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group: int
     readable = docs.join(wanted, ["k1", "k2"])
     items = written(readable.mapInArrow(_read(length), ITEM), "items")
     width = 1 << (length - k).bit_length()
+    names = [c.split()[0] for c in ITEM.split(", ")]
     while True:
-        sizes = items.groupBy("key").agg(F.count("*").alias("classes"))
-        hot = written(sizes.where(F.col("classes") > group).select("key"), "hot")
-        n_hot = hot.count()
-        rest = items.join(sized(hot, n_hot, MOST_BROADCAST), "key", "left_anti") if n_hot else items
-        found.append(rest.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sorted_groups(length), SPAN))
-        if not n_hot:
+        n = items.count()
+        keys = written(items.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1"), "keys")
+        told = with_keys(items, keys, ["key"], "classes", n)
+        rest = told.where(F.col("classes") <= group).select(*names)
+        found.append(written(rest.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sorted_groups(length), SPAN), "shared"))
+        if keys.where(F.col("classes") > group).isEmpty():
             break
         # 3. halve the windows of the others
         width //= 2
-        halves = written(items.join(sized(hot, n_hot, MOST_BROADCAST), "key", "left_semi").select(*(c.split()[0] for c in ITEM.split(", "))).mapInArrow(_halves(length, k, width), ITEM + ", c1 long, c2 long"), "halves")
-        same = written(
-            halves.groupBy("key", "c1", "c2").agg(F.sum("copies").alias("all"), F.count("*").alias("items"), F.min(F.struct("k1", "k2", "start")).alias("r")), "same"
-        )
-        repeats = same.where("items > 1").select("key", "c1", "c2")
-        again = halves.where("copies = 1").join(sized(repeats, repeats.count(), MOST_BROADCAST), ["key", "c1", "c2"])
-        found.append(again.select("k1", "k2", F.col("start").alias("from"), (F.col("start") + F.col("n") + length - 1).alias("to")))
-        several = same.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+        halves = written(told.where(F.col("classes") > group).select(*names).mapInArrow(_halves(length, k, width), ITEM + ", c1 long, c2 long"), "halves")
+        n = halves.count()
+        same = written(halves.groupBy("key", "c1", "c2").agg(F.sum("copies").alias("all"), F.count("*").alias("items"), F.min(F.struct("k1", "k2", "start")).alias("r")), "same")
+        again = with_keys(halves.where("copies = 1"), same.where("items > 1").select("key", "c1", "c2", "items"), ["key", "c1", "c2"], "items", n)
+        found.append(written(again.select("k1", "k2", F.col("start").alias("from"), (F.col("start") + F.col("n") + length - 1).alias("to")), "shared"))
         if width == 1:
             break
-        one = same.join(several, "key").select("key", "c1", "c2", F.col("all").alias("copies"), "r.*")
-        items = written(halves.drop("copies").join(one, ["key", "c1", "c2", "k1", "k2", "start"]).select(*(c.split()[0] for c in ITEM.split(", "))), "items")
+        several = written(same.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
+        one = with_keys(same, several, ["key"], "kinds", n).select("key", "c1", "c2", F.col("all").alias("copies"), "r.*")
+        items = written(halves.drop("copies").join(one, ["key", "c1", "c2", "k1", "k2", "start"]).select(*names), "items")
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
@@ -262,6 +262,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group: int
 def _cut(schema: T.StructType):
     """Rows (doc_id, text, spans) to what is left of the text."""
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
