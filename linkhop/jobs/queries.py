@@ -181,7 +181,7 @@ def internal_host(spark, sf):
 def check_dns(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 97).alias("h"))
     host = F.when(F.col("h") == 7, "box.local").otherwise(F.concat(F.lit("h"), "h", F.lit(".example")))
-    dns = order_ips(spark, sf).join(orders, "o_orderkey").where("h % 5 <> 0").groupBy(host.alias("host")).agg(F.collect_set("ip").alias("addresses"))
+    dns = order_ips(spark, sf).join(orders, "o_orderkey").where("h % 5 <> 0").select(host.alias("host"), "ip")
     return network.check_dns(orders.select(host.alias("host")), dns)
 
 
@@ -193,10 +193,10 @@ e AS (SELECT page_id, 'http://p.example/' || page_id AS request_key,
              CASE WHEN page_id % 50 = 7 THEN page_id + 1 WHEN page_id % 50 = 8 THEN page_id - 1 ELSE page_id // 2 END AS to_id FROM pages),
 r AS (SELECT page_id AS link_id, 'http://p.example/' || page_id AS href, ['http://p.example/' || page_id] AS chain, NULL::VARCHAR AS method, NULL::INTEGER AS http_status, NULL::VARCHAR AS status, NULL::VARCHAR AS error FROM pages
       UNION ALL
-      SELECT link_id, CASE WHEN f THEN next ELSE href END, CASE WHEN f THEN list_append(chain, next) ELSE chain END, CASE WHEN f THEN 'http' ELSE method END,
-             CASE WHEN lo OR ov THEN http_status ELSE code END,
+      SELECT link_id, CASE WHEN f THEN next ELSE href END, CASE WHEN f THEN list_append(chain, next) ELSE chain END, CASE WHEN lo OR ov OR code IS NULL THEN method ELSE 'http' END,
+             CASE WHEN lo OR ov THEN http_status ELSE coalesce(code, http_status) END,
              CASE WHEN lo THEN 'REDIRECT_LOOP' WHEN ov THEN 'UNRESOLVED' WHEN code IS NULL THEN 'ERROR' WHEN code = 200 THEN 'RESOLVED' WHEN code = 404 THEN 'UNRESOLVED' END,
-             CASE WHEN lo THEN NULL WHEN ov THEN 'More than 20 redirects' WHEN code IS NULL THEN 'Request failed (NOT_CAPTURED)' WHEN code = 404 THEN 'The server answered with HTTP 404' END
+             CASE WHEN lo THEN 'The redirects lead back to a URL that was already visited' WHEN ov THEN 'More than 20 redirects' WHEN code IS NULL THEN 'Request failed (NOT_CAPTURED)' WHEN code = 404 THEN 'The server answered with HTTP 404' END
       FROM (SELECT r.*, code, 'http://p.example/' || to_id AS next, len(list_filter_dup(chain, href)) > 1 AS lo, len(chain) - 1 > 20 AS ov,
                    NOT (len(list_filter_dup(chain, href)) > 1) AND NOT (len(chain) - 1 > 20) AND coalesce(code = 302, false) AS f
             FROM r LEFT JOIN e ON e.request_key = r.href WHERE status IS NULL))""".replace("list_filter_dup(chain, href)", "[x for x in chain if x = href]")
@@ -218,7 +218,7 @@ def web(spark, sf):
 
 def results(spark, sf):
     answers = web(spark, sf)
-    return chains.resolve_chains(answers.select(F.col("page_id").alias("link_id"), F.col("request_url").alias("href")), hops.edges_of(answers))
+    return chains.resolve_chains(answers.select(F.col("page_id").alias("link_id"), F.col("request_url").alias("href")), hops.edges_of(answers.drop("page_id"))).drop("credentials_removed", "elapsed_ms")
 
 
 @query("resolve_chains", _RESULTS)
@@ -226,6 +226,53 @@ def resolve_chains(spark, sf):
     return results(spark, sf)
 
 
+_MANY = """
+w AS (SELECT page_id AS i, page_id % 50 AS m, CASE WHEN page_id % 50 = 7 THEN page_id + 1 WHEN page_id % 50 = 8 THEN page_id - 1 ELSE page_id // 2 END AS to_id FROM pages),
+e AS (SELECT 'http://p.example/' || i AS request_key,
+             CASE WHEN m IN (44, 46) OR i % 10 = 0 THEN 200 WHEN i % 10 = 9 THEN 404 ELSE 302 END AS code,
+             CASE WHEN m = 17 THEN 'http://127.0.0.1/' || i WHEN m = 27 THEN 'http://p.example:25/' WHEN m = 37 THEN NULL
+                  WHEN m IN (44, 46) OR i % 10 NOT IN (0, 9) THEN 'http://p.example/' || to_id END AS next,
+             CASE WHEN m IN (44, 46) THEN 'meta-refresh' ELSE 'http' END AS how, m = 37 AS mail, m IN (13, 37) AS bare, i % 7 AS ms
+      FROM w),
+r AS (SELECT page_id AS link_id, 'http://p.example/' || page_id AS href, ['http://p.example/' || page_id] AS chain, NULL::VARCHAR AS method, NULL::INTEGER AS http_status, NULL::VARCHAR AS status, NULL::VARCHAR AS error,
+             page_id % 5 = 0 AS removed, 0::BIGINT AS took FROM pages
+      UNION ALL
+      SELECT link_id, CASE WHEN f THEN next ELSE href END, CASE WHEN f THEN list_append(chain, next) ELSE chain END,
+             CASE WHEN lo OR ov OR blocked IS NOT NULL OR code IS NULL THEN method WHEN f AND how = 'meta-refresh' THEN how ELSE coalesce(method, 'http') END,
+             CASE WHEN lo OR ov OR blocked IS NOT NULL THEN http_status ELSE coalesce(code, http_status) END,
+             CASE WHEN lo THEN 'REDIRECT_LOOP' WHEN ov THEN 'UNRESOLVED' WHEN blocked IS NOT NULL OR mail THEN 'BLOCKED' WHEN code IS NULL THEN 'ERROR' WHEN f THEN NULL WHEN code = 200 THEN 'RESOLVED' ELSE 'UNRESOLVED' END,
+             CASE WHEN lo THEN 'The redirects lead back to a URL that was already visited' WHEN ov THEN 'More than 20 redirects' WHEN blocked IS NOT NULL THEN blocked
+                  WHEN mail THEN 'Redirect to a "mailto:" URL was not followed (only http and https)' WHEN code IS NULL THEN 'Request failed (NOT_CAPTURED)' WHEN code = 404 THEN 'The server answered with HTTP 404' END,
+             removed OR coalesce(NOT lo AND NOT ov AND blocked IS NULL AND bare AND next IS NOT NULL, false),
+             took + CASE WHEN lo OR ov OR blocked IS NOT NULL THEN 0 ELSE coalesce(ms, 0) END
+      FROM (SELECT *, NOT lo AND NOT ov AND blocked IS NULL AND coalesce(next IS NOT NULL, false) AS f
+            FROM (SELECT r.*, code, next, how, coalesce(mail, false) AS mail, bare, ms, len([x for x in chain if x = href]) > 1 AS lo, len(chain) - 1 > 20 AS ov,
+                         CASE WHEN href LIKE 'http://127.%' THEN '127.0.0.1 is a private or reserved address' WHEN href LIKE '%:25/' THEN 'Port 25 is not allowed' END AS blocked
+                  FROM r LEFT JOIN e ON e.request_key = r.href WHERE status IS NULL)))"""
+
+
+@query("resolve_links", f"WITH RECURSIVE {_MANY} SELECT link_id, chain[1] AS original_url, CASE WHEN status = 'RESOLVED' THEN href END AS final_url, status, method, (len(chain) - 1)::INTEGER AS redirect_count, chain, http_status, error, removed AS credentials_removed, took AS elapsed_ms, CASE WHEN status = 'RESOLVED' THEN href END AS clean_url FROM r WHERE status IS NOT NULL")
+def resolve_links(spark, sf):
+    """The whole way from raw input to result records: relative targets, refreshes in headers and pages, credentials, refused schemes, ports and addresses."""
+    i, m = F.col("page_id"), F.col("page_id") % 50
+    to = F.when(m == 7, i + 1).when(m == 8, i - 1).otherwise(F.floor(i / 2)).cast("string")
+    code = F.when(m.isin(44, 46) | (i % 10 == 0), 200).when(i % 10 == 9, 404).otherwise(302)
+    none = F.lit(None).cast("string")
+    location = (
+        F.when(m == 17, F.concat(F.lit("http://127.0.0.1/"), i)).when(m == 27, "//p.example:25").when(m == 37, "mailto:a@b.example").when(m == 13, F.concat(F.lit("http://u:p@p.example/"), to))
+        .when(i % 3 == 0, F.concat(F.lit("/"), to)).when(i % 3 == 1, F.concat(F.lit("//P.example:80/./"), to)).otherwise(F.concat(F.lit("x/../"), to))
+    )
+    page = F.when(m == 46, F.concat(F.lit("<meta http-equiv=refresh content='0; url=/"), to, F.lit("'>"))).when(code == 200, F.col("html"))
+    pages = table(spark, sf, "pages")
+    answers = pages.select(
+        F.concat(F.lit("http://p.example/"), i).alias("request_url"), code.alias("status_code"), F.when(code == 302, F.array(location)).alias("location"), F.when(m == 44, F.array(F.concat(F.lit("1;url="), to))).alias("refresh"),
+        F.lit("text/html").alias("content_type"), none.alias("content_encoding"), page.cast("binary").alias("body"), none.alias("cf_mitigated"), none.alias("error_code"), none.alias("error_message"), (i % 7).alias("elapsed_ms"),
+    )
+    links = pages.select(i.alias("link_id"), F.when(i % 5 == 0, F.concat(F.lit(" http://u:p@p.example/"), i)).otherwise(F.concat(F.lit("HTTP://p.EXAMPLE:80/"), i)).alias("raw_url"))
+    r = chains.resolve_links(links, answers)
+    return r.select("link_id", "original_url", "final_url", "status", "method", "redirect_count", "chain", "http_status", "error", "security.credentials_removed", "timing.elapsed_ms", "tracking.clean_url")
+
+
 @query("resolve_limit", "SELECT page_id AS link_id, 'UNRESOLVED' AS status, 21 AS redirect_count, 'More than 20 redirects' AS error FROM pages WHERE page_id >= 21 UNION ALL SELECT page_id, 'ERROR', (page_id + 1)::INTEGER, 'Request failed (NOT_CAPTURED)' FROM pages WHERE page_id < 20 UNION ALL SELECT page_id, 'UNRESOLVED', 21, 'More than 20 redirects' FROM pages WHERE page_id = 20")
 def resolve_limit(spark, sf):
     """Each page leads to the one before it, so most chains pass the limit and keep two URLs more than it allows redirects."""
@@ -292,7 +339,7 @@ def expected_summary(spark, sf):
 @query("steps_log", f"""WITH x AS ({_RESULTS}), l AS (
     SELECT link_id, generate_subscripts(chain, 1) - 1 AS seq, unnest(chain) AS message FROM x)
     SELECT link_id, seq::INTEGER AS seq, CASE WHEN seq = 0 THEN 'URL' ELSE 'REDIRECT' END AS tag, message FROM l
-    UNION ALL SELECT link_id, len(chain)::INTEGER, 'FINAL', CASE WHEN status = 'RESOLVED' THEN 'RESOLVED: ' || final_url WHEN error IS NULL THEN status ELSE status || ': ' || error END FROM x""")
+    UNION ALL SELECT link_id, len(chain)::INTEGER, 'FINAL', CASE WHEN status = 'RESOLVED' THEN 'RESOLVED ' || final_url WHEN error IS NULL THEN status ELSE status || ': ' || error END FROM x""")
 def steps_log(spark, sf):
     return reports.steps_log(results(spark, sf))
 
@@ -415,12 +462,12 @@ def page_findings(spark, sf):
     return find(pages).select("page_id", "kind", "url", "method")
 
 
-@query("single_target", "WITH s AS (SELECT user_id AS page_id, CASE WHEN event_id % 13 = 0 THEN 'unknown' WHEN event_id % 3 = 0 THEN 'target' ELSE 'maybe' END AS kind, 'http://t.example/' || (event_id % 2) AS url FROM events WHERE event_id % 5 = 0), g AS (SELECT page_id, count(DISTINCT url) FILTER (kind = 'target') AS n, bool_or(kind = 'unknown') AS u, min(url) FILTER (kind = 'target') AS url FROM s GROUP BY page_id) SELECT page_id, CASE WHEN n = 1 AND NOT u THEN 'redirect' WHEN n > 0 OR u THEN 'unknown' ELSE 'maybe' END AS kind, CASE WHEN n = 1 AND NOT u THEN url END AS url FROM g")
+@query("single_target", "WITH s AS (SELECT user_id AS page_id, CASE WHEN event_id % 13 = 0 THEN 'unknown' WHEN event_id % 3 = 0 THEN 'target' ELSE 'maybe' END AS kind, 'http://t.example/' || (event_id % 2) AS url FROM events), g AS (SELECT page_id, count(DISTINCT url) FILTER (kind = 'target') AS n, bool_or(kind = 'unknown') AS u, min(url) FILTER (kind = 'target') AS url FROM s GROUP BY page_id) SELECT page_id, CASE WHEN n = 1 AND NOT u THEN 'redirect' WHEN n > 0 OR u THEN 'unknown' ELSE 'maybe' END AS kind, CASE WHEN n = 1 AND NOT u THEN url END AS url FROM g")
 def single_target(spark, sf):
     from linkhop.operators.pages import single_target as one
 
     i = F.col("event_id")
-    rows = table(spark, sf, "events").where(i % 5 == 0).select(F.col("user_id").alias("page_id"), F.when(i % 13 == 0, "unknown").when(i % 3 == 0, "target").otherwise("maybe").alias("kind"), F.concat(F.lit("http://t.example/"), (i % 2).cast("string")).alias("url"))
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("page_id"), F.when(i % 13 == 0, "unknown").when(i % 3 == 0, "target").otherwise("maybe").alias("kind"), F.concat(F.lit("http://t.example/"), (i % 2).cast("string")).alias("url"))
     return one(rows)
 
 
@@ -517,12 +564,12 @@ def resolve_stream(spark, sf):
     pages = table(spark, sf, "pages")
     links = spark.readStream.schema(pages.schema).parquet(f"{sf}/pages.parque[t]")
     links = links.select(F.col("page_id").alias("link_id"), F.concat(F.lit("http://p.example/"), F.col("page_id").cast("string")).alias("href"))
-    edges = written(hops.edges_of(web(spark, sf)), "edges")
+    edges = written(hops.edges_of(web(spark, sf).drop("page_id")), "edges")
     r.resolve_stream(links, edges, lambda results, _: found.append(written(results, "resolved"))).trigger(availableNow=True).option("checkpointLocation", r.offsets(spark)).start().awaitTermination()
-    out = found[0]
+    out = found[0] if found else results(spark, sf).limit(0)
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return out.select("link_id", "final_url", "status", "method", "redirect_count", "chain", "http_status", "error")
 
 
 @query("query_params_rows", f"WITH {_PARAMS} SELECT kind, name, count(*) AS n FROM t GROUP BY ALL")

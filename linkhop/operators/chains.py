@@ -4,55 +4,86 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from linkhop.functions.urls import fragment, request_key, without_fragment
-from linkhop.operators.hops import heavier, method_weight
+from linkhop.functions.urls import fragment, request_key, tracking_report, without_fragment
+from linkhop.functions.whatwg import parse_input_url
+from linkhop.operators.hops import checked_edges, edges_of, heavier, method_weight, rendered_edges
 from linkhop.sources.tables import written
 
 MAX_REDIRECTS = 20
+#: Milliseconds that the answers of one link may take together, and how often a page comes up in a visit that goes round.
+DEADLINE_MS, REVISITS = 10_000, 3
 NOT_CAPTURED = "Request failed (NOT_CAPTURED)"
+#: Texts of results.
+LOOP_ERROR, LATE_ERROR = "The redirects lead back to a URL that was already visited", "Request timed out"
 
 
-def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
-    """Follows every link (link_id, href) along edges (request_key, kind, target, method, status, error, http_status).
+def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS) -> DataFrame:
+    """Follows every link (link_id, href) along edges (request_key, kind, target, method, status, error, http_status, and what else of EDGE there is).
 
-    Returns link_id, final_url, status, method, redirect_count, chain, http_status, error.  A
-    target is an absolute href; one of method http takes over the fragment of the URL
-    before it unless it has its own.  A key seen before in the chain is a loop, which is
-    told before the limit; a key without an edge ends the link as not captured; a null
-    target of a follow ends it as an error.  Links that share a hop share its lookup.
+    Returns link_id, final_url, status, method, redirect_count, chain, http_status, error,
+    credentials_removed and elapsed_ms.  A target is an absolute href; one of method http takes
+    over the fragment of the URL before it unless it has its own.  A key seen before in the
+    chain is a loop, which is told before the limit; a key without an edge ends the link as not
+    captured; a null target of a follow ends it as an error; the URLs that a browser visited
+    join the chain.  Answers that take longer than the deadline together end it as a timeout.
 
-    Active links are slim rows; finished ones leave the loop, and each hop is written, so
-    that lineage stays short.
+    Edges are written once and judged nowhere else; active links are slim rows; finished ones
+    leave the loop, and each hop is written, so that lineage stays short.  Popular targets
+    are one key on the side of the links, which adaptive execution splits.
     """
     none = F.lit(None).cast("string")
     active = links.select(
-        "link_id", "href", F.array("href").alias("chain"), F.array().cast("array<string>").alias("seen"), none.alias("method"), F.lit(None).cast("int").alias("http_status")
+        "link_id", "href", F.array("href").alias("chain"), F.array().cast("array<string>").alias("seen"), none.alias("method"), F.lit(None).cast("int").alias("http_status"),
+        F.lit(False).alias("credentials_removed"), F.lit(0).cast("long").alias("elapsed_ms"),
     )
-    own = edges.select("request_key", "kind", "target", F.col("method").alias("edge_method"), F.col("status").alias("edge_status"), F.col("error").alias("edge_error"), F.col("http_status").alias("edge_http"))
+    has = lambda c, kind: (F.col(c) if c in edges.columns else F.lit(None)).cast(kind)
+    own = written(edges.select(
+        "request_key", "kind", "target", F.col("method").alias("edge_method"), F.col("status").alias("edge_status"), F.col("error").alias("edge_error"), F.col("http_status").alias("edge_http"),
+        has("credentials_removed", "boolean").alias("edge_removed"), has("elapsed_ms", "long").alias("edge_ms"), has("visited", "array<string>").alias("visited"),
+    ), "edges")
     finished: list[DataFrame] = []
     for _ in range(max_redirects + 2):
         key = request_key(F.col("href"))
         loop = F.array_contains("seen", key)
         over = F.size("chain") - 1 > max_redirects
-        met = active.withColumn("stopped", F.when(loop, "REDIRECT_LOOP").when(over, "UNRESOLVED")).withColumn("key", F.when(F.col("stopped").isNull(), without_fragment(F.col("href"))))
+        met = active.withColumn("stopped", F.when(loop, "REDIRECT_LOOP").when(over, "UNRESOLVED")).withColumn("key", F.when(F.col("stopped").isNull(), without_fragment(F.col("href")))).withColumn("request", key)
         # links that stopped need no answer; their keys are null, spread out by link
         met = met.join(own, F.coalesce("key", F.concat(F.lit("#"), F.col("link_id").cast("string"))) == own.request_key, "left")
-        follow = F.col("stopped").isNull() & (F.col("kind") == "follow") & F.col("target").isNotNull()
-        target = F.when((F.col("edge_method") == "http") & ~F.col("target").contains("#"), F.concat("target", fragment(F.col("href")))).otherwise(F.col("target"))
-        status = F.coalesce("stopped", F.when(F.col("request_key").isNull(), "ERROR"), F.when((F.col("kind") == "follow") & F.col("target").isNull(), F.coalesce("edge_status", F.lit("ERROR"))), "edge_status")
+        asked = F.col("stopped").isNull() & F.col("request_key").isNotNull()
+        answered = asked & F.col("edge_http").isNotNull()
+        took = F.col("elapsed_ms") + F.when(asked, F.coalesce("edge_ms", F.lit(0))).otherwise(0)
+        visit = asked & F.col("visited").isNotNull()
+        chain = F.when(visit, F.concat("chain", "visited")).otherwise(F.col("chain"))
+        here = F.when(visit & (F.size("visited") > 0), F.element_at(F.when(F.size("visited") > 0, F.col("visited")), -1)).otherwise(F.col("href"))
+        met = met.withColumns({"took": took, "answered": answered, "visit": visit, "whole": chain, "here": here})
+        too_long = F.col("visit") & (F.size("whole") - 1 > max_redirects)
+        keys = F.transform(F.concat(F.array("href"), "visited"), without_fragment)
+        round_ = F.exists(keys, lambda k: F.size(F.filter(keys, lambda x: x == k)) >= REVISITS)
+        late = F.coalesce(F.col("took") > deadline_ms, F.lit(False))
+        leads = (F.col("kind") == "follow") & F.col("target").isNotNull()
+        follow = F.col("stopped").isNull() & F.coalesce(leads, F.lit(False)) & ~late & ~too_long
+        target = F.when((F.col("edge_method") == "http") & ~F.col("target").contains("#"), F.concat("target", fragment(F.col("here")))).otherwise(F.col("target"))
+        lost = (F.col("kind") == "follow") & F.col("target").isNull()
+        status = (
+            F.when(F.col("stopped").isNotNull(), F.col("stopped")).when(F.col("request_key").isNull(), "ERROR").when(late, "TIMEOUT")
+            .when(too_long, F.when(round_, "REDIRECT_LOOP").otherwise("UNRESOLVED")).when(lost, F.coalesce("edge_status", F.lit("ERROR"))).otherwise(F.col("edge_status"))
+        )
+        many = F.lit(f"More than {max_redirects} redirects")
         error = (
-            F.when(F.col("stopped") == "REDIRECT_LOOP", none)
-            .when(F.col("stopped").isNotNull(), F.lit(f"More than {max_redirects} redirects"))
-            .when(F.col("request_key").isNull(), F.lit(NOT_CAPTURED))
-            .otherwise(F.coalesce("edge_error", F.when((F.col("kind") == "follow") & F.col("target").isNull(), F.lit("Redirect target is not a valid URL"))))
-        )
+            F.when(F.col("stopped") == "REDIRECT_LOOP", F.lit(LOOP_ERROR)).when(F.col("stopped").isNotNull(), many).when(F.col("request_key").isNull(), F.lit(NOT_CAPTURED)).when(late, F.lit(LATE_ERROR))
+            .when(too_long, F.when(round_, F.lit(LOOP_ERROR)).otherwise(many)).when(lost, F.coalesce("edge_error", F.lit("Redirect target is not a valid URL"))).otherwise(F.col("edge_error"))
+        )
+        method = F.when(F.col("answered") & ~late, F.coalesce("method", F.lit("http"))).otherwise(F.col("method"))
+        method = F.when(F.col("visit") & ~late, heavier(method, F.lit("browser"))).otherwise(method)
+        led = F.col("stopped").isNull() & F.coalesce(F.col("kind") == "follow", F.lit(False)) & ~late & ~too_long
         step = written(
             met.select(
-                "link_id", F.when(follow, target).otherwise(F.col("href")).alias("href"),
-                F.when(follow, F.concat("chain", F.array(target))).otherwise(F.col("chain")).alias("chain"),
-                F.concat("seen", F.array(key)).alias("seen"),
-                F.when(F.col("stopped").isNull() & (F.col("kind") == "follow"), heavier(F.col("method"), F.col("edge_method"))).otherwise(F.col("method")).alias("method"),
-                F.coalesce(F.when(F.col("stopped").isNull(), F.col("edge_http")), "http_status").alias("http_status"),
+                "link_id", F.when(follow, target).otherwise(F.col("here")).alias("href"),
+                F.when(follow, F.concat("whole", F.array(target))).otherwise(F.col("whole")).alias("chain"),
+                F.concat("seen", F.array("request")).alias("seen"),
+                F.when(led, heavier(method, F.col("edge_method"))).otherwise(method).alias("method"),
+                F.coalesce(F.when(F.col("answered") & ~late, F.col("edge_http")), "http_status").alias("http_status"),
+                (F.col("credentials_removed") | F.coalesce(F.when(asked, F.col("edge_removed")), F.lit(False))).alias("credentials_removed"), F.col("took").alias("elapsed_ms"),
                 F.when(~follow, status).alias("status"), F.when(~follow, error).alias("error"),
             ),
             "hop",
@@ -64,7 +95,39 @@ def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_
     done = finished[0]
     for more in finished[1:]:
         done = done.unionByName(more)
-    return done.select("link_id", F.when(F.col("status") == "RESOLVED", F.col("href")).alias("final_url"), "status", "method", (F.size("chain") - 1).alias("redirect_count"), "chain", "http_status", "error")
+    return done.select(
+        "link_id", F.when(F.col("status") == "RESOLVED", F.col("href")).alias("final_url"), "status", "method", (F.size("chain") - 1).alias("redirect_count"), "chain", "http_status",
+        F.when(F.col("status") != "RESOLVED", F.col("error")).alias("error"), "credentials_removed", "elapsed_ms",
+    )
+
+
+def resolve_links(links: DataFrame, responses: DataFrame, dns: DataFrame | None = None, rules: DataFrame | None = None, rendered: DataFrame | None = None, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS) -> DataFrame:
+    """The whole way from raw links (link_id, raw_url) to result records: link_id and the columns of RESULT.
+
+    Input is parsed (a bad one ends as INVALID_URL with an empty chain), every captured answer
+    is judged once with its page and the adapter rules, refused URLs are blocked before their
+    answer is read, visits of a browser are taken in where the static readers settle nothing,
+    and chains are followed.  Input that bears user information, and targets that do, lose it.
+    """
+    parsed = written(links.select("link_id", parse_input_url(F.col("raw_url")).alias("p")), "input")
+    good = parsed.where("p.ok").select("link_id", F.col("p.href").alias("href"), F.col("p.credentials_removed").alias("own_removed"))
+    edges = edges_of(responses, rules)
+    if rendered is not None:
+        edges = rendered_edges(edges, rendered)
+    edges = checked_edges(written(edges, "judged"), dns, good)
+    found = resolve_chains(good, edges, max_redirects, deadline_ms).join(good, "link_id")
+    report = F.when(F.col("status") == "RESOLVED", tracking_report(F.col("final_url")))
+    done = found.select(
+        "link_id", F.col("href").alias("original_url"), "final_url", "status", "method", "redirect_count", "chain", "http_status", F.struct("elapsed_ms").alias("timing"),
+        F.struct((F.col("credentials_removed") | F.col("own_removed")).alias("credentials_removed")).alias("security"), report.alias("tracking"), "error",
+    )
+    none = F.lit(None)
+    bad = parsed.where("not p.ok").select(
+        "link_id", F.col("p.safe_input").alias("original_url"), none.cast("string").alias("final_url"), F.col("p.status").alias("status"), none.cast("string").alias("method"), F.lit(0).alias("redirect_count"),
+        F.array().cast("array<string>").alias("chain"), none.cast("int").alias("http_status"), F.struct(F.lit(0).cast("long").alias("elapsed_ms")).alias("timing"), F.struct(F.col("p.credentials_removed").alias("credentials_removed")).alias("security"),
+        none.cast(done.schema["tracking"].dataType).alias("tracking"), F.col("p.error").alias("error"),
+    )
+    return done.unionByName(bad)
 
 
 def steps_of(results: DataFrame) -> DataFrame:

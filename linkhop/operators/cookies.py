@@ -18,7 +18,7 @@ def parse_set_cookie(line: Column) -> Column:
     return F.struct(
         F.nullif(name, F.lit("")).alias("name"),
         F.trim(F.substr(pair, F.length(F.substring_index(pair, "=", 1)) + 2)).alias("value"),
-        F.transform(F.slice(F.split(line, ";"), 2, 1000), lambda a: F.struct(
+        F.transform(F.slice(F.split(line, ";"), 2, F.size(F.split(line, ";"))), lambda a: F.struct(
             F.lower(F.trim(F.substring_index(a, "=", 1))).alias("key"),
             F.when(a.contains("="), F.trim(F.substr(a, F.length(F.substring_index(a, "=", 1)) + 2))).otherwise("").alias("value"),
         )).alias("attributes"),

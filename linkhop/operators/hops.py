@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linkhop.functions.policy import bad_port, bad_port_error
-from linkhop.functions.urls import host, hostname, is_http_url, path, port, query, fragment, scheme, without_fragment
+from linkhop.functions.urls import host, hostname, is_http_url, path, port, query, fragment, scheme, strip_credentials, without_fragment
 from linkhop.functions.whatwg import resolve_location
 from linkhop.operators.network import check_dns
-from linkhop.operators.pages import parse_refresh, refresh_target
+from linkhop.operators.pages import page_findings, parse_refresh, refresh_target
+from linkhop.sources.tables import decode_body
 
 #: Statuses whose Location is followed.
 REDIRECT_STATUSES = [301, 302, 303, 307, 308]
@@ -118,47 +119,98 @@ def apply_adapters(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return first.select("page_id", F.col("r.name").alias("adapter_name"), F.nullif("r.target", F.lit("")).alias("target"))
 
 
-def edges_of(responses: DataFrame, finding: Column | None = None, adapter: Column | None = None) -> DataFrame:
-    """(request_key, kind, target, method, status, error, http_status, try_browser) of captured answers, one row a key (the latest).
+EDGE = "request_key, kind, target, method, status, error, http_status, try_browser, credentials_removed, elapsed_ms, visited"
 
-    Targets are resolved against the URL that sent them; one that can't be followed is null
-    and has its status and error.  The Refresh header is read where responses have it.
+
+def _judged(answers: DataFrame) -> DataFrame:
+    """Rows (own, url, status_code, challenged, location, refresh, bad, why, page, adapter) to (own, kind, target, method, status, error, http_status, try_browser, credentials_removed).
+
+    page: the page's text or null; refresh: the first Refresh header.  Pages that hold nothing
+    of interest are not scanned.  Targets are resolved against url; own is carried along.
     """
-    no = F.lit(None).cast("string")
-    header = parse_refresh(F.get("refresh", F.lit(0))) if "refresh" in responses.columns else F.lit(None).cast("struct<delay:double,url:string>")
-    told = responses.withColumn("_refresh", header)
+    header = parse_refresh(F.col("refresh"))
     # a reload has no URL; it resolves to the page itself, so that it isn't followed
-    if "refresh" in responses.columns:
-        told = told.withColumn("_href", resolve_location(F.coalesce("_refresh.url", F.lit("")), F.col("request_url"), False)["href"])
-        refresh = refresh_target(F.col("_refresh.delay"), F.col("_href"), F.col("request_url"))
-    else:
-        refresh = no
+    href = F.when(header.isNotNull(), resolve_location(F.coalesce(header["url"], F.lit("")), F.col("url"), False)["href"])
+    told = answers.withColumn("href", href)
+    slim = F.struct("own", "url", "status_code", "challenged", "location", refresh_target(header["delay"], F.col("href"), F.col("url")).alias("refresh"), "bad", "why", "adapter")
+    ok = F.col("status_code").between(200, 299)
+    found = page_findings(told.select(slim.alias("page_id"), "url", F.when(F.col("location").isNull() & F.col("bad").isNull(), F.col("page")).alias("html"), (~F.coalesce(ok, F.lit(False))).alias("error_page")))
+    rows = found.select("page_id.*", F.struct("kind", found["url"].alias("url"), "method", "scripts_may_leave").alias("finding"))
+    step = next_step(F.col("status_code"), F.col("challenged"), F.col("location"), F.col("refresh"), F.col("finding"), F.col("adapter"))
+    rows = rows.withColumn("s", step)
+    rows = rows.withColumn("next", resolve_location(F.col("s.target"), F.col("url"), False))
+    follows = F.col("bad").isNull() & (F.col("s.kind") == "follow")
+    return rows.select(
+        "own", F.when(F.col("bad").isNotNull(), "failed").otherwise(F.col("s.kind")).alias("kind"), F.when(follows, F.col("next.href")).alias("target"), F.when(F.col("bad").isNull(), F.col("s.method")).alias("method"),
+        F.coalesce("bad", F.when(follows, F.col("next.status")), "s.status").alias("status"), F.coalesce("why", F.when(follows, F.col("next.error")), "s.error").alias("error"),
+        F.when(F.col("bad").isNull(), F.col("status_code")).alias("http_status"), (F.col("bad").isNull() & F.col("s.try_browser")).alias("try_browser"), F.coalesce(follows & F.col("next.credentials_removed"), F.lit(False)).alias("credentials_removed"),
+    )
+
+
+def edges_of(responses: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """What each captured answer says about the next hop, one row (EDGE) a request key: of several answers the latest, then the one with the greater hash.
+
+    Every answer is judged once, whatever number of links meets it: its Location, its Refresh
+    header, its page (body, or html as text) and the adapter rules.  Targets are resolved
+    against the URL that sent them; one that can't be followed is null and has its status
+    and error.  Columns that responses lack count as null.
+    """
+    has = lambda c, kind: F.col(c) if c in responses.columns else F.lit(None).cast(kind)
     hop = hop_kind(F.col("status_code"), F.col("location"))
-    failed = hop_error(F.col("error_code"), F.col("error_message"), no)
-    none = F.lit(None).cast("struct<kind:string,url:string,method:string,scripts_may_leave:boolean>")
-    step = next_step(F.col("status_code"), challenge(F.col("cf_mitigated")), hop["location"], refresh, none if finding is None else finding, no if adapter is None else adapter)
-    key = without_fragment(F.col("request_url"))
-    bad = F.coalesce(failed["status"], F.when(hop["error"].isNotNull(), "ERROR"))
-    rows = told.select(
-        key.alias("request_key"), step.alias("s"), bad.alias("bad"), F.coalesce(failed["error"], hop["error"]).alias("why"),
-        F.when(F.col("error_code").isNull() & hop["error"].isNull(), F.col("status_code")).alias("http_status"), "fetched_at",
+    failed = hop_error(F.col("error_code"), F.col("error_message"), has("cause", "string"))
+    at = F.coalesce(has("fetched_at", "timestamp_ntz"), F.lit("1970-01-01").cast("timestamp_ntz"))
+    own = F.struct(without_fragment(F.col("request_url")).alias("request_key"), at.alias("at"), F.xxhash64(*responses.columns).alias("h"), has("elapsed_ms", "long").alias("elapsed_ms"))
+    text = has("html", "string") if "html" in responses.columns else decode_body(has("body", "binary"), has("content_type", "string"), has("content_encoding", "string"), hop["location"])
+    rows = responses.select(
+        own.alias("own"), without_fragment(F.col("request_url")).alias("url"), "status_code", challenge(F.col("cf_mitigated")).alias("challenged"), hop["location"].alias("location"),
+        F.get(has("refresh", "array<string>"), F.lit(0)).alias("refresh"), F.coalesce(failed["status"], F.when(hop["error"].isNotNull(), "ERROR")).alias("bad"), F.coalesce(failed["error"], hop["error"]).alias("why"), text.alias("page"),
+    )
+    if rules is None:
+        rows = rows.withColumn("adapter", F.lit(None).cast("string"))
+    else:
+        asked = apply_adapters(rows.select(F.col("url").alias("page_id"), "url").distinct(), rules).select(F.col("page_id").alias("url"), F.col("target").alias("adapter"))
+        rows = rows.join(asked, "url", "left")
+    judged = _judged(rows)
+    latest = judged.groupBy("own.request_key").agg(F.max_by(F.struct(*judged.columns), F.struct("own.at", "own.h")).alias("r"))
+    return latest.select("request_key", *(f"r.{c}" for c in judged.columns[1:]), F.col("r.own.elapsed_ms").alias("elapsed_ms"), F.lit(None).cast("array<string>").alias("visited"))
+
+
+def rendered_edges(edges: DataFrame, rendered: DataFrame) -> DataFrame:
+    """edges, where those that the static readers can't settle take in the visit of a browser, if one was made.
+
+    visited: the URLs that it went to, without the one it opened; user information is cut and
+    no fragment passed on.  The page it stayed on is judged like any other, once, without a
+    Location and without a third look; a failed visit keeps its status.
+    """
+    opened = without_fragment(F.col("request_url"))
+    chain = F.coalesce("chain", F.array().cast("array<string>"))
+    went = F.when(without_fragment(F.get(chain, F.lit(0))) == opened, F.slice(chain, 2, F.greatest(F.size(chain), F.lit(1)))).otherwise(chain)
+    bare = F.transform(went, lambda u: strip_credentials(u)["href"])
+    own = F.struct(opened.alias("v_key"), bare.alias("visited"), F.exists(went, lambda u: strip_credentials(u)["removed"]).alias("removed"))
+    at = F.coalesce(F.element_at(F.when(F.size(bare) > 0, bare), -1), opened)
+    no = F.lit(None).cast("string")
+    rows = rendered.select(
+        own.alias("own"), at.alias("url"), "status_code", F.coalesce("challenge", F.lit(False)).alias("challenged"), no.alias("location"), "refresh",
+        F.when(~F.col("ok"), F.coalesce("status", F.lit("ERROR"))).alias("bad"), F.when(~F.col("ok"), F.col("error")).alias("why"), F.col("html").alias("page"), no.alias("adapter"),
     )
-    latest = rows.groupBy("request_key").agg(F.max_by(F.struct("s", "bad", "why", "http_status"), F.coalesce("fetched_at", F.lit("1970-01-01").cast("timestamp_ntz"))).alias("r"))
-    s = F.col("r.s")
-    latest = latest.withColumn("next", resolve_location(s["target"], F.col("request_key"), False))
-    follows = F.col("r.bad").isNull() & (s["kind"] == "follow")
-    return latest.select(
-        "request_key", F.when(F.col("r.bad").isNotNull(), "failed").otherwise(s["kind"]).alias("kind"), F.when(follows, F.col("next.href")).alias("target"), s["method"].alias("method"),
-        F.coalesce("r.bad", F.when(follows, F.col("next.status")), s["status"]).alias("status"), F.coalesce("r.why", F.when(follows, F.col("next.error")), s["error"]).alias("error"),
-        F.col("r.http_status").alias("http_status"), s["try_browser"].alias("try_browser"),
+    judged = _judged(rows)
+    names = [c for c in judged.columns if c not in ("own", "try_browser")]
+    visits = judged.select("own.v_key", F.struct(*names, F.col("own.visited").alias("visited"), F.col("own.removed").alias("removed")).alias("v"))
+    visits = visits.groupBy("v_key").agg(F.max("v").alias("v"))
+    met = edges.join(visits, F.when(F.col("try_browser"), F.col("request_key")) == F.col("v_key"), "left")
+    new = lambda c: F.when(F.col("v").isNotNull(), F.col(f"v.{c}")).otherwise(F.col(c)).alias(c)
+    return met.select(
+        "request_key", *map(new, ("kind", "target", "method", "status", "error", "http_status")), F.col("try_browser"),
+        (F.coalesce("credentials_removed", F.lit(False)) | F.coalesce(F.col("v.credentials_removed") | F.col("v.removed"), F.lit(False))).alias("credentials_removed"), "elapsed_ms", F.col("v.visited").alias("visited"),
     )
 
 
-def checked_edges(edges: DataFrame, dns: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def checked_edges(edges: DataFrame, dns: DataFrame | None, links: DataFrame | None = None) -> DataFrame:
     """edges, with a failed one for each URL that must not or can't be requested, captured or not.
 
     Judged are the keys of edges, their targets and the hrefs of links: ports that browsers
-    refuse and what check_dns() says of their hosts.
+    refuse and what check_dns() says of their hosts; without dns, of addresses and internal
+    names only.  Each host is judged once.
     """
     keys = edges.select("request_key").unionByName(edges.select(without_fragment(F.col("target")).alias("request_key")))
     if links is not None:
@@ -169,6 +221,5 @@ def checked_edges(edges: DataFrame, dns: DataFrame, links: DataFrame | None = No
     judged = keys.join(verdicts, F.col("host") == F.col("v_host"), "left")
     status = F.when(bad_port(F.col("port")), "BLOCKED").otherwise(F.col("v_status"))
     refused = judged.select("request_key", status.alias("status"), F.coalesce(bad_port_error(F.col("port")), "v_error").alias("error")).where("status is not null")
-    no = F.lit(None)
-    rows = refused.select("request_key", F.lit("failed").alias("kind"), no.cast("string").alias("target"), no.cast("string").alias("method"), "status", "error", no.cast("int").alias("http_status"), F.lit(False).alias("try_browser"))
-    return edges.join(refused.select("request_key"), "request_key", "left_anti").unionByName(rows.select(*edges.columns))
+    rows = refused.select("request_key", F.lit("failed").alias("kind"), "status", "error")
+    return edges.join(refused.select("request_key"), "request_key", "left_anti").unionByName(rows, allowMissingColumns=True).select(*edges.columns)

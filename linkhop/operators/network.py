@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from linkhop.functions.policy import internal_host, ip_literal, ipv4_to_long, is_public
+from linkhop.functions.policy import IPV4, internal_host, ip_literal, ipv4_to_long, ipv6_hex, is_public_ipv4, is_public_ipv6_hex
 
 
 def in_ranges(addresses: DataFrame, ranges: DataFrame, ip_col: str = "ip", how: str = "left_semi") -> DataFrame:
@@ -13,39 +13,63 @@ def in_ranges(addresses: DataFrame, ranges: DataFrame, ip_col: str = "ip", how:
     ranges is a policy of a few dozen blocks, far under any limit, so it is broadcast; texts
     that aren't IPv4 lie in none.
     """
-    n = ipv4_to_long(addresses[ip_col])
-    r = F.broadcast(ranges)
-    return addresses.join(r, n.between(r["lo"], r["hi"]), how)
+    own = addresses.withColumn("_n", ipv4_to_long(addresses[ip_col]))
+    r = _bounded(ranges)
+    return own.join(r, own["_n"].between(r["lo"], r["hi"]), how).drop("_n")
+
+
+def _bounded(ranges: DataFrame, most: int = 10_000) -> DataFrame:
+    """ranges with a broadcast hint, after counting them: a policy has a few dozen."""
+    if ranges.count() > most:
+        raise ValueError(f"more than {most} address blocks")
+    return F.broadcast(ranges)
 
 
 def range_of(addresses: DataFrame, ranges: DataFrame, ip_col: str = "ip") -> DataFrame:
-    """addresses with the block that holds each (null: none); blocks must not overlap."""
-    n = ipv4_to_long(addresses[ip_col])
-    r = F.broadcast(ranges.select("cidr", "lo", "hi"))
-    return addresses.join(r, n.between(r["lo"], r["hi"]), "left").drop("lo", "hi")
+    """addresses with the block that holds each (null: none); blocks must not overlap.
+
+    Blocks are held in order in one array, so a row's block is found in its own row: the
+    last one that doesn't begin above it.
+    """
+    held = ranges.select(F.struct("lo", "hi", "cidr").alias("r")).agg(F.array_sort(F.collect_list("r")).alias("_ranges"))
+    own = addresses.withColumn("_n", ipv4_to_long(addresses[ip_col])).crossJoin(F.broadcast(held))  # one row, the policy
+    inside = F.get(F.filter("_ranges", lambda r: F.col("_n").between(r["lo"], r["hi"])), F.lit(0))
+    return own.withColumn("_r", inside).select(*addresses.columns, F.col("_r.cidr").alias("cidr"))
 
 
-def check_dns(hosts: DataFrame, dns: DataFrame, host_col: str = "host") -> DataFrame:
+def check_dns(hosts: DataFrame, dns: DataFrame | None, host_col: str = "host", suffixes: list[str] | None = None, blocks: list[str] | None = None) -> DataFrame:
     """(host, status, error) for the distinct hosts; status is null where a host may be visited.
 
     An IP literal is judged by itself; a name is refused if internal, has no address, or has
-    any address that isn't public.  Addresses are judged once each.
+    any address that isn't public.  dns: (host, addresses), or a row an address (host, ip);
+    without it only literals and internal names are refused.  IPv4 is judged by columns, and
+    only the distinct IPv6 texts by a helper.  suffixes and blocks replace the policy's own.
     """
     distinct = hosts.select(hosts[host_col].alias("host")).where("host is not null").distinct()
-    listed = dns.select(F.col("host"), F.explode_outer("addresses").alias("ip"))
-    verdicts = listed.withColumn("public", is_public(F.coalesce("ip", F.lit("")))).groupBy("host").agg(F.count("ip").alias("known"), F.bool_and(F.coalesce("public", F.lit(False))).alias("public"))
-    joined = distinct.join(verdicts, "host", "left")
+    if dns is None:
+        joined = distinct.select("host", F.lit(1).alias("known"), F.lit(True).alias("public"))
+    else:
+        listed = dns.select("host", F.explode_outer("addresses").alias("ip")) if "addresses" in dns.columns else dns.select("host", "ip")
+        quad = F.col("ip").rlike(IPV4)
+        v4 = listed.where(F.col("ip").isNull() | quad | ~F.col("ip").contains(":")).select("host", "ip", is_public_ipv4(F.coalesce("ip", F.lit("")), blocks).alias("public"))
+        v6 = listed.where(~quad & F.col("ip").contains(":"))
+        judged = v6.select("ip").distinct().withColumn("hex", ipv6_hex("ip")).select("ip", is_public_ipv6_hex(F.col("hex")).alias("public"))
+        every = v4.unionByName(v6.join(judged, "ip").select("host", "ip", "public"))
+        verdicts = every.groupBy("host").agg(F.count("ip").alias("known"), F.bool_and("public").alias("public"))
+        joined = distinct.join(verdicts, "host", "left")
     literal = ip_literal(F.col("host"))
-    own = is_public(literal["address"])
+    six = joined.where(literal["family"] == 6).select("host", ipv6_hex(literal["address"]).alias("hex")).select("host", is_public_ipv6_hex(F.col("hex")).alias("six"))
+    joined = joined.join(six, "host", "left")
+    own = F.when(literal["family"] == 4, is_public_ipv4(literal["address"], blocks)).otherwise(F.coalesce("six", F.lit(False)))
     status = (
         F.when(literal["family"].isNotNull(), F.when(~own, "BLOCKED"))
-        .when(internal_host(F.col("host")), "BLOCKED")
+        .when(internal_host(F.col("host"), suffixes), "BLOCKED")
         .when(F.coalesce("known", F.lit(0)) == 0, "ERROR")
         .when(~F.col("public"), "BLOCKED")
     )
     error = (
         F.when(literal["family"].isNotNull(), F.concat(literal["address"], F.lit(" is a private or reserved address")))
-        .when(internal_host(F.col("host")), F.concat("host", F.lit(" is a local or internal host name")))
+        .when(internal_host(F.col("host"), suffixes), F.concat("host", F.lit(" is a local or internal host name")))
         .when(F.coalesce("known", F.lit(0)) == 0, F.lit("Request failed (ENOTFOUND)"))
         .otherwise(F.concat("host", F.lit(" resolves to a private or reserved address")))
     )

@@ -129,7 +129,7 @@ def refresh_parts(content: str) -> tuple[float, str | None] | None:
 
 
 def sinks_of(scripts: list[str]) -> tuple[list[str], int]:
-    """What script_sinks() gives for the scripts of one page, within the budget."""
+    """The constant targets of top-level statements in the scripts of one page, within the budget, and how often they mention leaving."""
     targets, mentions, held = [], 0, 0
     for s in scripts:
         if len(s) > MAX_SCRIPT or held + len(s) > MAX_SCRIPTS:
@@ -137,8 +137,8 @@ def sinks_of(scripts: list[str]) -> tuple[list[str], int]:
         held += len(s)
         mentions += len(re.findall(_MENTION, s))
         top = re.sub(_COMMENT, " ", s)
-        for _ in range(DEPTHS):
-            top = re.sub(r"\{[^{}]*\}", ";", top)
+        while (less := re.sub(r"\{[^{}]*\}", ";", top)) != top:
+            top = less
         if not re.search(r"[{}]", top):
             targets += [(m[1] or m[2] or m[3])[1:-1].replace("\\/", "/") for m in re.finditer(_SINK, top)]
     return targets, mentions
@@ -213,9 +213,8 @@ def script_budget(scripts: Column) -> Column:
     return F.aggregate(scripts, empty, add, lambda s: s["kept"])
 
 
-#: Comments, and how deep braces are emptied.
+#: Comments.
 _COMMENT = r"(?s:/\*.*?\*/)|(?m:(?<![:\"'\\])//[^\n]*$)"
-DEPTHS = 6
 _MENTION = r"\blocation\b|\bnavigate\b|\bopen\s*\("
 _PLACE = r"(?:(?:window|self|top|parent|document|this)\s*\.\s*)*"
 _TEXT = r"(\"(?:[^\"\\\n]|\\/)*\"|'(?:[^'\\\n]|\\/)*')"
@@ -226,29 +225,14 @@ def script_mentions(scripts: Column) -> Column:
     return F.exists(scripts, lambda s: s.rlike(_MENTION))
 
 
-def script_sinks(scripts: Column) -> Column:
-    """struct(targets, mentions) of the scripts together: the constant targets of top-level statements, and all mentions of leaving.
+@F.pandas_udf(T.StructType([T.StructField("targets", T.ArrayType(T.StringType())), T.StructField("mentions", T.IntegerType())]))
+def script_sinks(scripts: pd.Series) -> pd.DataFrame:
+    """struct(targets, mentions) of the scripts of a page together: the constant targets of top-level statements, and all mentions of leaving.
 
-    Comments go and bodies in braces are emptied, so that only straight-line statements
-    can match; a script whose braces don't close has no sure target.
+    Comments go and bodies in braces are emptied, however deep, so that only straight-line
+    statements can match; a script whose braces don't close has no sure target.
     """
-
-    def top(s: Column) -> Column:
-        s = F.regexp_replace(s, _COMMENT, " ")
-        for _ in range(DEPTHS):
-            s = F.regexp_replace(s, r"\{[^{}]*\}", ";")
-        return F.when(s.rlike(r"[{}]"), F.lit("")).otherwise(s)
-
-    def targets(s: Column) -> Column:
-        every = F.lit(_SINK)
-        found = F.concat(*(F.regexp_extract_all(top(s), every, F.lit(i)) for i in (1, 2, 3)))
-        return F.transform(F.filter(found, lambda x: x != ""), lambda x: F.regexp_replace(F.substring(x, 2, 1 << 20), r"(?s).$", ""))
-
-    plain = lambda s: F.regexp_replace(s, r"\\/", "/")
-    return F.struct(
-        F.transform(F.flatten(F.transform(scripts, targets)), plain).alias("targets"),
-        F.aggregate(F.transform(scripts, lambda s: F.regexp_count(s, F.lit(_MENTION))), F.lit(0), lambda a, b: a + b).alias("mentions"),
-    )
+    return pd.DataFrame([sinks_of([] if s is None else list(s)) for s in scripts], columns=["targets", "mentions"])
 
 
 def single_target(sinks: DataFrame) -> DataFrame:

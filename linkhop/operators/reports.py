@@ -48,7 +48,7 @@ def steps_log(results: DataFrame) -> DataFrame:
     n = F.size(names)
     tracking = F.when(F.coalesce(n, F.lit(0)) > 0, F.array(F.struct(F.lit("TRACKING").alias("tag"), F.concat(n.cast("string"), F.when(n == 1, " tracking parameter: ").otherwise(" tracking parameters: "), F.array_join(names, ", ")).alias("message"))))
     blocked = F.when(F.col("status") == "BLOCKED", F.array(F.struct(F.lit("SECURITY").alias("tag"), F.col("error").alias("message"))))
-    final = F.array(F.struct(F.lit("FINAL").alias("tag"), F.when(F.col("status") == "RESOLVED", F.concat(F.lit("RESOLVED: "), "final_url")).otherwise(F.concat_ws(": ", "status", "error")).alias("message")))
+    final = F.array(F.struct(F.lit("FINAL").alias("tag"), F.when(F.col("status") == "RESOLVED", F.concat(F.lit("RESOLVED "), "final_url")).otherwise(F.concat_ws(": ", "status", "error")).alias("message")))
     empty = F.array().cast("array<struct<tag:string,message:string>>")
     every = F.concat(urls, F.coalesce(tracking, empty), F.coalesce(blocked, empty), final)
     return results.select("link_id", F.posexplode(every).alias("seq", "s")).select("link_id", "seq", "s.tag", "s.message")

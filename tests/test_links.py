@@ -23,10 +23,10 @@ def follow(links, edges, most=20):
             else:
                 seen.add(key)
                 kind, target = edges[key]
+                method = "http"
                 if kind == "arrived":
                     status = "RESOLVED"
                 else:
-                    method = "http"
                     frag = "#" + chain[-1].split("#", 1)[1] if "#" in chain[-1] and "#" not in target else ""
                     chain.append(target + frag)
         out[link] = (status, tuple(chain), method)
@@ -143,10 +143,71 @@ def test_edges_of_raw_answers(spark):
         2: ("BLOCKED", None, 1, "127.0.0.1 is a private or reserved address", "http"),
         3: ("BLOCKED", None, 1, "Port 25 is not allowed", "http"),
         4: ("ERROR", None, 1, "Request failed (ENOTFOUND)", "http"),
-        5: ("RESOLVED", "http://a.test/slow", 0, None, None),
+        5: ("RESOLVED", "http://a.test/slow", 0, None, "http"),
     }
 
 
+LINKS = [
+    # input, status, final URL, method, chain after the first URL, error
+    ("a.test/x", "RESOLVED", "https://b.test/end?utm_source=n&q=1#f", "meta-refresh", ["https://a.test/next#f", "https://b.test/end?utm_source=n&q=1#f"], None),
+    ("http://u:p@a.test/js", "UNRESOLVED", None, "http", [], "JavaScript destination could not be determined"),
+    ("http://a.test/app", "RESOLVED", "http://c.test/", "browser", ["http://c.test/"], None),
+    ("http://a.test/round", "REDIRECT_LOOP", None, "browser", ["http://a.test/round", "http://a.test/round"] * 11, "The redirects lead back to a URL that was already visited"),
+    ("http://s.test/ad/1", "RESOLVED", "http://c.test/", "adapter", ["http://c.test/"], None),
+    ("http://a.test/person", "UNRESOLVED", None, "http", [], "Human verification required"),
+    ("http://a.test/slow", "TIMEOUT", None, "http", ["http://a.test/slower"], "Request timed out"),
+    ("http://a.test/again", "REDIRECT_LOOP", None, "http", ["http://a.test/again#x"], "The redirects lead back to a URL that was already visited"),
+    ("http://169.254.1.1/", "BLOCKED", None, None, [], "169.254.1.1 is a private or reserved address"),
+    ("http://[::1]/", "BLOCKED", None, None, [], "::1 is a private or reserved address"),
+    ("http://a.local/", "BLOCKED", None, None, [], "a.local is a local or internal host name"),
+    ("http://in.test/", "BLOCKED", None, None, [], "in.test resolves to a private or reserved address"),
+    ("ftp://a.test/", "INVALID_URL", None, None, None, 'Only http and https links can be resolved (got "ftp:")'),
+    ("http://a.test/two", "ERROR", None, None, [], "Response has more than one Location header"),
+    ("http://a.test/gone", "ERROR", None, None, [], "Request failed (NOT_CAPTURED)"),
+]
+
+
+def test_resolve_links(spark):
+    from linkhop.operators.chains import resolve_links
+    from linkhop.sources.tables import DNS, RENDERED, RESPONSES, RULES
+
+    def answer(url, code, location=None, refresh=None, html=None, ms=1, at=None):
+        return (url, None, code, location, None, None, refresh, "text/html", None, None if html is None else bytearray(html.encode()), None, None, at, ms)
+
+    import datetime as dt
+
+    responses = spark.createDataFrame([
+        answer("https://a.test/x", 301, ["/next#f"]), answer("https://a.test/next", 200, refresh=["0;url=//b.test/end?utm_source=n&q=1#f"]), answer("https://b.test/end?utm_source=n&q=1", 200, html="<p>"),
+        answer("http://a.test/js", 200, html="<script>location='http://z.test/'; if (x) { location = y }</script>"), answer("http://a.test/app", 200, html="<script>function go() { location = u }</script>"),
+        answer("http://a.test/round", 200, html="<script>function go() { location = u }</script>"), answer("http://c.test/", 200, html="<p>"), answer("http://s.test/ad/1", 200, html="<p>"),
+        answer("http://a.test/person", 200, html="<div class=h-captcha>"), answer("http://a.test/slow", 302, ["slower"], ms=6000), answer("http://a.test/slower", 200, ms=6000),
+        answer("http://a.test/again", 302, ["#x"]), answer("http://169.254.1.1/", 200), answer("http://a.test/two", 302, ["/1", "/2"]),
+        answer("http://in.test/", 200), answer("http://a.test/two", 200, at=dt.datetime(1969, 1, 1)),
+    ], RESPONSES)
+    dns = spark.createDataFrame([(h, ["8.8.8.8"]) for h in ("a.test", "b.test", "c.test", "s.test")] + [("in.test", ["8.8.8.8", "fd00::1"])], DNS)
+    rules = spark.createDataFrame([(1, "s", "s.test", "/ad/", "http://c.test/")], RULES)
+    rendered = spark.createDataFrame([
+        ("http://a.test/app", True, ["http://a.test/app", "http://c.test/"], 200, False, None, "<p>", None, None),
+        ("http://a.test/round", True, ["http://a.test/round"] * 23, 200, False, None, "<p>", None, None),
+    ], RENDERED)
+    links = spark.createDataFrame([(i, x[0]) for i, x in enumerate(LINKS)], "link_id long, raw_url string")
+    got = {r.link_id: r for r in resolve_links(links, responses, dns, rules, rendered).collect()}
+    for i, (raw, status, final, method, more, error) in enumerate(LINKS):
+        r = got[i]
+        assert (r.status, r.final_url, r.error, r.method) == (status, final, error, method), (raw, r)
+        assert r.chain[1:] == (more or []) and r.redirect_count == len(more or []), (raw, r)
+    assert got[0].tracking.clean_url == "https://b.test/end?q=1#f" and got[0].original_url == "https://a.test/x" and got[0].timing.elapsed_ms == 3
+    assert got[1].security.credentials_removed and not got[0].security.credentials_removed and got[12].chain == []
+
+
+def test_deep_scripts_and_long_cookies(spark):
+    deep = "function f() " + "{ if (x) " * 9 + "y()" + "}" * 9 + "\nlocation='http://b.test/';"
+    assert pages.sinks_of([deep])[0] == ["http://b.test/"]
+    line = "a=1" + "; x" * 1500 + "; Max-Age=0"
+    c = spark.createDataFrame([(line,)], "l string").select(cookies.parse_set_cookie(F.col("l")).alias("c")).select(cookies.cookie_expired(F.col("c.attributes"), F.current_timestamp()).alias("x"))
+    assert c.head()["x"]
+
+
 def test_rendered(spark):
     steps = spark.createDataFrame([(1, "http://a.test/#x", ["http://a.test/"], "http", True), (2, "http://b.test/", ["http://b.test/"], None, False)], "link_id long, href string, chain array<string>, method string, try_browser boolean")
     visit = spark.createDataFrame([("http://a.test/", True, ["http://u:p@c.test/"], 200, False, None, "<p>", None, None)], "request_url string, ok boolean, chain array<string>, status_code int, challenge boolean, refresh string, html string, status string, error string")

@@ -42,4 +42,4 @@ def test_result_json_and_report(spark, tmp_path):
 def test_blocked_results_are_logged(spark):
     df = spark.createDataFrame([(1, ["http://a.test/"], None, "BLOCKED", "no"), (2, ["http://b.test/?utm_a=1"], "http://b.test/?utm_a=1", "RESOLVED", None)], "link_id int, chain array<string>, final_url string, status string, error string")
     got = [(r.link_id, r.tag, r.message) for r in reports.steps_log(df).orderBy("link_id", "seq").collect()]
-    assert got == [(1, "URL", "http://a.test/"), (1, "SECURITY", "no"), (1, "FINAL", "BLOCKED: no"), (2, "URL", "http://b.test/?utm_a=1"), (2, "TRACKING", "1 tracking parameter: utm_a"), (2, "FINAL", "RESOLVED: http://b.test/?utm_a=1")]
+    assert got == [(1, "URL", "http://a.test/"), (1, "SECURITY", "no"), (1, "FINAL", "BLOCKED: no"), (2, "URL", "http://b.test/?utm_a=1"), (2, "TRACKING", "1 tracking parameter: utm_a"), (2, "FINAL", "RESOLVED http://b.test/?utm_a=1")]
