@@ -41,6 +41,7 @@ def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_
         "request_key", "kind", "target", F.col("method").alias("edge_method"), F.col("status").alias("edge_status"), F.col("error").alias("edge_error"), F.col("http_status").alias("edge_http"),
         has("credentials_removed", "boolean").alias("edge_removed"), has("elapsed_ms", "long").alias("edge_ms"), has("visited", "array<string>").alias("visited"),
     ), "edges")
+    browsed = "visited" in edges.columns and not own.where("visited is not null").isEmpty()
     finished: list[DataFrame] = []
     for _ in range(max_redirects + 2):
         key = request_key(F.col("href"))
@@ -52,7 +53,7 @@ def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_
         asked = F.col("stopped").isNull() & F.col("request_key").isNotNull()
         answered = asked & F.col("edge_http").isNotNull()
         took = F.col("elapsed_ms") + F.when(asked, F.coalesce("edge_ms", F.lit(0))).otherwise(0)
-        visit = asked & F.col("visited").isNotNull()
+        visit = asked & F.col("visited").isNotNull() if browsed else F.lit(False)
         chain = F.when(visit, F.concat("chain", "visited")).otherwise(F.col("chain"))
         here = F.when(visit & (F.size("visited") > 0), F.element_at(F.when(F.size("visited") > 0, F.col("visited")), -1)).otherwise(F.col("href"))
         met = met.withColumns({"took": took, "answered": answered, "visit": visit, "whole": chain, "here": here})

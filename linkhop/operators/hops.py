@@ -122,20 +122,27 @@ def apply_adapters(pages: DataFrame, rules: DataFrame) -> DataFrame:
 EDGE = "request_key, kind, target, method, status, error, http_status, try_browser, credentials_removed, elapsed_ms, visited"
 
 
-def _judged(answers: DataFrame) -> DataFrame:
+def _judged(answers: DataFrame, headers: bool = True, pages: bool = True) -> DataFrame:
     """Rows (own, url, status_code, challenged, location, refresh, bad, why, page, adapter) to (own, kind, target, method, status, error, http_status, try_browser, credentials_removed).
 
     page: the page's text or null; refresh: the first Refresh header.  Pages that hold nothing
     of interest are not scanned.  Targets are resolved against url; own is carried along.
+    headers, pages: whether there are Refresh headers and pages to read at all.
     """
-    header = parse_refresh(F.col("refresh"))
-    # a reload has no URL; it resolves to the page itself, so that it isn't followed
-    href = F.when(header.isNotNull(), resolve_location(F.coalesce(header["url"], F.lit("")), F.col("url"), False)["href"])
-    told = answers.withColumn("href", href)
-    slim = F.struct("own", "url", "status_code", "challenged", "location", refresh_target(header["delay"], F.col("href"), F.col("url")).alias("refresh"), "bad", "why", "adapter")
+    if headers:
+        header = parse_refresh(F.col("refresh"))
+        # a reload has no URL; it resolves to the page itself, so that it isn't followed
+        told = answers.withColumn("href", resolve_location(F.when(header.isNotNull(), F.coalesce(header["url"], F.lit(""))), F.col("url"), False)["href"])
+        told = told.withColumn("refresh", refresh_target(header["delay"], F.col("href"), F.col("url")))
+    else:
+        told = answers
+    slim = F.struct("own", "url", "status_code", "challenged", "location", "refresh", "bad", "why", "adapter")
     ok = F.col("status_code").between(200, 299)
-    found = page_findings(told.select(slim.alias("page_id"), "url", F.when(F.col("location").isNull() & F.col("bad").isNull(), F.col("page")).alias("html"), (~F.coalesce(ok, F.lit(False))).alias("error_page")))
-    rows = found.select("page_id.*", F.struct("kind", found["url"].alias("url"), "method", "scripts_may_leave").alias("finding"))
+    if pages:
+        found = page_findings(told.select(slim.alias("page_id"), "url", F.when(F.col("location").isNull() & F.col("bad").isNull(), F.col("page")).alias("html"), (~F.coalesce(ok, F.lit(False))).alias("error_page")))
+        rows = found.select("page_id.*", F.struct("kind", found["url"].alias("url"), "method", "scripts_may_leave").alias("finding"))
+    else:
+        rows = told.select(slim.alias("r"), F.lit(None).cast("struct<kind:string,url:string,method:string,scripts_may_leave:boolean>").alias("finding")).select("r.*", "finding")
     step = next_step(F.col("status_code"), F.col("challenged"), F.col("location"), F.col("refresh"), F.col("finding"), F.col("adapter"))
     rows = rows.withColumn("s", step)
     rows = rows.withColumn("next", resolve_location(F.col("s.target"), F.col("url"), False))
@@ -170,7 +177,7 @@ def edges_of(responses: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     else:
         asked = apply_adapters(rows.select(F.col("url").alias("page_id"), "url").distinct(), rules).select(F.col("page_id").alias("url"), F.col("target").alias("adapter"))
         rows = rows.join(asked, "url", "left")
-    judged = _judged(rows)
+    judged = _judged(rows, "refresh" in responses.columns, not {"html", "body"}.isdisjoint(responses.columns))
     latest = judged.groupBy("own.request_key").agg(F.max_by(F.struct(*judged.columns), F.struct("own.at", "own.h")).alias("r"))
     return latest.select("request_key", *(f"r.{c}" for c in judged.columns[1:]), F.col("r.own.elapsed_ms").alias("elapsed_ms"), F.lit(None).cast("array<string>").alias("visited"))
 
