@@ -471,7 +471,19 @@ def single_target(spark, sf):
     return one(rows)
 
 
-@query("parse_urls")
+_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
+_TOP = "CASE WHEN contains(url, '#') THEN substr(url, strpos(url, '#')) ELSE '' END"
+
+
+@query(
+    "parse_urls",
+    f"""WITH p AS (SELECT page_id, page_id % 6 AS m, url, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin, {_PATH} AS path FROM pages)
+    SELECT page_id, CASE m WHEN 0 THEN upper(url) WHEN 1 THEN replace(url, 'https://', '//') WHEN 2 THEN replace(url, '://', '://u:p@') WHEN 3 THEN ' ' || chr(9) || url || '/../x y' WHEN 4 THEN 'ftp:' || url ELSE url END AS raw_url,
+    m <> 4 AS ok, CASE WHEN m = 0 THEN origin || upper(substr(url, length(origin) + 1)) WHEN m = 3 AND regexp_matches(url, '[?#]') THEN url || '/../x%20y'
+      WHEN m = 3 THEN origin || regexp_replace(path, '[^/]*$', '') || 'x%20y' WHEN m <> 4 THEN url END AS href,
+    CASE WHEN m = 4 THEN 'INVALID_URL' END AS status, CASE WHEN m = 4 THEN 'Only http and https links can be resolved (got "ftp:")' END AS error,
+    CASE WHEN m = 4 THEN 'ftp://' || replace(url, '://', '//') END AS safe_input, m = 2 AS credentials_removed FROM p""",
+)
 def parse_urls(spark, sf):
     """Every page URL as input, in six spellings; parsed once for each distinct text."""
     from linkhop.functions.whatwg import parse_input_url
@@ -483,7 +495,14 @@ def parse_urls(spark, sf):
     return rows.join(parsed, "raw_url").select("page_id", "raw_url", "p.*")
 
 
-@query("resolve_locations")
+@query(
+    "resolve_locations",
+    f"""WITH p AS (SELECT page_id, page_id % 4 AS m, url, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin, {_PATH} AS path, {_TOP} AS top FROM pages)
+    SELECT page_id, m <> 2 AS ok, CASE m WHEN 0 THEN origin || regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]+/$', '') || 'up?x=1' || top
+      WHEN 1 THEN split_part(url, '//', 1) || '//other.example/a%20b' || top WHEN 3 THEN origin || path || '?only=query#own' END AS href,
+    CASE WHEN m = 2 THEN 'BLOCKED' END AS status, CASE WHEN m = 2 THEN 'Redirect to a "mailto:" URL was not followed (only http and https)' END AS error,
+    CASE WHEN m = 2 THEN 'mailto:b.example' END AS safe_input, false AS credentials_removed FROM p""",
+)
 def resolve_locations(spark, sf):
     from linkhop.functions.whatwg import resolve_location
 

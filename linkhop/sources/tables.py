@@ -27,14 +27,18 @@ MAX_HTML_BYTES = 1_048_576
 _own = ""
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in spark.checkpoint.dir (a folder of our own where that is unset): cuts the lineage, outlives executors."""
+def new_path(spark: SparkSession, label: str) -> str:
+    """A new path in spark.checkpoint.dir (a folder of our own where that is unset)."""
     global _own
-    spark = df.sparkSession
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         shared = _own = _own or tempfile.mkdtemp(prefix="linkhop-")
-    path = f"{shared.rstrip('/')}/linkhop/{label}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/linkhop/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, outlives executors."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
