@@ -563,14 +563,23 @@ def dedup_requests(spark, sf):
     return r.run_available(r.dedup_requests(s, "100 days")).select("link_id", "request_key")
 
 
-@query("cache_stream")
+@query(
+    "cache_stream",
+    """WITH RECURSIVE q AS (SELECT 'http://a.example/' || (event_id % 37) AS url, event_id AS request_id, ts, event_id % 5 <> 0 AND event_id % 7 <> 0 AS keep,
+      row_number() OVER (PARTITION BY event_id % 37 ORDER BY ts, event_id) AS k FROM events),
+    r AS (SELECT url, k, request_id, ts, false AS hit, CASE WHEN keep THEN ts END AS since FROM q WHERE k = 1
+      UNION ALL
+      SELECT url, k, request_id, ts, hit, CASE WHEN keep AND NOT hit THEN ts ELSE since END
+      FROM (SELECT q.*, since, coalesce(since + INTERVAL 12 HOUR > q.ts, false) AS hit FROM r JOIN q ON q.url = r.url AND q.k = r.k + 1))
+    SELECT url, request_id, ts, hit FROM r""",
+)
 def cache_stream(spark, sf):
     """Requests of every URL marked hit or miss by keyed state; what may be stored is decided a row."""
     from linkhop.streaming import requests as r
 
     i = F.col("event_id")
     s = event_stream(spark, sf).select(F.concat(F.lit("http://a.example/"), (i % 37).cast("string")).alias("url"), i.alias("request_id"), "ts", F.when(i % 5 == 0, "UNRESOLVED").otherwise("RESOLVED").alias("status"), (i % 7 == 0).alias("credentials_removed"), F.lit("{}").alias("result"))
-    return settle(r.run_available(r.cache_stream(s)), "ts")
+    return settle(r.run_available(r.cache_stream(s, ttl_seconds=12 * 3600)), "ts")
 
 
 @query("resolve_stream", _RESULTS)

@@ -81,29 +81,37 @@ CACHED = "url string, request_id long, ts timestamp, hit boolean"
 MAX_CACHED_BYTES = 16384
 
 
-def cache_stream(requests: DataFrame, ttl_seconds: int = 600) -> DataFrame:
+def cache_stream(requests: DataFrame, ttl_seconds: int = 600, late: str = "10 minutes") -> DataFrame:
     """(url, request_id, ts, hit) of requests (url, request_id, ts, status, credentials_removed, result).
 
     Keeps the time of one stored result a URL: only RESOLVED, without credentials, of at
-    most MAX_CACHED_BYTES of JSON; it counts for ttl_seconds, after which the state goes.
-    Requests of a URL are taken in order of time within a batch.
+    most MAX_CACHED_BYTES of JSON; it counts for ttl_seconds of event time, after which the
+    watermark ends the state.  Requests of a URL are taken in order of time within a batch;
+    of each only time, id and whether it may be stored are held.
     """
+    keep = (F.col("status") == "RESOLVED") & ~F.col("credentials_removed") & (F.octet_length(F.coalesce("result", F.lit(""))) <= MAX_CACHED_BYTES)
+    slim = requests.withWatermark("ts", late).select("url", "request_id", "ts", F.coalesce(keep, F.lit(False)).alias("keep"))
+    ttl = pd.Timedelta(seconds=ttl_seconds)
 
     def serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         at = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        every = pd.concat(list(batches)).sort_values(["ts", "request_id"])
+        every = pd.concat([b[["request_id", "ts", "keep"]] for b in batches]).sort_values(["ts", "request_id"])
         hits = []
         for r in every.itertuples():
-            hit = at is not None and at + pd.Timedelta(seconds=ttl_seconds) > r.ts
+            hit = at is not None and at + ttl > r.ts
             hits.append(hit)
-            if not hit and r.status == "RESOLVED" and not r.credentials_removed and len((r.result or "").encode()) <= MAX_CACHED_BYTES:
+            if not hit and r.keep:
                 at = r.ts
         if at is not None:
-            state.update((at.value // 1000,))
-            state.setTimeoutDuration(ttl_seconds * 1000)
+            ends = (at + ttl).value // 1_000_000
+            if ends > state.getCurrentWatermarkMs():
+                state.update((at.value // 1000,))
+                state.setTimeoutTimestamp(ends)
+            elif state.exists:
+                state.remove()
         yield pd.DataFrame({"url": key[0], "request_id": every["request_id"].to_numpy(), "ts": every["ts"].to_numpy(), "hit": hits})
 
-    return requests.groupBy("url").applyInPandasWithState(serve, CACHED, "at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return slim.groupBy("url").applyInPandasWithState(serve, CACHED, "at long", "append", GroupStateTimeout.EventTimeTimeout)
