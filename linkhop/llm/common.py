@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows and bytes of one Arrow batch; texts may be long, so batches are kept short.
 ARROW_ROWS, ARROW_BYTES = 1000, 4_000_000
@@ -86,6 +86,22 @@ def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], times: str, n: in
     return here.unionByName(marked.where("_own is null").drop("_own").join(keys.where(~hot), on))
 
 
+def numbered(rows: DataFrame, groups: list[str], order: list[Column], label: str) -> DataFrame:
+    """rows, a written table, with `position`: gapless from 0 in each group (non-null keys), by `order`, in which no two rows of a group may be equal.
+
+    Rows are dealt out in stretches of the order and each stretch numbers its own, after
+    how many the stretches before it hold; these sums are a row for each group of a stretch.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, *map(F.col, groups), *order).withColumn("_part", F.spark_partition_id()), label)
+    counts = written(dealt.groupBy(*groups, "_part").agg(F.count("*").alias("_n")), label)
+    ahead = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*groups, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part", *groups).orderBy(*order))
+    told = dealt.withColumn("_place", place).join(sized(before, counts.count()), [*groups, "_part"])
+    return told.withColumn("position", F.col("_before") + F.col("_place") - 1).drop("_part", "_place", "_before")
+
+
 def frugal(task: Callable) -> Callable:
     """A task over Arrow batches that gives what its arrays held back to the machine, as Python workers outlive their tasks."""
 

@@ -8,14 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from linkhop.llm.bpe import bpe_digests
-from linkhop.llm import mixing, topk
+from linkhop.llm import importance, merkle, mixing, topk
 from linkhop.llm.fingerprints import fingerprint_report
+from linkhop.llm.importance import resample
+from linkhop.llm.merkle import every_seventh, merkle_manifest
 from linkhop.llm.mixing import mix_table
 from linkhop.llm.ngram_join import ngram_components
 from linkhop.llm.pii import pii_report
 from linkhop.llm.quality import quality_scores
 from linkhop.llm.sharding import shard_report
 from linkhop.llm.suffix_dedup import repeats_report
+from linkhop.llm.text_density import page_texts
 from linkhop.llm.token_counts import token_counts
 from linkhop.llm.topk import top_k
 
@@ -65,6 +68,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle_manifest(docs, every_seventh(docs["doc_id"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_ngram_join": op2_ngram_join,
@@ -76,7 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
+    "op11_importance": op11_importance,
+    "op12_html": op12_html,
+    "op13_merkle": op13_merkle,
 }
 
 #: Queries that SQL can't express, or not at full size, have none; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op10_mixing": mixing.ORACLE, "op11_importance": importance.ORACLE, "op13_merkle": merkle.ORACLE}
