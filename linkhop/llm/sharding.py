@@ -21,6 +21,8 @@ from linkhop.llm.common import ARROW_ROWS, documents, frugal, new_path, prepare,
 BUCKET_BYTES = 16_000_000
 #: Buckets whose counts are summed up in one task.
 BLOCK = 4096
+#: Equal rows with more than a SHARE-th of a bucket's bytes are dealt out one by one, CHUNK copies in a row.
+SHARE, CHUNK = 8, 256
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -38,26 +40,59 @@ def offsets_of(counts: DataFrame) -> DataFrame:
     return blocks.withColumn("within", within).join(sized(before, sums.count()), "block").select("bucket", (F.col("before") + F.col("within")).alias("offset"))
 
 
+def numbered_copies(rows: DataFrame, counted: bool = False) -> DataFrame:
+    """Equal rows, each with an _order of its own that a rerun gives again; of counted rows there is one for m of them.
+
+    Equal rows are counted, a task's own before the shuffle, and written out again from the
+    counts, CHUNK by CHUNK, so no task holds or makes all copies of a row.
+    """
+    names = [c for c in rows.columns if c != "m"]
+    counts = rows if counted else rows.groupBy(*names).agg(F.count("*").alias("m"))
+    whole = F.struct(*names).alias("_row")
+    chunks = counts.select(whole, "m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / CHUNK))).alias("_chunk"))
+    dealt = chunks.repartition(F.col("_row._order"), F.col("_chunk"))
+    first = F.col("_chunk") * CHUNK
+    each = dealt.select("_row.*", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("m")) - 1)).alias("_copy"))
+    return each.withColumn("_order", F.xxhash64("_order", "_copy")).drop("_copy")
+
+
 def shard_rows(docs: DataFrame, path: str, shards: int = 24, seed: int = 7, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs in random order into `shards` Parquet folders under path and returns the table read back.
 
     Adds shard (int), slot (long, gapless from 0 in each shard) and bucket; columns of
     docs with these names (in any case) are left out, and of names that differ in case only
-    the later ones get a number.  Nulls are rows like others; rows equal in id and text are
-    interchangeable and share a bucket.  A rerun gives the same order.  An empty table gives
-    an empty one.  Scattering is by id and text, so neither a hot id nor a group of equal
-    texts meets in one bucket.  A bucket holds about bucket_bytes of text at every size; a
-    table of many terabytes asks for larger ones where its executors have the memory.
+    the later ones get a number.  Nulls are rows like others.  A rerun gives the same order.
+    An empty table gives an empty one.  Scattering is by the whole row, so neither a hot id
+    nor a group of equal texts meets in one bucket; rows that are equal in all columns are
+    interchangeable, and where they make more than a SHARE-th of a bucket they are counted
+    and dealt out again one by one.  A bucket holds about bucket_bytes of text at every size;
+    a table of many terabytes asks for larger ones where its executors have the memory.
     """
     spark = prepare(docs.sparkSession)
     own = {"shard", "slot", "bucket", "_order", "_offset"}
     docs = tidy(docs, id_col, text_col)
     rows = docs.select(*(docs[c] for c in docs.columns if c.lower() not in own))
-    order = F.xxhash64(F.lit(seed), docs[id_col], docs[text_col])
-    total = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + 8), F.lit(0))).head()[0]
+    size = F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + 8
+    # maps have no hash of their own
+    hashed = [F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema if f.name.lower() not in own]
+    order = F.xxhash64(F.lit(seed), *hashed).alias("_order")
+    alike = written(docs.select(order, size.cast("long").alias("size")).groupBy("_order").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")), "shard-alike")
+    total = alike.agg(F.coalesce(F.sum("bytes"), F.lit(0))).head()[0]
     buckets = max(1, -(-total // bucket_bytes))
     bucket = F.pmod(F.xxhash64("_order"), F.lit(buckets)).cast("int").alias("bucket")
-    counts = written(docs.select(order.alias("_order")).groupBy(bucket).agg(F.count("*").alias("n")), "shard-counts")
+    hot = written(alike.where((F.col("bytes") > bucket_bytes // SHARE) & (F.col("m") > 1)).select("_order"), "shard-hot")
+    n_hot = hot.count()
+    scattered = rows.withColumn("_order", order)
+    if n_hot:
+        held = sized(hot, n_hot).select("_order", F.lit(True).alias("_hot"))
+        marked = scattered.join(held, "_order", "left")
+        again = numbered_copies(marked.where("_hot").drop("_hot"))
+        scattered = marked.where("_hot is null").select(*scattered.columns).unionByName(again.select(*scattered.columns))
+        few = alike.join(held, "_order", "left")
+        orders = few.where("_hot is null").select("_order", "m").unionByName(numbered_copies(few.where("_hot").select("_order", "m"), True).select("_order", F.lit(1).cast("long").alias("m")))
+    else:
+        orders = alike.select("_order", "m")
+    counts = written(orders.groupBy(bucket).agg(F.sum("m").alias("n")), "shard-counts")
     n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     schema = T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
 
@@ -85,8 +120,7 @@ def shard_rows(docs: DataFrame, path: str, shards: int = 24, seed: int = 7, buck
                 yield from part.combine_chunks().to_batches()
 
     heads = offsets_of(counts).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema), F.lit(None).cast("long").alias("_order"), "bucket", F.col("offset").cast("long").alias("_offset"))
-    scattered = rows.withColumn("_order", order).select("*", bucket, F.lit(None).cast("long").alias("_offset"))
-    dealt = scattered.unionByName(heads).repartitionById(buckets, F.col("bucket"))
+    dealt = scattered.select("*", bucket, F.lit(None).cast("long").alias("_offset")).unionByName(heads).repartitionById(buckets, F.col("bucket"))
     dealt.mapInArrow(write_order, schema).write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
