@@ -69,14 +69,14 @@ def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], times: str, n: int) -> DataFrame:
+def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], times: str, n: int, most: int = HOT_KEYS) -> DataFrame:
     """rows joined with keys, a written table which holds each key once and in its column `times` how many rows bear it; n is the number of rows.
 
-    At most HOT_KEYS keys are broadcast.  Of more, the hot ones, fewer than HOT_KEYS whatever
+    At most `most` keys are broadcast.  Of more, the hot ones, fewer than HOT_KEYS whatever
     the input, are broadcast, so their rows stay where they are; of the others none has more
     than a HOT_KEYS-th of the rows, and they are shuffled.
     """
-    if keys.count() <= HOT_KEYS:
+    if keys.count() <= most:
         return rows.join(F.broadcast(keys), on)
     hot = F.col(times) > n // HOT_KEYS
     more = [c for c in keys.columns if c not in on]
@@ -86,6 +86,20 @@ def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], times: str, n: in
     return here.unionByName(marked.where("_own is null").drop("_own").join(keys.where(~hot), on))
 
 
+def one_of_equal(rows: DataFrame, keys: DataFrame, n: int, most: int = HOT_KEYS) -> DataFrame:
+    """rows (k1, k2, ...) joined with keys, a written table (k1, k2, times, ...) as in with_keys, with one row for each key.
+
+    Rows of one key are equal.  Where a key has several, each task keeps one of its own
+    before the shuffle, so that a row with any number of copies costs one a task.
+    """
+    met = with_keys(rows, keys, ["k1", "k2"], "times", n, most)
+    if keys.where("times > 1").isEmpty():
+        return met.drop("times")
+    several = met.where("times > 1")
+    first = several.groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in several.columns if c not in ("k1", "k2", "times")))
+    return met.where("times = 1").drop("times").unionByName(first)
+
+
 def numbered(rows: DataFrame, groups: list[str], order: list[Column], label: str) -> DataFrame:
     """rows, a written table, with `position`: gapless from 0 in each group (non-null keys), by `order`, in which no two rows of a group may be equal.
 

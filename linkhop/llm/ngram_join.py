@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from linkhop.llm.common import documents, frugal, groups_of, mixed, prepare, ragged, sized, tidy, with_keys, written
+from linkhop.llm.common import documents, frugal, groups_of, mixed, one_of_equal, prepare, ragged, sized, tidy, with_keys, written
 from linkhop.llm.components import components
 
 #: Words of a shingle, and the threshold in hundredths.
@@ -38,6 +38,8 @@ CELLS, COMMON = 1 << 24, 2_000_000
 SCALE = 7
 #: Shingles that a task sorts and counts at once.
 COUNTED = 2_000_000
+#: Bytes of text for each range of hashes that is counted in one task: about five million shingles.
+RANGE_BYTES = 30_000_000
 #: Postings of shingles that seem to be seen more often than this are aggregated row by row.
 FULL = 255
 #: The longest l, and the cost of verifying a candidate in postings.
@@ -556,23 +558,27 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     kept = documents(docs, id_col, text_col).toDF("doc_id", "text")
     keyed = kept.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k1"), F.xxhash64(F.lit(2), "text", "doc_id").alias("k2"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    ranges = max(64, shuffles)
+    size = kept.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).head()[0]
+    ranges = int(min(max(64, shuffles, size // RANGE_BYTES), COMMON // 16))
     measured = written(keyed.mapInArrow(_measure(ranges), MEASURED.replace("doc_id", f"doc_id {kind}", 1)), "measured")
     rows = measured.where("block is null").select("doc_id", "k1", "k2", "n", "s1", "s2")
     sketch = spark.sparkContext.broadcast(common_table(measured.where("block is not null").select("block", "n", "cells"), ranges).tobytes())
     shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    grouped = rows.where("n > 0").groupBy("s1", "s2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("r"))
+    n_rows = rows.count()
+    # rows that are equal first, as a class is read from one row
+    texts = rows.where("n > 0").groupBy("s1", "s2", "k1", "k2").agg(F.count("*").alias("times"), F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    grouped = texts.groupBy("s1", "s2").agg(F.sum("times").alias("copies"), F.min("first").alias("first"), F.max("n").alias("n"), F.min(F.struct("k1", "k2", "times")).alias("r"))
     classes = written(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")
     # postings of one text a class: all texts but the other copies
-    chosen = classes.select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), "c")
+    chosen = classes.select("r.k1", "r.k2", "r.times", "c")
     n_classes = classes.count()
-    one = keyed.select("k1", "k2", "text").join(sized(chosen, n_classes, MOST_BROADCAST), ["k1", "k2"]).select("c", "text")
+    one = one_of_equal(keyed.select("k1", "k2", "text"), chosen, n_rows, MOST_BROADCAST).select("c", "text")
     parts = max(shuffles, 64, shingles // 5_000_000)
     live = written(one.mapInArrow(_postings(sketch, parts), DEALT).repartitionById(parts, F.col("part")).mapInArrow(_shared_postings, LIVE), "live")
     wanted = written(live.select("c").distinct(), "wanted")
     few = sized(wanted, wanted.count(), MOST_BROADCAST)
-    reread = chosen.join(few, "c")
-    sets = written(keyed.select("k1", "k2", "text").join(sized(reread, n_classes, MOST_BROADCAST), ["k1", "k2"]).select("c", "text").mapInArrow(_set_rows, SETS), "sets")
+    reread = written(chosen.join(few, "c"), "reread")
+    sets = written(one_of_equal(keyed.select("k1", "k2", "text"), reread, n_rows, MOST_BROADCAST).select("c", "text").mapInArrow(_set_rows, SETS), "sets")
     joined = written(components(spanning_links(live, sets)), "components")
     n_joined = joined.count()
     sketch.destroy()

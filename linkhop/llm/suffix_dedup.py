@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from linkhop.llm.common import ARROW_ROWS, documents, frugal, mixed, prepare, with_keys, written
+from linkhop.llm.common import ARROW_ROWS, documents, frugal, mixed, one_of_equal, prepare, with_keys, written
 from linkhop.llm.deep_shallow import shared_stretches
 
 #: Bytes of a repeat, of an anchor string, and classes of an anchor string that are sorted in one task.
@@ -229,7 +229,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group: int
     # 2. one passage of each class whose anchor string has several
     item = F.struct("start", "n", "anchor", "kh", "copies")
     wanted = written(classes.where("several").groupBy("k1", "k2").agg(F.collect_list(item).alias("wanted")), "wanted")
-    readable = docs.join(wanted, ["k1", "k2"])
+    # equal rows are read once; their passages stand in `copies`
+    texts = written(docs.groupBy("k1", "k2").agg(F.count("*").alias("times")), "texts")
+    n_texts = texts.agg(F.coalesce(F.sum("times"), F.lit(0))).head()[0]
+    keys = written(texts.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi"), "keys")
+    readable = one_of_equal(docs, keys, n_texts).join(wanted, ["k1", "k2"])
     items = written(readable.mapInArrow(_read(length), ITEM), "items")
     width = 1 << (length - k).bit_length()
     names = [c.split()[0] for c in ITEM.split(", ")]

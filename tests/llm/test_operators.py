@@ -406,3 +406,39 @@ def test_empty_tables(spark):
         shard_report(none), mixing.mix_table(none), fp.fingerprint_report(none), quality_scores(none, labels),
     ):
         assert rows.count() == 0
+
+
+def test_equal_rows(spark):
+    """Rows equal in id and text next to near copies: spans, links and their number as if each had an id of its own."""
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 300)}" for _ in range(n))
+    base = say(200)
+    near = [" ".join(f"z{i}" if j == 7 * i else w for j, w in enumerate(base.split())) for i in range(4)]
+    rows = [(1, base)] * 300 + [(10 + i, t) for i, t in enumerate(near)] + [(100 + i, say(40)) for i in range(10)] + [(200 + i, base[:500] + say(9)) for i in range(140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    count, sets = Counter(rows), {t: brute.shingles(t) for _, t in set(rows)}
+    links = {t: sum(n for (_, u), n in count.items() if 100 * len(sets[t] & sets[u]) >= 75 * len(sets[t] | sets[u])) - 1 for t in sets}
+    got = ngram_join.ngram_components(df).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted((i, links[t]) for i, t in rows)
+    assert {r.component_id for r in got if r.doc_id < 100} == {1}
+    want = sorted((i, *x) for (i, _), x in zip(rows, brute.repeats([t for _, t in rows], 400), strict=True))
+    assert sorted(tuple(r) for r in suffix_dedup.repeats_report(df).collect()) == want
+    kept = ngram_join.one_of_each(df).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id < 200) == [1, *range(100, 110)]
+
+
+def test_sharding_of_equal_rows(spark, tmp_path):
+    from linkhop.llm.sharding import shard_rows
+
+    rows = [(1, "x" * 90, "a", [1])] * 700 + [(1, "x" * 90, "b", None)] * 300 + [(None, None, None, None)] * 400 + [(i, f"text {i}", "c", [i]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, more array<int>").repartition(3)
+    got = shard_rows(df, str(tmp_path / "one"), 7, bucket_bytes=4000).collect()
+    again = shard_rows(df.repartition(5), str(tmp_path / "two"), 7, bucket_bytes=4000).collect()
+    key = lambda r: (r.shard, r.slot)
+    assert [tuple(r) for r in sorted(got, key=key)] == [tuple(r) for r in sorted(again, key=key)]
+    assert Counter((r.doc_id, r.text, r.source, str(r.more)) for r in got) == Counter((a, b, c, str(d)) for a, b, c, d in rows)
+    shards = Counter(r.shard for r in got)
+    assert max(shards.values()) - min(shards.values()) <= 1 and len(shards) == 7
+    assert all({r.slot for r in got if r.shard == s} == set(range(n)) for s, n in shards.items())
+    buckets = Counter(r.bucket for r in got)  # about 28 buckets
+    assert max(buckets.values()) < 4 * len(got) / len(buckets)
