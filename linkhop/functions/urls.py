@@ -150,6 +150,13 @@ def utf8_header(value: Column) -> Column:
     return F.decode(F.encode(value, "ISO-8859-1"), "UTF-8")
 
 
+def utf8_url(value: Column) -> Column:
+    """A header that holds a URL: read as UTF-8 where its characters are bytes that are UTF-8, else as it is."""
+    bytes_ = F.encode(value, "ISO-8859-1")
+    fits = value.rlike("[\u0080-\u00ff]") & ~value.rlike("[^\u0000-\u00ff]") & F.is_valid_utf8(bytes_.cast("string"))
+    return F.when(fits, bytes_.cast("string")).otherwise(value)
+
+
 def has_invisible(text: Column) -> Column:
     """Whether control or format characters occur, which visible() and json_safe() rewrite."""
     return text.rlike(r"[\p{Cc}\p{Cf}]")

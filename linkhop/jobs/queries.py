@@ -273,6 +273,47 @@ def resolve_links(spark, sf):
     return r.select("link_id", "original_url", "final_url", "status", "method", "redirect_count", "chain", "http_status", "error", "security.credentials_removed", "timing.elapsed_ms", "tracking.clean_url")
 
 
+_SENT = "'' 'seen=1' 'b=2' 'seen=1; b=2' 'b=2; seen=1'".replace("' '", "', '")
+_COOKIES_SQL = f"""
+o AS (SELECT page_id AS i, CASE WHEN page_id % 5 = 3 THEN 'http://q.example/' ELSE 'http://p.example/' END || page_id AS url FROM pages),
+a AS (SELECT o.i, o.url, cookie, o.i % 7 = 1 AND NOT contains(cookie, 'seen=1') AS gate FROM o, (SELECT unnest([{_SENT}]) AS cookie)),
+e AS (SELECT a.url, cookie, gate, CASE WHEN gate THEN 302 WHEN a.i % 10 = 0 THEN 200 WHEN a.i % 10 = 9 THEN 404 ELSE 302 END AS code, CASE WHEN gate THEN a.url ELSE t.url END AS next,
+             CASE WHEN gate THEN 'seen=1' WHEN a.i % 6 = 2 THEN 'b=2' WHEN a.i % 6 = 4 THEN 'seen' END AS sets
+      FROM a LEFT JOIN o t ON t.i = a.i // 2),
+r AS (SELECT i AS link_id, url AS href, [url] AS chain, []::VARCHAR[] AS seen, []::VARCHAR[] AS p, []::VARCHAR[] AS q, NULL::INTEGER AS http_status, NULL::VARCHAR AS status, NULL::VARCHAR AS error FROM o
+      UNION ALL
+      SELECT link_id, CASE WHEN f THEN next ELSE href END, CASE WHEN f THEN list_append(chain, next) ELSE chain END, list_append(seen, href || ' ' || sent),
+             CASE WHEN on_q OR sets IS NULL THEN p WHEN sets = 'seen' THEN [x for x in p if x <> 'seen=1'] ELSE list_append([x for x in p if x <> sets], sets) END,
+             CASE WHEN NOT on_q OR sets IS NULL THEN q WHEN sets = 'seen' THEN [x for x in q if x <> 'seen=1'] ELSE list_append([x for x in q if x <> sets], sets) END,
+             CASE WHEN lo THEN http_status ELSE coalesce(code, http_status) END,
+             CASE WHEN lo THEN 'REDIRECT_LOOP' WHEN code IS NULL THEN 'ERROR' WHEN code = 200 THEN 'RESOLVED' WHEN code = 404 THEN 'UNRESOLVED' END,
+             CASE WHEN lo THEN 'The redirects lead back to a URL that was already visited' WHEN code IS NULL THEN 'Request failed (NOT_CAPTURED)' WHEN code = 404 THEN 'The server answered with HTTP 404' END
+      FROM (SELECT w.*, code, next, sets, NOT lo AND coalesce(code = 302, false) AS f
+            FROM (SELECT r.*, href LIKE 'http://q.%' AS on_q, array_to_string(CASE WHEN href LIKE 'http://q.%' THEN q ELSE p END, '; ') AS sent,
+                         list_contains(seen, href || ' ' || array_to_string(CASE WHEN href LIKE 'http://q.%' THEN q ELSE p END, '; ')) AS lo FROM r WHERE status IS NULL) w
+            LEFT JOIN e ON e.url = w.href AND e.cookie = w.sent))"""
+
+
+@query("resolve_cookies", f"WITH RECURSIVE {_COOKIES_SQL} SELECT link_id, CASE WHEN status = 'RESOLVED' THEN href END AS final_url, status, (len(chain) - 1)::INTEGER AS redirect_count, chain, http_status, error FROM r WHERE status IS NOT NULL")
+def resolve_cookies(spark, sf):
+    """A web of two origins whose pages set and delete cookies; some lead back to themselves until a cookie comes back, and every page has an answer for each cookie header."""
+    i = F.col("page_id")
+    at = lambda x: F.concat(F.when(x % 5 == 3, "http://q.example/").otherwise("http://p.example/"), x.cast("string"))
+    sent = F.explode(F.array(*map(F.lit, ["", "seen=1", "b=2", "seen=1; b=2", "b=2; seen=1"]))).alias("cookie")
+    rows = table(spark, sf, "pages").select("page_id", sent)
+    gate = (i % 7 == 1) & ~F.col("cookie").contains("seen=1")
+    code = F.when(gate, 302).when(i % 10 == 0, 200).when(i % 10 == 9, 404).otherwise(302)
+    sets = F.when(gate, F.array(F.lit("seen=1; Path=/; HttpOnly"))).when(i % 6 == 2, F.array(F.lit(" b = 2"), F.lit("nameless"))).when(i % 6 == 4, F.array(F.lit("seen=; Max-Age=0")))
+    none = F.lit(None).cast("string")
+    answers = rows.select(
+        at(i).alias("request_url"), F.nullif("cookie", F.lit("")).alias("cookie"), code.alias("status_code"), F.when(code == 302, F.array(F.when(gate, at(i)).otherwise(at(F.floor(i / 2))))).alias("location"), sets.alias("set_cookies"),
+        none.alias("cf_mitigated"), none.alias("error_code"), none.alias("error_message"),
+    )
+    links = table(spark, sf, "pages").select(i.alias("link_id"), at(i).alias("href"))
+    found = chains.resolve_chains(links, hops.edges_of(answers, cookies=True), cookies=True)
+    return found.select("link_id", "final_url", "status", "redirect_count", "chain", "http_status", "error")
+
+
 @query("resolve_limit", "SELECT page_id AS link_id, 'UNRESOLVED' AS status, 21 AS redirect_count, 'More than 20 redirects' AS error FROM pages WHERE page_id >= 21 UNION ALL SELECT page_id, 'ERROR', (page_id + 1)::INTEGER, 'Request failed (NOT_CAPTURED)' FROM pages WHERE page_id < 20 UNION ALL SELECT page_id, 'UNRESOLVED', 21, 'More than 20 redirects' FROM pages WHERE page_id = 20")
 def resolve_limit(spark, sf):
     """Each page leads to the one before it, so most chains pass the limit and keep two URLs more than it allows redirects."""

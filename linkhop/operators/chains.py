@@ -1,11 +1,12 @@
-"""Following links along captured hops, one join a hop, and what chains look like afterwards."""
+"""Following links along captured hops, and what chains look like afterwards."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from linkhop.functions.urls import fragment, request_key, tracking_report, without_fragment
+from linkhop.functions.urls import fragment, origin, request_key, tracking_report, without_fragment
 from linkhop.functions.whatwg import parse_input_url
+from linkhop.operators.cookies import JAR, SET_COOKIES, cookie_header, stored
 from linkhop.operators.hops import checked_edges, edges_of, heavier, method_weight, rendered_edges
 from linkhop.sources.tables import written
 
@@ -17,7 +18,115 @@ NOT_CAPTURED = "Request failed (NOT_CAPTURED)"
 LOOP_ERROR, LATE_ERROR = "The redirects lead back to a URL that was already visited", "Request timed out"
 
 
-def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS) -> DataFrame:
+#: What a link carries along: where it is, what it went through, and, once it has ended, how.
+STATE = "href string, chain array<string>, seen array<string>, method string, http_status int, credentials_removed boolean, elapsed_ms bigint, status string, error string"
+#: What an answer does to it.
+STEP = "kind string, target string, method string, status string, error string, http_status int, credentials_removed boolean, elapsed_ms bigint, visited array<string>"
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def started(href: Column) -> Column:
+    """The state of a link before its first request."""
+    no = lambda kind: F.lit(None).cast(kind)
+    fields = [href, F.array(href), F.array().cast("array<string>"), no("string"), no("int"), F.lit(False), F.lit(0).cast("long"), no("string"), no("string")]
+    return F.struct(*(f.alias(name.split()[0]) for f, name in zip(fields, STATE.split(", "), strict=True))).cast(f"struct<{_typed(STATE)}>")
+
+
+def _typed(schema: str) -> str:
+    return ",".join(f.replace(" ", ":", 1) for f in schema.split(", "))
+
+
+def advanced(s: Column, e: Column, request: Column, max_redirects: int, deadline_ms: int, browsed: bool) -> Column:
+    """The state after one request: s, a state that has not ended, and e, the step that answers it, null where none is captured.
+
+    request names the request; it is a loop if it was made before, which is told before the
+    limit.  browsed: whether steps may hold the visit of a browser.
+    """
+    stopped = F.when(F.array_contains(s["seen"], request), "REDIRECT_LOOP").when(F.size(s["chain"]) - 1 > max_redirects, "UNRESOLVED")
+    many = F.lit(f"More than {max_redirects} redirects")
+    visit = e["visited"].isNotNull() if browsed else F.lit(False)
+    whole = F.when(visit, F.concat(s["chain"], e["visited"])).otherwise(s["chain"])
+    here = F.when(visit & (F.size(e["visited"]) > 0), F.try_element_at(e["visited"], F.lit(-1))).otherwise(s["href"])
+    took = s["elapsed_ms"] + F.coalesce(e["elapsed_ms"], F.lit(0))
+
+    def state(href, chain, method, http, removed, ms, status, error) -> Column:
+        fields = [href, chain, F.concat(s["seen"], F.array(request)), method, http, removed, ms, status, error]
+        return F.struct(*(f.alias(name.split()[0]) for f, name in zip(fields, STATE.split(", "), strict=True)))
+
+    def ended(status: Column, error: Column) -> Column:
+        return state(s["href"], s["chain"], s["method"], s["http_status"], s["credentials_removed"], s["elapsed_ms"], status, error)
+
+    def answered(x: Column) -> Column:
+        """x: struct(whole, here, took, visit), with e not null."""
+        no = F.lit(None).cast("string")
+        leads = F.coalesce(e["kind"] == "follow", F.lit(False))
+        lost = leads & e["target"].isNull()
+        target = F.when((e["method"] == "http") & ~e["target"].contains("#"), F.concat(e["target"], fragment(x["here"]))).otherwise(e["target"])
+        http = F.coalesce(e["http_status"], s["http_status"])
+        removed = s["credentials_removed"] | F.coalesce(e["credentials_removed"], F.lit(False))
+        base = F.when(e["http_status"].isNotNull(), F.coalesce(s["method"], F.lit("http"))).otherwise(s["method"])
+        base = F.when(x["visit"], heavier(base, F.lit("browser"))).otherwise(base)
+        late = x["took"] > deadline_ms
+        keys = F.transform(F.concat(F.array(s["href"]), F.coalesce(e["visited"], F.array().cast("array<string>"))), without_fragment)
+        around = F.exists(keys, lambda k: F.size(F.filter(keys, lambda y: y == k)) >= REVISITS)
+        too_long = x["visit"] & (F.size(x["whole"]) - 1 > max_redirects)
+        out = F.when(late, state(x["here"], x["whole"], s["method"], s["http_status"], removed, x["took"], F.lit("TIMEOUT"), F.lit(LATE_ERROR)))
+        if browsed:
+            out = out.when(too_long, state(x["here"], x["whole"], base, http, removed, x["took"], F.when(around, "REDIRECT_LOOP").otherwise("UNRESOLVED"), F.when(around, F.lit(LOOP_ERROR)).otherwise(many)))
+        heavy = F.when(leads, heavier(base, e["method"])).otherwise(base)
+        out = out.when(leads & ~lost, state(target, F.concat(x["whole"], F.array(target)), heavy, http, removed, x["took"], no, no))
+        status = F.when(lost, F.coalesce(e["status"], F.lit("ERROR"))).otherwise(e["status"])
+        error = F.when(lost, F.coalesce(e["error"], F.lit("Redirect target is not a valid URL"))).otherwise(e["error"])
+        return out.otherwise(state(x["here"], x["whole"], heavy, http, removed, x["took"], status, error))
+
+    parts = F.struct(whole.alias("whole"), here.alias("here"), took.alias("took"), visit.alias("visit"))
+    return let(stopped, lambda st: (
+        F.when(st.isNotNull(), ended(st, F.when(st == "REDIRECT_LOOP", F.lit(LOOP_ERROR)).otherwise(many)))
+        .when(e.isNull(), ended(F.lit("ERROR"), F.lit(NOT_CAPTURED))).otherwise(let(parts, answered))
+    ))
+
+
+def steps_by_key(edges: DataFrame) -> DataFrame:
+    """(request_key, step) of edges, and their cookie where they have one; columns that edges lack count as null."""
+    has = lambda c, kind: (F.col(c) if c in edges.columns else F.lit(None)).cast(kind).alias(c)
+    step = F.struct(*(has(*f.split(" ", 1)) for f in STEP.split(", ")))
+    return edges.select("request_key", step.alias("step"), *(c for c in ("cookie", "set_cookies") if c in edges.columns))
+
+
+def walks(steps: DataFrame, doublings: int) -> DataFrame:
+    """(request_key, steps, next): from each key the steps up to 2 ** doublings requests on, and the key after them if the walk goes on.
+
+    Each round joins every walk that goes on with the walk from where it stands, which
+    doubles both; those that end, at an answer that leads nowhere, at a key without one or
+    at a key that they have met before, are left as they are.
+    """
+    leads = F.col("step.kind") == "follow"
+    rows = written(steps.select("request_key", F.array("step").alias("steps"), F.when(leads, without_fragment(F.col("step.target"))).alias("next")), "walks")
+    for _ in range(doublings):
+        rows = rows.withColumn("next", F.when(F.col("next") != F.col("request_key"), F.col("next")))
+        on = rows.where("next is not null")
+        if on.isEmpty():
+            break
+        further = _walked(on, rows)
+        rows = written(rows.where("next is null").unionByName(further), "walks")
+    return rows
+
+
+def _walked(rows: DataFrame, walks: DataFrame) -> DataFrame:
+    """rows (request_key, steps, next, ...) that go on, with the walks from where they stand."""
+    then = walks.select(F.col("request_key").alias("_at"), F.col("steps").alias("_steps"), F.col("next").alias("_next"))
+    met = rows.join(then, rows["next"] == then["_at"], "left")
+    steps = F.when(F.col("_steps").isNull(), F.col("steps")).otherwise(F.concat("steps", "_steps"))
+    # a walk that comes back to a key of its own leads nowhere else
+    keys = F.concat(F.array("request_key"), F.transform(steps, lambda s: F.coalesce(without_fragment(s["target"]), F.lit(""))))
+    return met.select(*(c for c in rows.columns if c not in ("steps", "next")), steps.alias("steps"), F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.col("_next")).alias("next"))
+
+
+def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS, cookies: bool = False) -> DataFrame:
     """Follows every link (link_id, href) along edges (request_key, kind, target, method, status, error, http_status, and what else of EDGE there is).
 
     Returns link_id, final_url, status, method, redirect_count, chain, http_status, error,
@@ -27,96 +136,88 @@ def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_
     captured; a null target of a follow ends it as an error; the URLs that a browser visited
     join the chain.  Answers that take longer than the deadline together end it as a timeout.
 
-    Edges are written once and judged nowhere else; active links are slim rows; finished ones
-    leave the loop, and each hop is written, so that lineage stays short.  Popular targets
-    are one key on the side of the links, which adaptive execution splits.
+    Without cookies the edges are contracted to walks by doubling, so that chains of any
+    length up to the limit take its logarithm in joins (six for 20 redirects); the steps of
+    each link are then folded into its result in its own row.  With cookies an answer depends
+    on what came before, so there is a join a hop (see with_cookies).
     """
-    none = F.lit(None).cast("string")
-    active = links.select(
-        "link_id", "href", F.array("href").alias("chain"), F.array().cast("array<string>").alias("seen"), none.alias("method"), F.lit(None).cast("int").alias("http_status"),
-        F.lit(False).alias("credentials_removed"), F.lit(0).cast("long").alias("elapsed_ms"),
+    steps = steps_by_key(edges)
+    if cookies:
+        return with_cookies(links, steps, max_redirects, deadline_ms)
+    browsed = "visited" in edges.columns
+    # two walks one after another are all requests up to the limit
+    doublings = max(0, (-(-(max_redirects + 1) // 2) - 1).bit_length())
+    walk = walks(steps.select("request_key", "step"), doublings)
+    none = F.array().cast(walk.schema["steps"].dataType)
+    begun = links.select("link_id", "href", without_fragment(F.col("href")).alias("next"), F.lit("").alias("request_key")).withColumn("steps", none)
+    first = written(_walked(begun, walk), "first")
+    rest = _walked(first.where("next is not null"), walk)
+    rows = first.where("next is null").unionByName(rest)
+    key = lambda s: without_fragment(s["href"])
+    go = lambda s, e: F.when(s["status"].isNotNull(), s).otherwise(advanced(s, e, key(s), max_redirects, deadline_ms, browsed))
+    # what has not ended after all steps asks for one that isn't captured
+    lost = F.array(F.lit(None).cast(steps.schema["step"].dataType))
+    state = F.aggregate(F.concat("steps", lost), started(F.col("href")), go)
+    return _results(rows.select("link_id", state.alias("s")))
+
+
+def _results(rows: DataFrame) -> DataFrame:
+    """(link_id, s), s a state that has ended, as results."""
+    done = F.col("s.status") == "RESOLVED"
+    return rows.select(
+        "link_id", F.when(done, F.col("s.href")).alias("final_url"), F.col("s.status").alias("status"), F.col("s.method").alias("method"), (F.size("s.chain") - 1).alias("redirect_count"), F.col("s.chain").alias("chain"),
+        F.col("s.http_status").alias("http_status"), F.when(~done, F.col("s.error")).alias("error"), F.col("s.credentials_removed").alias("credentials_removed"), F.col("s.elapsed_ms").alias("elapsed_ms"),
     )
-    has = lambda c, kind: (F.col(c) if c in edges.columns else F.lit(None)).cast(kind)
-    own = written(edges.select(
-        "request_key", "kind", "target", F.col("method").alias("edge_method"), F.col("status").alias("edge_status"), F.col("error").alias("edge_error"), F.col("http_status").alias("edge_http"),
-        has("credentials_removed", "boolean").alias("edge_removed"), has("elapsed_ms", "long").alias("edge_ms"), has("visited", "array<string>").alias("visited"),
-    ), "edges")
-    browsed = "visited" in edges.columns and not own.where("visited is not null").isEmpty()
+
+
+def with_cookies(links: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: int) -> DataFrame:
+    """resolve_chains where links carry a jar of cookies, one join a hop.
+
+    steps: (request_key, step, cookie, set_cookies).  A request is a URL and the cookies sent
+    with it; only an answer to the same is its answer, and one whose cookie is null is that
+    whatever was sent (a refused URL).  Set-Cookie lines of an answer go into the jar of its
+    origin before the next request.  Finished links leave the loop; each hop is written.
+    """
+    steps = written(steps.select("request_key", "step", "cookie", F.col("set_cookies").cast(SET_COOKIES).alias("set_cookies")), "steps")
+    exact, every = steps.where("cookie is not null"), steps.where("cookie is null").select(F.col("request_key").alias("_key"), F.col("step").alias("_step"))
+    refused = not every.isEmpty()
+    active = links.select("link_id", started(F.col("href")).alias("s"), F.create_map().cast(JAR).alias("jar"))
     finished: list[DataFrame] = []
     for _ in range(max_redirects + 2):
-        key = request_key(F.col("href"))
-        loop = F.array_contains("seen", key)
-        over = F.size("chain") - 1 > max_redirects
-        met = active.withColumn("stopped", F.when(loop, "REDIRECT_LOOP").when(over, "UNRESOLVED")).withColumn("key", F.when(F.col("stopped").isNull(), without_fragment(F.col("href")))).withColumn("request", key)
-        # links that stopped need no answer; their keys are null, spread out by link
-        met = met.join(own, F.coalesce("key", F.concat(F.lit("#"), F.col("link_id").cast("string"))) == own.request_key, "left")
-        asked = F.col("stopped").isNull() & F.col("request_key").isNotNull()
-        answered = asked & F.col("edge_http").isNotNull()
-        took = F.col("elapsed_ms") + F.when(asked, F.coalesce("edge_ms", F.lit(0))).otherwise(0)
-        visit = asked & F.col("visited").isNotNull() if browsed else F.lit(False)
-        chain = F.when(visit, F.concat("chain", "visited")).otherwise(F.col("chain"))
-        here = F.when(visit & (F.size("visited") > 0), F.element_at(F.when(F.size("visited") > 0, F.col("visited")), -1)).otherwise(F.col("href"))
-        met = met.withColumns({"took": took, "answered": answered, "visit": visit, "whole": chain, "here": here})
-        too_long = F.col("visit") & (F.size("whole") - 1 > max_redirects)
-        keys = F.transform(F.concat(F.array("href"), "visited"), without_fragment)
-        round_ = F.exists(keys, lambda k: F.size(F.filter(keys, lambda x: x == k)) >= REVISITS)
-        late = F.coalesce(F.col("took") > deadline_ms, F.lit(False))
-        leads = (F.col("kind") == "follow") & F.col("target").isNotNull()
-        follow = F.col("stopped").isNull() & F.coalesce(leads, F.lit(False)) & ~late & ~too_long
-        target = F.when((F.col("edge_method") == "http") & ~F.col("target").contains("#"), F.concat("target", fragment(F.col("here")))).otherwise(F.col("target"))
-        lost = (F.col("kind") == "follow") & F.col("target").isNull()
-        status = (
-            F.when(F.col("stopped").isNotNull(), F.col("stopped")).when(F.col("request_key").isNull(), "ERROR").when(late, "TIMEOUT")
-            .when(too_long, F.when(round_, "REDIRECT_LOOP").otherwise("UNRESOLVED")).when(lost, F.coalesce("edge_status", F.lit("ERROR"))).otherwise(F.col("edge_status"))
-        )
-        many = F.lit(f"More than {max_redirects} redirects")
-        error = (
-            F.when(F.col("stopped") == "REDIRECT_LOOP", F.lit(LOOP_ERROR)).when(F.col("stopped").isNotNull(), many).when(F.col("request_key").isNull(), F.lit(NOT_CAPTURED)).when(late, F.lit(LATE_ERROR))
-            .when(too_long, F.when(round_, F.lit(LOOP_ERROR)).otherwise(many)).when(lost, F.coalesce("edge_error", F.lit("Redirect target is not a valid URL"))).otherwise(F.col("edge_error"))
-        )
-        method = F.when(F.col("answered") & ~late, F.coalesce("method", F.lit("http"))).otherwise(F.col("method"))
-        method = F.when(F.col("visit") & ~late, heavier(method, F.lit("browser"))).otherwise(method)
-        led = F.col("stopped").isNull() & F.coalesce(F.col("kind") == "follow", F.lit(False)) & ~late & ~too_long
-        step = written(
-            met.select(
-                "link_id", F.when(follow, target).otherwise(F.col("here")).alias("href"),
-                F.when(follow, F.concat("whole", F.array(target))).otherwise(F.col("whole")).alias("chain"),
-                F.concat("seen", F.array("request")).alias("seen"),
-                F.when(led, heavier(method, F.col("edge_method"))).otherwise(method).alias("method"),
-                F.coalesce(F.when(F.col("answered") & ~late, F.col("edge_http")), "http_status").alias("http_status"),
-                (F.col("credentials_removed") | F.coalesce(F.when(asked, F.col("edge_removed")), F.lit(False))).alias("credentials_removed"), F.col("took").alias("elapsed_ms"),
-                F.when(~follow, status).alias("status"), F.when(~follow, error).alias("error"),
-            ),
-            "hop",
-        )
-        finished.append(step.where("status is not null").drop("seen"))
-        active = step.where("status is null").drop("status", "error")
+        sent = active.withColumn("_sent", F.coalesce(cookie_header(F.col("jar"), origin(F.col("s.href"))), F.lit(""))).withColumn("_url", without_fragment(F.col("s.href")))
+        met = sent.join(exact, (F.col("_url") == exact["request_key"]) & (F.col("_sent") == exact["cookie"]), "left")
+        if refused:
+            met = met.join(every, F.col("_url") == F.col("_key"), "left").withColumn("step", F.coalesce("_step", "step"))
+        state = advanced(F.col("s"), F.col("step"), request_key(F.col("_url"), F.col("_sent")), max_redirects, deadline_ms, True)
+        kept = F.coalesce("set_cookies", F.array().cast(SET_COOKIES))
+        went = written(met.select("link_id", state.alias("s"), F.when(F.size(kept) > 0, stored(F.col("jar"), origin(F.col("_url")), kept)).otherwise(F.col("jar")).alias("jar")), "hop")
+        finished.append(went.where("s.status is not null").select("link_id", "s"))
+        active = went.where("s.status is null")
         if active.isEmpty():
             break
     done = finished[0]
     for more in finished[1:]:
         done = done.unionByName(more)
-    return done.select(
-        "link_id", F.when(F.col("status") == "RESOLVED", F.col("href")).alias("final_url"), "status", "method", (F.size("chain") - 1).alias("redirect_count"), "chain", "http_status",
-        F.when(F.col("status") != "RESOLVED", F.col("error")).alias("error"), "credentials_removed", "elapsed_ms",
-    )
+    return _results(done)
 
 
-def resolve_links(links: DataFrame, responses: DataFrame, dns: DataFrame | None = None, rules: DataFrame | None = None, rendered: DataFrame | None = None, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS) -> DataFrame:
+def resolve_links(links: DataFrame, responses: DataFrame, dns: DataFrame | None = None, rules: DataFrame | None = None, rendered: DataFrame | None = None, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS, cookies: bool = False) -> DataFrame:
     """The whole way from raw links (link_id, raw_url) to result records: link_id and the columns of RESULT.
 
     Input is parsed (a bad one ends as INVALID_URL with an empty chain), every captured answer
     is judged once with its page and the adapter rules, refused URLs are blocked before their
     answer is read, visits of a browser are taken in where the static readers settle nothing,
     and chains are followed.  Input that bears user information, and targets that do, lose it.
+    Without cookies only answers to requests that sent none are read; with them links carry
+    jars, and an answer counts for requests that send the same cookies.
     """
     parsed = written(links.select("link_id", parse_input_url(F.col("raw_url")).alias("p")), "input")
     good = parsed.where("p.ok").select("link_id", F.col("p.href").alias("href"), F.col("p.credentials_removed").alias("own_removed"))
-    edges = edges_of(responses, rules)
+    edges = edges_of(responses, rules, cookies)
     if rendered is not None:
         edges = rendered_edges(edges, rendered)
     edges = checked_edges(written(edges, "judged"), dns, good)
-    found = resolve_chains(good, edges, max_redirects, deadline_ms).join(good, "link_id")
+    found = resolve_chains(good, edges, max_redirects, deadline_ms, cookies).join(good, "link_id")
     report = F.when(F.col("status") == "RESOLVED", tracking_report(F.col("final_url")))
     done = found.select(
         "link_id", F.col("href").alias("original_url"), "final_url", "status", "method", "redirect_count", "chain", "http_status", F.struct("elapsed_ms").alias("timing"),
@@ -179,30 +280,3 @@ def revisit_loops(navigation: DataFrame, times: int = 3) -> DataFrame:
 def url_dedup(urls: DataFrame, url_col: str = "href") -> DataFrame:
     """Distinct URLs, fragment aside."""
     return urls.select(without_fragment(urls[url_col]).alias("request_key")).where("request_key is not null").distinct()
-
-
-def merge_rendered(steps: DataFrame, rendered: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
-    """Rows (link_id, href, chain, method, try_browser) with the visit of a browser taken in, where one was made.
-
-    Only rows with try_browser are looked up.  The visit's URLs join the chain, credentials
-    cut and without passing on a fragment; its method is at least browser.  Past the limit
-    a chain that shows one URL three times is a loop, else unresolved; a failed visit keeps
-    its status.  decide_again marks rows whose page is to be judged once more.
-    """
-    from linkhop.functions.urls import strip_credentials
-
-    look = F.when(F.col("try_browser"), without_fragment(F.col("href")))
-    r = rendered.select(without_fragment(F.col("request_url")).alias("r_key"), F.struct("ok", F.col("chain").alias("visited"), "status_code", "challenge", "refresh", "html", "status", "error").alias("visit"))
-    joined = steps.join(r, look == F.col("r_key"), "left").drop("r_key")
-    visited = F.transform(F.coalesce("visit.visited", F.array().cast("array<string>")), lambda u: strip_credentials(u)["href"])
-    chain = F.when(F.col("visit").isNull(), F.col("chain")).otherwise(F.concat("chain", visited))
-    keys = F.transform(chain, without_fragment)
-    loops = F.exists(keys, lambda k: F.size(F.filter(keys, lambda x: x == k)) >= 3)
-    over = F.col("visit").isNotNull() & (F.size(chain) - 1 > max_redirects)
-    status = F.when(F.col("visit").isNull(), F.lit(None)).when(~F.col("visit.ok"), F.col("visit.status")).when(over & loops, "REDIRECT_LOOP").when(over, "UNRESOLVED")
-    error = F.when(F.col("visit").isNull(), F.lit(None)).when(~F.col("visit.ok"), F.col("visit.error")).when(over & ~loops, F.lit(f"More than {max_redirects} redirects"))
-    return joined.select(
-        "link_id", F.when(F.size(visited) > 0, F.element_at(visited, -1)).otherwise(F.col("href")).alias("href"), chain.alias("chain"),
-        F.when(F.col("visit").isNull(), F.col("method")).otherwise(heavier(F.col("method"), F.lit("browser"))).alias("method"),
-        F.col("visit.status_code").alias("http_status"), F.col("visit.html").alias("html"), status.alias("status"), error.alias("error"), (F.col("visit").isNotNull() & status.isNull()).alias("decide_again"),
-    )

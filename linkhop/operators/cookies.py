@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Characters that an origin's cookies may take, three more than name and value each.
 MAX_PER_ORIGIN = 8192
+#: White space at both ends.
+SPACE = r"^\s+|\s+$"
 #: Months of a cookie date, and its form.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 DATE = r"([0-9]{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -]([0-9]{2,4})\s+([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})"
@@ -14,10 +16,10 @@ DATE = r"([0-9]{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -]([0-9]{2,4})\s+([0-9]{1,2}):(
 def parse_set_cookie(line: Column) -> Column:
     """struct(name, value, attributes); the name is null where there is none."""
     pair = F.split(line, ";")[0]
-    name = F.when(pair.contains("="), F.trim(F.substring_index(pair, "=", 1)))
+    name = F.when(pair.contains("="), F.regexp_replace(F.substring_index(pair, "=", 1), SPACE, ""))
     return F.struct(
         F.nullif(name, F.lit("")).alias("name"),
-        F.trim(F.substr(pair, F.length(F.substring_index(pair, "=", 1)) + 2)).alias("value"),
+        F.regexp_replace(F.substr(pair, F.length(F.substring_index(pair, "=", 1)) + 2), SPACE, "").alias("value"),
         F.transform(F.slice(F.split(line, ";"), 2, F.size(F.split(line, ";"))), lambda a: F.struct(
             F.lower(F.trim(F.substring_index(a, "=", 1))).alias("key"),
             F.when(a.contains("="), F.trim(F.substr(a, F.length(F.substring_index(a, "=", 1)) + 2))).otherwise("").alias("value"),
@@ -38,6 +40,34 @@ def cookie_expired(attributes: Column, now: Column) -> Column:
     return F.coalesce(F.when(F.size(ages) > 0, F.get(ages, F.lit(0))["value"].cast("decimal(38,0)") <= 0), F.when(F.size(ages) > 0, F.lit(False)), old, F.lit(False))
 
 
+#: A jar, and the Set-Cookie lines of an answer as they go into it.
+JAR = "map<string,array<struct<name:string,value:string>>>"
+SET_COOKIES = "array<struct<name:string,value:string,expired:boolean>>"
+
+
+def set_cookies_of(lines: Column, now: Column) -> Column:
+    """The Set-Cookie lines of an answer in order, nameless ones left out, each with whether it had expired at `now`."""
+    parsed = F.transform(F.coalesce(lines, F.array().cast("array<string>")), parse_set_cookie)
+    named = F.filter(parsed, lambda c: c["name"].isNotNull())
+    return F.transform(named, lambda c: F.struct(c["name"].alias("name"), c["value"].alias("value"), cookie_expired(c["attributes"], now).alias("expired")))
+
+
+def stored(jar: Column, origin: Column, lines: Column, most: int = MAX_PER_ORIGIN) -> Column:
+    """jar after an answer of origin: a cookie that is set again becomes the newest, an expired one goes, and the oldest go until the rest fits."""
+    own = F.coalesce(F.try_element_at(jar, origin), F.array().cast("array<struct<name:string,value:string>>"))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    added = F.aggregate(lines, own, lambda held, c: F.concat(F.filter(held, lambda x: x["name"] != c["name"]), F.when(c["expired"], none).otherwise(F.array(F.struct(c["name"].alias("name"), c["value"].alias("value"))))))
+    start = F.struct(F.lit(0).alias("size"), none.alias("kept"), F.lit(False).alias("full"))
+
+    def keep(a: Column, c: Column) -> Column:
+        size = a["size"] + F.length(c["name"]) + F.length(c["value"]) + 3
+        over = a["full"] | (size > most)
+        return F.struct(F.when(over, a["size"]).otherwise(size).alias("size"), F.when(over, a["kept"]).otherwise(F.concat(F.array(c), a["kept"])).alias("kept"), over.alias("full"))
+
+    capped = F.aggregate(F.reverse(added), start, keep, lambda a: a["kept"])
+    return F.map_concat(F.map_filter(jar, lambda k, _: k != origin), F.create_map(origin, capped))
+
+
 def cookie_latest(set_cookies: DataFrame) -> DataFrame:
     """Of (link_id, origin, seq, name, value, expired) the newest of each name, unless it has expired."""
     newest = F.row_number().over(Window.partitionBy("link_id", "origin", "name").orderBy(F.col("seq").desc()))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linkhop.functions.policy import bad_port, bad_port_error
-from linkhop.functions.urls import host, hostname, is_http_url, path, port, query, fragment, scheme, strip_credentials, without_fragment
+from linkhop.functions.urls import host, hostname, is_http_url, path, port, query, fragment, scheme, strip_credentials, utf8_url, without_fragment
 from linkhop.functions.whatwg import resolve_location
+from linkhop.operators.cookies import set_cookies_of
 from linkhop.operators.network import check_dns
 from linkhop.operators.pages import page_findings, parse_refresh, refresh_target
-from linkhop.sources.tables import decode_body
+from linkhop.sources.tables import broadcast_if_small, decode_body, written
 
 #: Statuses whose Location is followed.
 REDIRECT_STATUSES = [301, 302, 303, 307, 308]
@@ -154,23 +155,47 @@ def _judged(answers: DataFrame, headers: bool = True, pages: bool = True) -> Dat
     )
 
 
-def edges_of(responses: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def latest_answers(responses: DataFrame, cookies: bool = False) -> DataFrame:
+    """Of several answers to one request the latest, then the one with the greater hash; with _key, _cookie, _at and _h.
+
+    Without cookies only answers to requests that sent none count, and a URL is the request;
+    with them a URL and its cookies are.  Rows that are equal all stay.
+    """
+    has = lambda c, kind: F.col(c) if c in responses.columns else F.lit(None).cast(kind)
+    at = F.coalesce(has("fetched_at", "timestamp_ntz"), F.lit("1970-01-01").cast("timestamp_ntz"))
+    cookie = F.coalesce(has("cookie", "string"), F.lit(""))
+    keyed = responses.withColumns({"_key": without_fragment(utf8_url(F.col("request_url"))), "_cookie": cookie, "_at": at, "_h": F.xxhash64(*responses.columns)})
+    if not cookies:
+        keyed = keyed.where("_cookie = ''")
+    counted = keyed.groupBy("_key", "_cookie").agg(F.max(F.struct("_at", "_h")).alias("_latest"), F.count("*").alias("_n"))
+    several = written(counted.where("_n > 1").drop("_n"), "several")
+    marked = keyed.join(broadcast_if_small(several), ["_key", "_cookie"], "left")
+    return marked.where("_latest is null or (_latest._at = _at and _latest._h = _h)").drop("_latest")
+
+
+def edges_of(responses: DataFrame, rules: DataFrame | None = None, cookies: bool = False) -> DataFrame:
     """What each captured answer says about the next hop, one row (EDGE) a request key: of several answers the latest, then the one with the greater hash.
 
     Every answer is judged once, whatever number of links meets it: its Location, its Refresh
     header, its page (body, or html as text) and the adapter rules.  Targets are resolved
     against the URL that sent them; one that can't be followed is null and has its status
-    and error.  Columns that responses lack count as null.
+    and error.  Headers whose bytes are UTF-8 are read as such.  Columns that responses lack
+    count as null.  Without cookies only answers to requests that sent none are read; with
+    them there is a row for each URL and cookie header, with the Set-Cookie lines it answers.
     """
     has = lambda c, kind: F.col(c) if c in responses.columns else F.lit(None).cast(kind)
-    hop = hop_kind(F.col("status_code"), F.col("location"))
+    latest = latest_answers(responses, cookies)
+    hop = hop_kind(F.col("status_code"), F.transform("location", utf8_url))
     failed = hop_error(F.col("error_code"), F.col("error_message"), has("cause", "string"))
-    at = F.coalesce(has("fetched_at", "timestamp_ntz"), F.lit("1970-01-01").cast("timestamp_ntz"))
-    own = F.struct(without_fragment(F.col("request_url")).alias("request_key"), at.alias("at"), F.xxhash64(*responses.columns).alias("h"), has("elapsed_ms", "long").alias("elapsed_ms"))
+    own = F.struct(F.col("_key").alias("request_key"), F.col("_cookie").alias("cookie"), has("elapsed_ms", "long").alias("elapsed_ms"))
+    if cookies:
+        # without a time of its own an answer is as old as the run
+        now = F.coalesce(has("fetched_at", "timestamp_ntz"), F.current_timestamp().cast("timestamp_ntz")).cast("timestamp")
+        own = F.struct(own["request_key"].alias("request_key"), own["cookie"].alias("cookie"), own["elapsed_ms"].alias("elapsed_ms"), set_cookies_of(has("set_cookies", "array<string>"), now).alias("set_cookies"))
     text = has("html", "string") if "html" in responses.columns else decode_body(has("body", "binary"), has("content_type", "string"), has("content_encoding", "string"), hop["location"])
-    rows = responses.select(
-        own.alias("own"), without_fragment(F.col("request_url")).alias("url"), "status_code", challenge(F.col("cf_mitigated")).alias("challenged"), hop["location"].alias("location"),
-        F.get(has("refresh", "array<string>"), F.lit(0)).alias("refresh"), F.coalesce(failed["status"], F.when(hop["error"].isNotNull(), "ERROR")).alias("bad"), F.coalesce(failed["error"], hop["error"]).alias("why"), text.alias("page"),
+    rows = latest.select(
+        own.alias("own"), F.col("_key").alias("url"), "status_code", challenge(F.col("cf_mitigated")).alias("challenged"), hop["location"].alias("location"),
+        utf8_url(F.get(has("refresh", "array<string>"), F.lit(0))).alias("refresh"), F.coalesce(failed["status"], F.when(hop["error"].isNotNull(), "ERROR")).alias("bad"), F.coalesce(failed["error"], hop["error"]).alias("why"), text.alias("page"),
     )
     if rules is None:
         rows = rows.withColumn("adapter", F.lit(None).cast("string"))
@@ -178,8 +203,10 @@ def edges_of(responses: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         asked = apply_adapters(rows.select(F.col("url").alias("page_id"), "url").distinct(), rules).select(F.col("page_id").alias("url"), F.col("target").alias("adapter"))
         rows = rows.join(asked, "url", "left")
     judged = _judged(rows, "refresh" in responses.columns, not {"html", "body"}.isdisjoint(responses.columns))
-    latest = judged.groupBy("own.request_key").agg(F.max_by(F.struct(*judged.columns), F.struct("own.at", "own.h")).alias("r"))
-    return latest.select("request_key", *(f"r.{c}" for c in judged.columns[1:]), F.col("r.own.elapsed_ms").alias("elapsed_ms"), F.lit(None).cast("array<string>").alias("visited"))
+    # equal answers are one
+    one = judged.groupBy("own.request_key", "own.cookie").agg(F.first(F.struct(*judged.columns)).alias("r"))
+    edges = one.select("request_key", *(f"r.{c}" for c in judged.columns[1:]), F.col("r.own.elapsed_ms").alias("elapsed_ms"), *(["cookie", "r.own.set_cookies"] if cookies else []))
+    return edges
 
 
 def rendered_edges(edges: DataFrame, rendered: DataFrame) -> DataFrame:
@@ -207,7 +234,7 @@ def rendered_edges(edges: DataFrame, rendered: DataFrame) -> DataFrame:
     met = edges.join(visits, F.when(F.col("try_browser"), F.col("request_key")) == F.col("v_key"), "left")
     new = lambda c: F.when(F.col("v").isNotNull(), F.col(f"v.{c}")).otherwise(F.col(c)).alias(c)
     return met.select(
-        "request_key", *map(new, ("kind", "target", "method", "status", "error", "http_status")), F.col("try_browser"),
+        *(c for c in ("request_key", "cookie", "set_cookies") if c in edges.columns), *map(new, ("kind", "target", "method", "status", "error", "http_status")), F.col("try_browser"),
         (F.coalesce("credentials_removed", F.lit(False)) | F.coalesce(F.col("v.credentials_removed") | F.col("v.removed"), F.lit(False))).alias("credentials_removed"), "elapsed_ms", F.col("v.visited").alias("visited"),
     )
 
@@ -227,6 +254,6 @@ def checked_edges(edges: DataFrame, dns: DataFrame | None, links: DataFrame | No
     verdicts = check_dns(keys, dns).toDF("v_host", "v_status", "v_error")
     judged = keys.join(verdicts, F.col("host") == F.col("v_host"), "left")
     status = F.when(bad_port(F.col("port")), "BLOCKED").otherwise(F.col("v_status"))
-    refused = judged.select("request_key", status.alias("status"), F.coalesce(bad_port_error(F.col("port")), "v_error").alias("error")).where("status is not null")
+    refused = written(judged.select("request_key", status.alias("status"), F.coalesce(bad_port_error(F.col("port")), "v_error").alias("error")).where("status is not null"), "refused")
     rows = refused.select("request_key", F.lit("failed").alias("kind"), "status", "error")
     return edges.join(refused.select("request_key"), "request_key", "left_anti").unionByName(rows, allowMissingColumns=True).select(*edges.columns)

@@ -43,6 +43,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table of narrow rows, with a broadcast hint if it has at most that many, else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def read_links(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Links from a JSON array of {service, url, expected?, note?}, from text with one URL a line, or from Parquet.
 

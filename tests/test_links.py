@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkhop.operators import cookies, hops, pages
-from linkhop.operators.chains import merge_rendered, resolve_chains
+from linkhop.operators.chains import resolve_chains, with_cookies, steps_by_key
 
 
 def follow(links, edges, most=20):
@@ -208,8 +208,72 @@ def test_deep_scripts_and_long_cookies(spark):
     assert c.head()["x"]
 
 
-def test_rendered(spark):
-    steps = spark.createDataFrame([(1, "http://a.test/#x", ["http://a.test/"], "http", True), (2, "http://b.test/", ["http://b.test/"], None, False)], "link_id long, href string, chain array<string>, method string, try_browser boolean")
-    visit = spark.createDataFrame([("http://a.test/", True, ["http://u:p@c.test/"], 200, False, None, "<p>", None, None)], "request_url string, ok boolean, chain array<string>, status_code int, challenge boolean, refresh string, html string, status string, error string")
-    got = {r.link_id: (r.href, r.chain, r.method, r.decide_again) for r in merge_rendered(steps, visit).collect()}
-    assert got == {1: ("http://c.test/", ["http://a.test/", "http://c.test/"], "browser", True), 2: ("http://b.test/", ["http://b.test/"], None, False)}
+@pytest.mark.parametrize("most", [0, 1, 2, 5, 20, 33])
+def test_walks_agree_with_the_hop_loop(spark, most):
+    """Doubling and a join a hop end every link alike: loops of all lengths, long chains, slow answers, lost targets, visits."""
+    rng = random.Random(most)
+    url = lambda i: f"http://a.test/{i}"
+    rows = []
+    for i in range(160):
+        kind = rng.choices(["follow", "arrived", "stop"], [12, 1, 1])[0]
+        to = url(i + 1 if i >= 100 else rng.randrange(110)) + rng.choice(["", "", "#own"]) if rng.random() < 0.95 else None
+        rows.append((url(i), kind, to if kind == "follow" else None, rng.choice(["http", "html", "javascript"]), {"arrived": "RESOLVED", "stop": "UNRESOLVED"}.get(kind, rng.choice([None, "BLOCKED"])), rng.choice([None, "why"]),
+                     rng.choice([200, 302, None]), rng.random() < 0.1, rng.choice([1, 1, 1, 900]), rng.choice([None] * 8 + [[], [url(500), url(501)], [url(i)] * 4])))
+    schema = "request_key string, kind string, target string, method string, status string, error string, http_status int, credentials_removed boolean, elapsed_ms long, visited array<string>"
+    edges = spark.createDataFrame(rows, schema)
+    links = spark.createDataFrame([(i, url(rng.randrange(165)) + rng.choice(["", "#f"])) for i in range(120)], "link_id long, href string")
+    cookieless = edges.withColumns({"cookie": F.lit(""), "set_cookies": F.lit(None).cast("array<struct<name:string,value:string,expired:boolean>>")})
+    one = sorted(map(tuple, resolve_chains(links, edges, most, 2000).collect()), key=str)
+    assert one == sorted(map(tuple, with_cookies(links, steps_by_key(cookieless), most, 2000).collect()), key=str)
+    assert len({r[2] for r in one}) >= (3 if most < 2 else 4)
+
+
+def test_routes_with_cookies(spark):
+    from linkhop.operators.chains import resolve_links
+    from linkhop.sources.tables import RESPONSES
+
+    def answer(path, cookie, location=None, sets=None, host="cookie.test"):
+        return (f"http://{host}{path}", cookie, 302 if location else 200, [location] if location else None, sets, None, None, None, None, None, None, None, None, 1)
+
+    big = lambda i: f"c{i}=" + "v" * 3000
+    rows = [
+        answer("/check", None, "/check", ["seen=1; Path=/; HttpOnly"]), answer("/check", "seen=1", "http://dest.test/page"), answer("/page", "", host="dest.test"), answer("/page", "seen=1", "/wrong", host="dest.test"),
+        answer("/set", None, "/delete", ["temp=1"]), answer("/delete", "temp=1", "/after", ["temp=; Max-Age=0"]), answer("/after", None), answer("/after", "temp=1", "/wrong"),
+        answer("/elsewhere", None, "http://other.test/page", ["a=1"]), answer("/page", None, host="other.test"),
+        *(answer("/counter", f"n={n}" if n else None, "/counter", [f"n={n + 1}"]) for n in range(40)),
+        # three cookies of 3,003 characters don't fit: the oldest goes, and stays gone
+        answer("/big", None, "/bigger", [big(1), big(2)]), answer("/bigger", f"{big(1)}; {big(2)}", "/biggest", [big(3)]), answer("/biggest", f"{big(2)}; {big(3)}", "/least", ["c3=; Max-Age=-1", "c2=x"]), answer("/least", "c2=x"),
+        answer("/order", None, "/order2", ["a=1", "b=2", "a=3"]), answer("/order2", "b=2; a=3"), answer("/order2", "a=3; b=2", "/wrong"),
+        answer("/start", None, "/gate"), answer("/gate", None, "/gate", ["g=1"]), answer("/gate", "g=1"),
+    ]
+    responses = spark.createDataFrame(rows, RESPONSES)
+    paths = ["check", "set", "elsewhere", "counter", "big", "order", "start"]
+    links = spark.createDataFrame([(i, f"cookie.test/{p}".replace("cookie", "http://cookie")) for i, p in enumerate(paths)], "link_id long, raw_url string")
+    got = {paths[r.link_id]: (r.status, r.redirect_count, r.final_url) for r in resolve_links(links, responses, cookies=True).collect()}
+    assert got == {
+        "check": ("RESOLVED", 2, "http://dest.test/page"), "set": ("RESOLVED", 2, "http://cookie.test/after"), "elsewhere": ("RESOLVED", 1, "http://other.test/page"), "counter": ("UNRESOLVED", 21, None),
+        "big": ("RESOLVED", 3, "http://cookie.test/least"), "order": ("RESOLVED", 1, "http://cookie.test/order2"), "start": ("RESOLVED", 2, "http://cookie.test/gate"),
+    }
+    # without cookies only answers to requests that sent none are read
+    plain = {paths[r.link_id]: (r.status, r.redirect_count) for r in resolve_links(links, responses).collect()}
+    assert plain["check"] == ("REDIRECT_LOOP", 1) and plain["start"] == ("REDIRECT_LOOP", 2) and plain["elsewhere"] == ("RESOLVED", 1) and plain["set"] == ("ERROR", 1)
+
+
+def test_refused_urls_are_refused_with_any_cookie(spark):
+    from linkhop.operators.chains import resolve_links
+    from linkhop.sources.tables import RESPONSES
+
+    row = lambda url, cookie, to, sets=None: (url, cookie, 302 if to else 200, [to] if to else None, sets, None, None, None, None, None, None, None, None, 1)
+    responses = spark.createDataFrame([row("http://a.test/", None, "http://a.test:25/", ["x=1"]), row("http://a.test:25/", "x=1", None), row("http://a.test/2", None, "http://127.0.0.1/"), row("http://127.0.0.1/", None, None)], RESPONSES)
+    links = spark.createDataFrame([(1, "http://a.test/"), (2, "http://a.test/2")], "link_id long, raw_url string")
+    got = {r.link_id: (r.status, r.error, r.redirect_count) for r in resolve_links(links, responses, cookies=True).collect()}
+    assert got == {1: ("BLOCKED", "Port 25 is not allowed", 1), 2: ("BLOCKED", "127.0.0.1 is a private or reserved address", 1)}
+
+
+def test_header_bytes(spark):
+    """A Location whose bytes are UTF-8 leads to what it spells; one that isn't stays as it is."""
+    spelled = "/ü漢".encode().decode("latin-1")
+    rows = [("http://a.test/1", 302, [spelled]), ("http://a.test/2", 302, ["/ü"]), ("http://a.test/3", 302, ["/漢"])]
+    df = spark.createDataFrame([(u, c, l, None, None, None) for u, c, l in rows], "request_url string, status_code int, location array<string>, cf_mitigated string, error_code string, error_message string")
+    got = {r.request_key[-1]: r.target for r in hops.edges_of(df).collect()}
+    assert got == {"1": "http://a.test/%C3%BC%E6%BC%A2", "2": "http://a.test/%C3%BC", "3": "http://a.test/%E6%BC%A2"}
