@@ -503,6 +503,24 @@ def page_findings(spark, sf):
     return find(pages).select("page_id", "kind", "url", "method")
 
 
+@query("script_findings", """SELECT page_id, CASE WHEN page_id % 8 IN (0, 1, 3, 6) THEN 'redirect' WHEN page_id % 8 = 4 THEN 'unknown-script' ELSE 'none' END AS kind,
+    CASE WHEN page_id % 8 IN (0, 1, 3, 6) THEN 'http://s.example/' || page_id END AS url, page_id % 8 = 2 AS unsettled FROM pages""")
+def script_findings(spark, sf):
+    """Every page's own HTML behind scripts with braces and comment marks in strings, functions, other windows, rivals, and scripts over the budget."""
+    from linkhop.operators.pages import page_findings as find
+
+    m = F.col("page_id") % 8
+    to = F.concat(F.lit("'http://s.example/"), F.col("page_id").cast("string"), F.lit("'"))
+    script = lambda *parts: F.concat(F.lit("<script>"), *(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit("</script>"))
+    scripts = (
+        F.when(m == 0, script("var s = '}', t = '{//'; location = ", to)).when(m == 1, script("var u = '/*'; window.location.replace(", to, "); var v = '*/'")).when(m == 2, script("function go() { location = ", to, " }"))
+        .when(m == 3, F.concat(script(F.lit("a();" * 17000)), script("location.href = ", to))).when(m == 4, script("location = ", to, "\nlocation = 'http://z.example/'")).when(m == 5, script("frames[0].contentWindow.location = ", to, "; element.location = ", to))
+        .when(m == 6, script("var r = /[}{]/; self['location'].href = ", to)).otherwise(F.concat(script(F.lit("b();" * 16300)), script(F.lit("b();" * 16300)), script(F.lit("b();" * 16300)), script(F.lit("b();" * 16300)), script("location = ", to, F.lit(" " * 3000))))
+    )
+    pages = table(spark, sf, "pages").select("page_id", F.lit("http://p.example/").alias("url"), F.concat(scripts, F.coalesce("html", F.lit(""))).alias("html"))
+    return find(pages).select("page_id", "kind", "url", F.col("script_unsettled").alias("unsettled"))
+
+
 @query("single_target", "WITH s AS (SELECT user_id AS page_id, CASE WHEN event_id % 13 = 0 THEN 'unknown' WHEN event_id % 3 = 0 THEN 'target' ELSE 'maybe' END AS kind, 'http://t.example/' || (event_id % 2) AS url FROM events), g AS (SELECT page_id, count(DISTINCT url) FILTER (kind = 'target') AS n, bool_or(kind = 'unknown') AS u, min(url) FILTER (kind = 'target') AS url FROM s GROUP BY page_id) SELECT page_id, CASE WHEN n = 1 AND NOT u THEN 'redirect' WHEN n > 0 OR u THEN 'unknown' ELSE 'maybe' END AS kind, CASE WHEN n = 1 AND NOT u THEN url END AS url FROM g")
 def single_target(spark, sf):
     from linkhop.operators.pages import single_target as one

@@ -1,4 +1,4 @@
-"""Redirects that pages make: refreshes, frames, leaving pages, scripts with constant targets.
+"""Redirects that pages make: refreshes, frames, leaving pages, what scripts.py reads of scripts.
 
 A page is scanned once, by a small parser on batches; what follows is column work on the
 arrays that the scan gives.  Pages that hold nothing of interest are settled by one
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from linkhop.functions.urls import hostname, is_http_url, query_params, without_fragment
 from linkhop.functions.whatwg import decoded_params, named_urls, parse
+from linkhop.operators.scripts import sinks_of
 
 MAX_DELAY, MAX_DEPTH = 60, 512
 #: Visible widgets that only a person completes.
@@ -25,7 +26,6 @@ SCRIPT_TYPES = [
     "text/ecmascript", "text/javascript", "text/javascript1.0", "text/javascript1.1", "text/javascript1.2", "text/javascript1.3",
     "text/javascript1.4", "text/javascript1.5", "text/jscript", "text/livescript", "text/x-ecmascript", "text/x-javascript",
 ]
-MAX_SCRIPT, MAX_SCRIPTS = 65536, 262144
 _VOID = {"area", "base", "br", "col", "embed", "frame", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _WS = r"\t\n\f\r "
 
@@ -128,22 +128,6 @@ def refresh_parts(content: str) -> tuple[float, str | None] | None:
     return float(m[1] or 0), body if rest else None
 
 
-def sinks_of(scripts: list[str]) -> tuple[list[str], int]:
-    """The constant targets of top-level statements in the scripts of one page, within the budget, and how often they mention leaving."""
-    targets, mentions, held = [], 0, 0
-    for s in scripts:
-        if len(s) > MAX_SCRIPT or held + len(s) > MAX_SCRIPTS:
-            continue
-        held += len(s)
-        mentions += len(re.findall(_MENTION, s))
-        top = re.sub(_COMMENT, " ", s)
-        while (less := re.sub(r"\{[^{}]*\}", ";", top)) != top:
-            top = less
-        if not re.search(r"[{}]", top):
-            targets += [(m[1] or m[2] or m[3])[1:-1].replace("\\/", "/") for m in re.finditer(_SINK, top)]
-    return targets, mentions
-
-
 def scan(html: str | None, page: str, links: bool) -> tuple:
     s = _Scan(page, links)
     try:
@@ -160,10 +144,10 @@ def scan(html: str | None, page: str, links: bool) -> tuple:
         return None if url is None else url.href
 
     refreshes = [(p[0], p[1], href(p[1], base), quiet) for content, base, quiet in o["refreshes"] if (p := refresh_parts(content)) is not None]
-    targets, mentions = sinks_of(o["scripts"])
+    targets, loose, soft = sinks_of(o["scripts"])
     jumps = [href(t, s.base) for t in targets]
     linked = [(h, [k for k, _, _ in named_urls(h, decoded_params(h))]) for x in o["links"] if (h := href(x, s.base)) is not None]
-    return refreshes, o["human"], o["password"], o["frameset"], [href(x, s.base) for x in o["frames"]], linked, "".join(s.text), jumps, mentions - len(targets), mentions
+    return refreshes, o["human"], o["password"], o["frameset"], [href(x, s.base) for x in o["frames"]], linked, "".join(s.text), jumps, loose, len(targets) + loose + soft
 
 
 @F.pandas_udf(SCAN)
@@ -201,38 +185,10 @@ def return_to(url: Column) -> Column:
     return F.exists(query_params(url), lambda p: p["value"].rlike("^(/|(?i)https?://)"))
 
 
-def script_budget(scripts: Column) -> Column:
-    """The scripts that are read, in order: none too long, none that would take the kept ones past the limit."""
-    empty = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"))
-
-    def add(s, x):
-        n = F.length(x)
-        fits = (n <= MAX_SCRIPT) & (s["n"] + n <= MAX_SCRIPTS)
-        return F.when(fits, F.struct(F.concat(s["kept"], F.array(x)).alias("kept"), (s["n"] + n).alias("n"))).otherwise(s)
-
-    return F.aggregate(scripts, empty, add, lambda s: s["kept"])
-
-
-#: Comments.
-_COMMENT = r"(?s:/\*.*?\*/)|(?m:(?<![:\"'\\])//[^\n]*$)"
-_MENTION = r"\blocation\b|\bnavigate\b|\bopen\s*\("
-_PLACE = r"(?:(?:window|self|top|parent|document|this)\s*\.\s*)*"
-_TEXT = r"(\"(?:[^\"\\\n]|\\/)*\"|'(?:[^'\\\n]|\\/)*')"
-_SINK = rf"(?:^|;)\s*(?:{_PLACE}location(?:\s*\.\s*href)?\s*=\s*{_TEXT}|{_PLACE}location\s*\.\s*(?:replace|assign)\s*\(\s*{_TEXT}\s*\)|{_PLACE}open\s*\(\s*{_TEXT}\s*,\s*[\"'](?:_self|_top|_parent)[\"']\s*\))\s*(?=;|$)"
-
-
-def script_mentions(scripts: Column) -> Column:
-    return F.exists(scripts, lambda s: s.rlike(_MENTION))
-
-
-@F.pandas_udf(T.StructType([T.StructField("targets", T.ArrayType(T.StringType())), T.StructField("mentions", T.IntegerType())]))
+@F.pandas_udf(T.StructType([T.StructField("targets", T.ArrayType(T.StringType())), T.StructField("loose", T.IntegerType()), T.StructField("soft", T.IntegerType())]))
 def script_sinks(scripts: pd.Series) -> pd.DataFrame:
-    """struct(targets, mentions) of the scripts of a page together: the constant targets of top-level statements, and all mentions of leaving.
-
-    Comments go and bodies in braces are emptied, however deep, so that only straight-line
-    statements can match; a script whose braces don't close has no sure target.
-    """
-    return pd.DataFrame([sinks_of([] if s is None else list(s)) for s in scripts], columns=["targets", "mentions"])
+    """struct(targets, loose, soft) of the scripts of a page together: sure targets, other ways out, and what else may move the page."""
+    return pd.DataFrame([sinks_of([] if s is None else list(s)) for s in scripts], columns=["targets", "loose", "soft"])
 
 
 def single_target(sinks: DataFrame) -> DataFrame:
@@ -246,7 +202,7 @@ def single_target(sinks: DataFrame) -> DataFrame:
     return g.select("page_id", kind.alias("kind"), F.when(kind == "redirect", F.col("url")).alias("url"))
 
 
-_OF_INTEREST = r"(?i)http-equiv|frameset|captcha|turnstile|password|\blocation\b|\bnavigate\b|\bopen\s*\("
+_OF_INTEREST = r"(?i)http-equiv|frameset|captcha|turnstile|password|location|open\s*\(|\b(?:submit|click)\s*\(|\beval\b|\bnew\s+Function\b"
 
 
 def page_findings(pages: DataFrame) -> DataFrame:
