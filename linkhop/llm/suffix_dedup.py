@@ -30,6 +30,8 @@ from linkhop.llm.deep_shallow import shared_stretches
 
 #: Bytes of a repeat, of an anchor string, and classes of an anchor string that are sorted in one task.
 LENGTH, K, GROUP = 400, 64, 128
+#: Keys of texts, 16 bytes each, up to which they are broadcast, so that only texts that are read or cut are shuffled.
+MOST_BROADCAST = 400_000
 #: Windows that are looked at together; a longer text is cut, its passages at the cuts too.
 SEGMENT = 1_000_000
 
@@ -233,7 +235,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group: int
     texts = written(docs.groupBy("k1", "k2").agg(F.count("*").alias("times")), "texts")
     n_texts = texts.agg(F.coalesce(F.sum("times"), F.lit(0))).head()[0]
     keys = written(texts.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi"), "keys")
-    readable = one_of_equal(docs, keys, n_texts).join(wanted, ["k1", "k2"])
+    # texts that nothing is read from stay where they are
+    readable = one_of_equal(docs, keys, n_texts, MOST_BROADCAST).join(wanted, ["k1", "k2"])
     items = written(readable.mapInArrow(_read(length), ITEM), "items")
     width = 1 << (length - k).bit_length()
     names = [c.split()[0] for c in ITEM.split(", ")]
@@ -304,7 +307,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     spans = repeated_spans(keyed.select("k1", "k2", "text"), length)
     by_text = written(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "spans")
     schema = T.StructType([keyed.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    joined = keyed.join(by_text, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    keys = written(by_text.select("k1", "k2", F.lit(True).alias("_cut")), "cut")
+    if keys.count() <= MOST_BROADCAST:
+        # texts that keep all their bytes aren't shuffled
+        marked = keyed.join(F.broadcast(keys), ["k1", "k2"], "left")
+        whole = marked.where("_cut is null").select("doc_id", "text", F.lit(None).cast(by_text.schema["spans"].dataType).alias("spans"))
+        joined = whole.unionByName(marked.where("_cut").join(by_text, ["k1", "k2"]).select("doc_id", "text", "spans"))
+    else:
+        joined = keyed.join(by_text, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(schema), schema)
 
 
