@@ -254,6 +254,15 @@ r AS (SELECT page_id AS link_id, 'http://p.example/' || page_id AS href, ['http:
 @query("resolve_links", f"WITH RECURSIVE {_MANY} SELECT link_id, chain[1] AS original_url, CASE WHEN status = 'RESOLVED' THEN href END AS final_url, status, method, (len(chain) - 1)::INTEGER AS redirect_count, chain, http_status, error, removed AS credentials_removed, took AS elapsed_ms, CASE WHEN status = 'RESOLVED' THEN href END AS clean_url FROM r WHERE status IS NOT NULL")
 def resolve_links(spark, sf):
     """The whole way from raw input to result records: relative targets, refreshes in headers and pages, credentials, refused schemes, ports and addresses."""
+    return _flat(chains.resolve_links(*raw_web(spark, sf)))
+
+
+def _flat(r: DataFrame) -> DataFrame:
+    return r.select("link_id", "original_url", "final_url", "status", "method", "redirect_count", "chain", "http_status", "error", "security.credentials_removed", "timing.elapsed_ms", "tracking.clean_url")
+
+
+def raw_web(spark, sf):
+    """Raw links and captured answers of every page."""
     i, m = F.col("page_id"), F.col("page_id") % 50
     to = F.when(m == 7, i + 1).when(m == 8, i - 1).otherwise(F.floor(i / 2)).cast("string")
     code = F.when(m.isin(44, 46) | (i % 10 == 0), 200).when(i % 10 == 9, 404).otherwise(302)
@@ -269,8 +278,7 @@ def resolve_links(spark, sf):
         F.lit("text/html").alias("content_type"), none.alias("content_encoding"), page.cast("binary").alias("body"), none.alias("cf_mitigated"), none.alias("error_code"), none.alias("error_message"), (i % 7).alias("elapsed_ms"),
     )
     links = pages.select(i.alias("link_id"), F.when(i % 5 == 0, F.concat(F.lit(" http://u:p@p.example/"), i)).otherwise(F.concat(F.lit("HTTP://p.EXAMPLE:80/"), i)).alias("raw_url"))
-    r = chains.resolve_links(links, answers)
-    return r.select("link_id", "original_url", "final_url", "status", "method", "redirect_count", "chain", "http_status", "error", "security.credentials_removed", "timing.elapsed_ms", "tracking.clean_url")
+    return links, answers
 
 
 _SENT = "'' 'seen=1' 'b=2' 'seen=1; b=2' 'b=2; seen=1'".replace("' '", "', '")
@@ -592,28 +600,54 @@ def rate_limit(spark, sf):
     return settle(r.run_available(r.rate_limit(s, 2, "1 hour"), "complete"), "start")
 
 
-@query("settled_pages", """WITH g AS (SELECT user_id AS visit_id, ts, event_id, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-    s AS (SELECT *, sum(n) OVER (PARTITION BY visit_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-    SELECT visit_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS events FROM s GROUP BY visit_id, k""")
+@query(
+    "settled_pages",
+    """WITH RECURSIVE q AS (SELECT user_id AS visit_id, ts, event_id % 4 AS m, 'http://a.example/' || event_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    r AS (SELECT visit_id, k, ts AS start, ts AS last, m = 0 AS pending, m = 2 AS ready, CASE WHEN m = 0 THEN u END AS url, 1::BIGINT AS n, NULL::TIMESTAMP AS o_start, NULL::TIMESTAMP AS o_end, NULL::VARCHAR AS o_url, NULL::BIGINT AS o_n FROM q WHERE k = 1
+      UNION ALL
+      SELECT visit_id, k, CASE WHEN over THEN ts ELSE start END, ts, CASE m WHEN 0 THEN true WHEN 1 THEN false ELSE pending END, CASE m WHEN 0 THEN false WHEN 2 THEN true ELSE ready END, CASE WHEN m = 0 THEN u ELSE url END,
+             CASE WHEN over THEN 1 ELSE n + 1 END, CASE WHEN over THEN start END, CASE WHEN over THEN last + INTERVAL 12 HOUR END, CASE WHEN over THEN url END, CASE WHEN over THEN n END
+      FROM (SELECT q.visit_id, q.k, q.ts, q.m, q.u, start, last, pending, ready, url, n, NOT pending AND ready AND q.ts >= last + INTERVAL 12 HOUR AS over FROM r JOIN q ON q.visit_id = r.visit_id AND q.k = r.k + 1))
+    SELECT visit_id, o_start AS start, o_end AS "end", o_url AS url, o_n AS events FROM r WHERE o_end IS NOT NULL""",
+)
 def settled_pages(spark, sf):
+    """Events as navigations, answers and reads of pages; what the log's end leaves open is not told."""
     from linkhop.streaming import requests as r
 
-    s = event_stream(spark, sf).select(F.col("user_id").alias("visit_id"), "ts", F.concat(F.lit("http://a.example/"), "event_id").alias("url"))
-    return settle(r.run_available(r.settled_pages(s, "12 hours"), "complete"), "start", "end").drop("url")
+    m = F.col("event_id") % 4
+    kind = F.when(m == 0, r.NAVIGATE).when(m == 1, r.ANSWERED).when(m == 2, r.READ).otherwise("other")
+    s = event_stream(spark, sf).select(F.col("user_id").alias("visit_id"), "event_id", "ts", kind.alias("kind"), F.concat(F.lit("http://a.example/"), F.col("event_id").cast("string")).alias("url"))
+    return settle(r.run_available(r.settled_pages(s, 12 * 3600 * 1000)), "start", "end")
+
 
+_ANSWERED = """WITH l AS (SELECT event_id AS link_id, user_id, ts FROM events WHERE event_type = 'signup'), a AS (SELECT user_id, ts AS a_ts FROM events WHERE event_type = 'purchase'),
+    j AS (SELECT link_id, l.user_id, ts, count(a_ts) AS answers FROM l LEFT JOIN a ON l.user_id = a.user_id AND a_ts >= ts AND a_ts <= ts + INTERVAL 2 DAY GROUP BY ALL)"""
 
-@query("deadline_join", "WITH l AS (SELECT event_id AS link_id, user_id, ts FROM events WHERE event_type = 'signup'), a AS (SELECT user_id, ts AS a_ts FROM events WHERE event_type = 'purchase') SELECT link_id, l.user_id, count(a_ts) AS answers, CASE WHEN count(a_ts) = 0 THEN 'TIMEOUT' END AS status FROM l LEFT JOIN a ON l.user_id = a.user_id AND a_ts >= ts AND a_ts <= ts + INTERVAL 2 DAY GROUP BY ALL")
+
+@query("deadline_join", f"{_ANSWERED} SELECT link_id, user_id, answers, CASE WHEN answers = 0 THEN 'TIMEOUT' END AS status FROM j")
 def deadline_join(spark, sf):
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _answered(e, e)
+
+
+def _answered(starts: DataFrame, ends: DataFrame, run=lambda df: df) -> DataFrame:
     from linkhop.streaming import requests as r
 
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    links = e.where("event_type = 'signup'").select(F.col("user_id").alias("link_id"), F.col("event_id").alias("request_id"), "ts")
-    answers = e.where("event_type = 'purchase'").select(F.col("user_id").alias("a_link_id"), F.col("ts").alias("a_ts"))
-    joined = r.deadline_join(links, answers, "2 days")
+    links = starts.where("event_type = 'signup'").select(F.col("user_id").alias("link_id"), F.col("event_id").alias("request_id"), "ts")
+    answers = ends.where("event_type = 'purchase'").select(F.col("user_id").alias("a_link_id"), F.col("ts").alias("a_ts"))
+    joined = run(r.deadline_join(links, answers, "2 days"))
     g = joined.groupBy(F.col("request_id").alias("l"), F.col("link_id").alias("user_id")).agg(F.count("a_ts").alias("answers"))
     return g.select(F.col("l").alias("link_id"), "user_id", "answers", F.when(F.col("answers") == 0, "TIMEOUT").alias("status"))
 
 
+@query("deadline_streams", f"{_ANSWERED} SELECT link_id, user_id, answers, CASE WHEN answers = 0 THEN 'TIMEOUT' END AS status FROM j WHERE answers > 0 OR ts + INTERVAL 2 DAY < (SELECT least((SELECT max(ts) FROM l), (SELECT max(a_ts) FROM a)) - INTERVAL 1 MINUTE)")
+def deadline_streams(spark, sf):
+    """Links and answers as two streams: matches, and timeouts of links whose deadline both watermarks have passed."""
+    from linkhop.streaming import requests as r
+
+    return _answered(event_stream(spark, sf), event_stream(spark, sf), lambda df: r.run_available(df, flush=True))
+
+
 @query("dedup_requests", "SELECT DISTINCT user_id AS link_id, 'http://a.example/' || (event_id % 7) AS request_key FROM events")
 def dedup_requests(spark, sf):
     from linkhop.streaming import requests as r
@@ -641,22 +675,25 @@ def cache_stream(spark, sf):
     return settle(r.run_available(r.cache_stream(s, ttl_seconds=12 * 3600)), "ts")
 
 
-@query("resolve_stream", _RESULTS)
+@query("resolve_stream", f"WITH RECURSIVE {_MANY} SELECT link_id, chain[1] AS original_url, CASE WHEN status = 'RESOLVED' THEN href END AS final_url, status, method, (len(chain) - 1)::INTEGER AS redirect_count, chain, http_status, error, removed AS credentials_removed, took AS elapsed_ms, CASE WHEN status = 'RESOLVED' THEN href END AS clean_url FROM r WHERE status IS NOT NULL")
 def resolve_stream(spark, sf):
-    """Pages as a stream of links, resolved batch by batch against the captured answers."""
-    from linkhop.sources.tables import written
+    """The links and answers of resolve_links as two streams, a few files a batch and answers last, so that links wait for them."""
+    from linkhop.sources.tables import new_path, written
     from linkhop.streaming import requests as r
 
+    links, answers = raw_web(spark, sf)
+    at = F.lit("2024-01-01").cast("timestamp")
+    # answers of high numbers first: links of low ones wait longest
+    own, came = new_path(spark, "links"), new_path(spark, "answers")
+    links.withColumn("ts", at).repartition(2, "link_id").write.parquet(own)
+    answers.withColumn("n", F.regexp_extract("request_url", "[0-9]+$", 0).cast("long")).repartitionByRange(2, F.col("n").desc()).drop("n").withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp_ntz")).write.parquet(came)
+    stream = lambda path: spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
     found = []
-    pages = table(spark, sf, "pages")
-    links = spark.readStream.schema(pages.schema).parquet(f"{sf}/pages.parque[t]")
-    links = links.select(F.col("page_id").alias("link_id"), F.concat(F.lit("http://p.example/"), F.col("page_id").cast("string")).alias("href"))
-    edges = written(hops.edges_of(web(spark, sf).drop("page_id")), "edges")
-    r.resolve_stream(links, edges, lambda results, _: found.append(written(results, "resolved"))).trigger(availableNow=True).option("checkpointLocation", r.offsets(spark)).start().awaitTermination()
-    out = found[0] if found else results(spark, sf).limit(0)
+    r.resolve_stream(stream(own), stream(came), lambda results, _: found.append(written(results, "resolved"))).trigger(availableNow=True).option("checkpointLocation", r.offsets(spark)).start().awaitTermination()
+    out = found[0] if found else chains.resolve_links(links, answers).limit(0)
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.select("link_id", "final_url", "status", "method", "redirect_count", "chain", "http_status", "error")
+    return _flat(out)
 
 
 @query("query_params_rows", f"WITH {_PARAMS} SELECT kind, name, count(*) AS n FROM t GROUP BY ALL")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linkhop.functions.urls import fragment, origin, request_key, tracking_report, without_fragment
 from linkhop.functions.whatwg import parse_input_url
 from linkhop.operators.cookies import JAR, SET_COOKIES, cookie_header, stored
 from linkhop.operators.hops import checked_edges, edges_of, heavier, method_weight, rendered_edges
-from linkhop.sources.tables import written
+from linkhop.sources.tables import RESULT, written
 
 MAX_REDIRECTS = 20
 #: Milliseconds that the answers of one link may take together, and how often a page comes up in a visit that goes round.
@@ -33,10 +35,10 @@ def started(href: Column) -> Column:
     """The state of a link before its first request."""
     no = lambda kind: F.lit(None).cast(kind)
     fields = [href, F.array(href), F.array().cast("array<string>"), no("string"), no("int"), F.lit(False), F.lit(0).cast("long"), no("string"), no("string")]
-    return F.struct(*(f.alias(name.split()[0]) for f, name in zip(fields, STATE.split(", "), strict=True))).cast(f"struct<{_typed(STATE)}>")
+    return F.struct(*(f.alias(name.split()[0]) for f, name in zip(fields, STATE.split(", "), strict=True))).cast(f"struct<{typed(STATE)}>")
 
 
-def _typed(schema: str) -> str:
+def typed(schema: str) -> str:
     return ",".join(f.replace(" ", ":", 1) for f in schema.split(", "))
 
 
@@ -158,47 +160,81 @@ def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_
     # what has not ended after all steps asks for one that isn't captured
     lost = F.array(F.lit(None).cast(steps.schema["step"].dataType))
     state = F.aggregate(F.concat("steps", lost), started(F.col("href")), go)
-    return _results(rows.select("link_id", state.alias("s")))
+    return as_results(rows.select("link_id", state.alias("s")))
 
 
-def _results(rows: DataFrame) -> DataFrame:
-    """(link_id, s), s a state that has ended, as results."""
+def as_results(rows: DataFrame) -> DataFrame:
+    """(link_id, s, ...), s a state that has ended, as results."""
     done = F.col("s.status") == "RESOLVED"
     return rows.select(
-        "link_id", F.when(done, F.col("s.href")).alias("final_url"), F.col("s.status").alias("status"), F.col("s.method").alias("method"), (F.size("s.chain") - 1).alias("redirect_count"), F.col("s.chain").alias("chain"),
+        *(c for c in rows.columns if c != "s"), F.when(done, F.col("s.href")).alias("final_url"), F.col("s.status").alias("status"), F.col("s.method").alias("method"), (F.size("s.chain") - 1).alias("redirect_count"), F.col("s.chain").alias("chain"),
         F.col("s.http_status").alias("http_status"), F.when(~done, F.col("s.error")).alias("error"), F.col("s.credentials_removed").alias("credentials_removed"), F.col("s.elapsed_ms").alias("elapsed_ms"),
     )
 
 
 def with_cookies(links: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: int) -> DataFrame:
-    """resolve_chains where links carry a jar of cookies, one join a hop.
+    """resolve_chains where links carry a jar of cookies, one join a hop."""
+    return as_results(hops(setting_out(links), steps, max_redirects, deadline_ms)[0].select("link_id", "s"))
+
+
+def setting_out(links: DataFrame) -> DataFrame:
+    """links (link_id, href, ...) with their state s and an empty jar."""
+    return links.withColumn("s", started(F.col("href"))).withColumn("jar", F.create_map().cast(JAR))
+
+
+def hops(active: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: int, waits: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Links (link_id, s, jar, ...) that have ended, and, if waits, those whose next answer isn't among the steps, as they stand.
 
     steps: (request_key, step, cookie, set_cookies).  A request is a URL and the cookies sent
     with it; only an answer to the same is its answer, and one whose cookie is null is that
     whatever was sent (a refused URL).  Set-Cookie lines of an answer go into the jar of its
-    origin before the next request.  Finished links leave the loop; each hop is written.
+    origin before the next request.  Links leave the loop when they end; each hop is written.
     """
     steps = written(steps.select("request_key", "step", "cookie", F.col("set_cookies").cast(SET_COOKIES).alias("set_cookies")), "steps")
-    exact, every = steps.where("cookie is not null"), steps.where("cookie is null").select(F.col("request_key").alias("_key"), F.col("step").alias("_step"))
+    exact, every = steps.where("cookie is not null").withColumnRenamed("cookie", "_cookie"), steps.where("cookie is null").select(F.col("request_key").alias("_key"), F.col("step").alias("_step"))
     refused = not every.isEmpty()
-    active = links.select("link_id", started(F.col("href")).alias("s"), F.create_map().cast(JAR).alias("jar"))
+    more = [c for c in active.columns if c not in ("s", "jar")]
     finished: list[DataFrame] = []
+    waiting: list[DataFrame] = []
     for _ in range(max_redirects + 2):
         sent = active.withColumn("_sent", F.coalesce(cookie_header(F.col("jar"), origin(F.col("s.href"))), F.lit(""))).withColumn("_url", without_fragment(F.col("s.href")))
-        met = sent.join(exact, (F.col("_url") == exact["request_key"]) & (F.col("_sent") == exact["cookie"]), "left")
+        met = sent.join(exact, (F.col("_url") == exact["request_key"]) & (F.col("_sent") == exact["_cookie"]), "left")
         if refused:
             met = met.join(every, F.col("_url") == F.col("_key"), "left").withColumn("step", F.coalesce("_step", "step"))
         state = advanced(F.col("s"), F.col("step"), request_key(F.col("_url"), F.col("_sent")), max_redirects, deadline_ms, True)
         kept = F.coalesce("set_cookies", F.array().cast(SET_COOKIES))
-        went = written(met.select("link_id", state.alias("s"), F.when(F.size(kept) > 0, stored(F.col("jar"), origin(F.col("_url")), kept)).otherwise(F.col("jar")).alias("jar")), "hop")
-        finished.append(went.where("s.status is not null").select("link_id", "s"))
-        active = went.where("s.status is null")
+        lacks = F.col("step").isNull() if waits else F.lit(False)
+        went = written(met.select(*more, state.alias("s"), F.when(F.size(kept) > 0, stored(F.col("jar"), origin(F.col("_url")), kept)).otherwise(F.col("jar")).alias("jar"), F.when(lacks, F.col("s")).alias("stood")), "hop")
+        # without a step, only a loop and the limit end a link that may wait
+        stands = F.col("stood").isNotNull() & (F.col("s.error") == NOT_CAPTURED)
+        finished.append(went.where((F.col("s.status").isNotNull()) & ~stands).drop("jar", "stood"))
+        if waits:
+            waiting.append(went.where(stands).select(*more, F.col("stood").alias("s"), "jar"))
+        active = went.where("s.status is null").drop("stood")
         if active.isEmpty():
             break
-    done = finished[0]
-    for more in finished[1:]:
-        done = done.unionByName(more)
-    return _results(done)
+    return reduce(DataFrame.unionByName, finished), reduce(DataFrame.unionByName, waiting) if waits else None
+
+
+def inputs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of raw links (link_id, raw_url, ...) those that can be followed, with href and own_removed, and the results of the others."""
+    parsed = written(links.withColumn("p", parse_input_url(F.col("raw_url"))), "input")
+    good = parsed.where("p.ok").select(*(c for c in links.columns if c != "raw_url"), F.col("p.href").alias("href"), F.col("p.credentials_removed").alias("own_removed"))
+    none = lambda c: F.lit(None).cast(dict(f.split(" ", 1) for f in RESULT.split(", "))[c]).alias(c)
+    bad = parsed.where("not p.ok").select(
+        "link_id", F.col("p.safe_input").alias("original_url"), none("final_url"), F.col("p.status").alias("status"), none("method"), F.lit(0).alias("redirect_count"), F.array().cast("array<string>").alias("chain"), none("http_status"),
+        F.struct(F.lit(0).cast("long").alias("elapsed_ms")).alias("timing"), F.struct(F.col("p.credentials_removed").alias("credentials_removed")).alias("security"), none("tracking"), F.col("p.error").alias("error"),
+    )
+    return good, bad
+
+
+def records(found: DataFrame) -> DataFrame:
+    """Result records (link_id and the columns of RESULT) of resolved chains with href and own_removed."""
+    report = F.when(F.col("status") == "RESOLVED", tracking_report(F.col("final_url")))
+    return found.select(
+        "link_id", F.col("href").alias("original_url"), "final_url", "status", "method", "redirect_count", "chain", "http_status", F.struct("elapsed_ms").alias("timing"),
+        F.struct((F.col("credentials_removed") | F.col("own_removed")).alias("credentials_removed")).alias("security"), report.alias("tracking"), "error",
+    )
 
 
 def resolve_links(links: DataFrame, responses: DataFrame, dns: DataFrame | None = None, rules: DataFrame | None = None, rendered: DataFrame | None = None, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS, cookies: bool = False) -> DataFrame:
@@ -211,25 +247,12 @@ def resolve_links(links: DataFrame, responses: DataFrame, dns: DataFrame | None
     Without cookies only answers to requests that sent none are read; with them links carry
     jars, and an answer counts for requests that send the same cookies.
     """
-    parsed = written(links.select("link_id", parse_input_url(F.col("raw_url")).alias("p")), "input")
-    good = parsed.where("p.ok").select("link_id", F.col("p.href").alias("href"), F.col("p.credentials_removed").alias("own_removed"))
+    good, bad = inputs(links.select("link_id", "raw_url"))
     edges = edges_of(responses, rules, cookies)
     if rendered is not None:
         edges = rendered_edges(edges, rendered)
     edges = checked_edges(written(edges, "judged"), dns, good)
-    found = resolve_chains(good, edges, max_redirects, deadline_ms, cookies).join(good, "link_id")
-    report = F.when(F.col("status") == "RESOLVED", tracking_report(F.col("final_url")))
-    done = found.select(
-        "link_id", F.col("href").alias("original_url"), "final_url", "status", "method", "redirect_count", "chain", "http_status", F.struct("elapsed_ms").alias("timing"),
-        F.struct((F.col("credentials_removed") | F.col("own_removed")).alias("credentials_removed")).alias("security"), report.alias("tracking"), "error",
-    )
-    none = F.lit(None)
-    bad = parsed.where("not p.ok").select(
-        "link_id", F.col("p.safe_input").alias("original_url"), none.cast("string").alias("final_url"), F.col("p.status").alias("status"), none.cast("string").alias("method"), F.lit(0).alias("redirect_count"),
-        F.array().cast("array<string>").alias("chain"), none.cast("int").alias("http_status"), F.struct(F.lit(0).cast("long").alias("elapsed_ms")).alias("timing"), F.struct(F.col("p.credentials_removed").alias("credentials_removed")).alias("security"),
-        none.cast(done.schema["tracking"].dataType).alias("tracking"), F.col("p.error").alias("error"),
-    )
-    return done.unionByName(bad)
+    return records(resolve_chains(good, edges, max_redirects, deadline_ms, cookies).join(good, "link_id")).unionByName(bad)
 
 
 def steps_of(results: DataFrame) -> DataFrame:

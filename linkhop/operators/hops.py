@@ -239,8 +239,8 @@ def rendered_edges(edges: DataFrame, rendered: DataFrame) -> DataFrame:
     )
 
 
-def checked_edges(edges: DataFrame, dns: DataFrame | None, links: DataFrame | None = None) -> DataFrame:
-    """edges, with a failed one for each URL that must not or can't be requested, captured or not.
+def refused_urls(edges: DataFrame, dns: DataFrame | None, links: DataFrame | None = None) -> DataFrame:
+    """(request_key, kind, status, error) of URLs that must not or can't be requested, captured or not.
 
     Judged are the keys of edges, their targets and the hrefs of links: ports that browsers
     refuse and what check_dns() says of their hosts; without dns, of addresses and internal
@@ -254,6 +254,10 @@ def checked_edges(edges: DataFrame, dns: DataFrame | None, links: DataFrame | No
     verdicts = check_dns(keys, dns).toDF("v_host", "v_status", "v_error")
     judged = keys.join(verdicts, F.col("host") == F.col("v_host"), "left")
     status = F.when(bad_port(F.col("port")), "BLOCKED").otherwise(F.col("v_status"))
-    refused = written(judged.select("request_key", status.alias("status"), F.coalesce(bad_port_error(F.col("port")), "v_error").alias("error")).where("status is not null"), "refused")
-    rows = refused.select("request_key", F.lit("failed").alias("kind"), "status", "error")
-    return edges.join(refused.select("request_key"), "request_key", "left_anti").unionByName(rows, allowMissingColumns=True).select(*edges.columns)
+    return judged.select("request_key", F.lit("failed").alias("kind"), status.alias("status"), F.coalesce(bad_port_error(F.col("port")), "v_error").alias("error")).where("status is not null")
+
+
+def checked_edges(edges: DataFrame, dns: DataFrame | None, links: DataFrame | None = None) -> DataFrame:
+    """edges, with a failed one in place of those of each URL that refused_urls() names."""
+    refused = written(refused_urls(edges, dns, links), "refused")
+    return edges.join(refused.select("request_key"), "request_key", "left_anti").unionByName(refused, allowMissingColumns=True).select(*edges.columns)
