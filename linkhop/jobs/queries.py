@@ -79,11 +79,10 @@ def param_kinds(spark, sf):
 
 @query("kept_params", f"WITH {_PARAMS} SELECT page_id, pos::BIGINT AS pos, piece FROM t WHERE kind <> 'tracking'")
 def kept_params(spark, sf):
-    """All parameters less the tracking ones, as rows."""
+    """All parameters less the tracking ones, as rows: a filter on the kind."""
     pieces = F.filter(F.split(urls.query(F.col("url")), "&"), lambda p: p != "")
     rows = table(spark, sf, "pages").select("page_id", F.posexplode(pieces).alias("i", "piece")).select("page_id", (F.col("i") + 1).cast("long").alias("pos"), "piece")
-    out = rows.where(urls.param_kind(urls.percent_decoded(F.substring_index("piece", "=", 1))) == "tracking")
-    return rows.join(out.select("page_id", "pos"), ["page_id", "pos"], "left_anti")
+    return rows.where(urls.param_kind(urls.percent_decoded(F.substring_index("piece", "=", 1))) != "tracking")
 
 
 @query("url_dedup", "SELECT DISTINCT split_part(url, '#', 1) AS request_key FROM pages")
@@ -146,6 +145,27 @@ def outside_ranges(spark, sf):
     return kept.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("part")).agg(F.count("*").alias("n"))
 
 
+_BLOCKS = f"SELECT DISTINCT {_NUMBER} // 4096 * 4096 AS lo, 20 AS p FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT DISTINCT {_NUMBER} // 256 * 256, 24 FROM orders WHERE o_orderkey % 3 = 1"
+
+
+@query("block_of", f"""WITH b AS ({_BLOCKS}), a AS (SELECT c_custkey, (c_custkey * 2654435761 + c_custkey % 300) % 4294967296 AS n FROM customer),
+    x AS (SELECT a.c_custkey, a.n, s.lo AS s, t.lo AS t FROM a LEFT JOIN b s ON s.p = 24 AND s.lo = n // 256 * 256 LEFT JOIN b t ON t.p = 20 AND t.lo = n // 4096 * 4096)
+    SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN c_custkey % 5 <> 4 THEN '2001:db8:' || (c_custkey % 5) || '::/48' ELSE '2001:db8::/32' END
+      WHEN coalesce(s, t) IS NOT NULL THEN concat(coalesce(s, t) // 16777216, '.', coalesce(s, t) // 65536 % 256, '.', coalesce(s, t) // 256 % 256, '.0/', CASE WHEN s IS NULL THEN 20 ELSE 24 END) END AS cidr FROM x""")
+def block_of(spark, sf):
+    """Customers' addresses of both families in a table of blocks of three lengths, some within others, as many as there are orders: the smallest counts."""
+    dotted = lambda n: F.concat_ws(".", *(F.pmod(F.floor(n / by), F.lit(256)).cast("string") for by in (16777216, 65536, 256, 1)))
+    number = F.pmod(F.col("o_orderkey") * F.lit(2654435761), F.lit(4294967296))
+    floor = lambda n, by: F.floor(n / by) * by
+    orders = table(spark, sf, "orders")
+    wide = orders.where("o_orderkey % 3 = 0").select(F.concat(dotted(floor(number, 4096)), F.lit("/20")).alias("cidr"))
+    narrow = orders.where("o_orderkey % 3 = 1").select(F.concat(dotted(floor(number, 256)), F.lit("/24")).alias("cidr"))
+    six = spark.createDataFrame([("2001:db8::/32",), *((f"2001:db8:{i}::/48",) for i in range(4))], "cidr string")
+    i = F.col("c_custkey")
+    ip = F.when(i % 4 == 0, F.concat(F.lit("2001:DB8:"), (i % 5).cast("string"), F.lit("::"), F.lower(F.hex(i)))).otherwise(dotted(F.pmod(i * F.lit(2654435761) + i % 300, F.lit(4294967296))))
+    return network.range_of(table(spark, sf, "customer").select("c_custkey", ip.alias("ip")), wide.unionByName(narrow).distinct().unionByName(six)).select("c_custkey", "cidr")
+
+
 @query("bad_port", f"SELECT o_orderkey, o_orderkey % 11000 AS port, CASE WHEN o_orderkey % 11000 IN ({', '.join(map(str, policy.BAD_PORTS))}) THEN 'Port ' || (o_orderkey % 11000) || ' is not allowed' END AS error FROM orders")
 def bad_port(spark, sf):
     port = F.col("o_orderkey") % 11000

@@ -237,7 +237,7 @@ def records(found: DataFrame) -> DataFrame:
     )
 
 
-def resolve_links(links: DataFrame, responses: DataFrame, dns: DataFrame | None = None, rules: DataFrame | None = None, rendered: DataFrame | None = None, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS, cookies: bool = False) -> DataFrame:
+def resolve_links(links: DataFrame, responses: DataFrame, dns: DataFrame | None = None, rules: DataFrame | None = None, rendered: DataFrame | None = None, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS, cookies: bool = False, suffixes: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """The whole way from raw links (link_id, raw_url) to result records: link_id and the columns of RESULT.
 
     Input is parsed (a bad one ends as INVALID_URL with an empty chain), every captured answer
@@ -245,13 +245,14 @@ def resolve_links(links: DataFrame, responses: DataFrame, dns: DataFrame | None
     answer is read, visits of a browser are taken in where the static readers settle nothing,
     and chains are followed.  Input that bears user information, and targets that do, lose it.
     Without cookies only answers to requests that sent none are read; with them links carry
-    jars, and an answer counts for requests that send the same cookies.
+    jars, and an answer counts for requests that send the same cookies.  suffixes and blocks
+    (cidr) replace the address policy's own.
     """
     good, bad = inputs(links.select("link_id", "raw_url"))
     edges = edges_of(responses, rules, cookies)
     if rendered is not None:
         edges = rendered_edges(edges, rendered)
-    edges = checked_edges(written(edges, "judged"), dns, good)
+    edges = checked_edges(written(edges, "judged"), dns, good, suffixes, blocks)
     return records(resolve_chains(good, edges, max_redirects, deadline_ms, cookies).join(good, "link_id")).unionByName(bad)
 
 

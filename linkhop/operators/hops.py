@@ -239,25 +239,25 @@ def rendered_edges(edges: DataFrame, rendered: DataFrame) -> DataFrame:
     )
 
 
-def refused_urls(edges: DataFrame, dns: DataFrame | None, links: DataFrame | None = None) -> DataFrame:
+def refused_urls(edges: DataFrame, dns: DataFrame | None, links: DataFrame | None = None, suffixes: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """(request_key, kind, status, error) of URLs that must not or can't be requested, captured or not.
 
     Judged are the keys of edges, their targets and the hrefs of links: ports that browsers
     refuse and what check_dns() says of their hosts; without dns, of addresses and internal
-    names only.  Each host is judged once.
+    names only.  Each host is judged once.  suffixes and blocks replace the policy's own.
     """
     keys = edges.select("request_key").unionByName(edges.select(without_fragment(F.col("target")).alias("request_key")))
     if links is not None:
         keys = keys.unionByName(links.select(without_fragment(F.col("href")).alias("request_key")))
     keys = keys.where("request_key is not null").distinct().select("request_key", hostname(F.col("request_key")).alias("host"), port(F.col("request_key")).alias("port"))
     # check_dns gives one row a host
-    verdicts = check_dns(keys, dns).toDF("v_host", "v_status", "v_error")
+    verdicts = check_dns(keys, dns, suffixes=suffixes, blocks=blocks).toDF("v_host", "v_status", "v_error")
     judged = keys.join(verdicts, F.col("host") == F.col("v_host"), "left")
     status = F.when(bad_port(F.col("port")), "BLOCKED").otherwise(F.col("v_status"))
     return judged.select("request_key", F.lit("failed").alias("kind"), status.alias("status"), F.coalesce(bad_port_error(F.col("port")), "v_error").alias("error")).where("status is not null")
 
 
-def checked_edges(edges: DataFrame, dns: DataFrame | None, links: DataFrame | None = None) -> DataFrame:
+def checked_edges(edges: DataFrame, dns: DataFrame | None, links: DataFrame | None = None, suffixes: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """edges, with a failed one in place of those of each URL that refused_urls() names."""
-    refused = written(refused_urls(edges, dns, links), "refused")
+    refused = written(refused_urls(edges, dns, links, suffixes, blocks), "refused")
     return edges.join(refused.select("request_key"), "request_key", "left_anti").unionByName(refused, allowMissingColumns=True).select(*edges.columns)
