@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkhop.functions import policy, urls
-from linkhop.operators import cache, chains, cookies, hops, network, reports
+from linkhop.operators import adapters, cache, chains, cookies, hops, network, reports
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -405,12 +405,38 @@ def expected_summary(spark, sf):
     return reports.expected_summary(reports.match_expected(r, links))
 
 
-@query("steps_log", f"""WITH x AS ({_RESULTS}), l AS (
-    SELECT link_id, generate_subscripts(chain, 1) - 1 AS seq, unnest(chain) AS message FROM x)
-    SELECT link_id, seq::INTEGER AS seq, CASE WHEN seq = 0 THEN 'URL' ELSE 'REDIRECT' END AS tag, message FROM l
-    UNION ALL SELECT link_id, len(chain)::INTEGER, 'FINAL', CASE WHEN status = 'RESOLVED' THEN 'RESOLVED ' || final_url WHEN error IS NULL THEN status ELSE status || ': ' || error END FROM x""")
+@query("steps_log", f"""WITH x AS ({_RESULTS}), u AS (SELECT link_id, unnest(chain) AS url, generate_subscripts(chain, 1) - 1 AS h, len(chain) - 1 AS last, chain, status, error FROM x), l AS (
+    SELECT link_id, 0 AS pos, 'URL' AS tag, url AS message FROM u WHERE h = 0
+    UNION ALL SELECT link_id, 1 + 2 * h, 'HTTP', '302 ' || url FROM u WHERE h < last
+    UNION ALL SELECT link_id, 2 + 2 * h, 'REDIRECT', 'to ' || chain[h + 2] FROM u WHERE h < last
+    UNION ALL SELECT link_id, 1 + 2 * h, 'HTTP', CASE WHEN status = 'RESOLVED' THEN '200 ' ELSE '404 ' END || url FROM u WHERE h = last AND (status = 'RESOLVED' OR error LIKE '%HTTP 404')
+    UNION ALL SELECT link_id, 1000, 'FINAL', CASE WHEN status = 'RESOLVED' THEN 'RESOLVED ' || final_url ELSE status || ': ' || error END FROM x)
+    SELECT link_id, (row_number() OVER (PARTITION BY link_id ORDER BY pos) - 1)::INTEGER AS seq, tag, message FROM l""")
 def steps_log(spark, sf):
-    return reports.steps_log(results(spark, sf))
+    answers = web(spark, sf)
+    links = answers.select(F.col("page_id").alias("link_id"), F.col("request_url").alias("href"))
+    return reports.steps_log(chains.resolve_chains(links, hops.edges_of(answers.drop("page_id")), log=True))
+
+
+def _fails(*_):
+    raise ValueError("an adapter's own fault")
+
+
+ADAPTERS = [
+    adapters.Adapter("broken", _fails, lambda u, h: "http://x.example/"),
+    adapters.Adapter("sixes", lambda u: u.endswith("6"), _fails),
+    adapters.Adapter("numbers", lambda u: u.endswith("5"), lambda u, h: 5),
+    adapters.Adapter("odd", lambda u: u[-1] in "13579", lambda u, h: u.replace("a.example", "odd.example") if "<nav>" in (h or "") else ""),
+    adapters.Adapter("late", lambda u: True, lambda u, h: "http://late.example/"),
+]
+
+
+@query("adapter_functions", """SELECT page_id, CASE WHEN page_id % 10 = 6 THEN 'sixes' WHEN page_id % 10 = 5 THEN 'numbers' WHEN page_id % 2 = 1 THEN 'odd' ELSE 'late' END AS name,
+    CASE WHEN page_id % 10 IN (5, 6) THEN NULL WHEN page_id % 2 = 1 THEN CASE WHEN contains(html, '<nav>') THEN 'http://odd.example/' || page_id END ELSE 'http://late.example/' END AS target FROM pages""")
+def adapter_functions(spark, sf):
+    """Functions of a user, some of which fail, asked about every page."""
+    url = F.concat(F.lit("http://a.example/"), F.col("page_id").cast("string"))
+    return table(spark, sf, "pages").select("page_id", adapters.ask(ADAPTERS, url, F.col("html")).alias("a")).select("page_id", "a.*")
 
 
 @query("compare_runs", f"WITH x AS ({_RESULTS}), o AS (SELECT link_id, status || CASE WHEN method IS NULL THEN '' ELSE ' (' || method || ')' END || CASE WHEN status = 'RESOLVED' OR error IS NULL THEN '' ELSE ': ' || error END AS a, CASE WHEN status = 'UNRESOLVED' THEN 'RESOLVED' || CASE WHEN method IS NULL THEN '' ELSE ' (' || method || ')' END END AS b FROM x) SELECT link_id, a AS without_browser, coalesce(b, a) AS with_browser, b IS NOT NULL AS changed FROM o")
@@ -437,7 +463,7 @@ def next_step(spark, sf):
 def apply_adapters(spark, sf):
     at = F.concat(F.lit("http://a.example/"), F.when(F.col("page_id") % 2 == 0, "even/").otherwise("odd/"), F.col("page_id").cast("string"))
     rules = spark.createDataFrame([(1, "even", "a.example", "/even", None), (2, "other", "a.example", "/", "http://t.example/"), (3, "late", "a.example", "/odd", "http://u.example/")], "rule_order int, name string, host string, path_prefix string, target string")
-    return hops.apply_adapters(table(spark, sf, "pages").select("page_id", at.alias("url")), rules)
+    return adapters.apply_adapters(table(spark, sf, "pages").select("page_id", at.alias("url")), rules)
 
 
 # --- cookies ------------------------------------------------------------------------------

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linkhop.functions.urls import fragment, origin, request_key, tracking_report, without_fragment
 from linkhop.functions.whatwg import parse_input_url
+from linkhop.operators.adapters import Adapter
 from linkhop.operators.cookies import JAR, SET_COOKIES, cookie_header, stored
 from linkhop.operators.hops import checked_edges, edges_of, heavier, method_weight, rendered_edges
 from linkhop.sources.tables import RESULT, written
@@ -21,9 +23,12 @@ LOOP_ERROR, LATE_ERROR = "The redirects lead back to a URL that was already visi
 
 
 #: What a link carries along: where it is, what it went through, and, once it has ended, how.
-STATE = "href string, chain array<string>, seen array<string>, method string, http_status int, credentials_removed boolean, elapsed_ms bigint, status string, error string"
+STATE = "href string, chain array<string>, seen array<string>, method string, http_status int, credentials_removed boolean, elapsed_ms bigint, status string, error string, log array<struct<tag:string,message:string>>"
 #: What an answer does to it.
-STEP = "kind string, target string, method string, status string, error string, http_status int, credentials_removed boolean, elapsed_ms bigint, visited array<string>"
+STEP = "kind string, target string, method string, status string, error string, http_status int, credentials_removed boolean, elapsed_ms bigint, visited array<string>, cleaned array<boolean>, asked int, adapter string"
+#: Lines of the log of steps.
+PASSWORD_REMOVED = "A user name or password in the URL was taken out"
+LINES = "array<struct<tag:string,message:string>>"
 
 
 def let(value: Column, use) -> Column:
@@ -34,7 +39,7 @@ def let(value: Column, use) -> Column:
 def started(href: Column) -> Column:
     """The state of a link before its first request."""
     no = lambda kind: F.lit(None).cast(kind)
-    fields = [href, F.array(href), F.array().cast("array<string>"), no("string"), no("int"), F.lit(False), F.lit(0).cast("long"), no("string"), no("string")]
+    fields = [href, F.array(href), F.array().cast("array<string>"), no("string"), no("int"), F.lit(False), F.lit(0).cast("long"), no("string"), no("string"), F.array().cast(LINES)]
     return F.struct(*(f.alias(name.split()[0]) for f, name in zip(fields, STATE.split(", "), strict=True))).cast(f"struct<{typed(STATE)}>")
 
 
@@ -42,11 +47,29 @@ def typed(schema: str) -> str:
     return ",".join(f.replace(" ", ":", 1) for f in schema.split(", "))
 
 
-def advanced(s: Column, e: Column, request: Column, max_redirects: int, deadline_ms: int, browsed: bool) -> Column:
+def line(tag: str, *parts) -> Column:
+    return F.struct(F.lit(tag).alias("tag"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("message"))
+
+
+def lines_if(condition: Column, *lines: Column) -> Column:
+    return F.when(condition, F.array(*lines)).otherwise(F.array().cast(LINES))
+
+
+def _led(e: Column, target: Column) -> Column:
+    """The line of a step that leads on to target, in words that go with its method."""
+    method = e["method"]
+    return (
+        F.when(method == "http", line("REDIRECT", "to ", target)).when(method == "meta-refresh", line("HTML", "a refresh leads to ", target)).when(method == "javascript", line("JAVASCRIPT", "a script goes to ", target))
+        .when(method == "adapter", line("REDIRECT", 'adapter "', F.coalesce(e["adapter"], F.lit("")), '" says the page leads to ', target)).otherwise(line("HTML", "the page leads to ", target))
+    )
+
+
+def advanced(s: Column, e: Column, request: Column, max_redirects: int, deadline_ms: int, browsed: bool, logged: bool = False) -> Column:
     """The state after one request: s, a state that has not ended, and e, the step that answers it, null where none is captured.
 
     request names the request; it is a loop if it was made before, which is told before the
-    limit.  browsed: whether steps may hold the visit of a browser.
+    limit.  browsed: whether steps may hold the visit of a browser.  logged: whether the
+    state notes what happens, line by line.
     """
     stopped = F.when(F.array_contains(s["seen"], request), "REDIRECT_LOOP").when(F.size(s["chain"]) - 1 > max_redirects, "UNRESOLVED")
     many = F.lit(f"More than {max_redirects} redirects")
@@ -54,9 +77,10 @@ def advanced(s: Column, e: Column, request: Column, max_redirects: int, deadline
     whole = F.when(visit, F.concat(s["chain"], e["visited"])).otherwise(s["chain"])
     here = F.when(visit & (F.size(e["visited"]) > 0), F.try_element_at(e["visited"], F.lit(-1))).otherwise(s["href"])
     took = s["elapsed_ms"] + F.coalesce(e["elapsed_ms"], F.lit(0))
+    secret = line("SECURITY", PASSWORD_REMOVED)
 
-    def state(href, chain, method, http, removed, ms, status, error) -> Column:
-        fields = [href, chain, F.concat(s["seen"], F.array(request)), method, http, removed, ms, status, error]
+    def state(href, chain, method, http, removed, ms, status, error, log=None) -> Column:
+        fields = [href, chain, F.concat(s["seen"], F.array(request)), method, http, removed, ms, status, error, s["log"] if log is None else F.concat(s["log"], *log)]
         return F.struct(*(f.alias(name.split()[0]) for f, name in zip(fields, STATE.split(", "), strict=True)))
 
     def ended(status: Column, error: Column) -> Column:
@@ -69,21 +93,34 @@ def advanced(s: Column, e: Column, request: Column, max_redirects: int, deadline
         lost = leads & e["target"].isNull()
         target = F.when((e["method"] == "http") & ~e["target"].contains("#"), F.concat(e["target"], fragment(x["here"]))).otherwise(e["target"])
         http = F.coalesce(e["http_status"], s["http_status"])
-        removed = s["credentials_removed"] | F.coalesce(e["credentials_removed"], F.lit(False))
+        bare = F.coalesce(e["credentials_removed"], F.lit(False))
+        removed = s["credentials_removed"] | bare
+        if browsed:
+            removed = removed | F.coalesce(F.array_contains(e["cleaned"], True), F.lit(False))
         base = F.when(e["http_status"].isNotNull(), F.coalesce(s["method"], F.lit("http"))).otherwise(s["method"])
         base = F.when(x["visit"], heavier(base, F.lit("browser"))).otherwise(base)
         late = x["took"] > deadline_ms
         keys = F.transform(F.concat(F.array(s["href"]), F.coalesce(e["visited"], F.array().cast("array<string>"))), without_fragment)
         around = F.exists(keys, lambda k: F.size(F.filter(keys, lambda y: y == k)) >= REVISITS)
         too_long = x["visit"] & (F.size(x["whole"]) - 1 > max_redirects)
+        met = led = None
+        if logged:
+            # a browser opens a page that was answered; its own answer is not told
+            code = F.coalesce(e["asked"], e["http_status"])
+            met = [lines_if(code.isNotNull(), line("HTTP", code.cast("string"), " ", s["href"]))]
+            if browsed:
+                went = F.flatten(F.transform(F.coalesce(e["visited"], F.array().cast("array<string>")), lambda u, i: F.concat(lines_if(F.coalesce(F.get(e["cleaned"], i), F.lit(False)), secret), F.array(line("BROWSER", "went to ", u)))))
+                met.append(F.concat(lines_if(x["visit"], line("BROWSER", "opens ", s["href"])), went))
+            met.append(lines_if(leads & bare, secret))
+            led = [*met, F.array(_led(e, target))]
         out = F.when(late, state(x["here"], x["whole"], s["method"], s["http_status"], removed, x["took"], F.lit("TIMEOUT"), F.lit(LATE_ERROR)))
         if browsed:
-            out = out.when(too_long, state(x["here"], x["whole"], base, http, removed, x["took"], F.when(around, "REDIRECT_LOOP").otherwise("UNRESOLVED"), F.when(around, F.lit(LOOP_ERROR)).otherwise(many)))
+            out = out.when(too_long, state(x["here"], x["whole"], base, http, removed, x["took"], F.when(around, "REDIRECT_LOOP").otherwise("UNRESOLVED"), F.when(around, F.lit(LOOP_ERROR)).otherwise(many), met))
         heavy = F.when(leads, heavier(base, e["method"])).otherwise(base)
-        out = out.when(leads & ~lost, state(target, F.concat(x["whole"], F.array(target)), heavy, http, removed, x["took"], no, no))
+        out = out.when(leads & ~lost, state(target, F.concat(x["whole"], F.array(target)), heavy, http, removed, x["took"], no, no, led))
         status = F.when(lost, F.coalesce(e["status"], F.lit("ERROR"))).otherwise(e["status"])
         error = F.when(lost, F.coalesce(e["error"], F.lit("Redirect target is not a valid URL"))).otherwise(e["error"])
-        return out.otherwise(state(x["here"], x["whole"], heavy, http, removed, x["took"], status, error))
+        return out.otherwise(state(x["here"], x["whole"], heavy, http, removed, x["took"], status, error, met))
 
     parts = F.struct(whole.alias("whole"), here.alias("here"), took.alias("took"), visit.alias("visit"))
     return let(stopped, lambda st: (
@@ -128,7 +165,7 @@ def _walked(rows: DataFrame, walks: DataFrame) -> DataFrame:
     return met.select(*(c for c in rows.columns if c not in ("steps", "next")), steps.alias("steps"), F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.col("_next")).alias("next"))
 
 
-def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS, cookies: bool = False) -> DataFrame:
+def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS, cookies: bool = False, log: bool = False) -> DataFrame:
     """Follows every link (link_id, href) along edges (request_key, kind, target, method, status, error, http_status, and what else of EDGE there is).
 
     Returns link_id, final_url, status, method, redirect_count, chain, http_status, error,
@@ -141,11 +178,12 @@ def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_
     Without cookies the edges are contracted to walks by doubling, so that chains of any
     length up to the limit take its logarithm in joins (six for 20 redirects); the steps of
     each link are then folded into its result in its own row.  With cookies an answer depends
-    on what came before, so there is a join a hop (see with_cookies).
+    on what came before, so there is a join a hop (see hops).  With log there is a column log,
+    the lines (tag, message) of what happened to the link after its input.
     """
     steps = steps_by_key(edges)
     if cookies:
-        return with_cookies(links, steps, max_redirects, deadline_ms)
+        return with_cookies(links, steps, max_redirects, deadline_ms, log)
     browsed = "visited" in edges.columns
     # two walks one after another are all requests up to the limit
     doublings = max(0, (-(-(max_redirects + 1) // 2) - 1).bit_length())
@@ -156,25 +194,26 @@ def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_
     rest = _walked(first.where("next is not null"), walk)
     rows = first.where("next is null").unionByName(rest)
     key = lambda s: without_fragment(s["href"])
-    go = lambda s, e: F.when(s["status"].isNotNull(), s).otherwise(advanced(s, e, key(s), max_redirects, deadline_ms, browsed))
+    go = lambda s, e: F.when(s["status"].isNotNull(), s).otherwise(advanced(s, e, key(s), max_redirects, deadline_ms, browsed, log))
     # what has not ended after all steps asks for one that isn't captured
     lost = F.array(F.lit(None).cast(steps.schema["step"].dataType))
     state = F.aggregate(F.concat("steps", lost), started(F.col("href")), go)
-    return as_results(rows.select("link_id", state.alias("s")))
+    return as_results(rows.select("link_id", state.alias("s")), log)
 
 
-def as_results(rows: DataFrame) -> DataFrame:
+def as_results(rows: DataFrame, log: bool = False) -> DataFrame:
     """(link_id, s, ...), s a state that has ended, as results."""
     done = F.col("s.status") == "RESOLVED"
     return rows.select(
         *(c for c in rows.columns if c != "s"), F.when(done, F.col("s.href")).alias("final_url"), F.col("s.status").alias("status"), F.col("s.method").alias("method"), (F.size("s.chain") - 1).alias("redirect_count"), F.col("s.chain").alias("chain"),
         F.col("s.http_status").alias("http_status"), F.when(~done, F.col("s.error")).alias("error"), F.col("s.credentials_removed").alias("credentials_removed"), F.col("s.elapsed_ms").alias("elapsed_ms"),
-    )
+        *([F.col("s.log").alias("log")] if log else []),
+    )
 
 
-def with_cookies(links: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: int) -> DataFrame:
+def with_cookies(links: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: int, log: bool = False) -> DataFrame:
     """resolve_chains where links carry a jar of cookies, one join a hop."""
-    return as_results(hops(setting_out(links), steps, max_redirects, deadline_ms)[0].select("link_id", "s"))
+    return as_results(hops(setting_out(links), steps, max_redirects, deadline_ms, logged=log)[0].select("link_id", "s"), log)
 
 
 def setting_out(links: DataFrame) -> DataFrame:
@@ -182,7 +221,7 @@ def setting_out(links: DataFrame) -> DataFrame:
     return links.withColumn("s", started(F.col("href"))).withColumn("jar", F.create_map().cast(JAR))
 
 
-def hops(active: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: int, waits: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def hops(active: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: int, waits: bool = False, logged: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Links (link_id, s, jar, ...) that have ended, and, if waits, those whose next answer isn't among the steps, as they stand.
 
     steps: (request_key, step, cookie, set_cookies).  A request is a URL and the cookies sent
@@ -201,7 +240,7 @@ def hops(active: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: i
         met = sent.join(exact, (F.col("_url") == exact["request_key"]) & (F.col("_sent") == exact["_cookie"]), "left")
         if refused:
             met = met.join(every, F.col("_url") == F.col("_key"), "left").withColumn("step", F.coalesce("_step", "step"))
-        state = advanced(F.col("s"), F.col("step"), request_key(F.col("_url"), F.col("_sent")), max_redirects, deadline_ms, True)
+        state = advanced(F.col("s"), F.col("step"), request_key(F.col("_url"), F.col("_sent")), max_redirects, deadline_ms, True, logged)
         kept = F.coalesce("set_cookies", F.array().cast(SET_COOKIES))
         lacks = F.col("step").isNull() if waits else F.lit(False)
         went = written(met.select(*more, state.alias("s"), F.when(F.size(kept) > 0, stored(F.col("jar"), origin(F.col("_url")), kept)).otherwise(F.col("jar")).alias("jar"), F.when(lacks, F.col("s")).alias("stood")), "hop")
@@ -234,10 +273,11 @@ def records(found: DataFrame) -> DataFrame:
     return found.select(
         "link_id", F.col("href").alias("original_url"), "final_url", "status", "method", "redirect_count", "chain", "http_status", F.struct("elapsed_ms").alias("timing"),
         F.struct((F.col("credentials_removed") | F.col("own_removed")).alias("credentials_removed")).alias("security"), report.alias("tracking"), "error",
+        *(c for c in ("log", "own_removed") if "log" in found.columns),
     )
 
 
-def resolve_links(links: DataFrame, responses: DataFrame, dns: DataFrame | None = None, rules: DataFrame | None = None, rendered: DataFrame | None = None, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS, cookies: bool = False, suffixes: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
+def resolve_links(links: DataFrame, responses: DataFrame, dns: DataFrame | None = None, rules: DataFrame | None = None, rendered: DataFrame | None = None, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS, cookies: bool = False, suffixes: list[str] | None = None, blocks: DataFrame | None = None, adapters: Sequence[Adapter] = (), log: bool = False) -> DataFrame:
     """The whole way from raw links (link_id, raw_url) to result records: link_id and the columns of RESULT.
 
     Input is parsed (a bad one ends as INVALID_URL with an empty chain), every captured answer
@@ -246,14 +286,15 @@ def resolve_links(links: DataFrame, responses: DataFrame, dns: DataFrame | None
     and chains are followed.  Input that bears user information, and targets that do, lose it.
     Without cookies only answers to requests that sent none are read; with them links carry
     jars, and an answer counts for requests that send the same cookies.  suffixes and blocks
-    (cidr) replace the address policy's own.
+    (cidr) replace the address policy's own.  With log there are columns log and own_removed,
+    which steps_log reads.
     """
     good, bad = inputs(links.select("link_id", "raw_url"))
-    edges = edges_of(responses, rules, cookies)
+    edges = edges_of(responses, rules, cookies, adapters)
     if rendered is not None:
         edges = rendered_edges(edges, rendered)
     edges = checked_edges(written(edges, "judged"), dns, good, suffixes, blocks)
-    return records(resolve_chains(good, edges, max_redirects, deadline_ms, cookies).join(good, "link_id")).unionByName(bad)
+    return records(resolve_chains(good, edges, max_redirects, deadline_ms, cookies, log).join(good, "link_id")).unionByName(bad, allowMissingColumns=True)
 
 
 def steps_of(results: DataFrame) -> DataFrame:

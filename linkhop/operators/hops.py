@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linkhop.functions.policy import bad_port, bad_port_error
 from linkhop.functions.urls import host, hostname, is_http_url, path, port, query, fragment, scheme, strip_credentials, utf8_url, without_fragment
 from linkhop.functions.whatwg import resolve_location
+from linkhop.operators.adapters import Adapter, apply_adapters, ask
 from linkhop.operators.cookies import set_cookies_of
 from linkhop.operators.network import check_dns
 from linkhop.operators.pages import page_findings, parse_refresh, refresh_target
@@ -108,23 +111,11 @@ def url_view(original: Column, final: Column, chain: Column) -> Column:
     )
 
 
-def apply_adapters(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(page_id, adapter_name, target): the first rule by order whose host and path prefix fit answers.
-
-    A rule that fits without a target ends the search with none.  Rules are keyed by host,
-    so they meet pages in an equi-join.
-    """
-    p = pages.select("page_id", hostname(F.col("url")).alias("host"), path(F.col("url")).alias("path")).where(is_http_url(F.col("url")))
-    met = p.join(rules.withColumnRenamed("host", "rule_host"), (F.col("host") == F.col("rule_host")) & F.col("path").startswith(F.coalesce("path_prefix", F.lit(""))))
-    first = met.groupBy("page_id").agg(F.min_by(F.struct("name", "target"), "rule_order").alias("r"))
-    return first.select("page_id", F.col("r.name").alias("adapter_name"), F.nullif("r.target", F.lit("")).alias("target"))
-
-
-EDGE = "request_key, kind, target, method, status, error, http_status, try_browser, credentials_removed, elapsed_ms, visited"
+EDGE = "request_key, kind, target, method, status, error, http_status, try_browser, credentials_removed, elapsed_ms, adapter, and of rendered ones visited, cleaned, asked"
 
 
 def _judged(answers: DataFrame, headers: bool = True, pages: bool = True) -> DataFrame:
-    """Rows (own, url, status_code, challenged, location, refresh, bad, why, page, adapter) to (own, kind, target, method, status, error, http_status, try_browser, credentials_removed).
+    """Rows (own, url, status_code, challenged, location, refresh, bad, why, page, adapter, adapter_name) to (own, kind, target, method, status, error, http_status, try_browser, credentials_removed, adapter).
 
     page: the page's text or null; refresh: the first Refresh header.  Pages that hold nothing
     of interest are not scanned.  Targets are resolved against url; own is carried along.
@@ -137,7 +128,7 @@ def _judged(answers: DataFrame, headers: bool = True, pages: bool = True) -> Dat
         told = told.withColumn("refresh", refresh_target(header["delay"], F.col("href"), F.col("url")))
     else:
         told = answers
-    slim = F.struct("own", "url", "status_code", "challenged", "location", "refresh", "bad", "why", "adapter")
+    slim = F.struct("own", "url", "status_code", "challenged", "location", "refresh", "bad", "why", "adapter", "adapter_name")
     ok = F.col("status_code").between(200, 299)
     if pages:
         found = page_findings(told.select(slim.alias("page_id"), "url", F.when(F.col("location").isNull() & F.col("bad").isNull(), F.col("page")).alias("html"), (~F.coalesce(ok, F.lit(False))).alias("error_page")))
@@ -152,6 +143,7 @@ def _judged(answers: DataFrame, headers: bool = True, pages: bool = True) -> Dat
         "own", F.when(F.col("bad").isNotNull(), "failed").otherwise(F.col("s.kind")).alias("kind"), F.when(follows, F.col("next.href")).alias("target"), F.when(F.col("bad").isNull(), F.col("s.method")).alias("method"),
         F.coalesce("bad", F.when(follows, F.col("next.status")), "s.status").alias("status"), F.coalesce("why", F.when(follows, F.col("next.error")), "s.error").alias("error"),
         F.when(F.col("bad").isNull(), F.col("status_code")).alias("http_status"), (F.col("bad").isNull() & F.col("s.try_browser")).alias("try_browser"), F.coalesce(follows & F.col("next.credentials_removed"), F.lit(False)).alias("credentials_removed"),
+        F.when(F.col("s.method") == "adapter", F.col("adapter_name")).alias("adapter"),
     )
 
 
@@ -173,11 +165,12 @@ def latest_answers(responses: DataFrame, cookies: bool = False) -> DataFrame:
     return marked.where("_latest is null or (_latest._at = _at and _latest._h = _h)").drop("_latest")
 
 
-def edges_of(responses: DataFrame, rules: DataFrame | None = None, cookies: bool = False) -> DataFrame:
+def edges_of(responses: DataFrame, rules: DataFrame | None = None, cookies: bool = False, adapters: Sequence[Adapter] = ()) -> DataFrame:
     """What each captured answer says about the next hop, one row (EDGE) a request key: of several answers the latest, then the one with the greater hash.
 
     Every answer is judged once, whatever number of links meets it: its Location, its Refresh
-    header, its page (body, or html as text) and the adapter rules.  Targets are resolved
+    header, its page (body, or html as text) and the adapter rules, then the adapters where no
+    rule knows its URL.  Targets are resolved
     against the URL that sent them; one that can't be followed is null and has its status
     and error.  Headers whose bytes are UTF-8 are read as such.  Columns that responses lack
     count as null.  Without cookies only answers to requests that sent none are read; with
@@ -197,11 +190,16 @@ def edges_of(responses: DataFrame, rules: DataFrame | None = None, cookies: bool
         own.alias("own"), F.col("_key").alias("url"), "status_code", challenge(F.col("cf_mitigated")).alias("challenged"), hop["location"].alias("location"),
         utf8_url(F.get(has("refresh", "array<string>"), F.lit(0))).alias("refresh"), F.coalesce(failed["status"], F.when(hop["error"].isNotNull(), "ERROR")).alias("bad"), F.coalesce(failed["error"], hop["error"]).alias("why"), text.alias("page"),
     )
+    no = F.lit(None).cast("string")
     if rules is None:
-        rows = rows.withColumn("adapter", F.lit(None).cast("string"))
+        rows = rows.withColumns({"adapter": no, "adapter_name": no})
     else:
-        asked = apply_adapters(rows.select(F.col("url").alias("page_id"), "url").distinct(), rules).select(F.col("page_id").alias("url"), F.col("target").alias("adapter"))
+        asked = apply_adapters(rows.select(F.col("url").alias("page_id"), "url").distinct(), rules).select(F.col("page_id").alias("url"), F.col("target").alias("adapter"), "adapter_name")
         rows = rows.join(asked, "url", "left")
+    if adapters:
+        open_ = F.col("adapter_name").isNull() & F.col("status_code").between(200, 299) & F.col("bad").isNull()
+        rows = rows.withColumn("_a", ask(adapters, F.when(open_, F.col("url")), F.col("page")))
+        rows = rows.withColumns({"adapter": F.coalesce("adapter", "_a.target"), "adapter_name": F.coalesce("adapter_name", "_a.name")}).drop("_a")
     judged = _judged(rows, "refresh" in responses.columns, not {"html", "body"}.isdisjoint(responses.columns))
     # equal answers are one
     one = judged.groupBy("own.request_key", "own.cookie").agg(F.first(F.struct(*judged.columns)).alias("r"))
@@ -220,23 +218,24 @@ def rendered_edges(edges: DataFrame, rendered: DataFrame) -> DataFrame:
     chain = F.coalesce("chain", F.array().cast("array<string>"))
     went = F.when(without_fragment(F.get(chain, F.lit(0))) == opened, F.slice(chain, 2, F.greatest(F.size(chain), F.lit(1)))).otherwise(chain)
     bare = F.transform(went, lambda u: strip_credentials(u)["href"])
-    own = F.struct(opened.alias("v_key"), bare.alias("visited"), F.exists(went, lambda u: strip_credentials(u)["removed"]).alias("removed"))
+    own = F.struct(opened.alias("v_key"), bare.alias("visited"), F.transform(went, lambda u: strip_credentials(u)["removed"]).alias("cleaned"), (F.col("visited_at") if "visited_at" in rendered.columns else F.lit(None).cast("timestamp")).alias("at"))
     at = F.coalesce(F.element_at(F.when(F.size(bare) > 0, bare), -1), opened)
     no = F.lit(None).cast("string")
     rows = rendered.select(
         own.alias("own"), at.alias("url"), "status_code", F.coalesce("challenge", F.lit(False)).alias("challenged"), no.alias("location"), "refresh",
-        F.when(~F.col("ok"), F.coalesce("status", F.lit("ERROR"))).alias("bad"), F.when(~F.col("ok"), F.col("error")).alias("why"), F.col("html").alias("page"), no.alias("adapter"),
+        F.when(~F.col("ok"), F.coalesce("status", F.lit("ERROR"))).alias("bad"), F.when(~F.col("ok"), F.col("error")).alias("why"), F.col("html").alias("page"), no.alias("adapter"), no.alias("adapter_name"),
     )
     judged = _judged(rows)
     names = [c for c in judged.columns if c not in ("own", "try_browser")]
-    visits = judged.select("own.v_key", F.struct(*names, F.col("own.visited").alias("visited"), F.col("own.removed").alias("removed")).alias("v"))
-    visits = visits.groupBy("v_key").agg(F.max("v").alias("v"))
+    visits = judged.select("own.v_key", "own.at", F.struct(*names, F.col("own.visited").alias("visited"), F.col("own.cleaned").alias("cleaned")).alias("v"))
+    # the latest visit, then the one with the greater hash
+    visits = visits.groupBy("v_key").agg(F.max_by("v", F.struct("at", F.xxhash64("v"))).alias("v"))
     met = edges.join(visits, F.when(F.col("try_browser"), F.col("request_key")) == F.col("v_key"), "left")
     new = lambda c: F.when(F.col("v").isNotNull(), F.col(f"v.{c}")).otherwise(F.col(c)).alias(c)
-    return met.select(
-        *(c for c in ("request_key", "cookie", "set_cookies") if c in edges.columns), *map(new, ("kind", "target", "method", "status", "error", "http_status")), F.col("try_browser"),
-        (F.coalesce("credentials_removed", F.lit(False)) | F.coalesce(F.col("v.credentials_removed") | F.col("v.removed"), F.lit(False))).alias("credentials_removed"), "elapsed_ms", F.col("v.visited").alias("visited"),
-    )
+    kept = [c for c in ("request_key", "cookie", "set_cookies", "try_browser", "elapsed_ms") if c in edges.columns]
+    replaced = [c for c in names if c in edges.columns]
+    # asked: what the page answered when it was first requested
+    return met.select(*kept, *map(new, replaced), F.col("v.visited").alias("visited"), F.col("v.cleaned").alias("cleaned"), F.when(F.col("v").isNotNull(), F.col("http_status")).alias("asked"))
 
 
 def refused_urls(edges: DataFrame, dns: DataFrame | None, links: DataFrame | None = None, suffixes: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
