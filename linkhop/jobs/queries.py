@@ -205,6 +205,18 @@ def check_dns(spark, sf):
     return network.check_dns(orders.select(host.alias("host")), dns)
 
 
+@query("policy_override", f"""WITH d AS (SELECT 'h' || (o_custkey % 97) || CASE WHEN o_custkey % 97 % 10 = 3 THEN '.own' ELSE '.example' END AS host, o_custkey % 97 AS h, bool_or({_NUMBER} // 16777216 = 200 OR o_custkey % 97 % 7 = 2) AS private FROM orders GROUP BY ALL)
+    SELECT host, CASE WHEN h % 10 = 3 OR private THEN 'BLOCKED' END AS status, CASE WHEN h % 10 = 3 THEN host || ' is a local or internal host name' WHEN private THEN host || ' resolves to a private or reserved address' END AS error FROM d""")
+def policy_override(spark, sf):
+    """Host verdicts under blocks and suffixes of a user's own: an IPv4 and an IPv6 block; other private addresses pass."""
+    h = F.col("o_custkey") % 97
+    host = F.concat(F.lit("h"), h, F.when(h % 10 == 3, ".own").otherwise(".example"))
+    orders = table(spark, sf, "orders").select("o_orderkey", host.alias("host"), h.alias("h"))
+    dns = order_ips(spark, sf).join(orders, "o_orderkey").select("host", "ip").unionByName(orders.select("host", F.when(F.col("h") % 7 == 2, "2001:db8::5").otherwise("fd00::5").alias("ip")))
+    blocks = spark.createDataFrame([("200.0.0.0/8",), ("2001:db8::/32",)], "cidr string")
+    return network.check_dns(orders.select("host"), dns, suffixes=["own"], blocks=blocks)
+
+
 # --- chains -------------------------------------------------------------------------------
 
 _WEB = """
@@ -445,6 +457,42 @@ def compare_runs(spark, sf):
     return reports.compare_runs(r, r.withColumn("status", F.when(F.col("status") == "UNRESOLVED", "RESOLVED").otherwise(F.col("status"))))
 
 
+@query("report_table", f"""WITH x AS ({_RESULTS}), o AS (SELECT link_id, 's' || (link_id % 3) AS service, chain[1] AS url, CASE link_id % 4 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'http://p.example/0' WHEN 2 THEN 'REDIRECT_LOOP' END AS expected, final_url, status,
+      CASE WHEN status = 'UNRESOLVED' THEN 'RESOLVED' ELSE status END AS full_status, CASE WHEN status = 'UNRESOLVED' THEN chain[len(chain)] ELSE final_url END AS full_url, CASE WHEN method IS NULL THEN '' ELSE ' (' || method || ')' END AS how, error FROM x)
+    SELECT link_id, service, url, status || how || CASE WHEN status = 'RESOLVED' OR error IS NULL THEN '' ELSE ': ' || error END AS without_browser,
+      CASE WHEN expected IS NULL THEN '' WHEN CASE WHEN expected LIKE 'http:%' THEN coalesce(expected = final_url, false) ELSE expected = status END THEN 'yes' ELSE 'no' END AS as_expected_without,
+      full_status || how || CASE WHEN full_status = 'RESOLVED' OR error IS NULL THEN '' ELSE ': ' || error END AS with_browser,
+      CASE WHEN expected IS NULL THEN '' WHEN CASE WHEN expected LIKE 'http:%' THEN coalesce(expected = full_url, false) ELSE expected = full_status END THEN 'yes' ELSE 'no' END AS as_expected_with, expected, NULL::VARCHAR AS note FROM o""")
+def report_table(spark, sf):
+    """The report as it is written and read again, a row a link."""
+    from linkhop.sources.tables import written
+
+    r = written(results(spark, sf), "results")
+    full = r.withColumn("final_url", F.when(F.col("status") == "UNRESOLVED", F.element_at("chain", -1)).otherwise(F.col("final_url"))).withColumn("status", F.when(F.col("status") == "UNRESOLVED", "RESOLVED").otherwise(F.col("status")))
+    i = F.col("link_id")
+    links = r.select("link_id", F.get("chain", F.lit(0)).alias("raw_url"), F.concat(F.lit("s"), (i % 3).cast("string")).alias("service"), F.when(i % 4 == 0, "RESOLVED").when(i % 4 == 1, "http://p.example/0").when(i % 4 == 2, "REDIRECT_LOOP").alias("expected"), F.lit(None).cast("string").alias("note"))
+    return reports.report_table(links, r, full)
+
+
+@query("rendered_links", f"""WITH x AS (SELECT *, CASE WHEN status = 'RESOLVED' THEN regexp_extract(final_url, '[0-9]+$')::BIGINT END AS n FROM ({_RESULTS})), y AS (SELECT *, coalesce(n % 20 = 0, false) AS v, coalesce(n % 100 = 10, false) AS w FROM x)
+    SELECT link_id, CASE WHEN v THEN 'http://v.example/' || n WHEN NOT w THEN final_url END AS final_url, CASE WHEN w THEN 'TIMEOUT' ELSE status END AS status, CASE WHEN v OR w THEN 'browser' ELSE method END AS method,
+      (redirect_count + CASE WHEN v THEN 2 WHEN w THEN 0 ELSE 0 END)::INTEGER AS redirect_count, CASE WHEN v THEN list_concat(chain, ['http://m.example/', 'http://v.example/' || n]) ELSE chain END AS chain, CASE WHEN v THEN 203 ELSE http_status END AS http_status, CASE WHEN w THEN 'The page took too long' ELSE error END AS error FROM y""")
+def rendered_links(spark, sf):
+    """Pages whose scripts may leave, with visits of a browser to some of them: one that goes on twice, one that fails, none."""
+    i = F.col("page_id")
+    answers = web(spark, sf)
+    html = F.when((F.col("status_code") == 200), F.lit("<script>function go() { location = where() }</script>"))
+    edges = hops.edges_of(answers.withColumn("html", html).drop("page_id"))
+    seen = answers.where((i % 20 == 0) | (i % 100 == 10))
+    good = i % 20 == 0
+    visits = seen.select(
+        "request_url", good.alias("ok"), F.when(good, F.array("request_url", F.lit("http://u:p@m.example/"), F.concat(F.lit("http://v.example/"), i.cast("string")))).otherwise(F.array("request_url")).alias("chain"),
+        F.when(good, 203).alias("status_code"), F.lit(False).alias("challenge"), F.lit(None).cast("string").alias("refresh"), F.when(good, "<p>arrived").alias("html"), F.when(~good, "TIMEOUT").alias("status"), F.when(~good, "The page took too long").alias("error"),
+    )
+    links = answers.select(i.alias("link_id"), F.col("request_url").alias("href"))
+    return chains.resolve_chains(links, hops.rendered_edges(edges, visits)).drop("credentials_removed", "elapsed_ms")
+
+
 @query("next_step", """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'stop' WHEN code = 302 AND page_id % 3 <> 0 THEN 'follow' WHEN code <> 200 THEN 'stop' WHEN page_id % 5 = 0 THEN 'follow' WHEN page_id % 11 = 0 THEN 'stop' ELSE 'arrived' END AS kind,
     CASE WHEN page_id % 7 = 0 THEN 'Human verification required' WHEN code = 302 AND page_id % 3 <> 0 THEN NULL WHEN code <> 200 THEN 'The server answered with HTTP ' || code || CASE WHEN code = 302 THEN ' without a redirect to follow' ELSE '' END
          WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 11 = 0 THEN 'JavaScript destination could not be determined' END AS error,

@@ -233,9 +233,9 @@ def rendered_edges(edges: DataFrame, rendered: DataFrame) -> DataFrame:
     met = edges.join(visits, F.when(F.col("try_browser"), F.col("request_key")) == F.col("v_key"), "left")
     new = lambda c: F.when(F.col("v").isNotNull(), F.col(f"v.{c}")).otherwise(F.col(c)).alias(c)
     kept = [c for c in ("request_key", "cookie", "set_cookies", "try_browser", "elapsed_ms") if c in edges.columns]
-    replaced = [c for c in names if c in edges.columns]
-    # asked: what the page answered when it was first requested
-    return met.select(*kept, *map(new, replaced), F.col("v.visited").alias("visited"), F.col("v.cleaned").alias("cleaned"), F.when(F.col("v").isNotNull(), F.col("http_status")).alias("asked"))
+    replaced = [c for c in names if c in edges.columns and c != "http_status"]
+    # asked: what the page answered when it was first requested, which a failed visit leaves in place
+    return met.select(*kept, *map(new, replaced), F.coalesce("v.http_status", "http_status").alias("http_status"), F.col("v.visited").alias("visited"), F.col("v.cleaned").alias("cleaned"), F.when(F.col("v").isNotNull(), F.col("http_status")).alias("asked"))
 
 
 def refused_urls(edges: DataFrame, dns: DataFrame | None, links: DataFrame | None = None, suffixes: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
