@@ -646,14 +646,13 @@ _TOP = "CASE WHEN contains(url, '#') THEN substr(url, strpos(url, '#')) ELSE ''
     CASE WHEN m = 4 THEN 'ftp://' || replace(url, '://', '//') END AS safe_input, m = 2 AS credentials_removed FROM p""",
 )
 def parse_urls(spark, sf):
-    """Every page URL as input, in six spellings; parsed once for each distinct text."""
-    from linkhop.functions.whatwg import parse_input_url
+    """Every page URL as input, in six spellings; those that aren't plain are parsed once for each distinct text."""
+    from linkhop.operators.targets import with_input
 
     i = F.col("page_id")
     raw = F.when(i % 6 == 0, F.upper("url")).when(i % 6 == 1, F.replace("url", F.lit("https://"), F.lit("//"))).when(i % 6 == 2, F.replace("url", F.lit("://"), F.lit("://u:p@"))).when(i % 6 == 3, F.concat(F.lit(" \t"), "url", F.lit("/../x y"))).when(i % 6 == 4, F.concat(F.lit("ftp:"), "url")).otherwise(F.col("url"))
     rows = table(spark, sf, "pages").select("page_id", raw.alias("raw_url"))
-    parsed = rows.select("raw_url").distinct().withColumn("p", parse_input_url(F.col("raw_url")))
-    return rows.join(parsed, "raw_url").select("page_id", "raw_url", "p.*")
+    return with_input(rows, "raw_url", "p").select("page_id", "raw_url", "p.*")
 
 
 @query(
@@ -665,11 +664,11 @@ def parse_urls(spark, sf):
     CASE WHEN m = 2 THEN 'mailto:b.example' END AS safe_input, false AS credentials_removed FROM p""",
 )
 def resolve_locations(spark, sf):
-    from linkhop.functions.whatwg import resolve_location
+    from linkhop.operators.targets import with_location
 
     i = F.col("page_id")
     location = F.when(i % 4 == 0, "../up?x=1").when(i % 4 == 1, "//other.example/a b").when(i % 4 == 2, "mailto:a@b.example").otherwise("?only=query#own")
-    return table(spark, sf, "pages").select("page_id", resolve_location(location, F.col("url")).alias("p")).select("page_id", "p.*")
+    return with_location(table(spark, sf, "pages").select("page_id", "url"), location, F.col("url"), "p", True).select("page_id", "p.*")
 
 
 # --- streams ------------------------------------------------------------------------------

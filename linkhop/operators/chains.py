@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linkhop.functions.urls import fragment, origin, request_key, tracking_report, without_fragment
-from linkhop.functions.whatwg import parse_input_url
 from linkhop.operators.adapters import Adapter
 from linkhop.operators.cookies import JAR, SET_COOKIES, cookie_header, stored
 from linkhop.operators.hops import checked_edges, edges_of, heavier, method_weight, rendered_edges
+from linkhop.operators.targets import with_input
 from linkhop.sources.tables import RESULT, written
 
 MAX_REDIRECTS = 20
@@ -257,7 +257,7 @@ def hops(active: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: i
 
 def inputs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of raw links (link_id, raw_url, ...) those that can be followed, with href and own_removed, and the results of the others."""
-    parsed = written(links.withColumn("p", parse_input_url(F.col("raw_url"))), "input")
+    parsed = written(with_input(links, "raw_url", "p"), "input")
     good = parsed.where("p.ok").select(*(c for c in links.columns if c != "raw_url"), F.col("p.href").alias("href"), F.col("p.credentials_removed").alias("own_removed"))
     none = lambda c: F.lit(None).cast(dict(f.split(" ", 1) for f in RESULT.split(", "))[c]).alias(c)
     bad = parsed.where("not p.ok").select(

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from linkhop.functions.policy import bad_port, bad_port_error
 from linkhop.functions.urls import host, hostname, is_http_url, path, port, query, fragment, scheme, strip_credentials, utf8_url, without_fragment
-from linkhop.functions.whatwg import resolve_location
 from linkhop.operators.adapters import Adapter, apply_adapters, ask
 from linkhop.operators.cookies import set_cookies_of
 from linkhop.operators.network import check_dns
 from linkhop.operators.pages import page_findings, parse_refresh, refresh_target
+from linkhop.operators.targets import with_location
 from linkhop.sources.tables import broadcast_if_small, decode_body, written
 
 #: Statuses whose Location is followed.
@@ -124,8 +124,13 @@ def _judged(answers: DataFrame, headers: bool = True, pages: bool = True) -> Dat
     if headers:
         header = parse_refresh(F.col("refresh"))
         # a reload has no URL; it resolves to the page itself, so that it isn't followed
-        told = answers.withColumn("href", resolve_location(F.when(header.isNotNull(), F.coalesce(header["url"], F.lit(""))), F.col("url"), False)["href"])
-        told = told.withColumn("refresh", refresh_target(header["delay"], F.col("href"), F.col("url")))
+        sent = written(answers.where(header.isNotNull()).select("refresh", "url").distinct(), "refreshes")
+        if sent.isEmpty():
+            told = answers.withColumn("refresh", F.lit(None).cast("string"))
+        else:
+            led = with_location(sent, F.coalesce(header["url"], F.lit("")), F.col("url"), "to")
+            led = written(led.select("refresh", "url", refresh_target(header["delay"], F.col("to.href"), F.col("url")).alias("to")), "refreshes")
+            told = answers.join(broadcast_if_small(led), ["refresh", "url"], "left").withColumn("refresh", F.col("to")).drop("to")
     else:
         told = answers
     slim = F.struct("own", "url", "status_code", "challenged", "location", "refresh", "bad", "why", "adapter", "adapter_name")
@@ -136,8 +141,7 @@ def _judged(answers: DataFrame, headers: bool = True, pages: bool = True) -> Dat
     else:
         rows = told.select(slim.alias("r"), F.lit(None).cast("struct<kind:string,url:string,method:string,scripts_may_leave:boolean>").alias("finding")).select("r.*", "finding")
     step = next_step(F.col("status_code"), F.col("challenged"), F.col("location"), F.col("refresh"), F.col("finding"), F.col("adapter"))
-    rows = rows.withColumn("s", step)
-    rows = rows.withColumn("next", resolve_location(F.col("s.target"), F.col("url"), False))
+    rows = with_location(written(rows.withColumn("s", step).drop("finding"), "decided"), F.col("s.target"), F.col("url"), "next")
     follows = F.col("bad").isNull() & (F.col("s.kind") == "follow")
     return rows.select(
         "own", F.when(F.col("bad").isNotNull(), "failed").otherwise(F.col("s.kind")).alias("kind"), F.when(follows, F.col("next.href")).alias("target"), F.when(F.col("bad").isNull(), F.col("s.method")).alias("method"),

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from linkhop.functions.urls import hostname, is_http_url, query_params, without_fragment
-from linkhop.functions.whatwg import decoded_params, named_urls, parse
+from linkhop.functions.whatwg import named_urls, parse
 from linkhop.operators.scripts import sinks_of
 
 MAX_DELAY, MAX_DEPTH = 60, 512
@@ -146,7 +146,7 @@ def scan(html: str | None, page: str, links: bool) -> tuple:
     refreshes = [(p[0], p[1], href(p[1], base), quiet) for content, base, quiet in o["refreshes"] if (p := refresh_parts(content)) is not None]
     targets, loose, soft = sinks_of(o["scripts"])
     jumps = [href(t, s.base) for t in targets]
-    linked = [(h, [k for k, _, _ in named_urls(h, decoded_params(h))]) for x in o["links"] if (h := href(x, s.base)) is not None]
+    linked = [(h, [k for k, _, _ in named_urls(h)]) for x in o["links"] if (h := href(x, s.base)) is not None]
     return refreshes, o["human"], o["password"], o["frameset"], [href(x, s.base) for x in o["frames"]], linked, "".join(s.text), jumps, loose, len(targets) + loose + soft
 
 
@@ -158,7 +158,7 @@ def scan_page(html: pd.Series, url: pd.Series, links: pd.Series) -> pd.DataFrame
 @F.pandas_udf(NAMED)
 def named(href: pd.Series) -> pd.Series:
     """External http(s) URLs that the query of each href names."""
-    return href.map(lambda u: [] if u is None else named_urls(u, decoded_params(u)))
+    return href.map(lambda u: [] if u is None else named_urls(u))
 
 
 _REFRESH = rf"(?s)^[{_WS}]*([0-9]*)([0-9.]*)(?:(?=[;,{_WS}])[{_WS}]*[;,]?[{_WS}]*(.*))?$"

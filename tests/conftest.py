@@ -16,7 +16,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
-        .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
+        .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-shared-")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

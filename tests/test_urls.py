@@ -90,3 +90,35 @@ def test_empty_tables(spark):
     edges = spark.createDataFrame([], "request_key string, kind string, target string, method string, status string, error string, http_status int")
     assert chains.resolve_chains(links, edges).count() == 0
     assert dt
+
+
+def test_plain_urls_by_columns(spark):
+    """What columns give for plain input and targets is what the helper gives, with and without inherited fragments."""
+    import random
+
+    from linkhop.operators.targets import with_input, with_location
+
+    rng = random.Random(6)
+    hosts = ["a.test", "a.b-c.example", "A.test", "1.2.3.4", "a.1", "xn--a.test", "a_b.test", "a.test:80", "a.test:8080", "u@a.test", "-a.test", "a", "a..test", "b\u00fc.test", "a.test."]
+    paths = ["/", "", "/x", "/x/", "/./y", "/x/../y", "/..", "/.x", "/x.html", "/...", "/a/.b./c", "//x", "/x//y", "/x%41", "/x y", "/\u00fc", "/x;p=1", "/x|y", "/.", "\\x", "/%2e/x"]
+    rests = ["", "?", "?a=b&c", "#", "#f", "?q=%41#f/g", "?q='", "#f g", "?a?b#c#d", "?\u00fc", "?x={}"]
+    url = lambda: rng.choice(["http://", "https://", "HTTP://", "ftp://", "//", "http:", ""]) + rng.choice(hosts) + rng.choice(paths) + rng.choice(rests)
+    texts = [*{url() for _ in range(700)}, *(p + r for p in paths for r in rests), "mailto:a@b.c", "javascript:x", "x/y", "../x", "http://a.test/" + "x" * 8180, None, " /x", "/x\n", "http://a.test/\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: tuple(r.p) for r in with_input(df, "t", "p").collect()}
+    assert {texts[i]: p for i, p in got.items()} == {t: input_url(t) for t in texts}
+    bases = ["http://a.test/x/y?q#f", "https://b.example/", "http://1.2.3.4/z", "http://a.test:8080/#g"]
+    pairs = [(t, bases[i % len(bases)]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(pairs)], "i int, t string, b string")
+    for inherit in (True, False):
+        got = {r.i: tuple(r.p) for r in with_location(df, F.col("t"), F.col("b"), "p", inherit).collect()}
+        assert {(pairs[i]): p for i, p in got.items()} == {(t, b): (None,) * 6 if t is None else location_url(t, b, inherit) for t, b in pairs}
+
+
+def test_plain_urls_need_no_python(spark):
+    from linkhop.operators.targets import with_input, with_location
+
+    df = spark.createDataFrame([("http://a.test/x.html?q=1#f", "/y"), ("https://b.example/", "//c.example/z")], "t string, l string")
+    rows = with_location(with_input(df, "t", "p"), F.col("l"), F.col("t"), "n")
+    assert "Python" not in rows._jdf.queryExecution().toString()
+    assert sorted(r.n.href for r in rows.collect()) == ["http://a.test/y", "https://c.example/z"]
