@@ -442,3 +442,24 @@ def test_sharding_of_equal_rows(spark, tmp_path):
     assert all({r.slot for r in got if r.shard == s} == set(range(n)) for s, n in shards.items())
     buckets = Counter(r.bucket for r in got)  # about 28 buckets
     assert max(buckets.values()) < 4 * len(got) / len(buckets)
+
+
+def test_risk_and_its_steps():
+    """The non-negative risk: the fitted network scores positives high and the rest low by the given prior, and a risk below zero is stepped out of."""
+    import numpy as np
+
+    from linkhop.llm import quality
+
+    rng = np.random.default_rng(1)
+    good = lambda n: np.hstack([rng.normal(1.0, 1, (n, 3)), np.zeros((n, quality.WIDTH - 3))]).astype(np.float32)
+    bad = lambda n: np.hstack([rng.normal(-1.0, 1, (n, 3)), np.zeros((n, quality.WIDTH - 3))]).astype(np.float32)
+    for share in (0.3, 0.7):
+        p, u = good(600), np.concatenate([good(int(1500 * share)), bad(1500 - int(1500 * share))])
+        model = quality.fit(p, u, share)
+        fresh = np.concatenate([good(500), bad(500)])
+        right = (model.score(fresh) >= 0.5) == (np.arange(1000) < 500)
+        assert right.mean() > 0.85
+        # the loss of unlabelled texts less that of positives, as negatives, is not driven below zero
+        of = lambda x: np.logaddexp(0, np.log(model.score(x) / (1 - model.score(x)))).mean()
+        assert of(u) - share * of(p) > -0.1
+        assert abs(quality.estimated_prior(p, u) - share) < 0.2
