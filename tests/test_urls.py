@@ -111,7 +111,7 @@ def test_plain_urls_by_columns(spark):
     pairs = [(t, bases[i % len(bases)]) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(pairs)], "i int, t string, b string")
     for inherit in (True, False):
-        got = {r.i: tuple(r.p) for r in with_location(df, F.col("t"), F.col("b"), "p", inherit).collect()}
+        got = {r.i: tuple(r.p or (None,) * 6) for r in with_location(df, F.col("t"), F.col("b"), "p", inherit).collect()}
         assert {(pairs[i]): p for i, p in got.items()} == {(t, b): (None,) * 6 if t is None else location_url(t, b, inherit) for t, b in pairs}
 
 
