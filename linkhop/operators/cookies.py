@@ -69,7 +69,11 @@ def stored(jar: Column, origin: Column, lines: Column, most: int = MAX_PER_ORIGI
 
 
 def cookie_latest(set_cookies: DataFrame) -> DataFrame:
-    """Of (link_id, origin, seq, name, value, expired) the newest of each name, unless it has expired."""
+    """Of (link_id, origin, seq, name, value, expired) the newest of each name, unless it has expired.
+
+    Rows are dealt out by link and origin, which cookie_cap needs too, so both take one shuffle.
+    """
+    set_cookies = set_cookies.repartition("link_id", "origin")
     newest = F.row_number().over(Window.partitionBy("link_id", "origin", "name").orderBy(F.col("seq").desc()))
     return set_cookies.where("name is not null").withColumn("r", newest).where("r = 1 and not expired").drop("r")
 
