@@ -22,7 +22,7 @@ HOT_KEYS = 50_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Short Arrow batches, as texts may be long."""
+    """Short Arrow batches, as texts may be long; the session keeps these limits, as results are computed after the call."""
     for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
         # a size may bear a unit, as in 64MB
@@ -55,15 +55,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes the files of a table that written() made and nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/linkhop/" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are few, else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= most else df
