@@ -62,14 +62,15 @@ SETTLED = "visit_id long, start timestamp, end timestamp, url string, events lon
 NAVIGATE, ANSWERED, READ = "navigate", "answered", "read"
 
 
-def settled_pages(events: DataFrame, gap_ms: int = 3000, late: str = "1 minute") -> DataFrame:
+def settled_pages(events: DataFrame, gap_ms: int = 3000, late: str = "1 minute", forget_ms: int = 3_600_000) -> DataFrame:
     """(visit_id, start, end, url, events) of events (visit_id, event_id, ts, kind, url): where pages of each visit arrived.
 
     A page has arrived once no navigation is under way, its HTML has been read and nothing has
     happened for gap_ms.  `navigate` puts one under way to url, `answered` ends that, `read`
     says that the HTML was read; any event ends the quiet.  A page is told with the first
     event after its quiet, or when the watermark passes it; start and events are of its time
-    since the one before arrived.  Events that the watermark passed are dropped.
+    since the one before arrived.  Events that the watermark passed are dropped, and a visit
+    without events for forget_ms is forgotten, so state ends.
     """
     ordered = events.withWatermark("ts", late).select("visit_id", "event_id", "ts", "kind", "url")
     gap = pd.Timedelta(milliseconds=gap_ms)
@@ -83,15 +84,21 @@ def settled_pages(events: DataFrame, gap_ms: int = 3000, late: str = "1 minute")
             out.append((key[0], pd.Timestamp(start, unit="us"), pd.Timestamp(last, unit="us") + gap, url, n))
             start, n = None, 0
 
+        settles = lambda: start is not None and not pending and ready
+        columns = SETTLED.replace(",", "").split()[::2]
         if state.hasTimedOut:
-            arrive()
-            # the page stays open: what comes next belongs to a new stay on it
-            state.update((None, last, pending, ready, url, 0))
-            yield pd.DataFrame(out, columns=SETTLED.replace(",", "").split()[::2])
+            if settles():
+                arrive()
+                # the page stays open: what comes next belongs to a new stay on it
+                state.update((None, last, pending, ready, url, 0))
+                state.setTimeoutTimestamp(max(last // 1000 + forget_ms, state.getCurrentWatermarkMs() + 1))
+                yield pd.DataFrame(out, columns=columns)
+            else:
+                state.remove()
             return
         for e in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
             at = e.ts.value // 1000
-            if start is not None and not pending and ready and at - last >= gap_ms * 1000:
+            if settles() and at - last >= gap_ms * 1000:
                 arrive()
             start = at if start is None else start
             last, n = at, n + 1
@@ -102,9 +109,9 @@ def settled_pages(events: DataFrame, gap_ms: int = 3000, late: str = "1 minute")
             elif e.kind == READ:
                 ready = True
         state.update((start, last, pending, ready, url, n))
-        if start is not None and not pending and ready:
-            state.setTimeoutTimestamp(max(last // 1000 + gap_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=SETTLED.replace(",", "").split()[::2])
+        state.setTimeoutTimestamp(max(last // 1000 + (gap_ms if settles() else forget_ms), state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     held = "start long, last long, pending boolean, ready boolean, url string, n long"
     return ordered.groupBy("visit_id").applyInPandasWithState(watch, SETTLED, held, "append", GroupStateTimeout.EventTimeTimeout)
