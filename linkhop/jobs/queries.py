@@ -623,6 +623,15 @@ def script_findings(spark, sf):
     return find(pages).select("page_id", "kind", "url", F.col("script_unsettled").alias("unsettled"))
 
 
+@query("script_mentions", r"SELECT page_id, regexp_matches(html || CASE page_id % 5 WHEN 0 THEN 'window.open  (u)' WHEN 1 THEN 'x.submit()' WHEN 2 THEN 'new  Function(s)' WHEN 3 THEN 'reopened(u); evaluate(s)' ELSE '' END, 'location|open\s*\(|\b(?:submit|click)\s*\(|\beval\b|\bnew\s+Function\b') AS mentions FROM pages")
+def script_mentions(spark, sf):
+    from linkhop.operators.pages import script_mentions as mentions
+
+    m = F.col("page_id") % 5
+    more = F.when(m == 0, "window.open  (u)").when(m == 1, "x.submit()").when(m == 2, "new  Function(s)").when(m == 3, "reopened(u); evaluate(s)").otherwise("")
+    return table(spark, sf, "pages").select("page_id", mentions(F.concat("html", more)).alias("mentions"))
+
+
 @query("single_target", "WITH s AS (SELECT user_id AS page_id, CASE WHEN event_id % 13 = 0 THEN 'unknown' WHEN event_id % 3 = 0 THEN 'target' ELSE 'maybe' END AS kind, 'http://t.example/' || (event_id % 2) AS url FROM events), g AS (SELECT page_id, count(DISTINCT url) FILTER (kind = 'target') AS n, bool_or(kind = 'unknown') AS u, min(url) FILTER (kind = 'target') AS url FROM s GROUP BY page_id) SELECT page_id, CASE WHEN n = 1 AND NOT u THEN 'redirect' WHEN n > 0 OR u THEN 'unknown' ELSE 'maybe' END AS kind, CASE WHEN n = 1 AND NOT u THEN url END AS url FROM g")
 def single_target(spark, sf):
     from linkhop.operators.pages import single_target as one

@@ -202,7 +202,14 @@ def single_target(sinks: DataFrame) -> DataFrame:
     return g.select("page_id", kind.alias("kind"), F.when(kind == "redirect", F.col("url")).alias("url"))
 
 
-_OF_INTEREST = r"(?i)http-equiv|frameset|captcha|turnstile|password|location|open\s*\(|\b(?:submit|click)\s*\(|\beval\b|\bnew\s+Function\b"
+#: What a page's markup, and what its scripts, must hold to be looked at further.
+_MARKUP = r"(?i)http-equiv|frameset|captcha|turnstile|password"
+_SCRIPTS = r"location|open\s*\(|\b(?:submit|click)\s*\(|\beval\b|\bnew\s+Function\b"
+
+
+def script_mentions(text: Column) -> Column:
+    """Whether scripts, or a page with its scripts, hold a word that could move the page on; where none does, nothing is parsed."""
+    return F.coalesce(text.rlike(_SCRIPTS), F.lit(False))
 
 
 def page_findings(pages: DataFrame) -> DataFrame:
@@ -216,7 +223,7 @@ def page_findings(pages: DataFrame) -> DataFrame:
     error = F.col("error_page") if "error_page" in pages.columns else F.lit(False)
     p = pages.select("page_id", F.col("url").alias("page"), F.coalesce("html", F.lit("")).alias("html"), F.coalesce(error, F.lit(False)).alias("error"))
     p = p.withColumn("named", F.when(F.col("page").rlike(r"(?i)\?.*https?(:|%3a)"), named("page")).otherwise(F.array().cast(NAMED)))
-    settled = (F.size("named") == 0) & ~F.col("html").rlike(_OF_INTEREST)
+    settled = (F.size("named") == 0) & ~F.col("html").rlike(_MARKUP) & ~script_mentions(F.col("html"))
     none = F.lit(None).cast("string")
     quiet = p.where(settled).select("page_id", F.lit("none").alias("kind"), none.alias("url"), none.alias("method"), F.lit(False).alias("scripts_may_leave"), F.lit(False).alias("script_unsettled"))
     s = p.where(~settled).withColumn("s", scan_page("html", "page", F.size("named") > 0)).drop("html").select("page_id", "page", "error", "named", "s.*")

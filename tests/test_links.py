@@ -70,6 +70,9 @@ PAGES = [
     ("http://a.test/", "<script>function f() { location = 'http://b.test/' }</script>", "none", None),
     ("http://a.test/", "<script>location = 'http://a.test/'</script>", "none", None),
     ("http://a.test/", "<script type=text/template>location = 'http://b.test/'</script>", "none", None),
+    ("http://a.test/?u=http://b.test/x", "<form action='http://b.test/x'>", "redirect", "http://b.test/x"), ("http://a.test/?u=http://b.test/x", "<iframe src=//b.test/x>", "redirect", "http://b.test/x"),
+    ("http://a.test/?u=http://b.test/x", "<map><area href='http://b.test/x'></map>", "redirect", "http://b.test/x"), ("http://a.test/?u=http://b.test/x", "<div data-to='http://b.test/x'>", "redirect", "http://b.test/x"),
+    ("http://a.test/?u=http://b.test/x", "<link rel=canonical href='http://b.test/x'>", "redirect", "http://b.test/x"), ("http://a.test/?u=http://b.test/x", "<link rel=icon href='http://b.test/x'><img src='http://b.test/x'>", "none", None),
     ("http://a.test/", None, "none", None), ("http://a.test/", "<b>" * 100000, "none", None),
 ]
 
