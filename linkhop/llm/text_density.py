@@ -99,6 +99,8 @@ class Page:
         self.names.append(names)
         if tag in BLOCK:
             self._block += 1
+        elif tag == "br":  # white space inside a block
+            self.pieces.append((len(self.tags) - 1, self._block, " "))
         if tag not in VOID:
             self._stack.append(len(self.tags) - 1)
             self._open[tag] = self._open.get(tag, 0) + 1

@@ -178,8 +178,8 @@ def test_main_text(spark, tag):
         article = f"<h1>{html.escape(title)}</h1>" + "".join(f"<p>{mark(b)}{closed}" for b in blocks)
         pages.append((i, f"http://x/{i}", page(rng, article, tag), "t"))
         want[i] = "\n".join([title, *blocks])
-    pages += [(100, None, None, "t"), (None, "u", "", "t"), (101, "u", "<p>a &lt;b&gt; &am &#233;<p>b\xa0 c", "t"), (102, "u", "<div><ul><li><a>x</a><li><a>y</a></ul></div>", "t")]
-    want |= {100: "", None: "", 101: "a <b> &am é\nb c"}
+    pages += [(100, None, None, "t"), (None, "u", "", "t"), (101, "u", "<p>a &lt;b&gt; &am &#233;<p>b\xa0 c<br>d<br/>\n<i>e</i>f", "t"), (102, "u", "<div><ul><li><a>x</a><li><a>y</a></ul></div>", "t")]
+    want |= {100: "", None: "", 101: "a <b> &am é\nb c d ef"}
     df = spark.createDataFrame(pages, "page_id long, url string, html string, Text string").repartition(3)
     rows = text_density.page_texts(df).collect()
     got = {r.page_id: r.text for r in rows}
