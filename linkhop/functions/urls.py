@@ -152,7 +152,8 @@ def utf8_header(value: Column) -> Column:
 
 def utf8_url(value: Column) -> Column:
     """A header that holds a URL: read as UTF-8 where its characters are bytes that are UTF-8, else as it is."""
-    bytes_ = F.encode(value, "ISO-8859-1")
+    # characters that are no bytes are taken out first, as encode() fails on them wherever it is evaluated
+    bytes_ = F.encode(F.regexp_replace(value, "[^\u0000-\u00ff]", ""), "ISO-8859-1")
     fits = value.rlike("[\u0080-\u00ff]") & ~value.rlike("[^\u0000-\u00ff]") & F.is_valid_utf8(bytes_.cast("string"))
     return F.when(fits, bytes_.cast("string")).otherwise(value)
 
