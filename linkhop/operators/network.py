@@ -26,7 +26,10 @@ def _masked(hi: Column, lo: Column, prefix: int) -> tuple[Column, Column]:
 def _with_bits(addresses: DataFrame, ip_col: str) -> DataFrame:
     """addresses with _bits; only distinct IPv6 texts go through a helper."""
     ip = F.col(ip_col)
-    six = written(addresses.where(ip.contains(":")).select(ip.alias("_six")).distinct().withColumn("_hex", ipv6_hex("_six")), "ipv6")
+    found = addresses.where(ip.contains(":")).select(ip.alias("_six")).distinct()
+    if found.isEmpty():
+        return addresses.withColumn("_bits", _bits(ip, F.lit(None).cast("string")))
+    six = written(found.withColumn("_hex", ipv6_hex("_six")), "ipv6")
     return addresses.join(broadcast_if_small(six), F.when(ip.contains(":"), ip) == F.col("_six"), "left").withColumn("_bits", _bits(ip, F.col("_hex"))).drop("_six", "_hex")
 
 
