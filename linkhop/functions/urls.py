@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 MAX_URL_LENGTH = 8192
@@ -19,6 +21,11 @@ FUNCTIONAL_NAMES = ["id", "q", "query", "search", "page", "lang", "v"]
 TRIMMED = r"[\s   -     　﻿]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units, the unit of all limits."""
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")

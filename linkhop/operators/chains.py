@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from linkhop.functions.urls import fragment, origin, request_key, tracking_report, without_fragment
+from linkhop.functions.urls import fragment, let, origin, request_key, tracking_report, without_fragment
 from linkhop.operators.adapters import Adapter
 from linkhop.operators.cookies import JAR, SET_COOKIES, cookie_header, stored
 from linkhop.operators.hops import checked_edges, edges_of, heavier, method_weight, rendered_edges
@@ -31,11 +31,6 @@ PASSWORD_REMOVED = "A user name or password in the URL was taken out"
 LINES = "array<struct<tag:string,message:string>>"
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def started(href: Column) -> Column:
     """The state of a link before its first request."""
     no = lambda kind: F.lit(None).cast(kind)

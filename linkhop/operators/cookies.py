@@ -4,27 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from linkhop.functions.urls import let
+
 #: Characters that an origin's cookies may take, three more than name and value each.
 MAX_PER_ORIGIN = 8192
-#: White space at both ends.
-SPACE = r"^\s+|\s+$"
+#: White space that is cut from both ends.
+SPACE = " \t\n\x0b\f\r"
 #: Months of a cookie date, and its form.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 DATE = r"([0-9]{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -]([0-9]{2,4})\s+([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})"
 
 
 def parse_set_cookie(line: Column) -> Column:
-    """struct(name, value, attributes); the name is null where there is none."""
-    pair = F.split(line, ";")[0]
-    name = F.when(pair.contains("="), F.regexp_replace(F.substring_index(pair, "=", 1), SPACE, ""))
-    return F.struct(
-        F.nullif(name, F.lit("")).alias("name"),
-        F.regexp_replace(F.substr(pair, F.length(F.substring_index(pair, "=", 1)) + 2), SPACE, "").alias("value"),
-        F.transform(F.slice(F.split(line, ";"), 2, F.size(F.split(line, ";"))), lambda a: F.struct(
-            F.lower(F.trim(F.substring_index(a, "=", 1))).alias("key"),
-            F.when(a.contains("="), F.trim(F.substr(a, F.length(F.substring_index(a, "=", 1)) + 2))).otherwise("").alias("value"),
-        )).alias("attributes"),
-    )
+    """struct(name, value, attributes); the name is null where there is none.  A line is split once."""
+
+    def read(parts: Column) -> Column:
+        pair = F.get(parts, F.lit(0))
+        before = F.substring_index(pair, "=", 1)
+        name = F.when(pair.contains("="), F.trim(before, F.lit(SPACE)))
+        return F.struct(
+            F.nullif(name, F.lit("")).alias("name"),
+            F.trim(F.substr(pair, F.length(before) + 2), F.lit(SPACE)).alias("value"),
+            F.transform(F.slice(parts, 2, F.size(parts)), lambda a: F.struct(
+                F.lower(F.trim(F.substring_index(a, "=", 1))).alias("key"),
+                F.when(a.contains("="), F.trim(F.substr(a, F.length(F.substring_index(a, "=", 1)) + 2))).otherwise("").alias("value"),
+            )).alias("attributes"),
+        )
+
+    return let(F.split(line, ";"), read)
 
 
 def cookie_expired(attributes: Column, now: Column) -> Column:

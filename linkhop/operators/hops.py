@@ -124,12 +124,13 @@ def _judged(answers: DataFrame, headers: bool = True, pages: bool = True) -> Dat
     if headers:
         header = parse_refresh(F.col("refresh"))
         # a reload has no URL; it resolves to the page itself, so that it isn't followed
-        sent = written(answers.where(header.isNotNull()).select("refresh", "url").distinct(), "refreshes")
+        read = answers.where("refresh is not null").select("refresh", "url").distinct().where(header.isNotNull())
+        sent = written(read.select("refresh", "url", header["delay"].alias("delay"), F.coalesce(header["url"], F.lit("")).alias("leads")), "refreshes")
         if sent.isEmpty():
             told = answers.withColumn("refresh", F.lit(None).cast("string"))
         else:
-            led = with_location(sent, F.coalesce(header["url"], F.lit("")), F.col("url"), "to")
-            led = written(led.select("refresh", "url", refresh_target(header["delay"], F.col("to.href"), F.col("url")).alias("to")), "refreshes")
+            led = with_location(sent, F.col("leads"), F.col("url"), "to")
+            led = written(led.select("refresh", "url", refresh_target(F.col("delay"), F.col("to.href"), F.col("url")).alias("to")), "refreshes")
             told = answers.join(broadcast_if_small(led), ["refresh", "url"], "left").withColumn("refresh", F.col("to")).drop("to")
     else:
         told = answers

@@ -23,14 +23,16 @@ def _masked(hi: Column, lo: Column, prefix: int) -> tuple[Column, Column]:
     return cut(hi, prefix), cut(lo, prefix - 64)
 
 
-def _with_bits(addresses: DataFrame, ip_col: str) -> DataFrame:
-    """addresses with _bits; only distinct IPv6 texts go through a helper."""
+def _with_bits(addresses: DataFrame, ip_col: str, six: bool = True) -> DataFrame:
+    """addresses with _bits; only distinct IPv6 texts go through a helper, and without six none: theirs are null."""
     ip = F.col(ip_col)
+    if not six:
+        return addresses.withColumn("_bits", _bits(ip, F.lit(None).cast("string")))
     found = addresses.where(ip.contains(":")).select(ip.alias("_six")).distinct()
     if found.isEmpty():
         return addresses.withColumn("_bits", _bits(ip, F.lit(None).cast("string")))
-    six = written(found.withColumn("_hex", ipv6_hex("_six")), "ipv6")
-    return addresses.join(broadcast_if_small(six), F.when(ip.contains(":"), ip) == F.col("_six"), "left").withColumn("_bits", _bits(ip, F.col("_hex"))).drop("_six", "_hex")
+    read = written(found.withColumn("_hex", ipv6_hex("_six")), "ipv6")
+    return addresses.join(broadcast_if_small(read), F.when(ip.contains(":"), ip) == F.col("_six"), "left").withColumn("_bits", _bits(ip, F.col("_hex"))).drop("_six", "_hex")
 
 
 def block_index(blocks: DataFrame) -> DataFrame:
@@ -47,9 +49,13 @@ def placed(addresses: DataFrame, blocks: DataFrame, ip_col: str = "ip") -> DataF
     is one equi-join, of which there are at most 33 and 129; blocks may overlap, and there
     may be any number of them: those of a length are broadcast where they are few.
     """
-    index = block_index(blocks)
+    return _placed(addresses, block_index(blocks), ip_col, True)
+
+
+def _placed(addresses: DataFrame, index: DataFrame, ip_col: str, families: bool) -> DataFrame:
+    """placed() by a block index.  Without families, IPv6 texts are only read where there are IPv6 blocks; else their family is null."""
     lengths = [tuple(r) for r in index.groupBy("family", "prefix").count().collect()]  # at most 162 rows
-    rows, names = _with_bits(addresses, ip_col), []
+    rows, names = _with_bits(addresses, ip_col, families or any(f == 6 for f, _, _ in lengths)), []
     for i, (family, prefix, n) in enumerate(sorted(lengths, key=lambda x: -x[1])):
         hi, lo = _masked(F.col("hi"), F.col("lo"), prefix)
         part = index.where((F.col("family") == family) & (F.col("prefix") == prefix)).groupBy(hi.alias("_hi"), lo.alias("_lo")).agg(F.min("cidr").alias(f"_cidr{i}"))
@@ -63,7 +69,7 @@ def placed(addresses: DataFrame, blocks: DataFrame, ip_col: str = "ip") -> DataF
 
 def range_of(addresses: DataFrame, ranges: DataFrame, ip_col: str = "ip") -> DataFrame:
     """addresses with cidr, the smallest of the blocks (cidr, ...) that holds each (null: none)."""
-    return placed(addresses, ranges, ip_col).drop("family")
+    return _placed(addresses, block_index(ranges), ip_col, False).drop("family")
 
 
 def in_ranges(addresses: DataFrame, ranges: DataFrame, ip_col: str = "ip", how: str = "left_semi") -> DataFrame:
