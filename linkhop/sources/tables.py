@@ -27,13 +27,20 @@ MAX_HTML_BYTES = 1_048_576
 _own = ""
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir (a folder of our own where that is unset)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; only a session on one machine may leave it unset and gets one of its own."""
     global _own
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = _own = _own or tempfile.mkdtemp(prefix="linkhop-")
-    return f"{shared.rstrip('/')}/linkhop/{label}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/linkhop/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

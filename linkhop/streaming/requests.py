@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,8 +18,7 @@ from linkhop.sources.tables import new_path, written
 
 def offsets(spark: SparkSession) -> str:
     """A new folder for a stream's offsets, in the shared folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="linkhop-")
-    return f"{shared.rstrip('/')}/linkhop/offsets-{uuid.uuid4().hex}"
+    return new_path(spark, "offsets")
 
 
 def run_available(stream: DataFrame, mode: str = "append", flush: bool = False) -> DataFrame:

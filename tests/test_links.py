@@ -134,6 +134,25 @@ def test_cookies(spark):
     assert [g[2] for g in got[3:6]] == [True, False, False]
 
 
+def test_set_cookie_lines_against_plain_code(spark):
+    white = " \t\n\x0b\f\r"
+
+    def plain(line):
+        first, *rest = line.split(";")
+        name, sign, value = first.partition("=")
+        attributes = [(k.strip(" ").lower(), v.strip(" ")) for k, _, v in (a.partition("=") for a in rest)]
+        return (name.strip(white) or None) if sign else None, value.strip(white), attributes
+
+    lines = ["a=b", " a = b ; Path=/; Secure", "\ta\r=\n b c\x0b", "a", "=b", " =b", "a=", "a=b=c; x = y=z ;", "", ";", ";a=b", "é=ü; Max-Age = 5", "a= " + "v" * 5000 + " ; HTTPONLY"]
+    df = spark.createDataFrame([*enumerate(lines), (-1, None)], "i int, l string").select("i", cookies.parse_set_cookie(F.col("l")).alias("c"))
+    got = {r.i: r.c for r in df.collect()}
+    assert got[-1].name is None and got[-1].value is None
+    for i, line in enumerate(lines):
+        name, value, attributes = plain(line)
+        assert got[i].name == name and [tuple(a) for a in got[i].attributes] == attributes, line
+        assert name is None or got[i].value == value, line
+
+
 def test_cookie_cap_against_a_fold(spark):
     rng = random.Random(2)
     rows = [(1, "o", i, f"n{i}", "v" * rng.randrange(3000)) for i in range(12)]

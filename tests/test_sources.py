@@ -1,5 +1,7 @@
 import json
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkhop.operators import reports
@@ -141,3 +143,26 @@ def test_hot_keys_in_slices(spark):
             top = max(top, n)
         most[k] = top
     assert {r.client: r.most for r in cache.concurrency(df).collect()} == most
+
+
+def test_only_one_machine_may_lack_a_shared_folder():
+    session = lambda master, **conf: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {k.replace("_", "."): v for k, v in conf.items()}))
+    assert tables.new_path(session("yarn", spark_checkpoint_dir="hdfs://shared/"), "x").startswith("hdfs://shared/linkhop/x-")
+    own = tables.new_path(session("local[2]"), "x")
+    assert own.rsplit("/linkhop/", 1)[0] == tables.new_path(session("local[2]"), "y").rsplit("/linkhop/", 1)[0]
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.new_path(session("spark://host:7077"), "x")
+
+
+def test_six_texts_among_four_blocks(spark):
+    from linkhop.operators.network import in_ranges, range_of
+
+    ips = spark.createDataFrame([("10.0.0.1",), ("11.0.0.1",), ("::1",), ("::ffff:10.0.0.1",), ("x:y",), (None,)], "ip string")
+    four = spark.createDataFrame([("10.0.0.0/8",)], "cidr string")
+    found = range_of(ips, four)
+    assert {r.ip: r.cidr for r in found.collect()} == {"10.0.0.1": "10.0.0.0/8", "11.0.0.1": None, "::1": None, "::ffff:10.0.0.1": None, "x:y": None, None: None}
+    # where no block is IPv6, no text goes through a helper
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert in_ranges(ips, four).count() == 1 and in_ranges(ips, four, how="left_anti").count() == 5
+    both = four.unionByName(spark.createDataFrame([("::/64",)], "cidr string"))
+    assert {r.ip: r.cidr for r in range_of(ips, both).collect() if r.cidr} == {"10.0.0.1": "10.0.0.0/8", "::1": "::/64", "::ffff:10.0.0.1": "::/64"}
