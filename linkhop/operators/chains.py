@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -59,14 +60,15 @@ def _led(e: Column, target: Column) -> Column:
     )
 
 
-def advanced(s: Column, e: Column, request: Column, max_redirects: int, deadline_ms: int, browsed: bool, logged: bool = False) -> Column:
+def advanced(s: Column, e: Column, request: Column, max_redirects: int | None, deadline_ms: int, browsed: bool, logged: bool = False) -> Column:
     """The state after one request: s, a state that has not ended, and e, the step that answers it, null where none is captured.
 
     request names the request; it is a loop if it was made before, which is told before the
-    limit.  browsed: whether steps may hold the visit of a browser.  logged: whether the
+    limit (null: there is none).  browsed: whether steps may hold the visit of a browser.  logged: whether the
     state notes what happens, line by line.
     """
-    stopped = F.when(F.array_contains(s["seen"], request), "REDIRECT_LOOP").when(F.size(s["chain"]) - 1 > max_redirects, "UNRESOLVED")
+    above = lambda chain: F.lit(False) if max_redirects is None else F.size(chain) - 1 > max_redirects
+    stopped = F.when(F.array_contains(s["seen"], request), "REDIRECT_LOOP").when(above(s["chain"]), "UNRESOLVED")
     many = F.lit(f"More than {max_redirects} redirects")
     visit = e["visited"].isNotNull() if browsed else F.lit(False)
     whole = F.when(visit, F.concat(s["chain"], e["visited"])).otherwise(s["chain"])
@@ -97,7 +99,7 @@ def advanced(s: Column, e: Column, request: Column, max_redirects: int, deadline
         late = x["took"] > deadline_ms
         keys = F.transform(F.concat(F.array(s["href"]), F.coalesce(e["visited"], F.array().cast("array<string>"))), without_fragment)
         around = F.exists(keys, lambda k: F.size(F.filter(keys, lambda y: y == k)) >= REVISITS)
-        too_long = x["visit"] & (F.size(x["whole"]) - 1 > max_redirects)
+        too_long = x["visit"] & above(x["whole"])
         met = led = None
         if logged:
             # a browser opens a page that was answered; its own answer is not told
@@ -160,7 +162,7 @@ def _walked(rows: DataFrame, walks: DataFrame) -> DataFrame:
     return met.select(*(c for c in rows.columns if c not in ("steps", "next")), steps.alias("steps"), F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.col("_next")).alias("next"))
 
 
-def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS, cookies: bool = False, log: bool = False) -> DataFrame:
+def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int | None = MAX_REDIRECTS, deadline_ms: int = DEADLINE_MS, cookies: bool = False, log: bool = False) -> DataFrame:
     """Follows every link (link_id, href) along edges (request_key, kind, target, method, status, error, http_status, and what else of EDGE there is).
 
     Returns link_id, final_url, status, method, redirect_count, chain, http_status, error,
@@ -173,9 +175,12 @@ def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int = MAX_
     Without cookies the edges are contracted to walks by doubling, so that chains of any
     length up to the limit take its logarithm in joins (six for 20 redirects); the steps of
     each link are then folded into its result in its own row.  With cookies an answer depends
-    on what came before, so there is a join a hop (see hops).  With log there is a column log,
+    on what came before, so there is a join a hop (see hops), and the limit may be null: links
+    then go on until they end or come back.  With log there is a column log,
     the lines (tag, message) of what happened to the link after its input.
     """
+    if max_redirects is None and not cookies:
+        raise ValueError("links without cookies need a limit of redirects")
     steps = steps_by_key(edges)
     if cookies:
         return with_cookies(links, steps, max_redirects, deadline_ms, log)
@@ -206,7 +211,7 @@ def as_results(rows: DataFrame, log: bool = False) -> DataFrame:
     )
 
 
-def with_cookies(links: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: int, log: bool = False) -> DataFrame:
+def with_cookies(links: DataFrame, steps: DataFrame, max_redirects: int | None, deadline_ms: int, log: bool = False) -> DataFrame:
     """resolve_chains where links carry a jar of cookies, one join a hop."""
     return as_results(hops(setting_out(links), steps, max_redirects, deadline_ms, logged=log)[0].select("link_id", "s"), log)
 
@@ -216,13 +221,14 @@ def setting_out(links: DataFrame) -> DataFrame:
     return links.withColumn("s", started(F.col("href"))).withColumn("jar", F.create_map().cast(JAR))
 
 
-def hops(active: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: int, waits: bool = False, logged: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def hops(active: DataFrame, steps: DataFrame, max_redirects: int | None, deadline_ms: int, waits: bool = False, logged: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Links (link_id, s, jar, ...) that have ended, and, if waits, those whose next answer isn't among the steps, as they stand.
 
     steps: (request_key, step, cookie, set_cookies).  A request is a URL and the cookies sent
     with it; only an answer to the same is its answer, and one whose cookie is null is that
     whatever was sent (a refused URL).  Set-Cookie lines of an answer go into the jar of its
     origin before the next request.  Links leave the loop when they end; each hop is written.
+    Without a limit each link goes on until it ends or makes a request again.
     """
     steps = written(steps.select("request_key", "step", "cookie", F.col("set_cookies").cast(SET_COOKIES).alias("set_cookies")), "steps")
     exact, every = steps.where("cookie is not null").withColumnRenamed("cookie", "_cookie"), steps.where("cookie is null").select(F.col("request_key").alias("_key"), F.col("step").alias("_step"))
@@ -230,7 +236,7 @@ def hops(active: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: i
     more = [c for c in active.columns if c not in ("s", "jar")]
     finished: list[DataFrame] = []
     waiting: list[DataFrame] = []
-    for _ in range(max_redirects + 2):
+    for _ in count() if max_redirects is None else range(max_redirects + 2):
         sent = active.withColumn("_sent", F.coalesce(cookie_header(F.col("jar"), origin(F.col("s.href"))), F.lit(""))).withColumn("_url", without_fragment(F.col("s.href")))
         met = sent.join(exact, (F.col("_url") == exact["request_key"]) & (F.col("_sent") == exact["_cookie"]), "left")
         if refused:

@@ -327,3 +327,15 @@ def test_header_bytes(spark):
     df = spark.createDataFrame([(u, c, l, None, None, None) for u, c, l in rows], "request_url string, status_code int, location array<string>, cf_mitigated string, error_code string, error_message string")
     got = {r.request_key[-1]: r.target for r in hops.edges_of(df).collect()}
     assert got == {"1": "http://a.test/%C3%BC%E6%BC%A2", "2": "http://a.test/%C3%BC", "3": "http://a.test/%E6%BC%A2"}
+
+
+def test_long_chain_with_cookies_and_no_limit(spark):
+    """A page that takes a chain past 20 redirects still resolves where no limit is asked for; a loop still ends."""
+    at = lambda i: f"http://a.test/{i}"
+    rows = [(at(i), "arrived" if i == 0 else "follow", None if i == 0 else at(i - 1), "http", "RESOLVED" if i == 0 else None, None, 200 if i == 0 else 302, "", None) for i in range(26)]
+    rows += [(at(50), "follow", at(51), "http", None, None, 302, "", None), (at(51), "follow", at(50), "http", None, None, 302, "", None)]
+    edges = spark.createDataFrame(rows, "request_key string, kind string, target string, method string, status string, error string, http_status int, cookie string, set_cookies array<struct<name:string,value:string,expired:boolean>>")
+    links = spark.createDataFrame([(1, at(25)), (2, at(3)), (3, at(50))], "link_id long, href string")
+    told = lambda most: {r.link_id: (r.status, r.redirect_count) for r in resolve_chains(links, edges, max_redirects=most, cookies=True).collect()}
+    assert told(None) == {1: ("RESOLVED", 25), 2: ("RESOLVED", 3), 3: ("REDIRECT_LOOP", 2)}
+    assert told(20) == {1: ("UNRESOLVED", 21), 2: ("RESOLVED", 3), 3: ("REDIRECT_LOOP", 2)}
