@@ -339,3 +339,20 @@ def test_long_chain_with_cookies_and_no_limit(spark):
     told = lambda most: {r.link_id: (r.status, r.redirect_count) for r in resolve_chains(links, edges, max_redirects=most, cookies=True).collect()}
     assert told(None) == {1: ("RESOLVED", 25), 2: ("RESOLVED", 3), 3: ("REDIRECT_LOOP", 2)}
     assert told(20) == {1: ("UNRESOLVED", 21), 2: ("RESOLVED", 3), 3: ("REDIRECT_LOOP", 2)}
+
+
+def test_words_of_scripts_before_patterns():
+    """Whether a script can move the page is told as by the pattern, but long scripts without its words take no time."""
+    import time
+
+    from linkhop.operators.scripts import MENTION, mentions
+
+    for s in ("x.location", "reopen (", "evaluate", "a.eval(", "new Function", "Functional", "resubmit", "open", ""):
+        assert mentions(s) == (MENTION.search(s) is not None)
+    long = "b();" * 1_000_000
+    start = time.process_time()
+    assert not mentions(long)
+    words = time.process_time() - start
+    start = time.process_time()
+    assert MENTION.search(long) is None
+    assert words < (time.process_time() - start) / 5
