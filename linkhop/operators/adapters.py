@@ -6,9 +6,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from linkhop.functions.urls import hostname, is_http_url, path
+from linkhop.sources.tables import short_batches
 
 ANSWER = T.StructType([T.StructField("name", T.StringType()), T.StructField("target", T.StringType())])
 
@@ -43,6 +44,7 @@ def first_answer(adapters: Sequence[Adapter], url: str, html: str | None) -> tup
 
 def ask(adapters: Sequence[Adapter], url: Column, html: Column) -> Column:
     """struct(name, target) of the first adapter that knows each url, row by row in Arrow batches; a failure stays in its row."""
+    short_batches(SparkSession.active())
     own = tuple(adapters)
 
     @F.pandas_udf(ANSWER)

@@ -341,6 +341,28 @@ def test_long_chain_with_cookies_and_no_limit(spark):
     assert told(20) == {1: ("UNRESOLVED", 21), 2: ("RESOLVED", 3), 3: ("REDIRECT_LOOP", 2)}
 
 
+def test_pages_in_short_batches_and_one_pass(spark):
+    """Pages go to one helper a task, in batches that don't grow with the table."""
+    import io
+    from contextlib import redirect_stdout
+
+    key = "spark.sql.execution.arrow."
+    before = {k: spark.conf.get(key + k) for k in ("maxRecordsPerBatch", "maxBytesPerBatch")}
+    try:
+        for k, v in (("maxRecordsPerBatch", "10000"), ("maxBytesPerBatch", "256MB")):
+            spark.conf.set(key + k, v)
+        rows = [(1, "http://a.test/", "<META HTTP-EQUIV=refresh content='0;url=/x'>"), (2, "http://a.test/?to=http://b.test/", "<a href='http://b.test/'>go</a>"), (3, "http://a.test/?to=http:", "<p>captch&#97;"), (4, "http://a.test/", None), (5, "http://a.test/", "<p>calm")]
+        found = pages.page_findings(spark.createDataFrame(rows, "page_id long, url string, html string"))
+        assert int(spark.conf.get(key + "maxRecordsPerBatch")) <= 1000 and int(spark.conf.get(key + "maxBytesPerBatch")) <= 4_000_000
+        with redirect_stdout(io.StringIO()) as plan:
+            found.explain("simple")
+        assert plan.getvalue().count("ArrowEvalPython") == 1
+        assert {r.page_id: (r.kind, r.url) for r in found.collect()} == {1: ("redirect", "http://a.test/x"), 2: ("redirect", "http://b.test/"), 3: ("none", None), 4: ("none", None), 5: ("none", None)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(key + k, v)
+
+
 def test_words_of_scripts_before_patterns():
     """Whether a script can move the page is told as by the pattern, but long scripts without its words take no time."""
     import time
