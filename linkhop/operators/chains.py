@@ -185,14 +185,7 @@ def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int | None
     if cookies:
         return with_cookies(links, steps, max_redirects, deadline_ms, log)
     browsed = "visited" in edges.columns
-    # two walks one after another are all requests up to the limit
-    doublings = max(0, (-(-(max_redirects + 1) // 2) - 1).bit_length())
-    walk = walks(steps.select("request_key", "step"), doublings)
-    none = F.array().cast(walk.schema["steps"].dataType)
-    begun = links.select("link_id", "href", without_fragment(F.col("href")).alias("next"), F.lit("").alias("request_key")).withColumn("steps", none)
-    first = written(_walked(begun, walk), "first")
-    rest = _walked(first.where("next is not null"), walk)
-    rows = first.where("next is null").unionByName(rest)
+    rows = with_steps(links.select("link_id", "href"), F.col("href"), steps, max_redirects)
     key = lambda s: without_fragment(s["href"])
     go = lambda s, e: F.when(s["status"].isNotNull(), s).otherwise(advanced(s, e, key(s), max_redirects, deadline_ms, browsed, log))
     # what has not ended after all steps asks for one that isn't captured
@@ -201,6 +194,39 @@ def resolve_chains(links: DataFrame, edges: DataFrame, max_redirects: int | None
     return as_results(rows.select("link_id", state.alias("s")), log)
 
 
+def with_steps(links: DataFrame, href: Column, steps: DataFrame, max_redirects: int) -> DataFrame:
+    """links with the column steps: all that follow from href, up to the limit, to an answer that leads nowhere, a key without one or a key met before."""
+    # two walks one after another are all requests up to the limit
+    doublings = max(0, (-(-(max_redirects + 1) // 2) - 1).bit_length())
+    walk = walks(steps.select("request_key", "step"), doublings)
+    none = F.array().cast(walk.schema["steps"].dataType)
+    begun = links.select("*", without_fragment(href).alias("next"), F.lit("").alias("request_key")).withColumn("steps", none)
+    first = written(_walked(begun, walk), "first")
+    rest = _walked(first.where("next is not null"), walk)
+    return first.where("next is null").unionByName(rest).drop("next", "request_key")
+
+
+def walked(active: DataFrame, steps: DataFrame, max_redirects: int, deadline_ms: int) -> tuple[DataFrame, DataFrame]:
+    """What hops() gives for links that may wait and send no cookies, by doubling: a handful of joins instead of one a hop.
+
+    steps: (request_key, step, cookie), of which those with a null cookie (refused URLs) go
+    before others.  A link goes on from its state s; jars stay as they are.
+    """
+    own = steps.groupBy("request_key").agg(F.max_by("step", F.col("cookie").isNull()).alias("step"))
+    request = lambda s: request_key(without_fragment(s["href"]), F.lit(""))
+    rows = with_steps(active, F.col("s.href"), own, max_redirects)
+    begun = F.col("s").cast(f"struct<{typed(STATE)}>")
+    state = F.aggregate("steps", begun, lambda s, e: F.when(s["status"].isNotNull(), s).otherwise(advanced(s, e, request(s), max_redirects, deadline_ms, False)))
+    went = written(rows.withColumn("s", state).drop("steps"), "walked")
+    # without a step, only a loop and the limit end a link that may wait
+    lost = F.lit(None).cast(own.schema["step"].dataType)
+    after = F.when(F.col("s.status").isNotNull(), F.col("s")).otherwise(advanced(F.col("s"), lost, request(F.col("s")), max_redirects, deadline_ms, False))
+    told = went.withColumn("after", after)
+    stands = F.col("s.status").isNull() & (F.col("after.error") == NOT_CAPTURED)
+    done = told.where(~stands).withColumn("s", F.col("after")).drop("after", "jar")
+    return done, told.where(stands).drop("after")
+
+
 def as_results(rows: DataFrame, log: bool = False) -> DataFrame:
     """(link_id, s, ...), s a state that has ended, as results."""
     done = F.col("s.status") == "RESOLVED"

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkhop.functions.urls import without_fragment
-from linkhop.operators.chains import DEADLINE_MS, LATE_ERROR, MAX_REDIRECTS, STATE, STEP, as_results, hops, inputs, records, setting_out, steps_by_key, typed
+from linkhop.operators.chains import DEADLINE_MS, LATE_ERROR, MAX_REDIRECTS, STATE, STEP, as_results, hops, inputs, records, setting_out, steps_by_key, typed, walked
 from linkhop.operators.cookies import JAR, SET_COOKIES
 from linkhop.operators.hops import edges_of, latest_answers, refused_urls
 from linkhop.sources.tables import new_path, written
@@ -188,7 +188,9 @@ def resolve_stream(
         latest = every.groupBy("request_key", "cookie").agg(F.max_by(F.struct("step", "set_cookies"), F.struct("at", "batch")).alias("r")).select("request_key", "cookie", "r.*")
         names = [f.split()[0] for f in WAITING.split(", ") if f.split()[0] in ("link_id", "ts", "href", "own_removed", "s", "jar")]
         before = part("waiting", WAITING, f"batch = {i - 1}").select(*names)
-        done, waiting = hops(setting_out(new).select(*names).unionByName(before), latest, max_redirects, deadline_ms, True)
+        active = setting_out(new).select(*names).unionByName(before)
+        # without cookies an answer doesn't depend on what came before, so links needn't be led hop by hop
+        done, waiting = hops(active, latest, max_redirects, deadline_ms, True) if cookies else walked(active, written(latest, "latest"), max_redirects, deadline_ms)
         waiting = written(waiting, "waiting")
         over = (F.col("ts") + F.expr(f"interval {wait}") < F.lit(now).cast("timestamp")) if now is not None else F.lit(False)
         put(waiting.where(~over).select(*names), "waiting", i, WAITING)

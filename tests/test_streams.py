@@ -64,3 +64,25 @@ def test_pages_settle(spark, tmp_path):
     run([(3, 11, at(61), "other", None)])  # the watermark is past the quiet of visit 2 now
     assert (2, "b", 3) in [(x[0], x[3], x[4]) for x in found] and not any(x[0] in (1, 3) for x in found)
     assert pd.Timestamp(next(x[2] for x in found if x[0] == 2)) == pd.Timestamp(at(14))
+
+
+def test_links_without_cookies_are_led_by_doubling(spark):
+    """Without cookies a batch takes no join a hop, and gives what hops does for links that end, wait, loop or stand amid their chain."""
+    from pyspark.sql import functions as F
+
+    from linkhop.operators import chains as c
+
+    at = lambda i: f"http://a.test/{i}"
+    step = "request_key string, kind string, target string, method string, status string, error string, http_status int, cookie string, elapsed_ms long"
+    rows = [(at(i), "follow", at(i + 1), "http", None, None, 302, "", 1) for i in range(30)] + [(at(40), "follow", at(41), "http", None, None, 302, "", 1), (at(41), "follow", at(40), "http", None, None, 302, "", 1)]
+    rows += [(at(50), "arrived", None, None, "RESOLVED", None, 200, "", 1), (at(51), "follow", at(50), "http", None, None, 302, "", 1), (at(52), "follow", at(60), "http", None, None, 302, "", 1), (at(60), "arrived", None, None, "RESOLVED", None, 200, "", 1), (at(60), "failed", None, None, "BLOCKED", "no", None, None, None)]
+    steps = c.steps_by_key(spark.createDataFrame(rows, step))
+    links = spark.createDataFrame([(i, at(i) + ("#f" if i % 2 else "")) for i in (0, 15, 25, 40, 50, 51, 52, 99)], "link_id long, href string")
+    # a link that has gone four hops before
+    far = c.setting_out(links.where("link_id = 0")).withColumn("link_id", F.lit(1000).cast("long"))
+    amid = c.hops(far, steps.withColumn("set_cookies", F.lit(None).cast(c.SET_COOKIES)).where("regexp_extract(request_key, '[0-9]+$', 0) < 4"), 6, 10_000, True)[1]
+    active = c.setting_out(links).unionByName(amid.select("link_id", "href", "s", "jar"))
+    told = lambda done, waits: {r.link_id: (r.s.status, r.s.error, tuple(r.s.chain), tuple(r.s.seen), r.s.method, r.s.http_status, r.s.elapsed_ms) for r in done.select("link_id", "s").unionByName(waits.select("link_id", "s")).collect()}
+    got = told(*c.walked(active, steps, 6, 10_000))
+    assert got == told(*c.hops(active, steps.withColumn("set_cookies", F.lit(None).cast(c.SET_COOKIES)), 6, 10_000, True))
+    assert {k: v[0] for k, v in got.items()} == {0: "UNRESOLVED", 15: "UNRESOLVED", 25: None, 40: "REDIRECT_LOOP", 50: "RESOLVED", 51: "RESOLVED", 52: "BLOCKED", 99: None, 1000: "UNRESOLVED"}
