@@ -126,6 +126,50 @@ def test_script_budget(spark):
     assert {r.i: len(r.r.targets) for r in rows.collect()} == {0: 1, 1: 0, 2: 0, 3: 0, 4: 1, 5: 0}
 
 
+def test_pages_with_long_scripts(spark):
+    """Scripts are read whatever their length and sum: targets, rivals of a target, and what rendering would tell."""
+    fill, go = "b(); " * 15000, "location='http://d.test/';"
+    cases = [[fill + go], [fill[:65000]] * 4 + [go + " " * 3000], [go + fill, *[fill] * 4, "location='http://e.test/'"], ["/*" + "x" * 300000 + "*/ function f() { " + go + " }"], ["c();" * 900000 + go], [fill + go + "{"]]
+    html = ["<p>x".join(f"<script>{s}</script>" for s in c) for c in cases] + [f"<body onload=\"{fill + go}\">"]
+    df = spark.createDataFrame(list(enumerate(html)), "page_id int, html string").select("page_id", F.lit("http://a.test/").alias("url"), "html")
+    got = {r.page_id: (r.kind, r.url, r.script_unsettled) for r in pages.page_findings(df).collect()}
+    to = ("redirect", "http://d.test/", False)
+    assert got == {0: to, 1: to, 2: ("unknown-script", None, False), 3: ("none", None, True), 4: to, 5: ("none", None, False), 6: to}
+
+
+def test_scripts_in_pieces(monkeypatch):
+    """Where a script's tokens are parted changes nothing, and tokens that were judged are forgotten."""
+    import tracemalloc
+
+    from linkhop.operators import scripts
+
+    texts = [*SURE, *QUIET, *LOOSE, "var x = {location: 1, open: [1, 2, 'location', 3]}\nsetTimeout('location=1', 5)", "open('a' + 'b',\n'_top', 1), open('http://d.test/', '_self')"]
+    texts += [";\n".join(x for x in texts if len(x) < 200), *("\n".join([a, b, a]) for a in texts[:40] for b in texts[-12:] if len(a + b) < 200)]
+    whole = [scripts.sinks(s) for s in texts]
+    for size in (1, 2, 3, 5):
+        monkeypatch.setattr(scripts, "PIECE", size)
+        assert [scripts.sinks(s) for s in texts] == whole
+    monkeypatch.undo()
+    tracemalloc.start()
+    try:
+        assert scripts.sinks("a(1); x = [" + "1, " * 30000 + "];" + "f(a, b);" * 5000 + "location = 'http://d.test/'") == (["http://d.test/"], 0, 0)
+        assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_odd_scripts_of_any_length_take_time_in_line_with_it():
+    """Regular expressions and comments that don't end are looked at once."""
+    import time
+
+    from linkhop.operators.scripts import sinks
+
+    for s, found in (("=/a[" * 100000, 0), ("=/[" * 100000 + "/]", 0), ("/* " * 150000, 0), ("; x=/[" + "/[" * 100000 + "]/;location='http://d.test/'", 1), ("='http://d.test/'\n/*", 0)):
+        began = time.process_time()
+        assert len(sinks("location" + s)[0]) == found
+        assert time.process_time() - began < 10
+
+
 def test_cookies(spark):
     lines = ["a=1; Path=/", " b = 2 ; Max-Age=0", "noname", "c=3; Expires=Wed, 09 Jun 2021 10:18:14 GMT", "d=4; Expires=0", "e=5; Max-Age=10; Expires=Wed, 09 Jun 2021 10:18:14 GMT", "=x"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, l string").select("i", cookies.parse_set_cookie(F.col("l")).alias("c"))
