@@ -137,6 +137,20 @@ def test_pages_with_long_scripts(spark):
     assert got == {0: to, 1: to, 2: ("unknown-script", None, False), 3: ("none", None, True), 4: to, 5: ("none", None, False), 6: to}
 
 
+def test_script_findings_read_what_is_behind_long_scripts(spark, tmp_path):
+    """The last of five scripts, together of over 262,144 characters, is read, in the query and in its SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(i, "http://a.test/", "<p>x") for i in range(16)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.kind, r.url, r.unsettled) for r in entry.queries()["script_findings"](spark, str(tmp_path)).collect()}
+    assert (got[7], got[15]) == (("redirect", "http://s.example/7", False), ("redirect", "http://s.example/15", False))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(entry.oracle_sql()["script_findings"]).fetchall()} == got
+
+
 def test_scripts_in_pieces(monkeypatch):
     """Where a script's tokens are parted changes nothing, and tokens that were judged are forgotten."""
     import tracemalloc
